@@ -40,3 +40,26 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list,
 def r4(c, digits: int = 4):
     """Round half-up to ``digits`` and turn -0.0 into 0.0 (oracle convention)."""
     return F.round(c, digits) + F.lit(0.0)
+
+
+def dense_codes(df: DataFrame, col: str, small: int = 50_000) -> DataFrame:
+    """``(col, _code)``: 0-based position of each distinct non-null value in sorted order.
+
+    Up to ``small`` distinct values sort in one task; beyond that the values
+    are range-partitioned (checkpointed so partition bounds stay fixed under
+    retries) and numbered with per-partition offsets.
+    """
+    from ..session import cut_lineage
+    d = df.select(col).where(F.col(col).isNotNull()).distinct()
+    n = d.count()
+    if n <= small:
+        return d.withColumn("_code", F.row_number().over(Window.orderBy(col)) - 1)
+    parts = max(2, n // small)
+    d = cut_lineage(d.repartitionByRange(parts, col).withColumn("_pid", F.spark_partition_id()))
+    sizes = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    off = sizes.withColumn("_off", F.coalesce(F.sum("_c").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    w = Window.partitionBy("_pid").orderBy(col)
+    return (d.withColumn("_i", F.row_number().over(w) - 1)
+             .join(F.broadcast(off.select("_pid", "_off")), "_pid")
+             .select(col, (F.col("_off") + F.col("_i")).alias("_code")))

@@ -112,6 +112,9 @@ def exact_quantiles(data: DataFrame, probs: list[float], keys: list[str],
 
     Groups with no value produce no row.
     """
+    if not keys:  # one group: a constant key keeps every join an equi-join
+        g = data.select(F.lit(0).alias("_g0"), F.col(value))
+        return exact_quantiles(g, probs, ["_g0"], value, direct_limit).drop("_g0")
     base = _base(data, keys, value)
     stats = small_or_checkpoint(
         base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
@@ -161,3 +164,44 @@ def rank_ranges(data: DataFrame, keys: list[str], value: str = "value",
     return (d.withColumn("_cum", F.sum("_c").over(w))
              .join(F.broadcast(off), on=["_pid"] + keys)
              .select(*keys, "_v", "_c", (F.col("_off") + F.col("_cum") - F.col("_c")).alias("_start")))
+
+
+def values_at_ranks(data: DataFrame, ranks: DataFrame, keys: list[str],
+                    value: str = "value") -> DataFrame:
+    """``(keys..., _r, _v)``: the value at each 0-based rank ``ranks(keys..., _r)``.
+
+    Same distributed selection as the quantiles (no group is sorted whole in
+    one task beyond ``DIRECT_LIMIT`` distinct values).
+    """
+    return _select_ranks(_base(data, keys, value), ranks, keys, 0, DIRECT_LIMIT)
+
+
+def running_sums(data: DataFrame, keys: list[str], order: str, sums: list[str],
+                 descending: bool = False, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+    """Per distinct ``order`` value: the group totals and the running totals *before* it.
+
+    ``(keys..., order, s..., cum_s...)`` where ``cum_s`` sums the rows strictly
+    earlier in the order.  Distinct values collapse first; a group with more
+    than ``direct_limit`` of them is range-partitioned and stitched with a
+    small per-partition offset table (as ``rank_ranges``).
+    """
+    key = F.col(order).desc() if descending else F.col(order).asc()
+    d = data.groupBy(*keys, order).agg(*[F.sum(s).alias(s) for s in sums])
+    maxd = int((d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0]) or 0)
+    if maxd <= direct_limit:
+        w = Window.partitionBy(*keys).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        return d.select(*keys, order, *sums,
+                        *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"cum_{s}") for s in sums])
+    n_parts = max(2, math.ceil(maxd / (direct_limit / 4)))
+    d = cut_lineage(d.repartitionByRange(n_parts, *[F.col(k) for k in keys], key)
+                     .withColumn("_pid", F.spark_partition_id()))
+    off = d.groupBy("_pid", *keys).agg(*[F.sum(s).alias(f"_t{s}") for s in sums])
+    wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = off.select("_pid", *keys, *[F.coalesce(F.sum(f"_t{s}").over(wo), F.lit(0)).alias(f"_o{s}")
+                                      for s in sums])
+    w = Window.partitionBy("_pid", *keys).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return (d.select("_pid", *keys, order, *sums,
+                     *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_c{s}") for s in sums])
+             .join(F.broadcast(off), ["_pid"] + keys)
+             .select(*keys, order, *sums, *[(F.col(f"_o{s}") + F.col(f"_c{s}")).alias(f"cum_{s}")
+                                            for s in sums]))
