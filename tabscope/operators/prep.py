@@ -263,11 +263,13 @@ def auto_preprocess(df: DataFrame, contamination: float = 0.05,
 
 # ---------------------------------------------------------------- CLS-1, 2
 def feature_frame(df: DataFrame, target: str, numeric_cols: list[str], other_cols: list[str],
-                  standardize: bool = False, max_levels: int = ONE_HOT_MAX) -> tuple[DataFrame, list[str]]:
+                  standardize: bool = False, max_levels: int = ONE_HOT_MAX,
+                  keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Model input: numeric medians filled (over all rows), other columns one-hot
     (drop first, <= ``max_levels`` levels), target non-null, constant features dropped."""
-    feats = [c for c in numeric_cols if c != target]
-    cats = [c for c in other_cols if c != target]
+    keep = keep or []
+    feats = [c for c in numeric_cols if c != target and c not in keep]
+    cats = [c for c in other_cols if c != target and c not in keep]
     med = {}
     if feats:
         q = quantile_wide(tall(df, feats), {"m": 0.5}, ["variable"]).collect()
@@ -278,12 +280,12 @@ def feature_frame(df: DataFrame, target: str, numeric_cols: list[str], other_col
     for c in cats:
         if isinstance(lv.get(c), list) and len(lv[c]) > 1:
             sel.extend(one_hot_columns(c, lv[c]))
-    x = df.where(F.col(target).isNotNull()).select(F.col(target), *sel)
-    names = [c for c in x.columns if c != target]
+    x = df.where(F.col(target).isNotNull()).select(*keep, F.col(target), *sel)
+    names = [c for c in x.columns if c != target and c not in keep]
     if names:
         r = x.agg(*[(F.min(c) != F.max(c)).alias(c) for c in names]).first()
         names = [c for c in names if r[c]]
-    x = x.select(target, *[F.col(c).cast("double").alias(c) for c in names])
+    x = x.select(*keep, target, *[F.col(c).cast("double").alias(c) for c in names])
     if standardize:
         x = standardize_pop(x, names)
     return x, names
