@@ -42,7 +42,7 @@ def load_all() -> dict[str, Query]:
     # importing the modules fills REGISTRY
     from . import profile_queries  # noqa: F401
     for mod in ("chart_queries", "stats_queries", "prep_queries", "model_queries",
-                "page_queries"):
+                "page_queries", "report_queries"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:
