@@ -75,11 +75,16 @@ def clean(df: DataFrame) -> DataFrame:
     return d.select(*[F.col(f"`{c}`").alias(str(c).strip()) for c in keep])
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """SRC-1 / SRC-2: header row, every value read as text, NA tokens to null, then typed."""
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
+             multiline: bool = False) -> DataFrame:
+    """SRC-1 / SRC-2: header row, every value read as text, NA tokens to null, then typed.
+
+    ``multiline`` (quoted fields spanning lines) makes each file one task, so
+    it is off unless asked for; line-oriented files split across tasks.
+    """
     raw = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
                 .option("inferSchema", False).option("nullValue", None).option("emptyValue", "")
-                .option("multiLine", True).option("escape", '"').csv(path))
+                .option("multiLine", multiline).option("escape", '"').csv(path))
     return infer_types(_na_to_null(raw))
 
 
