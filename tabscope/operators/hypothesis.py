@@ -80,8 +80,9 @@ def ttests_from_moments(m: DataFrame) -> DataFrame:
     n1, n2 = F.col("a.n").cast("double"), F.col("b.n").cast("double")
     v1, v2 = F.col("a.var"), F.col("b.var")
     se1, se2 = v1 / n1, v2 / n2
-    t = (F.col("a.mean") - F.col("b.mean")) / F.sqrt(se1 + se2)
-    dfw = F.pow(se1 + se2, 2) / (F.pow(se1, 2) / (n1 - 1) + F.pow(se2, 2) / (n2 - 1))
+    # zero variance in both groups: t and df are undefined (null), not an error
+    t = F.try_divide(F.col("a.mean") - F.col("b.mean"), F.sqrt(se1 + se2))
+    dfw = F.try_divide(F.pow(se1 + se2, 2), F.pow(se1, 2) / (n1 - 1) + F.pow(se2, 2) / (n2 - 1))
     sp = F.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2))
     d = F.when(sp == 0, F.lit(0.0)).otherwise((F.col("a.mean") - F.col("b.mean")) / sp)
     return g.select(F.lit("Independent t-test").alias("test"), "variable", "grouping",
@@ -117,8 +118,8 @@ def anova_from_moments(m: DataFrame) -> DataFrame:
                F.sum((F.col("n") - 1) * F.col("var")).alias("ssw")))
     df1 = F.col("k") - 1
     df2 = F.col("N") - F.col("k")
-    f = (F.col("ssb") / df1) / (F.col("ssw") / df2)
-    eta = F.when(df2 == 0, F.lit(0.0)).otherwise(f * df1 / (f * df1 + df2))
+    f = F.try_divide(F.col("ssb") / df1, F.col("ssw") / df2)
+    eta = F.when(df2 == 0, F.lit(0.0)).otherwise(F.try_divide(f * df1, f * df1 + df2))
     return a.select(F.lit("One-way ANOVA").alias("test"), "variable", "grouping",
                     F.col("k").cast("long").alias("groups"), F.col("N").cast("long").alias("n"),
                     f.alias("f_stat"), df1.cast("long").alias("df1"), df2.cast("long").alias("df2"),

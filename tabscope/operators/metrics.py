@@ -100,8 +100,8 @@ def roc_points(pred: DataFrame, keys: list[str] | None = None, label: str = "lab
     tot = base.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     pts = rs.join(F.broadcast(tot), keys) if keys else attach_scalars(rs, tot)
     curve = pts.select(*keys, "threshold",
-                       ((F.col("cum_neg") + F.col("neg")) / F.col("N")).alias("fpr"),
-                       ((F.col("cum_pos") + F.col("pos")) / F.col("P")).alias("tpr"))
+                       F.try_divide(F.col("cum_neg") + F.col("neg"), F.col("N")).alias("fpr"),
+                       F.try_divide(F.col("cum_pos") + F.col("pos"), F.col("P")).alias("tpr"))
     origin = tot.select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
                         F.lit(0.0).alias("tpr"))
     return curve.unionByName(origin)
@@ -117,8 +117,8 @@ def auc(pred: DataFrame, keys: list[str] | None = None, label: str = "label",
                        (F.col(label) != 1).cast("long").alias("neg"))
     rs = running_sums(base, keys, "threshold", ["pos", "neg"], descending=True)
     return rs.groupBy(*keys).agg(
-        (F.sum(F.col("neg") * (F.col("cum_pos") + F.col("pos") / 2.0))
-         / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+        F.try_divide(F.sum(F.col("neg") * (F.col("cum_pos") + F.col("pos") / 2.0)),
+                     F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 # ---------------------------------------------------------------- REG-10
@@ -129,7 +129,7 @@ def regression_metrics(pred: DataFrame, keys: list[str] | None = None, label: st
     e = F.col(label) - F.col(prediction)
     a = pred.groupBy(*keys).agg(F.sum(e * e).alias("_sse"), F.avg(F.abs(e)).alias("mae"),
                                 F.var_pop(label).alias("_vp"), F.count(F.lit(1)).alias("_n"))
-    return a.select(*keys, (1 - F.col("_sse") / (F.col("_vp") * F.col("_n"))).alias("r2"),
+    return a.select(*keys, (1 - F.try_divide(F.col("_sse"), F.col("_vp") * F.col("_n"))).alias("r2"),
                     F.sqrt(F.col("_sse") / F.col("_n")).alias("rmse"), "mae")
 
 
@@ -173,6 +173,6 @@ def davies_bouldin(points: DataFrame, features: list[str], cluster: str = "clust
     pair = a.join(b, keys, "inner") if keys else attach_scalars(a, b)
     dc = F.sqrt(sum((F.col(f"_a_{f}") - F.col(f"_b_{f}")) ** 2 for f in features))
     r = (pair.where(F.col("_i") != F.col("_j"))
-             .select(*keys, "_i", ((F.col("_s") + F.col("_sj")) / dc).alias("_r"))
+             .select(*keys, "_i", F.try_divide(F.col("_s") + F.col("_sj"), dc).alias("_r"))
              .groupBy(*keys, "_i").agg(F.max("_r").alias("_m")))
     return r.groupBy(*keys).agg(F.avg("_m").alias("davies_bouldin"))
