@@ -156,6 +156,10 @@ def residual_diagnostics(df: DataFrame, y: str, xs: list[str], order: str | None
     st = f.agg(F.count(F.lit(1)).alias("n"), F.skewness("residual").alias("skew"),
                (F.kurtosis("residual") + 3).alias("kurtosis"))
     st = st.withColumn("jarque_bera", F.col("n") / 6.0 * (F.col("skew") ** 2 + (F.col("kurtosis") - 3) ** 2 / 4))
+    one = st.first()  # one row of residual moments
+    if one["n"] and one["n"] >= 8 and one["skew"] is not None:
+        k2, pk = omnibus(int(one["n"]), float(one["skew"]), float(one["kurtosis"]))
+        st = st.withColumn("omnibus", F.lit(k2)).withColumn("omnibus_pvalue", F.lit(pk))
     if order:
         from ..functions.frames import attach_scalars
         st = attach_scalars(st, durbin_watson(f, order))
@@ -188,6 +192,30 @@ def durbin_watson(df: DataFrame, order: str, resid: str = "residual", rows_per_p
                     .alias("durbin_watson"))
 
 
+def omnibus(n: int, skew: float, kurt: float) -> tuple[float, float]:
+    """D'Agostino-Pearson K^2 from population skewness and (Pearson) kurtosis, and its
+    chi-square(2) p-value (the published z-transforms of both moments)."""
+    y = skew * math.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
+    beta2 = 3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9))
+    w2 = -1 + math.sqrt(2 * (beta2 - 1))
+    delta = 1 / math.sqrt(0.5 * math.log(w2))
+    alpha = math.sqrt(2.0 / (w2 - 1))
+    y = y if y != 0 else 1.0
+    z1 = delta * math.log(y / alpha + math.sqrt((y / alpha) ** 2 + 1))
+    e = 3.0 * (n - 1) / (n + 1)
+    varb2 = 24.0 * n * (n - 2) * (n - 3) / ((n + 1.0) ** 2 * (n + 3) * (n + 5))
+    x = (kurt - e) / math.sqrt(varb2)
+    sb1 = 6.0 * (n * n - 5 * n + 2) / ((n + 7.0) * (n + 9)) * math.sqrt(6.0 * (n + 3) * (n + 5) / (n * (n - 2.0) * (n - 3)))
+    a = 6.0 + 8.0 / sb1 * (2.0 / sb1 + math.sqrt(1 + 4.0 / sb1 ** 2))
+    t1 = 1 - 2 / (9.0 * a)
+    den = 1 + x * math.sqrt(2 / (a - 4.0))
+    t2 = math.copysign(1, den) * ((1 - 2 / a) / abs(den)) ** (1 / 3.0) if den != 0 else 0.0
+    z2 = (t1 - t2) / math.sqrt(2 / (9.0 * a))
+    k2 = z1 * z1 + z2 * z2
+    from ..functions.distributions import chi2_sf
+    return k2, float(chi2_sf(k2, 2))
+
+
 def significant_predictors(coefs: DataFrame, alpha: float = 0.05) -> DataFrame:
     """REG-5."""
     return coefs.where((F.col("term") != "const") & (F.col("p_value") < alpha))

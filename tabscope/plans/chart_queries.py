@@ -185,3 +185,35 @@ FROM ({_pairs_raw_sql(LINEITEM_NULLS_SQL, LI_NUM)}) ORDER BY ABS(r) DESC, i, j L
 def top_pairs_lineitem(spark, sf):
     m = K.pearson_matrix(lineitem_nulls(spark, sf), LI_NUM)
     return K.top_pairs(m, 10)
+
+
+def _kendall_sql(src, cols):
+    parts = []
+    for (i, a), (j, b) in combinations(list(enumerate(cols)), 2):
+        parts.append(f"""SELECT '{a}' AS var1, '{b}' AS var2, CAST({i} AS BIGINT) AS i, CAST({j} AS BIGINT) AS j, r FROM (
+  WITH d AS (SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL),
+  s AS (SELECT SUM(SIGN(p.x - q.x) * SIGN(p.y - q.y)) / 2 AS s FROM d p, d q),
+  n AS (SELECT COUNT(*) * (COUNT(*) - 1) / 2 AS n0 FROM d),
+  tx AS (SELECT SUM(c * (c - 1) / 2) AS n1 FROM (SELECT COUNT(*) AS c FROM d GROUP BY x)),
+  ty AS (SELECT SUM(c * (c - 1) / 2) AS n2 FROM (SELECT COUNT(*) AS c FROM d GROUP BY y))
+  SELECT s / SQRT((n0 - n1) * (n0 - n2)) AS r FROM s, n, tx, ty)""")
+    up = "\nUNION ALL\n".join(parts)
+    diag = "\nUNION ALL\n".join(
+        f"SELECT '{c}', '{c}', CAST({i} AS BIGINT), CAST({i} AS BIGINT), 1.0" for i, c in enumerate(cols))
+    return f"""
+WITH u AS ({up})
+SELECT var1, var2, i, j, {r4('r')} AS r FROM u
+UNION ALL SELECT var2, var1, j, i, {r4('r')} FROM u
+UNION ALL {diag}"""
+
+
+@register("kendall_part", "COR-3", _kendall_sql("part", ["p_partkey", "p_size", "p_retailprice"]))
+def kendall_part(spark, sf):
+    m = K.correlation_matrix(t(spark, sf, "part"), ["p_partkey", "p_size", "p_retailprice"], "kendall")
+    return m.select("var1", "var2", "i", "j", fr4("r").alias("r"))
+
+
+@register("melt_lineitem", "PRJ-1", tall_sql("lineitem", ["l_quantity", "l_discount", "l_tax"]))
+def melt_lineitem(spark, sf):
+    from ..functions.quantiles import tall
+    return tall(t(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"])

@@ -265,3 +265,8 @@ def mode_orders_nulls(spark, sf):
           _mode_sql("part", [("p_size", "num"), ("p_brand", "str"), ("p_type", "str")]))
 def mode_part(spark, sf):
     return P.mode_values(t(spark, sf, "part"), ["p_size", "p_brand", "p_type"])
+
+
+@register("dtypes_lineitem", "AGG-2")
+def dtypes_lineitem(spark, sf):
+    return P.column_dtypes(t(spark, sf, "lineitem"))

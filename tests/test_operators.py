@@ -129,3 +129,24 @@ def test_page_links_first_method_wins(spark):
     got = {r["url"]: (r["is_data"], r["method"]) for r in page_links(df).collect()}
     assert got["https://h.example/files/9/submissions/x.csv"] == (False, 1)
     assert got["https://h.example/d.json"] == (True, 2)
+
+
+def test_kendall_tau_b_with_ties(spark):
+    from tabscope.operators.correlation import kendall_tau_b
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 12, size=300).astype(float)
+    y = np.round(x * 0.5 + rng.normal(size=300), 0)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    got = kendall_tau_b(df, "x", "y").first()["tau_b"]
+    s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(300) for j in range(i))
+    n0 = 300 * 299 / 2
+    _, cx = np.unique(x, return_counts=True)
+    _, cy = np.unique(y, return_counts=True)
+    n1, n2 = (cx * (cx - 1) / 2).sum(), (cy * (cy - 1) / 2).sum()
+    assert math.isclose(got, s / math.sqrt((n0 - n1) * (n0 - n2)), rel_tol=1e-12)
+
+
+def test_omnibus_normal_sample_not_significant():
+    from tabscope.operators.regress import omnibus
+    k2, p = omnibus(1000, 0.02, 3.05)
+    assert k2 >= 0 and p > 0.3
