@@ -158,8 +158,9 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], id_col:
                               StructField("_ys", ArrayType(DoubleType()))])
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({id_col: [], "_d": [], "_ys": []})
+        if len(left) == 0 or len(right) == 0:  # a block with no partner rows
+            return pd.DataFrame({id_col: right[id_col].iloc[:0], "_d": pd.Series([], dtype=object),
+                                 "_ys": pd.Series([], dtype=object)})
         xa = left[features].to_numpy(dtype=float)
         ya = left["_y"].to_numpy(dtype=float)
         q = right[features].to_numpy(dtype=float)
@@ -173,8 +174,8 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], id_col:
         yy = ya[idx]
         order = np.lexsort((yy, d), axis=1)[:, :min(k, m)]
         return pd.DataFrame({id_col: right[id_col].to_numpy(),
-                             "_d": list(np.take_along_axis(d, order, 1)),
-                             "_ys": list(np.take_along_axis(yy, order, 1))})
+                             "_d": np.take_along_axis(d, order, 1).tolist(),
+                             "_ys": np.take_along_axis(yy, order, 1).tolist()})
 
     cand = tr.groupBy("_bt", "_bq").cogroup(te.groupBy("_bt", "_bq")).applyInPandas(cell, cand_schema)
     flat = cand.select(id_col, F.explode(F.arrays_zip("_d", "_ys")).alias("z")) \

@@ -35,9 +35,23 @@ def get_spark(master: str | None = None, app: str = "tabscope",
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    tune_session(spark)
     return spark
 
 
+# Runtime SQL settings the operators rely on, applied only where still at Spark's default.
+# One-pass multi-statistic aggregates (every pairwise corr, all missing counts)
+# carry more than 100 buffer fields; above ``maxFields`` whole-stage codegen is
+# switched off and the aggregate runs interpreted (about 8x slower measured).
+_TUNING = {"spark.sql.codegen.maxFields": ("100", "2000")}
+
+
+def tune_session(spark: SparkSession) -> None:
+    for key, (default, value) in _TUNING.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; create a local one only if unset."""
     sc = spark.sparkContext
