@@ -49,8 +49,10 @@ def _base(data: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def _max_distinct(base: DataFrame, keys: list[str]) -> int:
-    row = (base.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_d"))
-               .agg(F.max("_d")).first())
+    """Upper bound of the distinct values per group: the largest group's row count
+    (a plain count is far cheaper than a distinct sketch and only errs towards
+    the bracketing path, which is exact too)."""
+    row = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()
     return int(row[0] or 0)
 
 
@@ -116,10 +118,10 @@ def exact_quantiles(data: DataFrame, probs: list[float], keys: list[str],
         g = data.select(F.lit(0).alias("_g0"), F.col(value))
         return exact_quantiles(g, probs, ["_g0"], value, direct_limit).drop("_g0")
     base = _base(data, keys, value)
-    stats = small_or_checkpoint(
-        base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                F.approx_count_distinct("_v").alias("_d")))
-    maxd = int(stats.agg(F.max("_d")).first()[0] or 0)
+    stats = small_or_checkpoint(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    maxd = int(stats.agg(F.max("_n")).first()[0] or 0)  # bounds the distinct values per group
+    if maxd <= direct_limit:
+        return _quantiles_one_window(base, probs, keys)
     need = (stats.select(*keys, "_n",
                          F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
                  .withColumn("_h", (F.col("_n") - 1) * F.col("p"))
@@ -128,7 +130,8 @@ def exact_quantiles(data: DataFrame, probs: list[float], keys: list[str],
                  .withColumn("_fr", F.col("_h") - F.col("_r0")))
     ranks = (need.select(*keys, F.col("_r0").alias("_r"))
                  .union(need.select(*keys, F.col("_r1").alias("_r"))).distinct())
-    vals = _select_ranks(base, ranks, keys, 0, direct_limit, maxd)
+    # one row per (group, wanted rank): freeze it so both joins below reuse one selection pass
+    vals = small_or_checkpoint(_select_ranks(base, ranks, keys, 0, direct_limit, maxd))
     v0 = vals.select(*keys, F.col("_r").alias("_r0"), F.col("_v").alias("_v0"))
     v1 = vals.select(*keys, F.col("_r").alias("_r1"), F.col("_v").alias("_v1"))
     out = need.join(v0, on=keys + ["_r0"]).join(v1, on=keys + ["_r1"])
@@ -136,6 +139,31 @@ def exact_quantiles(data: DataFrame, probs: list[float], keys: list[str],
     return out.select(*keys, "p", F.when(F.col("_fr") == 0, F.col("_v0")).otherwise(q).alias("q"))
 
 
+def _quantiles_one_window(base: DataFrame, probs: list[float], keys: list[str]) -> DataFrame:
+    """Direct path when every group is small: group sizes, cumulative counts and
+    the two interpolation ranks come from one window over distinct values."""
+    d = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    wc = w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    d = (d.withColumn("_hi", F.sum("_c").over(wc)).withColumn("_n", F.sum("_c").over(w))
+          .withColumn("_lo", F.col("_hi") - F.col("_c")))
+    pr = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
+    x = d.select(*keys, "_v", "_lo", "_hi", "_n", pr)
+    h = (F.col("_n") - 1) * F.col("p")
+    r0 = F.floor(h).cast("long")
+    r1 = F.least(r0 + 1, F.col("_n") - 1)
+    x = x.select(*keys, "_v", "p", h.alias("_h"), r0.alias("_r0"), r1.alias("_r1"),
+                 ((r0 >= F.col("_lo")) & (r0 < F.col("_hi"))).alias("_at0"),
+                 ((r1 >= F.col("_lo")) & (r1 < F.col("_hi"))).alias("_at1"))
+    g = (x.where(F.col("_at0") | F.col("_at1")).groupBy(*keys, "p")
+          .agg(F.max(F.when(F.col("_at0"), F.col("_v"))).alias("_v0"),
+               F.max(F.when(F.col("_at1"), F.col("_v"))).alias("_v1"),
+               F.first("_h").alias("_h"), F.first("_r0").alias("_r0")))
+    fr = F.col("_h") - F.col("_r0")
+    return g.select(*keys, "p", F.when(fr == 0, F.col("_v0"))
+                    .otherwise(F.col("_v0") + fr * (F.col("_v1") - F.col("_v0"))).alias("q"))
+
+
 def quantile_wide(data: DataFrame, probs: dict[str, float], keys: list[str],
                   value: str = "value") -> DataFrame:
     """Quantiles pivoted to one column per name: ``(keys..., name1, name2, ...)``."""

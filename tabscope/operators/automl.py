@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .classify import classifier, knn_predict
-from .metrics import classification_metrics, regression_metrics
+from .metrics import accuracy, classification_metrics, regression_metrics
 from .prep import encode_labels, feature_frame
 from .regress import regression_estimators
 from .roles import distinct_counts
@@ -56,7 +56,7 @@ def _predict(name, model_or_none, train, test, names, task, key):
 
 def auto_analyze(df: DataFrame, target: str, numeric_cols: list[str], other_cols: list[str], key: str,
                  test_size: float = 0.2, seed: int = 42, models: list[str] | None = None,
-                 trees: int = 100, boost_iter: int = 100) -> dict[str, DataFrame]:
+                 trees: int = 100, boost_iter: int = 100, max_iter: int = 300) -> dict[str, DataFrame]:
     from pyspark.ml.feature import VectorAssembler
     spark = df.sparkSession
     task = detect_task(df, target)
@@ -76,6 +76,7 @@ def auto_analyze(df: DataFrame, target: str, numeric_cols: list[str], other_cols
         .select(key, *names, "label", "features", "is_test", "fold").persist()
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     n_train = train.count()
+    fold_sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}  # k rows
     if models is None:
         models = (["Logistic Regression", "Random Forest", "Gradient Boosting", "KNN"] +
                   (["SVM"] if task == "binary_classification" else [])) if is_cls else \
@@ -88,7 +89,7 @@ def auto_analyze(df: DataFrame, target: str, numeric_cols: list[str], other_cols
         if name == "KNN":
             return None
         if is_cls:
-            return classifier(name, nt, len(classes), trees, boost_iter, seed)
+            return classifier(name, nt, len(classes), trees, boost_iter, seed, max_iter)
         return regression_estimators([name], nt, sigma, trees, boost_iter, seed)[name]
 
     def score(pred, truth):
@@ -104,13 +105,20 @@ def auto_analyze(df: DataFrame, target: str, numeric_cols: list[str], other_cols
             m = est.fit(train) if est is not None else None
             p = _predict(name, m, train, test, names, task, key)
             s = score(p, test)
-            cv = []
+            # k fits; all held-out folds are scored together in one grouped pass
+            fold_preds = []
             for f in range(k):
                 tr_f, te_f = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-                ef = make(name, tr_f.count())
+                ef = make(name, n - fold_sizes[f])
                 mf = ef.fit(tr_f) if ef is not None else None
-                sf = score(_predict(name, mf, tr_f, te_f, names, task, key), te_f)
-                cv.append(sf["accuracy"] if is_cls else sf["r2"])
+                fold_preds.append(_predict(name, mf, tr_f, te_f, names, task, key)
+                                  .select(key, "prediction").withColumn("fold", F.lit(f)))
+            allp = fold_preds[0]
+            for fp in fold_preds[1:]:
+                allp = allp.unionByName(fp)
+            allp = allp.join(data.select(key, "label"), key)
+            cvm = accuracy(allp, ["fold"]) if is_cls else regression_metrics(allp, ["fold"])
+            cv = [r["accuracy" if is_cls else "r2"] for r in cvm.collect()]
             if is_cls:
                 rows.append((name, s["accuracy"], s["precision"], s["recall"], s["f1"], None, None, None,
                              float(np.mean(cv)), float(np.std(cv)), None))

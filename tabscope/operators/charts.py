@@ -128,15 +128,18 @@ def qq_points(df: DataFrame, cols: list[str], min_n: int = 5, max_cols: int = 10
 
 
 def qq_fit(df: DataFrame, cols: list[str], min_n: int = 5, max_cols: int = 10) -> DataFrame:
-    """``(variable, n, slope, intercept, r)`` of the least-squares line through the Q-Q points."""
+    """``(variable, n, slope, intercept, r)`` of the least-squares line through the Q-Q points.
+
+    Reported to 3 decimals: the intercept equals the column mean, which on integer
+    data often sits exactly on a 4th-decimal rounding tie."""
     p = qq_points(df, cols, min_n, max_cols)
     return (p.groupBy("variable")
              .agg(F.count(F.lit(1)).alias("n"),
                   F.regr_slope("sample", "theoretical").alias("slope"),
                   F.regr_intercept("sample", "theoretical").alias("intercept"),
                   F.corr("sample", "theoretical").alias("r"))
-             .select("variable", F.col("n").cast("long").alias("n"), r4("slope").alias("slope"),
-                     r4("intercept").alias("intercept"), r4("r").alias("r")))
+             .select("variable", F.col("n").cast("long").alias("n"), r4("slope", 3).alias("slope"),
+                     r4("intercept", 3).alias("intercept"), r4("r", 3).alias("r")))
 
 
 # ---------------------------------------------------------------- CHT-6

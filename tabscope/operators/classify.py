@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import auc, classification_metrics, confusion_cells, roc_points
+from .metrics import accuracy, auc, classification_metrics, confusion_cells, roc_points
 from .prep import encode_labels, feature_frame
 from .split import kfold, train_test_split
 
@@ -21,14 +21,14 @@ CMP_SCHEMA = ("model string, accuracy double, precision double, recall double, f
 
 
 def classifier(name: str, n_train: int, n_classes: int, trees: int = 100, boost_iter: int = 100,
-               seed: int = 42):
+               seed: int = 42, max_iter: int = 300):
     """MLlib estimator for a reference model name (sklearn defaults mapped)."""
     from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                            RandomForestClassifier)
     if name == "Logistic Regression":
         # sklearn C = 1: mean log-loss + ||w||^2 / (2 n)  ->  regParam = 1 / n
         return LogisticRegression(regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                                  standardization=False, maxIter=300, tol=1e-8,
+                                  standardization=False, maxIter=max_iter, tol=1e-8,
                                   family="binomial" if n_classes == 2 else "multinomial")
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=12,
@@ -37,7 +37,7 @@ def classifier(name: str, n_train: int, n_classes: int, trees: int = 100, boost_
         g = GBTClassifier(maxIter=boost_iter, stepSize=0.1, maxDepth=3, seed=seed)
         return g if n_classes == 2 else OneVsRest(classifier=g)
     if name == "SVM":
-        return LinearSVC(regParam=1.0 / max(n_train, 1), maxIter=200)
+        return LinearSVC(regParam=1.0 / max(n_train, 1), maxIter=max_iter)
     raise ValueError(name)
 
 
@@ -65,7 +65,8 @@ def _score_col(pred: DataFrame) -> DataFrame:
 
 def compare_classifiers(df: DataFrame, target: str, numeric_cols: list[str], other_cols: list[str],
                         key_cols: list[str], models: list[str] | None = None, test_size: float = 0.2,
-                        trees: int = 100, boost_iter: int = 100, seed: int = 42) -> dict[str, DataFrame] | None:
+                        trees: int = 100, boost_iter: int = 100, seed: int = 42,
+                        max_iter: int = 300) -> dict[str, DataFrame] | None:
     """CLS-9: hold-out metrics, stratified k-fold accuracy, confusion cells,
     importance and ROC/AUC (binary).  ``None`` outside 2..50 classes."""
     from pyspark.ml.feature import VectorAssembler
@@ -89,15 +90,17 @@ def compare_classifiers(df: DataFrame, target: str, numeric_cols: list[str], oth
     avg = "binary" if k_cls == 2 else "macro"
     rows, imps, cms, rocs = [], [], [], []
     for name in models:
-        est = classifier(name, n_train, k_cls, trees, boost_iter, seed)
+        est = classifier(name, n_train, k_cls, trees, boost_iter, seed, max_iter)
         m = est.fit(train)
         pred = m.transform(test)
         met = classification_metrics(pred, average=avg).first()
-        cv = []
+        # k fits; the held-out predictions of all folds are scored in one grouped pass
+        fold_preds = []
         for f in range(n_splits):
-            mf = classifier(name, n_train, k_cls, trees, boost_iter, seed).fit(folds.where(F.col("fold") != f))
-            cv.append(classification_metrics(mf.transform(folds.where(F.col("fold") == f)),
-                                             average=avg).first()["accuracy"])
+            mf = classifier(name, n_train, k_cls, trees, boost_iter, seed, max_iter) \
+                .fit(folds.where(F.col("fold") != f))
+            fold_preds.append(mf.transform(folds.where(F.col("fold") == f)).select("fold", "label", "prediction"))
+        cv = [r["accuracy"] for r in accuracy(_union(fold_preds), ["fold"]).collect()]
         a = None
         if k_cls == 2 and name != "SVM":
             sc = _score_col(pred).select("label", "score")

@@ -79,9 +79,27 @@ def _binary_global(pred: DataFrame, got: DataFrame) -> DataFrame:
         F.coalesce("recall", F.lit(0.0)).alias("recall"), F.coalesce("f1", F.lit(0.0)).alias("f1"))
 
 
+def binary_metrics(pred: DataFrame, keys: list[str] | None = None, pos_label=1, label: str = "label",
+                   prediction: str = "prediction") -> DataFrame:
+    """Accuracy, precision, recall, F1 for the positive class in one aggregate."""
+    keys = keys or []
+    y, p = F.col(label) == F.lit(pos_label), F.col(prediction) == F.lit(pos_label)
+    a = pred.groupBy(*keys).agg(
+        F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"),
+        F.sum((y & p).cast("long")).alias("_tp"), F.sum(p.cast("long")).alias("_np"),
+        F.sum(y.cast("long")).alias("_nt"))
+    return a.select(*keys, "accuracy",
+                    F.when(F.col("_np") > 0, F.col("_tp") / F.col("_np")).otherwise(0.0).alias("precision"),
+                    F.when(F.col("_nt") > 0, F.col("_tp") / F.col("_nt")).otherwise(0.0).alias("recall"),
+                    F.when(F.col("_np") + F.col("_nt") > 0, 2 * F.col("_tp") / (F.col("_np") + F.col("_nt")))
+                     .otherwise(0.0).alias("f1"))
+
+
 def classification_metrics(pred: DataFrame, keys: list[str] | None = None, average: str = "binary",
                            label: str = "label", prediction: str = "prediction") -> DataFrame:
     keys = keys or []
+    if average == "binary":
+        return binary_metrics(pred, keys, 1, label, prediction)
     a = accuracy(pred, keys, label, prediction)
     p = prf(pred, keys, average, 1, label, prediction)
     return a.join(p, keys) if keys else attach_scalars(a, p)

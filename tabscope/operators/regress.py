@@ -319,10 +319,13 @@ def compare_regressors(df: DataFrame, y: str, xs: list[str], key_cols: list[str]
         for name, e in est.items():
             m = e.fit(data)
             ins = regression_metrics(m.transform(data)).first()
-            folds = []
+            # k fits; the held-out predictions of all folds are scored in one grouped pass
+            preds = None
             for f in range(k):
                 mf = e.fit(data.where(F.col("fold") != f))
-                folds.append(regression_metrics(mf.transform(data.where(F.col("fold") == f))).first()["r2"])
+                pf = mf.transform(data.where(F.col("fold") == f)).select("fold", "label", "prediction")
+                preds = pf if preds is None else preds.unionByName(pf)
+            folds = [r["r2"] for r in regression_metrics(preds, ["fold"]).collect()]
             rows.append((name, ins["r2"], ins["rmse"], ins["mae"], float(np.mean(folds)), float(np.std(folds))))
             imps.extend(_importance(m, feats))
     finally:

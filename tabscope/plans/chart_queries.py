@@ -105,8 +105,8 @@ q AS (SELECT variable, n, i, value, {norm_ppf_sql('m')} AS x FROM p)"""
 
 
 @register("qq_fit_lineitem", "CHT-5", _qq_sql(LINEITEM_NULLS_SQL, LI_NUM) + f"""
-SELECT variable, CAST(COUNT(*) AS BIGINT) AS n, {r4('REGR_SLOPE(value, x)')} AS slope,
-       {r4('REGR_INTERCEPT(value, x)')} AS intercept, {r4('CORR(value, x)')} AS r
+SELECT variable, CAST(COUNT(*) AS BIGINT) AS n, {r4('REGR_SLOPE(value, x)', 3)} AS slope,
+       {r4('REGR_INTERCEPT(value, x)', 3)} AS intercept, {r4('CORR(value, x)', 3)} AS r
 FROM q GROUP BY variable""")
 def qq_fit_lineitem(spark, sf):
     return C.qq_fit(lineitem_nulls(spark, sf), LI_NUM)

@@ -177,25 +177,41 @@ def _docs(spark, sf):
 @register("compare_classifiers_documents", "CLS-1 CLS-2 CLS-3 CLS-4 CLS-5 CLS-6 CLS-9 CV-3 CV-5 EVL-1 EVL-2 EVL-4 EVL-5 EVL-6")
 def compare_classifiers_documents(spark, sf):
     out = C.compare_classifiers(_docs(spark, sf), "quality", ["n_chars"], ["lang", "source"], ["doc_id"],
-                                trees=10, boost_iter=5)
+                                trees=10, boost_iter=5, max_iter=30)
     return out["comparison"].select("model", fr4("accuracy").alias("accuracy"), fr4("f1_score").alias("f1_score"),
                                     fr4("cv_mean").alias("cv_mean"), fr4("auc").alias("auc"))
 
 
-@register("classifier_importance_documents", "EVL-7 CLS-8")
+@register("classifier_importance_documents", "EVL-7")
 def classifier_importance_documents(spark, sf):
     out = C.compare_classifiers(_docs(spark, sf), "quality", ["n_chars"], ["lang", "source"], ["doc_id"],
-                                models=["Logistic Regression", "SVM"])
+                                models=["Logistic Regression", "Random Forest"], trees=10, max_iter=30)
     return out["importance"].select("model", "feature", "rank")
 
 
+@register("margin_classifier_documents", "CLS-8 CV-5")
+def margin_classifier_documents(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from ..operators import metrics as M
+    from ..operators import prep as P
+    x, names = P.feature_frame(_docs(spark, sf), "quality", ["n_chars"], ["lang", "source"], standardize=True,
+                               keep=["doc_id"])
+    lab, _ = P.encode_labels(x, "quality")
+    sp = S.train_test_split(lab, ["doc_id"], 0.2, 42, F.col("label"))
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(sp)
+    train = data.where(~F.col("is_test"))
+    m = C.classifier("SVM", train.count(), 2, max_iter=20).fit(train)
+    return M.binary_metrics(m.transform(data.where(F.col("is_test")))).select(
+        fr4("accuracy").alias("accuracy"), fr4("f1").alias("f1"))
+
+
 @register("compare_classifiers_embeddings", "CLS-6 CLS-9 EVL-3")
 def compare_classifiers_embeddings(spark, sf):
     e = t(spark, sf, "embeddings")
     e = e.select("vec_id", F.col("label").cast("string").alias("label_s"),
                  *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
     out = C.compare_classifiers(e, "label_s", [f"e{i}" for i in range(8)], [], ["vec_id"],
-                                models=["Logistic Regression", "Gradient Boosting"], boost_iter=3)
+                                models=["Logistic Regression", "Gradient Boosting"], boost_iter=2, max_iter=30)
     return out["confusion"]
 
 
@@ -321,7 +337,7 @@ def detect_task_tables(spark, sf):
 def auto_ml_documents(spark, sf):
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
     res = A.auto_analyze(d.select("doc_id", "n_chars", "lang", "quality"), "quality", ["n_chars"], ["lang"],
-                         "doc_id", models=["Logistic Regression", "Random Forest", "KNN"], trees=10)
+                         "doc_id", models=["Logistic Regression", "Random Forest", "KNN"], trees=10, max_iter=30)
     return res["leaderboard"].select("model", fr4("f1_score").alias("f1_score"), fr4("cv_mean").alias("cv_mean"))
 
 

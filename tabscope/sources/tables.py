@@ -24,5 +24,19 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has cores.
+
+    A file written as one row group is one scan task however large it is;
+    every operator after it would run single-threaded.  On a large table the
+    scan already has many partitions and this is a no-op; filters and column
+    pruning still push through the repartition to the scan.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    return nan_to_null(spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")))
