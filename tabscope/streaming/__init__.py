@@ -1,0 +1,5 @@
+"""Reserved: the reference has no streaming source, event-time window or state.
+
+Every analysis is a batch job over a whole table (SURVEY section 2.13); nothing
+is registered here.
+"""
