@@ -27,19 +27,14 @@ def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
         return df.sparkSession.createDataFrame([], schema)
     x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     aggs = [F.corr(cols[i], cols[j]).alias(f"_c{i}_{j}") for i, j in _pairs(cols)]
-    one = x.agg(*aggs)
-    cells = []
+    # one row of p(p-1)/2 numbers: the p x p matrix is built locally from it
+    one = x.agg(*aggs).first()
+    rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
-            if i == j:
-                v = F.lit(1.0)
-            else:
-                lo, hi = min(i, j), max(i, j)
-                v = F.col(f"_c{lo}_{hi}")
-            cells.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                                  F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"),
-                                  v.cast("double").alias("r")))
-    return one.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+            v = 1.0 if i == j else one[f"_c{min(i, j)}_{max(i, j)}"]
+            rows.append((a, b, i, j, None if v is None else float(v)))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
