@@ -20,13 +20,12 @@ def target_correlation(df: DataFrame, target: str, cols: list[str], top: int = 2
         both = F.col(c).isNotNull() & F.col(target).isNotNull()
         aggs += [F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"r{i}"),
                  F.sum(both.cast("long")).alias(f"n{i}")]
-    one = df.agg(*aggs)
-    st = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("correlation"),
-                                      F.col(f"n{i}").alias("n")) for i, c in enumerate(cols)]))
-    t = one.select(st.alias("s")).select("s.*").where((F.col("n") > 2) & F.col("correlation").isNotNull())
-    w = Window.partitionBy(F.lit(1)).orderBy(F.abs("correlation").desc(), "feature")  # one row per column
-    return (t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-             .select(F.col("rank").cast("int").alias("rank"), "feature", "correlation"))
+    one = df.agg(*aggs).first()  # one row: ranked locally (one entry per column)
+    got = [(c, float(one[f"r{i}"])) for i, c in enumerate(cols)
+           if one[f"n{i}"] and one[f"n{i}"] > 2 and one[f"r{i}"] is not None]
+    got.sort(key=lambda r: (-abs(r[1]), r[0]))
+    return df.sparkSession.createDataFrame([(k + 1, f, r) for k, (f, r) in enumerate(got[:top])],
+                                           "rank int, feature string, correlation double")
 
 
 def decile_bins(df: DataFrame, cols: list[str], q: int = 10) -> DataFrame:

@@ -60,15 +60,15 @@ def missing_values(df: DataFrame) -> DataFrame:
             [], "position int, column_name string, missing_count bigint, missing_pct double")
     aggs = [F.count(F.lit(1)).alias("_rows")] + \
            [F.sum(F.col(c).isNull().cast("long")).alias(f"_m{i}") for i, c in enumerate(df.columns)]
-    one = df.agg(*aggs)
-    stack = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
-                 F.coalesce(F.col(f"_m{i}"), F.lit(0)).alias("missing_count"))
-        for i, c in enumerate(df.columns)]))
-    return (one.select("_rows", stack.alias("s"))
-               .select("s.position", "s.column_name", F.col("s.missing_count").cast("long").alias("missing_count"),
-                       F.round(F.col("s.missing_count") / F.greatest(F.col("_rows"), F.lit(1)) * 100, 2)
-                        .alias("missing_pct")))
+    one = df.agg(*aggs).first()  # one row: the table is built locally from it
+    rows_n = int(one["_rows"] or 0)
+    rows = []
+    for i, c in enumerate(df.columns):
+        m = int(one[f"_m{i}"] or 0)
+        rows.append((i, c, m, m / max(rows_n, 1) * 100))
+    out = df.sparkSession.createDataFrame(
+        rows, "position int, column_name string, missing_count bigint, missing_pct double")
+    return out.withColumn("missing_pct", F.round("missing_pct", 2))
 
 
 def missing_table(df: DataFrame) -> DataFrame:
