@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import crc_mod, read_table
 from .encode import vocabulary
 
 QUERIES: dict = {}
@@ -64,3 +64,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+    out = score(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"), "quality", folds=5, held_out=0)
+    return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+                      (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+    out = score(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"), "toxic", folds=3, held_out=1)
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score",
+                      (F.col("score") >= 0.7).cast("int").alias("predicted"))
