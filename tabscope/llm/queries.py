@@ -80,3 +80,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"), "toxic", folds=3, held_out=1)
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score",
                       (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op1_language")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify, train
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = train(docs.where(crc_mod("doc_id", 4) != 2))
+    out = identify(docs, model)
+    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
