@@ -178,7 +178,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
             yield flush()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (docs.select(id_col, text_col).repartitionByRange(n, F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first())
+    ordered = (docs.select(id_col, text_col).repartitionByRange(n, F.col(id_col).asc_nulls_first())
                .sortWithinPartitions(F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first()))
     ordered.mapInArrow(run, ddl).write.option("compression", "uncompressed").parquet(path)
 
