@@ -89,3 +89,29 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs.where(crc_mod("doc_id", 4) != 2))
     out = identify(docs, model)
     return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+OP10_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 3], ' ')) AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+f AS (SELECT g, count(*) AS c FROM s GROUP BY 1 HAVING count(*) > 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN f USING (g) JOIN s b USING (g)
+    WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * p.i >= 80 * (a.n + b.n - p.i)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT DISTINCT x AS node, x AS root FROM l
+    UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id,
+    d.doc_id = coalesce(c.root, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
+"""
+
+
+@query("op10_minhash_neardup", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+    return near_duplicates(documents(spark, sf_dir), shingle=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
