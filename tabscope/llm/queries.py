@@ -115,3 +115,34 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
     return near_duplicates(documents(spark, sf_dir), shingle=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import remove_repeats
+    out = remove_repeats(documents(spark, sf_dir), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN CAST([] AS VARCHAR[])
+      ELSE regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') END AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+f AS (SELECT g FROM s GROUP BY 1 HAVING count(*) > 1),
+h AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM s JOIN f USING (g))),
+r AS (SELECT doc_id, count(*) AS n_removed, list(p) AS gone FROM h GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+    sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN (
+    SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept FROM (
+      SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) t
+    WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = t.doc_id AND h.p = t.p) GROUP BY 1) k USING (doc_id)
+"""
+
+
+@query("op8_lz_dedup", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .factors import remove_repeated_words
+    out = remove_repeated_words(documents(spark, sf_dir), length=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
