@@ -146,3 +146,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .factors import remove_repeated_words
     out = remove_repeated_words(documents(spark, sf_dir), length=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op3_nn_descent")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+    return nearest(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every=20, k=20)
