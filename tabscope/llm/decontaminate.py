@@ -119,36 +119,45 @@ def _spans(n: int, rows: np.ndarray, start: np.ndarray, end: np.ndarray):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", length: int = 10, gram: int = 6,
-                  broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Per document: id, n_words, n_hit, spans (hit words, maximal), items (sorted ids as strings)."""
+                  broadcast_bytes: int = BROADCAST_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: id, ``keep`` columns, n_words, n_hit, spans (hit words, maximal), items (sorted ids as strings)."""
+    cols = [id_col, *keep]
+    held = docs.select(F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(cols)])
+    out = _contamination(held, benchmark, [docs.schema[c].dataType.simpleString() for c in cols], item_col, item_text,
+                         length, gram, broadcast_bytes)
+    return out.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(cols)], "n_words", "n_hit", "spans", "items")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, kinds: list[str], item_col: str, item_text: str, length: int, gram: int,
+                   broadcast_bytes: int) -> DataFrame:
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"),
                              F.col(item_text).alias("item_text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("item_text") + F.octet_length("item") + 16), F.lit(0))).first()[0]
     if size > broadcast_bytes:
-        return _joined(docs, items, id_col, text_col, length, gram)
+        return _joined(docs, items, kinds, length, gram)
     index = Index([(r.item, r.item_text) for r in items.collect()], length, gram)
     held = docs.sparkSession.sparkContext.broadcast(index)
-    kind = docs.schema[id_col].dataType.simpleString()
-    ddl = f"`{id_col}` {kind}, n_words long, n_hit long, spans array<struct<first:long,end:long>>, items array<string>"
+    names = [f"keep_{i}" for i in range(len(kinds))]
+    ddl = ", ".join([*map(" ".join, zip(names, kinds)), "n_words long, n_hit long, spans array<struct<first:long,end:long>>, items array<string>"])
     schema = arrow_schema(ddl)
 
     def run(batches):
         index = held.value
         for batch in batches:
-            for part, buf, off in slices(batch, text_col):
+            for part, buf, off in slices(batch):
                 _, _, unit, rows = words(LOWER[buf], off, ALNUM)
                 start, end, row, item = index.hits(unit, rows)
                 n_hit, spans = _spans(len(unit), rows, start, end)
                 got: list[set] = [set() for _ in range(part.num_rows)]
                 for r, i in zip(row.tolist(), item.tolist()):
                     got[r].add(index.names[i])
-                yield record(schema, **{id_col: part.column(part.schema.get_field_index(id_col)), "n_words": np.diff(rows),
-                                        "n_hit": n_hit, "spans": spans, "items": [sorted(g) for g in got]})
+                yield record(schema, **{c: part.column(part.schema.get_field_index(c)) for c in names}, n_words=np.diff(rows),
+                             n_hit=n_hit, spans=spans, items=[sorted(g) for g in got])
 
-    return docs.select(id_col, text_col).mapInArrow(run, ddl)
+    return docs.mapInArrow(run, ddl)
 
 
-def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, kinds: list[str], length: int, gram: int) -> DataFrame:
     """The same by a join of fingerprint tables, for a benchmark of any size.
 
     Texts are keyed by their hash, so equal documents are fingerprinted once.
@@ -175,7 +184,7 @@ def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, lengt
     arrow_test = arrow_schema(test_ddl)
     test = written(items.mapInArrow(item_rows, test_ddl), "benchmark-prints")
     sizes = [r[0] for r in test.select("size").distinct().collect()]       # at most ``length`` values
-    texts = docs.select(F.md5(text_col).alias("key"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
+    texts = docs.select(F.md5("text").alias("key"), "text").where(F.col("text").isNotNull())
     doc_ddl = "print long, size int, key string, place int"
     arrow_doc = arrow_schema(doc_ddl)
 
@@ -197,9 +206,9 @@ def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, lengt
     near = (prints.join(window, ["print", "size"])
             .select("key", (F.col("place") - F.col("offset")).alias("start"), "size", "text_hash")
             .groupBy("key").agg(F.collect_set(F.struct("start", "size", "text_hash")).alias("near")))
-    kind = docs.schema[id_col].dataType.simpleString()
-    ddl = (f"`{id_col}` {kind}, n_words long, n_hit long, spans array<struct<first:long,end:long>>,"
-           "found array<array<long>>, row_key string")
+    names = [f"keep_{i}" for i in range(len(kinds))]
+    ddl = ", ".join([*map(" ".join, zip(names, kinds)), "n_words long, n_hit long, spans array<struct<first:long,end:long>>, "
+                     "found array<array<long>>, row_key string"])
     arrow_out = arrow_schema(ddl)
 
     def extend(batches):
@@ -217,17 +226,15 @@ def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, lengt
                             own.add(tuple(c["text_hash"]))
                     found.append([list(x) for x in sorted(own)])
                 n_hit, spans = _spans(len(unit), rows, np.array(start, np.int64), np.array(end, np.int64))
-                yield record(arrow_out, **{id_col: part.column(0), "n_words": np.diff(rows), "n_hit": n_hit,
-                                           "spans": spans, "found": found,
-                                           "row_key": part.column(part.schema.get_field_index("row_key"))})
+                yield record(arrow_out, **{c: part.column(part.schema.get_field_index(c)) for c in [*names, "row_key"]},
+                             n_words=np.diff(rows), n_hit=n_hit, spans=spans, found=found)
 
     # a row key, since equal rows are each reported
-    base = docs.select(F.col(id_col), F.col(text_col).alias("text"), F.md5(text_col).alias("key"), F.uuid().alias("row_key"))
-    base = written(base, "decontaminate-rows")
-    out = written(base.join(near, "key", "left").select(id_col, "text", "near", "row_key").mapInArrow(extend, ddl), "decontaminate-hits")
+    base = written(docs.withColumns({"key": F.md5("text"), "row_key": F.uuid()}), "decontaminate-rows")
+    out = written(base.join(near, "key", "left").select(*names, "text", "near", "row_key").mapInArrow(extend, ddl), "decontaminate-hits")
     named = (out.select("row_key", F.explode("found").alias("text_hash"))
              .join(test.select("text_hash", "item").distinct(), "text_hash")
              .groupBy("row_key").agg(F.array_sort(F.collect_set("item")).alias("items")))
     none = F.array().cast(T.ArrayType(T.StringType()))
     return (out.drop("found").join(named, "row_key", "left")
-            .select(id_col, "n_words", "n_hit", "spans", F.coalesce("items", none).alias("items")))
+            .select(*names, "n_words", "n_hit", "spans", F.coalesce("items", none).alias("items")))

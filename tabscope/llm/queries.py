@@ -78,8 +78,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
     out = score(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"), "toxic", folds=3, held_out=1)
-    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score",
-                      (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    score = F.col("toxicity_score")
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), score.alias("score"),
+                      (score >= 0.7).cast("int").alias("predicted"))
 
 
 @query("op1_language")

@@ -184,11 +184,14 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
           folds: int | None = None, held_out: int = 0, per_class: int = 6_000, keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """Per document: id, the columns named in ``keep``, score (0 to 1, higher: label 1 likelier)."""
+    """Per document: id, the columns named in ``keep``, toxicity_score (0 to 1, higher: label 1 likelier).
+
+    A kept column of that name is replaced.
+    """
     sample = training_labels(labels, label, per_class, id_col, folds, held_out)
     model = fit(docs, sample, id_col, text_col, **options)
     held = docs.sparkSession.sparkContext.broadcast(model)          # bounded by ``features_kept``
-    cols = list(dict.fromkeys([id_col, *keep]))
+    cols = [c for c in dict.fromkeys([id_col, *keep]) if c != "toxicity_score"]
     ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols) + ", toxicity_score double"
     schema = arrow_schema(ddl)
 
@@ -198,4 +201,4 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
                 yield record(schema, **{c: part.column(part.schema.get_field_index(c)) for c in cols},
                              toxicity_score=held.value.score(buf, off))
 
-    return docs.select(*dict.fromkeys([*cols, text_col])).mapInArrow(run, ddl).withColumnRenamed("toxicity_score", "score" if "score" not in keep else "toxicity_score")
+    return docs.select(*dict.fromkeys([*cols, text_col])).mapInArrow(run, ddl)
