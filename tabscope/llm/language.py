@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import top_k_per_group
 from .common import U64, arrow_schema, mix64, record, row_of, runs, slices, text_buffer
 
 BUCKETS = 1 << 15
@@ -153,9 +154,9 @@ def viterbi(score: np.ndarray, which: np.ndarray, rows: np.ndarray, penalty: flo
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
           per_language: int = 2_000) -> Model | None:
     """Count n-grams of a bounded sample; None without a labelled text."""
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.lit(41), F.col(id_col)), F.col(id_col))
-    ids = (docs.select(id_col, lang_col).where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).dropDuplicates([id_col])
-           .withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select(id_col))
+    ids = docs.select(id_col, lang_col).where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).groupBy(id_col).agg(F.min(lang_col).alias(lang_col))
+    order = [F.xxhash64(F.lit(41), F.col(id_col)), F.col(id_col)]
+    ids = top_k_per_group(ids, [lang_col], order, per_language, salt_col=id_col).select(id_col)
     known = docs.where(F.col(lang_col).isNotNull()).join(F.broadcast(ids), id_col, "left_semi").select(lang_col, text_col)
     ddl = "lang string, kind int, bucket int, n long"
     schema = arrow_schema(ddl)
