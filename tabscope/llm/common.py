@@ -99,6 +99,8 @@ def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64) * M1)
+LETTER = np.zeros(256, bool)        # ASCII letters
+LETTER[65:91] = LETTER[97:123] = True
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 # word bytes of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+

@@ -11,9 +11,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .common import LOWER, SPACE, runs
+from .common import LETTER, LOWER, SPACE, runs
 
-PIECE_LIMIT = 600_000     # remembered pieces of a worker; beyond it the memory starts anew
+PIECE_LIMIT = 1_000_000     # remembered pieces of a worker; beyond it the memory starts anew
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -26,10 +26,10 @@ class Encoder:
         pre = str(self.tokenizer.pre_tokenizer)
         self.style = "word" if self.tokenizer.normalizer and "Lowercase" in str(self.tokenizer.normalizer) \
             and "use_regex=False" in pre else "space" if "ByteLevel(add_prefix_space=False" in pre else "text"
-        if self.style == "word":
-            vocab = self.tokenizer.get_vocab()
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # tokens that end ("word") or begin ("space") a pre-token of letters
+        vocab = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)
+        self.edge[[i for t, i in vocab.items() if (t.endswith("</w>") if self.style == "word" else t.startswith("\u0120"))]] = True
         self.forget()
 
     def forget(self):
@@ -55,35 +55,50 @@ class Encoder:
             keep = ~SPACE[buf]
             gone = np.concatenate([[0], np.cumsum(~keep)])
             return buf[keep], np.append(start - gone[start], int(keep.sum())), np.searchsorted(start, off)
-        # a single blank between two characters that are surely not white space starts a pre-token
+        # a single blank between two characters that are surely not white space starts a pre-token,
+        # and so does a '.' or ',' after an ASCII letter
+        new = np.zeros(len(buf) + 1, bool)
+        letter = LETTER[buf]
+        new[1:-1] = ((buf[1:] == 46) | (buf[1:] == 44)) & letter[:-1]
         cut = np.flatnonzero(buf == 32)
         cut = cut[(cut > 2) & (cut < len(buf) - 1)]
         left, right = buf[cut - 1], buf[cut + 1]
         wide = (buf[cut - 3] >= 0xE1) & (buf[cut - 3] <= 0xE3)
         ok = ~SPACE[left] & ~SPACE[right] & (left >= 32) & (right >= 32) & (buf[cut - 2] != 0xC2) & ~wide \
-            & ~np.isin(right, (0xC2, 0xE1, 0xE2, 0xE3))
-        start = np.union1d(cut[ok], off[:-1][np.diff(off) > 0])
+            & (right != 0xC2) & ((right < 0xE1) | (right > 0xE3))
+        new[cut[ok]] = True
+        new[off[:-1]] = True
+        start = np.flatnonzero(new[:-1])
         return buf, np.append(start, len(buf)), np.searchsorted(start, off)
 
-    def _encode_new(self, new: list[str]) -> list[list[int]]:
-        out: list = [None] * len(new)
-        alone = list(range(len(new)))
-        if self.style == "word":
-            together = [i for i, w in enumerate(new) if w.isalpha()]
-            groups = [together[i:i + 64] for i in range(0, len(together), 64)]
-            alone = [i for i, w in enumerate(new) if not w.isalpha()]
-            for g, e in zip(groups, self.tokenizer.encode_batch_fast(
-                    [" ".join(new[i] for i in g) for g in groups], add_special_tokens=False)):
-                ids = np.array(e.ids, np.uint32)
-                last = np.flatnonzero(self.ends[ids])
-                if len(last) != len(g):
-                    alone += g
-                    continue
-                for i, part in zip(g, np.split(ids, last[:-1] + 1)):
-                    out[i] = part
-        for i, e in zip(alone, self.tokenizer.encode_batch_fast([new[i] for i in alone], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
-        return out
+    def _encode_new(self, new: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The pieces in the order they were encoded, their lengths in ids, all ids.
+
+        Pieces that are one pre-token of letters are encoded 64 at a time, as the tokens show where one ends.
+        """
+        if self.style == "text":
+            together = []
+        elif self.style == "word":
+            together = [w for w in new if w.isalpha()]
+        else:
+            together = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        groups = [together[i:i + 64] for i in range(0, len(together), 64)]
+        glue = " " if self.style == "word" else ""
+        order, lengths, ids = [], [], []
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False)):
+            got = np.array(e.ids, np.uint32)
+            at = np.flatnonzero(self.edge[got])
+            if len(at) == len(g):
+                order += g
+                lengths.append(np.diff(at, prepend=-1) if self.style == "word" else np.diff(at, append=len(got)))
+                ids.append(got)
+        done = set(order)
+        alone = [w for w in new if w not in done]
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            order.append(w)
+            lengths.append([len(e.ids)])
+            ids.append(np.array(e.ids, np.uint32))
+        return order, np.concatenate(lengths), np.concatenate(ids)
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows (uint32) and row offsets in ids."""
@@ -99,14 +114,14 @@ class Encoder:
         place = self.place
         new = [w for w in distinct if w not in place]
         if new:
-            got = self._encode_new(new)
+            new, length, got = self._encode_new(new)
             base, used = len(place), int(self.first[len(place)])
-            ends = used + np.cumsum([len(g) for g in got])
+            ends = used + np.cumsum(length)
             if ends[-1] > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(ends[-1])), np.uint32)])
             if base + len(new) >= len(self.first):
                 self.first = np.concatenate([self.first, np.zeros(len(self.first) + len(new), np.int64)])
-            self.ids[used:ends[-1]] = np.concatenate(got)
+            self.ids[used:ends[-1]] = got
             self.first[base + 1:base + 1 + len(new)] = ends
             place.update(zip(new, range(base, base + len(new))))
         which = np.fromiter((place[w] for w in distinct), np.int64, len(distinct))[column.indices.to_numpy()]
