@@ -6,11 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> str:
+    """The name as one identifier, whatever characters it holds (a dot is no field access)."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str):
+    return F.col(quoted(name))
+
+
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df``.
 
-    An equi-join on a constant key against a broadcast single row: planned as
-    a BroadcastHashJoin, never as a pairwise product.
+    ``one_row`` must hold one row (a global aggregate does): the join against it, which the
+    optimiser plans as a broadcast nested loop, then adds columns and no rows.
     """
     return (df.withColumn("_one", F.lit(1))
               .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one")

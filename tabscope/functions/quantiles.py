@@ -24,6 +24,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import col
 from ..session import cut_lineage, small_or_checkpoint
 
 # Largest number of distinct values per group sorted inside one task.
@@ -39,8 +40,8 @@ def tall(df: DataFrame, cols: list[str], name: str = "variable",
     """Wide to tall ``(name, value double)``; one shuffle-free projection."""
     if not cols:
         return df.sparkSession.createDataFrame([], f"{name} string, {value} double")
-    return (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-              .unpivot([], cols, name, value))
+    return (df.select(*[col(c).cast("double").alias(c) for c in cols])
+              .unpivot([], [col(c) for c in cols], name, value))
 
 
 def _base(data: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import attach_scalars, r4, top_k_per_group
+from ..functions.frames import attach_scalars, col, r4, top_k_per_group
 from ..functions.quantiles import quantile_wide, tall
 from .roles import NUMERIC
 
@@ -32,13 +32,16 @@ def profile_summary(df: DataFrame) -> DataFrame:
     """One row: ``n_rows, n_cols, total_missing, duplicate_rows``.
 
     Duplicates are rows beyond the first of each identical group, nulls equal
-    to each other (``groupBy`` semantics), not ``countDistinct`` which drops
-    rows holding a null.
+    to each other.  Rows are grouped by a 128-bit hash of all columns, so a row
+    is shuffled as 16 bytes however wide it is.
     """
     cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, _GROUPABLE_SKIP)]
-    miss = sum((F.col(c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
+    miss = sum((col(c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
     basic = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(miss).alias("total_missing"))
-    dups = (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    # a JSON text names its fields and leaves out nulls, so equal rows and only they have equal texts
+    floats = (T.FloatType, T.DoubleType)
+    row = F.to_json(F.struct(*[(col(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, floats) else col(c)).alias(c) for c in cols]))
+    dups = (df.select(F.md5(row).alias("_h")).groupBy(F.unhex("_h")).agg(F.count(F.lit(1)).alias("_c"))
               .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicate_rows")))
     out = attach_scalars(basic, dups)
     return out.select(F.col("n_rows").cast("long").alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_cols"),
@@ -59,7 +62,7 @@ def missing_values(df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame(
             [], "position int, column_name string, missing_count bigint, missing_pct double")
     aggs = [F.count(F.lit(1)).alias("_rows")] + \
-           [F.sum(F.col(c).isNull().cast("long")).alias(f"_m{i}") for i, c in enumerate(df.columns)]
+           [F.sum(col(c).isNull().cast("long")).alias(f"_m{i}") for i, c in enumerate(df.columns)]
     one = df.agg(*aggs).first()  # one row: the table is built locally from it
     rows_n = int(one["_rows"] or 0)
     rows = []
@@ -143,8 +146,8 @@ def frequency_table(df: DataFrame, cols: list[str], top: int = 20) -> DataFrame:
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column_name string, rank int, category string, count bigint, percent double")
-    t = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-           .unpivot([], cols, "column_name", "category"))
+    t = (df.select(*[col(c).cast("string").alias(c) for c in cols])
+           .unpivot([], [col(c) for c in cols], "column_name", "category"))
     counts = t.groupBy("column_name", "category").agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy("column_name").agg(F.sum("count").alias("_total"))
     ranked = top_k_per_group(counts, ["column_name"],
@@ -176,8 +179,8 @@ def mode_values(df: DataFrame, cols: list[str]) -> DataFrame:
     for group, cast in ((num, "double"), (oth, "string")):
         if not group:
             continue
-        t = (df.select(*[F.col(c).cast(cast).alias(c) for c in group])
-               .unpivot([], group, "column_name", "v").where(F.col("v").isNotNull()))
+        t = (df.select(*[col(c).cast(cast).alias(c) for c in group])
+               .unpivot([], [col(c) for c in group], "column_name", "v").where(F.col("v").isNotNull()))
         best = (t.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("c"))
                  .groupBy("column_name").agg(F.min(F.struct((-F.col("c")).alias("nc"), "v")).alias("m")))
         out.append(best.select("column_name", F.col("m.v").cast("string").alias("mode"),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import attach_scalars
+from ..functions.frames import attach_scalars, col
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType, T.BooleanType)
@@ -40,8 +40,8 @@ def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(column_name, n_distinct)`` without nulls, exact, one shuffle."""
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, n_distinct bigint")
-    t = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-           .unpivot([], cols, "column_name", "value").where(F.col("value").isNotNull()))
+    t = (df.select(*[col(c).cast("string").alias(c) for c in cols])
+           .unpivot([], [col(c) for c in cols], "column_name", "value").where(F.col("value").isNotNull()))
     return (t.groupBy("column_name", "value").count()
              .groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct")))
 

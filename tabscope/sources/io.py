@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import col, quoted
 from .tables import nan_to_null
 
 # The spellings pandas' CSV reader treats as missing by default.
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
-MAX_FILES = 10
+# what pandas reads as a number; Spark's casts also take suffixes such as 10D
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
+WHOLE = r"^\s*[+-]?\d+\s*$"
 
 
 def extension(path: str) -> str:
@@ -29,50 +32,59 @@ def extension(path: str) -> str:
 
 
 def _na_to_null(df: DataFrame) -> DataFrame:
-    return df.select(*[F.when(F.col(c).isin(NA_TOKENS), F.lit(None)).otherwise(F.col(c)).alias(c)
+    return df.select(*[F.when(col(c).isin(NA_TOKENS), F.lit(None)).otherwise(col(c)).alias(c)
                        for c in df.columns])
 
 
+def _long(c: str):
+    return F.when(col(c).rlike(WHOLE), F.expr(f"try_cast({quoted(c)} AS BIGINT)"))
+
+
+def _double(c: str):
+    return F.when(col(c).rlike(NUMBER), F.expr(f"try_cast({quoted(c)} AS DOUBLE)"))
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Type string columns as integer, float or boolean when every value parses (one pass).
 
-    Dates stay strings, as in a default pandas read.
+    A value must look like a number before it is cast, so codes such as ``10D`` stay strings; dates stay
+    strings too, as in a default pandas read.
     """
     cols = df.columns
     if not cols:
         return df
     aggs = []
     for i, c in enumerate(cols):
-        v = F.col(c)
+        v = col(c)
         nn = v.isNotNull()
-        aggs += [F.sum((nn & F.expr(f"try_cast(`{c}` AS BIGINT)").isNull()).cast("long")).alias(f"l{i}"),
-                 F.sum((nn & F.expr(f"try_cast(`{c}` AS DOUBLE)").isNull()).cast("long")).alias(f"d{i}"),
+        aggs += [F.sum((nn & _long(c).isNull()).cast("long")).alias(f"l{i}"),
+                 F.sum((nn & _double(c).isNull()).cast("long")).alias(f"d{i}"),
                  F.sum((nn & ~v.isin("True", "False")).cast("long")).alias(f"b{i}"),
                  F.sum(nn.cast("long")).alias(f"n{i}")]
     r = df.agg(*aggs).first()
     out = []
     for i, c in enumerate(cols):
         if not r[f"n{i}"]:
-            out.append(F.col(c).cast("double").alias(c))  # an all-missing column reads as float
+            out.append(F.lit(None).cast("double").alias(c))  # an all-missing column reads as float
         elif r[f"l{i}"] == 0:
-            out.append(F.expr(f"try_cast(`{c}` AS BIGINT)").alias(c))
+            out.append(_long(c).alias(c))
         elif r[f"d{i}"] == 0:
-            out.append(F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c))
+            out.append(_double(c).alias(c))
         elif r[f"b{i}"] == 0:
-            out.append((F.col(c) == "True").alias(c))
+            out.append((col(c) == "True").alias(c))
         else:
-            out.append(F.col(c))
+            out.append(col(c))
     return df.select(*out)
 
 
 def clean(df: DataFrame) -> DataFrame:
     """SRC-6: drop all-null rows, then all-null columns; strip header names."""
-    d = df.na.drop(how="all")
-    if not d.columns:
-        return d
-    counts = d.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(d.columns)]).first()
+    if not df.columns:
+        return df
+    d = df.where(F.coalesce(*[F.when(col(c).isNotNull(), True) for c in df.columns], F.lit(False)))
+    counts = d.agg(*[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(d.columns)]).first()
     keep = [c for i, c in enumerate(d.columns) if counts[f"c{i}"]]
-    return d.select(*[F.col(f"`{c}`").alias(str(c).strip()) for c in keep])
+    return d.select(*[col(c).alias(str(c).strip()) for c in keep])
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
@@ -121,9 +133,9 @@ class Loaded:
 
 
 def load_many(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> Loaded:
-    """SRC-5: at most 10 files; one status row per file, failures reported and skipped."""
+    """SRC-5: every file; one status row per file, failures reported and skipped."""
     tables, rows = {}, []
-    for p in paths[:MAX_FILES]:
+    for p in paths:
         name = os.path.basename(p.split("?")[0])
         try:
             df = load_table(spark, p, encoding)
@@ -166,7 +178,7 @@ def export_type(dt: T.DataType) -> T.DataType:
 
 def typed_export(df: DataFrame, path: str) -> DataFrame:
     """SNK-1: cast by the type map and write Parquet (replace mode); returns the typed frame."""
-    typed = df.select(*[F.col(f"`{f.name}`").cast(export_type(f.dataType)).alias(f.name)
+    typed = df.select(*[col(f.name).cast(export_type(f.dataType)).alias(f.name)
                         for f in df.schema.fields])
     typed.write.mode("overwrite").parquet(path)
     return typed

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import col
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -18,25 +20,11 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
+            cols.append(F.nanvl(col(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
         else:
-            cols.append(F.col(f.name))
+            cols.append(col(f.name))
     return df.select(*cols)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has cores.
-
-    A file written as one row group is one scan task however large it is;
-    every operator after it would run single-threaded.  On a large table the
-    scan already has many partitions and this is a no-op; filters and column
-    pruning still push through the repartition to the scan.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return nan_to_null(spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")))
+    return nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))

@@ -101,14 +101,33 @@ def test_isolation_forest_flags_about_contamination(spark):
 
 
 def test_visible_text_and_links():
-    from tabscope.operators.pages import tag_links, visible_text
+    from tabscope.operators.pages import found_links, parse_page, visible_text
     html = ("<html><head><title> T </title><style>x{}</style></head><body><p>Hello &amp; bye</p>"
             "<script>var a=1;</script><pre>code</pre><div>\n  line two \n</div>"
             "<a href='#top'>t</a><a href='/files/1/download'>f</a><a href='javascript:x()'>j</a>"
             "<img src='i.png'><link href='s.css'></body></html>")
     assert visible_text(html) == "T\nHello & bye\nline two\nt\nf\nj"
-    assert tag_links(html, "https://h.example/a/b.html") == ["https://h.example/files/1/download",
-                                                            "https://h.example/a/s.css"]
+    links = found_links(parse_page(html), "https://h.example/a/b.html", html)
+    assert [(k["method"], k["pos"], k["url"]) for k in links] == [(1, 0, "https://h.example/files/1/download"),
+                                                                 (1, 1, "https://h.example/a/s.css")]
+
+
+def test_page_parse_keeps_text_after_unclosed_tags():
+    from tabscope.operators.pages import parse_page, visible_text
+    assert visible_text("<p>a <code>x</p><p>rest of page</p>") == "a\nrest of page"
+    assert visible_text("a<br>b<br/>c</code> d <pre>no</pre> e") == "a\nb\nc\nd\ne"
+    assert visible_text("<!-- <p>x</p> -->1 < 2 &lt; 3<script>if (a < b) { '</p>' }</script> end") == "1 < 2 < 3\nend"
+    assert visible_text("<div title='a > b'>t</div><textarea>u") == "t\nu"
+    assert visible_text(None) == visible_text("") == visible_text("<script>x") == ""
+    assert parse_page('<A HREF=x.html DATA-URL="y&amp;z"><source src=\'s\'><a href>').hrefs == ["x.html", "y&z", "s"]
+
+
+def test_file_name_of_any_url(spark):
+    from tabscope.operators.pages import file_name
+    urls = ["https://h.example/a|b.csv", "https://h.example/a/b.csv?x=/y", "https://h.example", "h/x.txt#f", "", None, "https://[bad/z.csv"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r[0] for r in df.select(file_name(F.col("u"))).collect()] == \
+        ["a|b.csv", "b.csv", "downloaded_data", "x.txt", "downloaded_data", "downloaded_data", "z.csv"]
 
 
 @pytest.mark.parametrize("url,ok", [
@@ -150,3 +169,41 @@ def test_omnibus_normal_sample_not_significant():
     from tabscope.operators.regress import omnibus
     k2, p = omnibus(1000, 0.02, 3.05)
     assert k2 >= 0 and p > 0.3
+
+
+def test_tails_at_any_degrees_of_freedom():
+    import math
+    from tabscope.functions.distributions import chi2_sf, f_sf, gammaincc, t_sf2
+    # P(X > k) of chi-square at its mean: 1/2 - 1 / (3 sqrt(pi k)) + O(k^-3/2)
+    for k in (1e3, 1e4, 1e5, 1e6, 1e7, 1e9):
+        assert abs(float(chi2_sf(k, k)) - (0.5 - 1 / (3 * math.sqrt(math.pi * k)))) < 0.1 * k ** -1.5
+    # the t tail tends to the normal one; the first correction is (x^3 + x) phi(x) / (2 df)
+    for x in (0.5, 3.0):
+        for df in (1e4, 1e6, 1e9, 1e11):
+            phi = math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+            assert abs(float(t_sf2(x, df)) - (math.erfc(x / math.sqrt(2)) + (x ** 3 + x) * phi / (2 * df))) < 5 / df ** 2 + 1e-9
+    # F with many denominator degrees tends to chi-square / d1
+    for d1 in (1, 3, 20):
+        for d2 in (1e6, 1e9):
+            assert abs(float(f_sf(2.0, d1, d2)) - float(chi2_sf(2.0 * d1, d1))) < 20 / d2 + 1e-9
+    # both gamma forms agree where one takes over from the other
+    for shift in (-150, 0, 150):
+        assert abs(float(gammaincc(9999.0, 9999.0 + shift)) - float(gammaincc(10001.0, 10001.0 + shift * (10001 / 9999) ** 0.5))) < 3e-6
+    assert str(float(t_sf2(float("nan"), 3))) == "nan"
+
+
+def test_csv_keeps_codes_and_dotted_headers(spark, tmp_path):
+    from tabscope.operators.profile import describe, missing_values, profile_summary
+    from tabscope.sources.io import load_many, load_table
+    path = tmp_path / "a.csv"
+    path.write_text("a.b, code ,n`x,f,e\n1,10D,3,1.5,\n2,20F,4,1e3,\n,7d,NA,.5,\n,,,,\n2,7d,5,-2,\n2,7d,5,-2,\n")
+    df = load_table(spark, str(path))
+    assert df.dtypes == [("a.b", "bigint"), ("code", "string"), ("n`x", "bigint"), ("f", "double")]
+    assert [tuple(r) for r in df.collect()] == [(1, "10D", 3, 1.5), (2, "20F", 4, 1000.0), (None, "7d", None, 0.5), (2, "7d", 5, -2.0), (2, "7d", 5, -2.0)]
+    assert {r["variable"] for r in describe(df).collect()} == {"a.b", "n`x", "f"}
+    assert [r["missing_count"] for r in missing_values(df).orderBy("position").collect()] == [1, 0, 1, 0]
+    assert profile_summary(df).first()["duplicate_rows"] == 1
+    for i in range(12):
+        (tmp_path / f"f{i}.csv").write_text(f"x\n{i}\n")
+    got = load_many(spark, [str(tmp_path / f"f{i}.csv") for i in range(12)] + [str(tmp_path / "none.xyz")])
+    assert len(got.tables) == 12 and got.status.count() == 13
