@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import col
-from ..session import cut_lineage, small_or_checkpoint
+from ..session import cut_lineage
 
 # Largest number of distinct values per group sorted inside one task.
 DIRECT_LIMIT = 2_000_000
@@ -87,7 +87,7 @@ def _select_ranks(base: DataFrame, ranks: DataFrame, keys: list[str],
                         .otherwise(F.element_at("_g", jlo + 1)).alias("_lo"),
                        F.when(jhi >= GRID, F.lit(float("inf")))
                         .otherwise(F.element_at("_g", jhi + 1)).alias("_hi")))
-    br = small_or_checkpoint(br)  # tiny; fixes the brackets for the passes below
+    br = cut_lineage(br)  # tiny; fixes the brackets for the passes below
 
     inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     cnt = (base.join(F.broadcast(br), on=keys)
@@ -100,7 +100,7 @@ def _select_ranks(base: DataFrame, ranks: DataFrame, keys: list[str],
                        F.when(ok, F.col("_lo")).otherwise(F.lit(float("-inf"))).alias("_lo"),
                        F.when(ok, F.col("_hi")).otherwise(F.lit(float("inf"))).alias("_hi"),
                        F.when(ok, F.col("_clt")).otherwise(F.lit(0)).alias("_clt"))
-    fixed = small_or_checkpoint(fixed)
+    fixed = cut_lineage(fixed)
     kcol = f"_k{depth}"
     sub = (base.join(F.broadcast(fixed.select(*keys, F.col("_r").alias(kcol), "_lo", "_hi")), on=keys)
                .where(inside).select(*keys, kcol, "_v"))
@@ -119,7 +119,7 @@ def exact_quantiles(data: DataFrame, probs: list[float], keys: list[str],
         g = data.select(F.lit(0).alias("_g0"), F.col(value))
         return exact_quantiles(g, probs, ["_g0"], value, direct_limit).drop("_g0")
     base = _base(data, keys, value)
-    stats = small_or_checkpoint(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    stats = cut_lineage(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     maxd = int(stats.agg(F.max("_n")).first()[0] or 0)  # bounds the distinct values per group
     if maxd <= direct_limit:
         return _quantiles_one_window(base, probs, keys)
@@ -132,7 +132,7 @@ def exact_quantiles(data: DataFrame, probs: list[float], keys: list[str],
     ranks = (need.select(*keys, F.col("_r0").alias("_r"))
                  .union(need.select(*keys, F.col("_r1").alias("_r"))).distinct())
     # one row per (group, wanted rank): freeze it so both joins below reuse one selection pass
-    vals = small_or_checkpoint(_select_ranks(base, ranks, keys, 0, direct_limit, maxd))
+    vals = cut_lineage(_select_ranks(base, ranks, keys, 0, direct_limit, maxd))
     v0 = vals.select(*keys, F.col("_r").alias("_r0"), F.col("_v").alias("_v0"))
     v1 = vals.select(*keys, F.col("_r").alias("_r1"), F.col("_v").alias("_v1"))
     out = need.join(v0, on=keys + ["_r0"]).join(v1, on=keys + ["_r1"])

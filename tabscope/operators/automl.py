@@ -43,7 +43,7 @@ def _predict(name, model_or_none, train, test, names, task, key):
     """Predictions ``(key, prediction[, score])`` on ``test``."""
     from pyspark.ml.functions import vector_to_array
     if name == "KNN":
-        tr = train.select(*names, "label")
+        tr = train.select(key, *names, "label")
         te = test.select(key, *names)
         return knn_predict(tr, te, names, key, 5, "regression" if task == "regression" else "classification")
     p = model_or_none.transform(test)
@@ -56,7 +56,7 @@ def _predict(name, model_or_none, train, test, names, task, key):
 
 def auto_analyze(df: DataFrame, target: str, numeric_cols: list[str], other_cols: list[str], key: str,
                  test_size: float = 0.2, seed: int = 42, models: list[str] | None = None,
-                 trees: int = 100, boost_iter: int = 100, max_iter: int = 300) -> dict[str, DataFrame]:
+                 trees: int = 150, boost_iter: int = 100, max_iter: int = 300) -> dict[str, DataFrame]:
     from pyspark.ml.feature import VectorAssembler
     spark = df.sparkSession
     task = detect_task(df, target)

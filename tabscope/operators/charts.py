@@ -42,7 +42,7 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30) -> DataFrame:
 
 
 # ---------------------------------------------------------------- CHT-2
-def box_stats(df: DataFrame, cols: list[str], max_cols: int = 15, whis: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, cols: list[str], max_cols: int | None = None, whis: float = 1.5) -> DataFrame:
     """``(variable, q1, median, q3, whisker_lo, whisker_hi, n_fliers)``.
 
     Whiskers are the most extreme data inside ``[q1 - 1.5 IQR, q3 + 1.5 IQR]``.
@@ -64,7 +64,7 @@ def box_stats(df: DataFrame, cols: list[str], max_cols: int = 15, whis: float =
 
 
 # ---------------------------------------------------------------- CHT-3
-def bar_counts(df: DataFrame, cols: list[str], top: int = 20, max_cols: int = 8) -> DataFrame:
+def bar_counts(df: DataFrame, cols: list[str], top: int = 20, max_cols: int | None = None) -> DataFrame:
     """``(column_name, rank, category, count)``; nulls dropped, ties by value."""
     cols = cols[:max_cols]
     t = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
@@ -78,8 +78,8 @@ def bar_counts(df: DataFrame, cols: list[str], top: int = 20, max_cols: int = 8)
 
 # ---------------------------------------------------------------- CHT-4
 def scatter_sample(df: DataFrame, cols: list[str], key_cols: list[str], k: int = 1000,
-                   color: str | None = None, max_cols: int = 6) -> DataFrame:
-    """A repeatable hash-ordered sample of the first ``max_cols`` numeric columns.
+                   color: str | None = None, max_cols: int | None = None) -> DataFrame:
+    """A repeatable hash-ordered sample of the columns (the first ``max_cols``, if given).
 
     Rows are ordered by ``md5`` of the key columns joined with '|' and the
     first ``k`` kept (a per-partition top-k, then a merge: no global sort).
@@ -120,14 +120,14 @@ def filliben(i, n):
              .otherwise((i - 0.3175) / (nd + 0.365)))
 
 
-def qq_points(df: DataFrame, cols: list[str], min_n: int = 5, max_cols: int = 10) -> DataFrame:
+def qq_points(df: DataFrame, cols: list[str], min_n: int = 5, max_cols: int | None = None) -> DataFrame:
     """``(variable, i, theoretical, sample)`` — normal Q-Q points, n >= ``min_n``."""
     p = _positions(df, cols[:max_cols]).where(F.col("n") >= min_n)
     return p.select("variable", "i", norm_ppf(filliben(F.col("i"), F.col("n"))).alias("theoretical"),
                     F.col("value").alias("sample"))
 
 
-def qq_fit(df: DataFrame, cols: list[str], min_n: int = 5, max_cols: int = 10) -> DataFrame:
+def qq_fit(df: DataFrame, cols: list[str], min_n: int = 5, max_cols: int | None = None) -> DataFrame:
     """``(variable, n, slope, intercept, r)`` of the least-squares line through the Q-Q points.
 
     Reported to 3 decimals: the intercept equals the column mean, which on integer

@@ -12,16 +12,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import col
 from .metrics import accuracy, auc, classification_metrics, confusion_cells, roc_points
 from .prep import encode_labels, feature_frame
+from .roles import distinct_counts
 from .split import kfold, train_test_split
 
 CMP_SCHEMA = ("model string, accuracy double, precision double, recall double, f1_score double, "
               "cv_mean double, cv_std double, auc double")
 
 
+MAX_DEPTH = 30      # MLlib's limit; the reference grows trees to the end
+
+
 def classifier(name: str, n_train: int, n_classes: int, trees: int = 100, boost_iter: int = 100,
-               seed: int = 42, max_iter: int = 300):
+               seed: int = 42, max_iter: int = 300, max_depth: int = MAX_DEPTH):
     """MLlib estimator for a reference model name (sklearn defaults mapped)."""
     from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                            RandomForestClassifier)
@@ -31,7 +36,7 @@ def classifier(name: str, n_train: int, n_classes: int, trees: int = 100, boost_
                                   standardization=False, maxIter=max_iter, tol=1e-8,
                                   family="binomial" if n_classes == 2 else "multinomial")
     if name == "Random Forest":
-        return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=12,
+        return RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=max_depth,
                                       seed=seed)
     if name == "Gradient Boosting":
         g = GBTClassifier(maxIter=boost_iter, stepSize=0.1, maxDepth=3, seed=seed)
@@ -73,10 +78,11 @@ def compare_classifiers(df: DataFrame, target: str, numeric_cols: list[str], oth
     spark = df.sparkSession
     models = models or ["Logistic Regression", "Random Forest", "Gradient Boosting"]
     keyed, names = feature_frame(df, target, numeric_cols, other_cols, standardize=True, keep=key_cols)
+    n_levels = distinct_counts(keyed, [target]).first()
+    if n_levels is None or not 2 <= n_levels["n_distinct"] <= 50:
+        return None
     lab, classes = encode_labels(keyed, target)
     k_cls = len(classes)
-    if k_cls < 2 or k_cls > 50:
-        return None
     strat = F.col("label") if k_cls <= 10 else None
     sp = train_test_split(lab, key_cols, test_size, seed, strat)
     va = VectorAssembler(inputCols=names, outputCol="features")
@@ -132,65 +138,68 @@ def _union(frames):
 
 
 # ---------------------------------------------------------------- KNN-1
+QUERY_CELLS = 1 << 22      # entries of the largest distance matrix inside a task (32 MB)
+
+
+def nearest_labels(x: np.ndarray, y: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, distance, label) of the k nearest rows of x for each query; equal distances by label.
+
+    The expanded form of the distance only bounds the candidates: every row that could be among the k
+    nearest, ties included, gets its exact distance before the choice.
+    """
+    step = max(1, QUERY_CELLS // max(1, len(x)))
+    k, xx, out = min(k, len(x)), (x * x).sum(axis=1), []
+    for i in range(0, len(q), step):
+        part = q[i:i + step]
+        near = (part * part).sum(axis=1)[:, None] - 2 * part @ x.T + xx
+        size = (part * part).sum(axis=1) + xx.max(initial=0.0)
+        bound = np.partition(near, k - 1, axis=1)[:, k - 1] + 1e-12 * size
+        r, c = np.nonzero(near <= bound[:, None])
+        d = np.sqrt(((part[r] - x[c]) ** 2).sum(axis=1))
+        order = np.lexsort((y[c], d, r))
+        r, d, label = r[order], d[order], y[c][order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((r[first] + i, d[first], label[first]))
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
 def knn_predict(train: DataFrame, test: DataFrame, features: list[str], id_col: str, k: int = 5,
                 task: str = "classification", label: str = "label",
-                block_rows: int = 100_000) -> DataFrame:
+                block_rows: int = 8_192) -> DataFrame:
     """Exact k nearest neighbours (Euclidean): ``(id, prediction)`` per test row.
 
-    A blocked nested-loop join: train and test are each cut into hash blocks
-    of about ``block_rows`` rows; every (train block, test block) cell is one
-    ``cogroup`` task (both sides bounded), which keeps the k best per test row
-    with vectorised numpy.  The per-cell candidates (k per test row and train
-    block) reduce to the global k best by a grouped aggregate.  No pair of rows
+    Train and test are cut into hash blocks of about ``block_rows`` rows (by the row id, so a task that
+    runs again gets the same rows); every (train block, test block) cell is one ``cogroup`` task, which
+    compares in strips of ``QUERY_CELLS`` entries and keeps the k best per test row.
+    The candidates of all cells are cut to the k best by a ranked window that combines before the shuffle.  No pair of rows
     is materialised and nothing passes through the driver.  Equal distances
     rank the smaller label first.  Classification: majority vote, ties to the
     smallest label; regression: mean label.
     """
-    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
     nt, nq = train.count(), test.count()
     bt, bq = max(1, -(-nt // block_rows)), max(1, -(-nq // block_rows))
-    tr = (train.select(*[F.col(c).cast("double").alias(c) for c in features],
-                       F.col(label).cast("double").alias("_y"))
-               .withColumn("_bt", F.pmod(F.xxhash64(*features, "_y", F.monotonically_increasing_id()), F.lit(bt)))
+    names = [f"_f{i}" for i in range(len(features))]
+    of = [col(c).cast("double").alias(n) for c, n in zip(features, names)]
+    row = [col(id_col)] if id_col in train.columns else [col(c) for c in [*features, label]]
+    tr = (train.select(*of, col(label).cast("double").alias("_y"), F.pmod(F.xxhash64(*row), F.lit(bt)).alias("_bt"))
                .select("*", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("_bq")))
-    te = (test.select(id_col, *[F.col(c).cast("double").alias(c) for c in features])
-              .withColumn("_bq", F.pmod(F.xxhash64(id_col), F.lit(bq)))
+    te = (test.select(col(id_col), *of, F.pmod(F.xxhash64(col(id_col)), F.lit(bq)).alias("_bq"))
               .select("*", F.explode(F.sequence(F.lit(0), F.lit(bt - 1))).alias("_bt")))
-    cand_schema = StructType([StructField(id_col, test.schema[id_col].dataType),
-                              StructField("_d", ArrayType(DoubleType())),
-                              StructField("_ys", ArrayType(DoubleType()))])
+    schema = test.select(col(id_col)).schema.add("_d", "double").add("_y", "double")
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:  # a block with no partner rows
-            return pd.DataFrame({id_col: right[id_col].iloc[:0], "_d": pd.Series([], dtype=object),
-                                 "_ys": pd.Series([], dtype=object)})
-        xa = left[features].to_numpy(dtype=float)
-        ya = left["_y"].to_numpy(dtype=float)
-        q = right[features].to_numpy(dtype=float)
-        # shortlist by the expanded form, then exact distances; ties go to the smaller label
-        d2 = (q * q).sum(1)[:, None] - 2 * q @ xa.T + (xa * xa).sum(1)[None, :]
-        m = min(k + 16, xa.shape[0])
-        idx = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < d2.shape[1] else \
-            np.tile(np.arange(d2.shape[1]), (d2.shape[0], 1))
-        diff = q[:, None, :] - xa[idx]
-        d = np.sqrt((diff * diff).sum(axis=2))
-        yy = ya[idx]
-        order = np.lexsort((yy, d), axis=1)[:, :min(k, m)]
-        return pd.DataFrame({id_col: right[id_col].to_numpy(),
-                             "_d": np.take_along_axis(d, order, 1).tolist(),
-                             "_ys": np.take_along_axis(yy, order, 1).tolist()})
-
-    cand = tr.groupBy("_bt", "_bq").cogroup(te.groupBy("_bt", "_bq")).applyInPandas(cell, cand_schema)
-    flat = cand.select(id_col, F.explode(F.arrays_zip("_d", "_ys")).alias("z")) \
-               .select(id_col, F.col("z._d").alias("_d"), F.col("z._ys").alias("_y"))
-    # at most k candidates per train block and test row
-    best = flat.groupBy(id_col).agg(F.slice(F.array_sort(F.collect_list(F.struct("_d", "_y"))), 1, k)
-                                    .alias("nb"))
-    ys = F.transform("nb", lambda s: s["_y"])
+            return pd.DataFrame({id_col: right[id_col].iloc[:0], "_d": np.zeros(0), "_y": np.zeros(0)})
+        at, d, y = nearest_labels(left[names].to_numpy(dtype=float), left["_y"].to_numpy(dtype=float),
+                                  right[names].to_numpy(dtype=float), k)
+        return pd.DataFrame({id_col: right[id_col].to_numpy()[at], "_d": d, "_y": y})
+
+    cand = tr.groupBy("_bt", "_bq").cogroup(te.groupBy("_bt", "_bq")).applyInPandas(cell, schema)
+    rank = F.row_number().over(Window.partitionBy(col(id_col)).orderBy("_d", "_y"))
+    best = cand.withColumn("_r", rank).where(F.col("_r") <= k)
     if task == "regression":
-        return best.select(id_col, (F.aggregate(ys, F.lit(0.0), lambda a, b: a + b) / F.size(ys))
-                           .alias("prediction"))
-    votes = best.select(id_col, F.explode(ys).alias("_y")).groupBy(id_col, "_y").count()
-    w = Window.partitionBy(id_col).orderBy(F.col("count").desc(), F.col("_y"))
+        return best.groupBy(col(id_col)).agg(F.avg("_y").alias("prediction"))
+    votes = best.groupBy(col(id_col), "_y").count()
+    w = Window.partitionBy(col(id_col)).orderBy(F.col("count").desc(), F.col("_y"))
     return (votes.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-                 .select(id_col, F.col("_y").alias("prediction")))
+                 .select(col(id_col), F.col("_y").alias("prediction")))

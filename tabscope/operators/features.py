@@ -79,7 +79,8 @@ def mutual_information(df: DataFrame, target: str, cols: list[str], key: str,
 
 
 def rf_importance(df: DataFrame, target: str, numeric_cols: list[str], other_cols: list[str],
-                  trees: int = 100, top: int = 20, seed: int = 42) -> DataFrame:
+                  trees: int = 100, top: int = 20, seed: int = 42,
+                  max_depth: int = 30) -> DataFrame:
     """FEA-1: random-forest importance (classifier when the target has <= 20 values)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -93,10 +94,10 @@ def rf_importance(df: DataFrame, target: str, numeric_cols: list[str], other_col
     if is_cls:
         from .prep import encode_labels
         x, _ = encode_labels(x, target)
-        est = RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", seed=seed, maxDepth=12)
+        est = RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", seed=seed, maxDepth=max_depth)
     else:
         x = x.withColumn("label", F.col(target).cast("double"))
-        est = RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", seed=seed, maxDepth=12)
+        est = RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", seed=seed, maxDepth=max_depth)
     data = VectorAssembler(inputCols=names, outputCol="features").transform(x).select("label", "features")
     imp = est.fit(data).featureImportances.toArray()
     rows = sorted(zip(names, [float(v) for v in imp]), key=lambda r: (-r[1], r[0]))[:top]

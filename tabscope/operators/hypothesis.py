@@ -194,9 +194,9 @@ def chi_square_from_counts(cells: DataFrame) -> DataFrame:
                       v.alias("cramers_v"), effect_label("cramers_v", v).alias("effect_size"))
 
 
-def chi_squares(df: DataFrame, cat_cols: list[str], first: int = 4,
+def chi_squares(df: DataFrame, cat_cols: list[str], first: int | None = None,
                 p_values: bool = True) -> DataFrame:
-    """HYP-5: every pair among the first ``first`` categorical columns."""
+    """HYP-5: every pair of categorical columns (of the first ``first``, if given)."""
     pairs = list(combinations(cat_cols[:first], 2))
     if not pairs:
         return _with_p(_empty(df, CHI_SCHEMA), "chi", p_values)

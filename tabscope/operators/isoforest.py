@@ -1,10 +1,11 @@
 """Isolation forest outlier count (PRE-4).
 
 Each tree is grown on ``psi = min(256, n)`` rows chosen by a seeded hash:
-rows are ranked per tree by ``xxhash64(seed, tree, row)`` and the ``psi``
-smallest kept.  On large tables a seeded Bernoulli pre-sample (about three
-times ``psi * trees`` rows) feeds the ranking, so the tree-building input
-stays a few tens of thousands of rows whatever the table size.  Trees grow
+rows are ranked per tree by ``xxhash64(seed, tree, row, copy)`` and the ``psi``
+smallest kept; equal rows are numbered as copies 1, 2, ..., so each is drawn on its own.
+Only hashes below a bound that about ``4 psi`` rows of a tree pass go into the ranking, so
+it gets a few hundred rows per tree whatever the table size; the draw does not
+depend on the layout of the table.  Trees grow
 in ``groupBy(tree).applyInPandas`` (one small task per tree), are collected
 (``trees x 2 psi`` nodes, bounded), and scoring runs on every row with
 ``mapInPandas``.  The flag threshold is the exact ``contamination``
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import attach_scalars, top_k_per_group
 from ..functions.quantiles import exact_quantiles
+from ..session import cut_lineage
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree long, node long, feature long, threshold double, left long, "
                "right long, size long, depth long")
-PAIR_LIMIT = 10_000_000
 
 
 def c_factor(n):
@@ -84,14 +85,13 @@ def fit_forest(x: DataFrame, features: list[str], n_trees: int = 100, psi: int =
     """Grow the forest; returns per-tree node arrays (driver-side, bounded) and psi."""
     n = x.count()
     psi = min(psi, n)
-    # identical rows share an id: they are interchangeable for the sample
-    rid = F.xxhash64(*[F.col(c) for c in features])
-    base = x.select(*features, rid.alias("_rid"))
-    if n * n_trees > PAIR_LIMIT:
-        frac = min(1.0, 3.0 * psi * n_trees / n)
-        base = base.sample(False, frac, seed)
+    copies = x.groupBy(*features).agg(F.count(F.lit(1)).alias("_n"))
+    base = copies.select(*features, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"))
+    base = base.select(*features, F.xxhash64(*features, "_copy").alias("_rid"))
     pairs = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_tree"))
     pairs = pairs.withColumn("_u", F.xxhash64(F.lit(seed), "_tree", "_rid"))
+    if n > 4 * psi:     # of 4 psi rows expected below the bound, fewer than psi never come (12 deviations)
+        pairs = pairs.where(F.col("_u") < F.lit(int(-(1 << 63) + (1 << 64) * (4 * psi / n))))
     chosen = top_k_per_group(pairs, ["_tree"], [F.col("_u")], psi, salt_col="_rid", rank_name="_k")
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     nodes = (chosen.select("_tree", *features)
@@ -142,19 +142,32 @@ def isolation_forest_outliers(df: DataFrame, features: list[str], contamination:
     if not features:
         return 0
     trees, psi = fit_forest(x, features, n_trees, seed=seed)
-    s = score(x, features, trees, psi)
+    s = cut_lineage(score(x, features, trees, psi))
     thr = exact_quantiles(s.select(F.col("iso_score").alias("value")), [contamination], []).first()
     if thr is None:
         return 0
     return int(s.where(F.col("iso_score") < F.lit(thr["q"])).count())
 
 
+def isolation_forest_flags(df: DataFrame, features: list[str], contamination: float = 0.05,
+                           n_trees: int = 100, seed: int = 42) -> DataFrame:
+    """Every row of ``df`` with ``iso_score`` and ``is_outlier`` (null where a feature is missing)."""
+    whole = df.withColumns({f"_x{i}": F.col(c).cast("double") for i, c in enumerate(features)})
+    x = whole.select(*[f"_x{i}" for i in range(len(features))]).na.drop().distinct()
+    full = whole.select(*[f"_x{i}" for i in range(len(features))]).na.drop()
+    trees, psi = fit_forest(full, full.columns, n_trees, seed=seed)
+    s = cut_lineage(score(x, x.columns, trees, psi))
+    rows = whole.join(s, x.columns, "left").drop(*x.columns)
+    thr = exact_quantiles(rows.where(F.col("iso_score").isNotNull()).select(F.col("iso_score").alias("value")), [contamination], [])
+    return attach_scalars(rows, thr.agg(F.max("q").alias("_t"))).withColumn("is_outlier", F.col("iso_score") < F.col("_t")).drop("_t")
+
+
 def isolation_forest_table(df: DataFrame, features: list[str], contamination: float = 0.05,
                            n_trees: int = 100, seed: int = 42) -> DataFrame:
     """One row: ``(rows, flagged, threshold)`` for reporting."""
     x = df.select(*[F.col(c).cast("double").alias(c) for c in features]).na.drop()
     trees, psi = fit_forest(x, features, n_trees, seed=seed)
-    s = score(x, features, trees, psi)
+    s = cut_lineage(score(x, features, trees, psi))
     thr = exact_quantiles(s.select(F.col("iso_score").alias("value")), [contamination], [])
     return (attach_scalars(s, thr.select(F.col("q").alias("_t")))
              .agg(F.count(F.lit(1)).alias("rows"),

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import col, quoted
 from ..functions.quantiles import quantile_wide, tall
+from ..session import cut_lineage
 from .profile import mode_values, numeric_columns, outlier_counts, skew_bias_corrected
 
 LOG_SCHEMA = "step int, phase string, action string, chosen string, metric string, value double"
@@ -25,7 +27,7 @@ def split_kinds(df: DataFrame) -> tuple[list[str], list[str]]:
 
 
 # ---------------------------------------------------------------- PRE-1, 2
-def fill_values(df: DataFrame, num_cols: list[str], other_cols: list[str]) -> DataFrame:
+def fill_values(df: DataFrame, num_cols: list[str], other_cols: list[str], numeric_modes: bool = True) -> DataFrame:
     """``(column_name, mean, median, mode)`` — candidate fill values per column.
 
     Mode is the most frequent value (ties to the smallest), as a string.
@@ -37,7 +39,7 @@ def fill_values(df: DataFrame, num_cols: list[str], other_cols: list[str]) -> Da
         mom = t.groupBy("column_name").agg(F.avg("value").alias("mean"))
         med = quantile_wide(t, {"median": 0.5}, ["column_name"], "value")
         parts.append(mom.join(med, "column_name", "full"))
-    modes = mode_values(df, num_cols + other_cols).select("column_name", "mode")
+    modes = mode_values(df, (num_cols if numeric_modes else []) + other_cols).select("column_name", "mode")
     if parts:
         out = parts[0].join(modes, "column_name", "full")
     else:
@@ -50,7 +52,7 @@ def fill_values(df: DataFrame, num_cols: list[str], other_cols: list[str]) -> Da
 def impute(df: DataFrame, num_cols: list[str], other_cols: list[str],
            numeric_strategy: str = "median") -> DataFrame:
     """Fill numeric columns by ``numeric_strategy`` and the rest by their mode."""
-    fv = fill_values(df, num_cols, other_cols).collect()  # one row per column
+    fv = fill_values(df, num_cols, other_cols, numeric_strategy == "mode").collect()  # one row per column
     vals = {r["column_name"]: r for r in fv}
     cols = []
     for c in df.columns:
@@ -89,10 +91,10 @@ def winsorize(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99
 
 # ---------------------------------------------------------------- PRE-7..10
 def choose_scaler(df: DataFrame, cols: list[str]) -> tuple[str, float]:
-    """Robust if max |G1| > 1, standard if > .5, else min-max (first 10 columns)."""
+    """Robust if max |G1| > 1, standard if > .5, else min-max."""
     if not cols:
         return "none", 0.0
-    g = skew_bias_corrected(df, cols[:10]).agg(F.max(F.abs("g1"))).first()[0]
+    g = skew_bias_corrected(df, cols).agg(F.max(F.abs("g1"))).first()[0]
     g = float(g) if g is not None else 0.0
     return ("RobustScaler" if g > 1 else "StandardScaler" if g > 0.5 else "MinMaxScaler"), g
 
@@ -130,16 +132,21 @@ def standardize_pop(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- PRE-11, 12
-def level_lists(df: DataFrame, cols: list[str], cap: int = ONE_HOT_MAX) -> dict[str, list | int]:
+def level_lists(df: DataFrame, cols: list[str], cap: int | None = ONE_HOT_MAX) -> dict[str, list | int]:
     """Sorted non-null levels for columns with at most ``cap`` of them; else the count.
 
-    One tall distinct pass; a column with more levels only reports its count,
-    so no unbounded list reaches the driver.
+    One tall distinct pass; a column with more levels only reports its count.  Without a ``cap``
+    every level is listed: a model with a coefficient per level has them on the driver anyway.
     """
     if not cols:
         return {}
-    t = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-           .unpivot([], cols, "column_name", "v").where(F.col("v").isNotNull()).distinct())
+    t = (df.select(*[col(c).cast("string").alias(c) for c in cols])
+           .unpivot([], [col(c) for c in cols], "column_name", "v").where(F.col("v").isNotNull()).distinct())
+    if cap is None:
+        levels: dict[str, list | int] = {c: [] for c in cols}
+        for r in t.collect():
+            levels[r["column_name"]].append(r["v"])
+        return {c: sorted(lv) for c, lv in levels.items()}
     counts = {r["column_name"]: int(r["n"]) for r in
               t.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
     out: dict[str, list | int] = {c: [] for c in cols}
@@ -206,11 +213,11 @@ def encode_categoricals(df: DataFrame, cols: list[str]) -> tuple[DataFrame, int]
 
 
 # ---------------------------------------------------------------- PRE-13 (whole pipeline)
-def auto_preprocess(df: DataFrame, contamination: float = 0.05,
-                    forest_trees: int = 100) -> tuple[DataFrame, DataFrame]:
+def auto_preprocess(df: DataFrame, contamination: float = 0.05, forest_trees: int = 100,
+                    max_cols: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Impute (median / mode), winsorise if outliers >= 1 %, scale by skew, encode.
 
-    Returns ``(data, log)``; the log has one row per decision metric.
+    The outlier tests and the winsorising look at all numeric columns (the first ``max_cols``, if given).  Returns ``(data, log)``; the log has one row per decision metric.
     """
     spark = df.sparkSession
     num, other = split_kinds(df)
@@ -226,26 +233,26 @@ def auto_preprocess(df: DataFrame, contamination: float = 0.05,
         for strat in ("Mean", "Median", "Mode"):
             log.append((1, "Missing Values", "tested", strat, "values_imputed", float(total_missing)))
         log.append((1, "Missing Values", "applied", "Median", "cols_filled", float(cols_filled)))
-        data = impute(df, num, other, "median")
+        data = cut_lineage(impute(df, num, other, "median"))
 
     if not num:
         log.append((2, "Outlier Handling", "skipped", None, "numeric_columns", 0.0))
     else:
-        first20 = num[:20]
-        oc = {r["column_name"]: int(r["outliers"]) for r in outlier_counts(data, first20).collect()}
+        tested = num[:max_cols]
+        oc = {r["column_name"]: int(r["outliers"]) for r in outlier_counts(data, tested).collect()}
         iqr_total = sum(oc.values())
         log.append((2, "Outlier Handling", "tested", "IQR", "total", float(iqr_total)))
         forest_total = 0
         if n_rows > 10:
             from .isoforest import isolation_forest_outliers
-            forest_total = isolation_forest_outliers(data, num[:15], contamination=contamination,
+            forest_total = isolation_forest_outliers(data, tested, contamination=contamination,
                                                      n_trees=forest_trees)
             log.append((2, "Outlier Handling", "tested", "IsolationForest", "total", float(forest_total)))
         detected = max(iqr_total, forest_total)
         if detected < n_rows * 0.01:
             log.append((2, "Outlier Handling", "skipped", None, "detected", float(detected)))
         else:
-            data = winsorize(data, [c for c in first20 if oc.get(c, 0) > 0])
+            data = winsorize(data, [c for c in tested if oc.get(c, 0) > 0])
             log.append((2, "Outlier Handling", "applied", "Winsorization (1st-99th percentile)",
                         "detected", float(detected)))
         chosen, g = choose_scaler(data, num)
@@ -263,10 +270,10 @@ def auto_preprocess(df: DataFrame, contamination: float = 0.05,
 
 # ---------------------------------------------------------------- CLS-1, 2
 def feature_frame(df: DataFrame, target: str, numeric_cols: list[str], other_cols: list[str],
-                  standardize: bool = False, max_levels: int = ONE_HOT_MAX,
+                  standardize: bool = False, max_levels: int | None = None,
                   keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Model input: numeric medians filled (over all rows), other columns one-hot
-    (drop first, <= ``max_levels`` levels), target non-null, constant features dropped."""
+    (drop first; every level, or no column beyond ``max_levels`` if given), target non-null, constant features dropped."""
     keep = keep or []
     feats = [c for c in numeric_cols if c != target and c not in keep]
     cats = [c for c in other_cols if c != target and c not in keep]
@@ -292,9 +299,7 @@ def feature_frame(df: DataFrame, target: str, numeric_cols: list[str], other_col
 
 
 def encode_labels(df: DataFrame, target: str, out: str = "label") -> tuple[DataFrame, list[str]]:
-    """CLS-2: sorted string order of the target -> 0, 1, ... (bounded by the class gate)."""
-    lv = level_lists(df, [target], cap=50)[target]
-    if not isinstance(lv, list):
-        raise ValueError(f"too many classes in {target}: {lv}")
-    m = F.create_map(*[x for i, v in enumerate(lv) for x in (F.lit(v), F.lit(float(i)))])
-    return df.withColumn(out, m[F.col(target).cast("string")]), lv
+    """CLS-2: sorted string order of the target -> 0, 1, ..., with no limit on the classes."""
+    lv = level_lists(df, [target], cap=None)[target]
+    codes = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(lv)], f"_level string, {quoted(out)} double")
+    return df.join(codes, col(target).cast("string") == F.col("_level"), "left").drop("_level"), lv

@@ -259,7 +259,7 @@ def penalized_params(kind: str, alpha: float, l1_ratio: float, n: int, sigma_y:
 
 
 def regression_estimators(names: list[str], n: int, sigma_y: float, trees: int = 100,
-                          boost_iter: int = 100, seed: int = 42) -> dict:
+                          boost_iter: int = 100, seed: int = 42, max_depth: int = 30) -> dict:
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
     est = {}
     for name in names:
@@ -271,7 +271,7 @@ def regression_estimators(names: list[str], n: int, sigma_y: float, trees: int =
             p = penalized_params(kind, alpha, 0.5, n, sigma_y)
             est[name] = LinearRegression(standardization=False, maxIter=500, tol=1e-9, **p)
         elif name == "Random Forest":
-            est[name] = RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", maxDepth=10,
+            est[name] = RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", maxDepth=max_depth,
                                               seed=seed)
         elif name == "Gradient Boosting":
             est[name] = GBTRegressor(maxIter=boost_iter, stepSize=0.1, maxDepth=3, seed=seed)

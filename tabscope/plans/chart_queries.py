@@ -85,7 +85,7 @@ def bars_part(spark, sf):
 
 
 @register("scatter_sample_lineitem", "CHT-4", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
        md5(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)) AS sample_key
 FROM lineitem ORDER BY sample_key LIMIT 1000""")
 def scatter_sample_lineitem(spark, sf):

@@ -53,7 +53,7 @@ def tune_session(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if unset."""
+    """Return the shared checkpoint folder; a local one is made only if unset and in local mode."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get(_CKPT_KEY, None) \
         or sc.getConf().get(_CKPT_KEY, None)
@@ -61,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError(f"set {_CKPT_KEY} to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="tabscope-ckpt-")
     sc.setCheckpointDir(path)
     spark.conf.set(_CKPT_KEY, path)
@@ -71,16 +73,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-# Row bound under which a derived table (bounds, brackets, level lists) is
-# pulled to the driver and re-sent as a local relation instead of recomputed.
-SMALL_ROWS = 50_000
-
-
-def small_or_checkpoint(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Freeze a small derived table; checkpoint it instead if it is not small."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) <= limit:
-        return df.sparkSession.createDataFrame(rows, df.schema)
-    return cut_lineage(df)

@@ -122,12 +122,14 @@ def test_chi_square_needs_two_by_two(spark):
     assert chi_squares(df, ["a", "b"], p_values=False).count() == 0
 
 
-def test_chi_square_first_four_columns_only(spark):
+def test_chi_square_pairs_all_columns(spark):
     from tabscope.operators.hypothesis import chi_squares
     df = spark.createDataFrame([tuple(f"v{(i * k) % 3}" for k in range(1, 6)) for i in range(30)],
                                "a string, b string, c string, d string, e string")
     names = {(r["variable1"], r["variable2"]) for r in chi_squares(df, df.columns, p_values=False).collect()}
-    assert all("e" not in p for p in names)
+    assert len(names) == 6 and any("e" in p for p in names)      # c is constant here: no test with it
+    names = {(r["variable1"], r["variable2"]) for r in chi_squares(df, df.columns, first=4, p_values=False).collect()}
+    assert len(names) == 3 and all("e" not in p for p in names)
 
 
 @pytest.mark.parametrize("kind,value,label", [
@@ -163,6 +165,20 @@ def test_class_limits(spark):
     from tabscope.operators.classify import compare_classifiers
     one = spark.createDataFrame([(i, float(i), "a") for i in range(30)], "k long, x double, y string")
     assert compare_classifiers(one, "y", ["x"], [], ["k"], models=["Logistic Regression"]) is None
+    many = spark.createDataFrame([(i, float(i), f"c{i % 51}") for i in range(204)], "k long, x double, y string")
+    assert compare_classifiers(many, "y", ["x"], [], ["k"], models=["Logistic Regression"]) is None
+
+
+def test_one_hot_has_no_level_limit(spark):
+    from tabscope.operators.prep import encode_labels, feature_frame
+    df = spark.createDataFrame([(float(i), None if i % 30 == 7 else f"v{i % 30:02d}", float(i % 3)) for i in range(90)],
+                               "x double, c string, y double")
+    x, names = feature_frame(df, "y", ["x"], ["c"])
+    assert names == ["x"] + [f"c_v{i:02d}" for i in range(1, 30) if i != 7]
+    assert x.agg(F.sum("c_v29")).first()[0] == 3.0
+    lab, classes = encode_labels(spark.createDataFrame([(f"k{i:03d}",) for i in range(60)] + [(None,)], "t string"), "t")
+    assert classes == [f"k{i:03d}" for i in range(60)]
+    assert sorted((r.label for r in lab.collect()), key=str)[-1] is None and lab.agg(F.max("label")).first()[0] == 59.0
 
 
 def test_clustering_guard(spark):

@@ -207,3 +207,29 @@ def test_csv_keeps_codes_and_dotted_headers(spark, tmp_path):
         (tmp_path / f"f{i}.csv").write_text(f"x\n{i}\n")
     got = load_many(spark, [str(tmp_path / f"f{i}.csv") for i in range(12)] + [str(tmp_path / "none.xyz")])
     assert len(got.tables) == 12 and got.status.count() == 13
+
+
+def test_knn_with_many_ties(spark):
+    from tabscope.operators.classify import knn_predict
+    train = spark.createDataFrame([(i, 1.0, 2.0, float(i % 100)) for i in range(300)], "k long, a double, b double, label double")
+    test = spark.createDataFrame([(1000, 1.0, 2.0), (1001, 5.0, 5.0)], "k long, a double, b double")
+    for block in (8192, 40):
+        got = {r.k: r.prediction for r in knn_predict(train, test, ["a", "b"], "k", 5, "regression", block_rows=block).collect()}
+        assert got == {1000: (0 * 3 + 1 * 2) / 5, 1001: (0 * 3 + 1 * 2) / 5}
+
+
+def test_isolation_forest_draws_copies_one_by_one(spark):
+    from tabscope.operators.isoforest import isolation_forest_flags
+    import random
+    rng = random.Random(1)
+    rows = [(i, 0.0, 0.0) for i in range(1800)] + [(i, rng.uniform(-5, 5), rng.uniform(-5, 5)) for i in range(1800, 2000)] + [(2000, None, 1.0)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    got = isolation_forest_flags(df, ["a", "b"], n_trees=50).collect()
+    assert len(got) == 2001
+    same = [r.iso_score for r in got if r.k < 1800]
+    rest = [r.iso_score for r in got if 1800 <= r.k < 2000]
+    assert max(same) == min(same) > sum(rest) / len(rest) + 0.1
+    assert sum(1 for r in got if r.is_outlier) <= 100 and not any(r.is_outlier for r in got if r.k < 1800)
+    assert [r.iso_score for r in got if r.k == 2000] == [None]
+    again = isolation_forest_flags(df.repartition(7), ["a", "b"], n_trees=50)
+    assert {r.k: r.iso_score for r in again.collect()} == {r.k: r.iso_score for r in got}
