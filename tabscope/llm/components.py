@@ -31,7 +31,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = (both.join(low, "u").where(F.col("v") > F.col("u"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct())
         # small star: every smaller neighbour, and the node itself, is sent to the smallest one
-        large = written(large, "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
         edges = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
@@ -42,4 +41,4 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     low = edges.groupBy("u").agg(F.min("v").alias("component"))
-    return low.withColumnRenamed("u", "node").union(low.select(F.col("component").alias("node"), "component").distinct())
+    return written(low.withColumnRenamed("u", "node").union(low.select(F.col("component").alias("node"), "component").distinct()), "components")

@@ -2,16 +2,19 @@
 
 A document's set holds the hashes of its distinct ``shingle``-word shingles (fewer words: the whole
 sequence is one).  Documents with equal sets form a class, named by its smallest id; the rest works on
-classes.  A signature is ``ELEMENTS`` minima of 16 bits.  Signatures are split into ``CHUNKS`` chunks; two that differ in at
-most ``2 * CHUNKS - 1`` elements differ in at most one element of some chunk (pigeonhole), so every class is indexed under
-each chunk with each one of its elements left out, and the join on these keys meets all pairs within that distance.
-Sets at similarity 0.8 differ in 9.6 of 48 elements on average; 22 or more come up for 1 pair in 30,000.
-
-Within a bucket no pair list is made.  Round 1 tests the bucket's smallest class (its leader) against the others: signature
-distance, then the full sets.  Components of the links follow.  A pair of the bucket can still matter only if
-its two classes are in different components; while such buckets are left, further leaders are tested against the
-members of other components and then leave the bucket.  So a bucket of copies costs one test per member, and no link
-that joins two components is lost.
+classes.  A signature is ``ELEMENTS`` minima of 16 bits, split into ``CHUNKS`` chunks; two that differ in at
+most ``DISTANCE`` = 2 * CHUNKS - 1 elements differ in at most one element of some chunk (pigeonhole), so every class is indexed
+under each chunk with each one of its elements left out, and the join on these keys meets all pairs within that
+distance.  Most pairs beyond it meet too: of pairs at similarity 0.8 one in 70,000 shares no key.
+
+Pairs of a bucket are not listed.  A bucket's smallest class is its leader; every other member is compared with it on the full sets, and
+the members of all buckets of one leader form its group, so a pair that shares a key shares a group.  A
+comparison leaves the member's edits to the leader: which of its shingles are missing, and which are added.
+Components of the links follow.  Members outside the leader's component are then held against the group's others in
+cells of at most about ``CELL`` x ``CELL`` members, on the edits alone: |A and B| = |L| - |missing of A or B| + |added to both|, exact.  A
+cell names for each member the smallest one it is joined to, so it gives a row per member at most.  A group costs one comparison per member as long
+as its members are joined to the leader; members that are not cost a few machine words for each
+other member, spread over the cells, without a row per pair.
 
 Nulls and ties: a document without words has an empty set and is linked with nothing; a null id is linked with nothing, has a
 null component and is kept; rows with one id are one document with all its texts, kept or not together; an empty table gives
@@ -21,14 +24,16 @@ no row.  Columns beyond id and text are not read.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, M1, SPACE, U64, arrow_schema, inside_rows, mix64, record, row_of, slices, windows, words, written
 from .components import components
 
-ELEMENTS, CHUNKS = 48, 11
+ELEMENTS, CHUNKS = 48, 9
 DISTANCE = 2 * CHUNKS - 1
+CELL = 2048
 _RNG = np.random.default_rng(20_240_601)
 _XOR = _RNG.integers(0, 1 << 63, ELEMENTS, dtype=np.uint64)
 _MUL = _RNG.integers(0, 1 << 63, ELEMENTS, dtype=np.uint64) * U64(2) + U64(1)
@@ -127,56 +132,122 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int
     return texts.join(ids, "c", "left_semi").mapInArrow(run, ddl)
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough: signature distance and sizes first, then the full sets."""
-    a = sketches.select(F.col("c").alias("u"), F.col("sig").alias("su"), F.col("n_shingles").alias("nu"))
-    b = sketches.select(F.col("c").alias("v"), F.col("sig").alias("sv"), F.col("n_shingles").alias("nv"))
-    differ = F.expr("size(filter(arrays_zip(su, sv), x -> x.su != x.sv))")
-    near = (pairs.join(b, "v").join(a, "u").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-            .where(differ <= DISTANCE).select("u", "v"))
-    a, b = sets.select(F.col("c").alias("u"), F.col("shingles").alias("su")), sets.select(F.col("c").alias("v"), F.col("shingles").alias("sv"))
-    both = F.size(F.array_intersect("su", "sv"))
-    full = near.distinct().join(b, "v").join(a, "u").select("u", "v", both.alias("both"), (F.size("su") + F.size("sv")).alias("sum"))
-    return full.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("u", "v").distinct()
+def _edits(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each member c compared with its leader u on the full sets: linked or not, sizes, shingles missing and added."""
+    ddl = "u long, c long, linked boolean, n_u int, n_c int, missing binary, added binary"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for batch in batches:
+            (ub, uo), (cb, co) = ((x.flatten().to_numpy().view(np.uint64), x.offsets.to_numpy()) for x in (batch.column(2), batch.column(3)))
+            uo, co = uo - uo[0], co - co[0]
+            out = {k: [] for k in ("linked", "n_u", "n_c", "missing", "added")}
+            for r in range(batch.num_rows):
+                u, c = ub[uo[r]:uo[r + 1]], cb[co[r]:co[r + 1]]
+                at = np.minimum(np.searchsorted(u, c), len(u) - 1)
+                both = u[at] == c
+                gone = np.ones(len(u), bool)
+                gone[at[both]] = False
+                n = int(both.sum())
+                out["linked"].append(100 * n >= percent * (len(u) + len(c) - n))
+                out["n_u"].append(len(u))
+                out["n_c"].append(len(c))
+                out["missing"].append(np.packbits(gone).tobytes())
+                out["added"].append(c[~both].tobytes())
+            yield record(schema, u=batch.column(0), c=batch.column(1), **out)
+
+    a, b = sets.select(F.col("c").alias("u"), F.col("shingles").alias("su")), sets.select("c", F.col("shingles").alias("sc"))
+    return pairs.join(b, "c").join(a, "u").select("u", "c", "su", "sc").mapInArrow(run, ddl)
+
+
+def common(n_leader: int, missing: tuple[list, list], added: tuple[list, list]) -> np.ndarray:
+    """Sizes of the intersections of the rows' sets with the columns' sets, from their edits to one leader."""
+    width = -(-n_leader // 64) * 8
+    rows, cols = (np.frombuffer(b"".join(m.ljust(width, b"\0") for m in side), np.uint64).reshape(len(side), width // 8) for side in missing)
+    either = np.zeros((len(rows), len(cols)), np.int32)
+    for w in range(rows.shape[1]):
+        either += np.bitwise_count(rows[:, w, None] | cols[None, :, w])
+    out = n_leader - either
+    where = []
+    for side in added:
+        size = [len(x) // 8 for x in side]
+        value = np.frombuffer(b"".join(side), np.uint64)
+        order = np.argsort(value, kind="stable")
+        where.append((value[order], np.repeat(np.arange(len(side)), size)[order]))
+    (va, ra), (vb, rb) = where
+    shared = np.intersect1d(va, vb)
+    spans = [np.searchsorted(v, shared, side) for v in (va, vb) for side in ("left", "right")]
+    for i, j, k, m in zip(*(x.tolist() for x in spans)):
+        out[np.ix_(ra[i:j], rb[k:m])] += 1
+    return out
+
+
+def _cell(percent: int):
+    ddl = "u long, v long"
+    schema = arrow_schema(ddl)
+
+    def run(table: pa.Table) -> pa.Table:
+        t = {k: table.column(k).to_pylist() for k in ("own", "x", "y", "c", "comp", "n_u", "n_c", "missing", "added")}
+        own, x, y = np.array(t["own"]), t["x"][0], t["y"][0]
+        rows, cols = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        pick = lambda k, at: [t[k][i] for i in at]
+        n, comp, c = (np.array(t[k], np.int64) for k in ("n_c", "comp", "c"))
+        inter = common(t["n_u"][0], (pick("missing", rows), pick("missing", cols)), (pick("added", rows), pick("added", cols)))
+        linked = (100 * inter >= percent * (n[rows, None] + n[None, cols] - inter)) & (comp[rows, None] != comp[None, cols])
+        i, j = np.nonzero(linked)
+        # the smallest class each one is joined to within the cell
+        low, a, b = c.copy(), rows[i], cols[j]
+        while len(a):
+            before = low.copy()
+            np.minimum.at(low, a, before[b])
+            np.minimum.at(low, b, before[a])
+            if (low == before).all():
+                break
+        some = low != c
+        return pa.table([c[some], low[some]], schema=schema)
+
+    return run, ddl
+
+
+def _cells(edits: DataFrame, found: DataFrame, percent: int, cell: int) -> DataFrame:
+    """Joins (u, v) between members of a group that are not both in the leader's component."""
+    comp = found.select(F.col("node").alias("c"), F.col("component").alias("comp"))
+    top = found.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    rows = (edits.drop("linked").join(comp, "c", "left").join(top, "u", "left")
+            .withColumns({"comp": F.coalesce("comp", "c"), "inside": F.coalesce("comp", "c") == F.coalesce("cu", "u")}).drop("cu"))
+    rows = written(rows, "neardup-members")
+    inside = F.col("inside").cast("int")
+    size = rows.groupBy("u").agg(F.sum(inside).alias("n_in"), F.sum(1 - inside).alias("n_out")).where("n_out > 0 AND n_in + n_out > 1")
+    blocks = size.select("u", F.ceil(F.col("n_out") / cell).cast("int").alias("n_out"), F.ceil(F.col("n_in") / cell).cast("int").alias("n_in"))
+    rows = rows.join(blocks, "u")
+    h = F.xxhash64("c")
+    own = F.when(F.col("inside"), F.col("n_out") + F.pmod(h, F.col("n_in"))).otherwise(F.pmod(h, F.col("n_out"))).cast("int")
+    # an outside block meets every block, an inside block the outside ones
+    others = F.when(F.col("inside"), F.sequence(F.lit(0), F.col("n_out") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_out") + F.col("n_in") - 1))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(others))
+    rows = rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("other", "inside", "n_in", "n_out")
+    run, ddl = _cell(percent)
+    return rows.groupBy("u", "x", "y").applyInArrow(run, ddl)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                    percent: int = 80, fan: int = 8) -> DataFrame:
-    """Per document: id, n_shingles, component_id (smallest id reachable), n_links (tested links of its class), kept."""
+                    percent: int = 80, cell: int = CELL) -> DataFrame:
+    """Per document: id, n_shingles, component_id (smallest id reachable), kept."""
     rows = written(_sketch(docs, id_col, text_col, shingle), "neardup-rows")
     classes = written(rows.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("k1", "k2", "n_shingles")
                       .agg(F.min("id").alias("c"), F.first("sig").alias("sig")), "neardup-classes")
     keys = written(_index(classes), "neardup-keys")
     lead = keys.groupBy("key").agg(F.min("c").alias("u"), F.max("c").alias("top")).where(F.col("u") < F.col("top")).drop("top")
-    # members of shared buckets besides the leader: what is left of the index for the later rounds
-    members = written(keys.join(lead, "key").where(F.col("c") != F.col("u")).select("key", "u", "c"), "neardup-members")
-    met = members.select("c").union(members.select(F.col("u").alias("c"))).distinct()
-    sketches = written(classes.join(met, "c").select("c", "n_shingles", "sig"), "neardup-sketches")
+    pairs = written(keys.join(lead, "key").where(F.col("c") != F.col("u")).select("u", "c").distinct(), "neardup-pairs")
+    met = pairs.select("c").union(pairs.select("u")).distinct()
     sets = written(_sets(docs, met, id_col, text_col, shingle), "neardup-sets")
-    pairs = members.select("u", F.col("c").alias("v")).distinct()
-    links = written(_links(pairs, sketches, sets, percent), "neardup-links")
-    found = written(components(links), "neardup-components")
-    left = members.select("key", "c")
-    while True:
-        named = left.join(found, left.c == found.node, "left").select("key", "c", F.coalesce("component", "c").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-        left = written(named.join(mixed, "key").select("key", "c", "comp"), "neardup-left")
-        if left.isEmpty():
-            break
-        place = F.row_number().over(Window.partitionBy("key").orderBy("c"))
-        leaders = written(left.select("key", F.col("c").alias("u"), F.col("comp").alias("cu"), place.alias("place"))
-                          .where(F.col("place") <= fan).drop("place"), "neardup-leaders")
-        # a pair is tested from its smaller class, so each is met once; members below a leader are leaders too
-        tests = leaders.join(left.select("key", F.col("c").alias("v"), "comp"), "key").where((F.col("cu") != F.col("comp")) & (F.col("u") < F.col("v")))
-        links = written(links.union(_links(tests.select("u", "v").distinct(), sketches, sets, percent)).distinct(), "neardup-links")
-        found = written(components(links), "neardup-components")
-        left = left.select("key", "c").join(leaders.select("key", F.col("u").alias("c")), ["key", "c"], "left_anti")
-        fan *= 4
-    degree = links.select(F.col("u").alias("c")).union(links.select(F.col("v").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
-    named = (classes.select("k1", "k2", "n_shingles", "c").join(found, F.col("c") == F.col("node"), "left").join(degree, "c", "left")
-             .select("k1", "k2", "n_shingles", F.coalesce("component", "c").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    edits = written(_edits(pairs, sets, percent), "neardup-edits")
+    links = edits.where("linked").select("u", F.col("c").alias("v"))
+    found = components(links)
+    found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_cells(edits, found, percent, cell)))
+    named = (classes.select("k1", "k2", "n_shingles", "c").join(found, F.col("c") == F.col("node"), "left")
+             .select("k1", "k2", "n_shingles", F.coalesce("component", "c").alias("comp")))
     own = rows.join(named, ["k1", "k2", "n_shingles"], "left")
     comp = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("comp"))).otherwise(F.col("id"))
     return own.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"),
-                      F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"),
                       F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
