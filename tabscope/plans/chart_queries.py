@@ -14,7 +14,6 @@ from .profile_queries import LI_NUM, LINEITEM_NULLS_SQL, ORDERS_NULLS_SQL, linei
 from .registry import register, t
 from .sqlgen import r4, tall_sql
 
-HIST_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _hist_sql(src, cols, bins=30):
@@ -32,9 +31,9 @@ SELECT g.variable, CAST(g.bin AS BIGINT) AS bin, {r4(f'lo + g.bin * {w}')} AS bi
 FROM g LEFT JOIN c ON g.variable = c.variable AND g.bin = c.bin"""
 
 
-@register("histogram_lineitem", "CHT-1", _hist_sql(LINEITEM_NULLS_SQL, HIST_COLS))
+@register("histogram_lineitem", "CHT-1", _hist_sql(LINEITEM_NULLS_SQL, LI_NUM))
 def histogram_lineitem(spark, sf):
-    return C.histogram(lineitem_nulls(spark, sf), HIST_COLS)
+    return C.histogram(lineitem_nulls(spark, sf), LI_NUM)
 
 
 CONST_SQL = "(SELECT o_totalprice, CAST(1 AS DOUBLE) AS one FROM orders)"
@@ -213,7 +212,7 @@ def kendall_part(spark, sf):
     return m.select("var1", "var2", "i", "j", fr4("r").alias("r"))
 
 
-@register("melt_lineitem", "PRJ-1", tall_sql("lineitem", ["l_quantity", "l_discount", "l_tax"]))
+@register("melt_lineitem", "PRJ-1", tall_sql("lineitem", LI_NUM))
 def melt_lineitem(spark, sf):
     from ..functions.quantiles import tall
-    return tall(t(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+    return tall(t(spark, sf, "lineitem"), LI_NUM)

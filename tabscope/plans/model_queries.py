@@ -164,7 +164,7 @@ def compare_regressors_part(spark, sf):
 def regression_importance_part(spark, sf):
     from ..operators.charts import importance_bars
     _, imp = G.compare_regressors(t(spark, sf, "part"), "p_retailprice", ["p_partkey", "p_size"],
-                                  ["p_partkey"], models=["Linear Regression", "Random Forest"], trees=10)
+                                  ["p_partkey"], trees=10, boost_iter=5)
     return importance_bars(imp)
 
 
@@ -185,7 +185,7 @@ def compare_classifiers_documents(spark, sf):
 @register("classifier_importance_documents", "EVL-7")
 def classifier_importance_documents(spark, sf):
     out = C.compare_classifiers(_docs(spark, sf), "quality", ["n_chars"], ["lang", "source"], ["doc_id"],
-                                models=["Logistic Regression", "Random Forest"], trees=10, max_iter=30)
+                                trees=10, boost_iter=5, max_iter=30)
     return out["importance"].select("model", "feature", "rank")
 
 
@@ -200,7 +200,7 @@ def margin_classifier_documents(spark, sf):
     sp = S.train_test_split(lab, ["doc_id"], 0.2, 42, F.col("label"))
     data = VectorAssembler(inputCols=names, outputCol="features").transform(sp)
     train = data.where(~F.col("is_test"))
-    m = C.classifier("SVM", train.count(), 2, max_iter=20).fit(train)
+    m = C.classifier("SVM", train.count(), 2).fit(train)
     return M.binary_metrics(m.transform(data.where(F.col("is_test")))).select(
         fr4("accuracy").alias("accuracy"), fr4("f1").alias("f1"))
 
@@ -241,12 +241,42 @@ def _knn_q(task):
                                         F.col("p_size").cast("double").alias("label"))
         s = S.train_test_split(p, ["p_partkey"])
         pred = C.knn_predict(s.where(~F.col("is_test")), s.where(F.col("is_test")), ["f1", "f2"], "p_partkey",
-                             5, task, block_rows=500)
+                             5, task)
         return pred.select(F.col("p_partkey").cast("long").alias("p_partkey"),
                            fr4("prediction").alias("prediction"))
     return q
 
 
+_TIES_SQL = f"""
+WITH d AS (SELECT p_partkey AS id, CAST(p_size // 10 AS DOUBLE) AS f, CAST(p_retailprice AS DOUBLE) AS y, p_partkey % 5 = 0 AS is_test FROM part),
+nb AS (SELECT q.id, r.y, ROW_NUMBER() OVER (PARTITION BY q.id ORDER BY ABS(q.f - r.f), r.y) AS rk FROM d q JOIN d r ON q.is_test AND NOT r.is_test)
+SELECT CAST(id AS BIGINT) AS p_partkey, {r4('AVG(y)')} AS prediction FROM nb WHERE rk <= 5 GROUP BY id"""
+
+
+@register("knn_ties_part", "KNN-1 REG-11", _TIES_SQL)
+def knn_ties_part(spark, sf):
+    """Hundreds of training rows at distance 0: the five smallest labels among them count."""
+    p = t(spark, sf, "part").select("p_partkey", F.floor(F.col("p_size") / 10).cast("double").alias("f"), F.col("p_retailprice").alias("label"))
+    test = F.col("p_partkey") % 5 == 0
+    pred = C.knn_predict(p.where(~test), p.where(test), ["f"], "p_partkey", 5, "regression")
+    return pred.select(F.col("p_partkey").cast("long").alias("p_partkey"), fr4("prediction").alias("prediction"))
+
+
+@register("feature_frame_part", "CLS-1 FLT-4", """
+WITH l AS (SELECT lv, ROW_NUMBER() OVER (ORDER BY lv) AS i FROM (SELECT DISTINCT p_brand AS lv FROM part)),
+t AS (SELECT lv, ROW_NUMBER() OVER (ORDER BY lv) AS i FROM (SELECT DISTINCT p_type AS lv FROM part))
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, 'p_brand_' || lv AS feature, CAST(p_brand = lv AS DOUBLE) AS value FROM part, l WHERE i > 1
+UNION ALL SELECT p_partkey, 'p_type_' || lv, CAST(p_type = lv AS DOUBLE) FROM part, t WHERE i > 1
+UNION ALL SELECT p_partkey, 'p_size', CAST(p_size AS DOUBLE) FROM part""")
+def feature_frame_part(spark, sf):
+    """Every level of a column with more than 15 levels has its feature."""
+    from ..functions.frames import col
+    from ..operators.prep import feature_frame
+    x, names = feature_frame(t(spark, sf, "part"), "p_retailprice", ["p_size"], ["p_brand", "p_type"], keep=["p_partkey"])
+    return x.select(F.col("p_partkey").cast("long").alias("p_partkey"), *[col(c) for c in names]) \
+        .unpivot(["p_partkey"], [col(c) for c in names], "feature", "value")
+
+
 register("knn_regressor_part", "KNN-1 REG-11", _knn_sql("regression"))(_knn_q("regression"))
 register("knn_classifier_part", "KNN-1 CLS-7", _knn_sql("classification"))(_knn_q("classification"))
 
@@ -313,8 +343,7 @@ def mutual_info_orders(spark, sf):
 
 @register("rf_importance_part", "FEA-1")
 def rf_importance_part(spark, sf):
-    return X.rf_importance(t(spark, sf, "part"), "p_retailprice", ["p_partkey", "p_size"], ["p_brand", "p_type"],
-                           trees=10).select("rank", "feature")
+    return X.rf_importance(t(spark, sf, "part"), "p_retailprice", ["p_partkey", "p_size"], ["p_brand", "p_type"]).select("rank", "feature")
 
 
 # ---------------------------------------------------------------- AML

@@ -83,12 +83,34 @@ def lms_paths_pages_marked(spark, sf):
     return lp.select(F.col("page_id").cast("long").alias("page_id"), "pattern", "path")
 
 
-@register("page_texts", "WEB-2 WEB-3")
+# the pages hold no skipped element but script and style, and no character reference but these
+_TEXT_SQL = r"""
+WITH c AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]+>', chr(10), 'g') AS s FROM pages),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(s, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS s FROM c),
+l AS (SELECT page_id, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM e)
+SELECT CAST(page_id AS BIGINT) AS page_id, CAST(length(array_to_string(l, chr(10))) AS INTEGER) AS n_chars,
+       CAST(len(l) AS INTEGER) AS n_lines, md5(array_to_string(l, chr(10))) AS text_md5 FROM l"""
+
+
+@register("page_texts", "WEB-2 WEB-3", _TEXT_SQL)
 def page_texts(spark, sf):
-    return W.page_texts(t(spark, sf, "pages")).select("page_id", "n_chars", "n_lines")
+    return W.page_texts(t(spark, sf, "pages")).select("page_id", "n_chars", "n_lines", F.md5("text").alias("text_md5"))
+
+
+def _links_sql():
+    lms = "\nUNION ALL ".join("SELECT page_id, 3, o || UNNEST(regexp_extract_all(html, '" + p.replace("'", "''") + "', 1)) FROM p" for p in W.LMS_PATHS)
+    return rf"""
+WITH p AS (SELECT *, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS o, regexp_extract(url, '^(https?://[^?#]*/)', 1) AS d FROM {PAGES_MARKED_SQL}),
+a AS (SELECT page_id, o, d, UNNEST(regexp_extract_all(html, '<(?:{"|".join(W.LINK_TAGS)})\s[^>]*?(?:{"|".join(W.LINK_ATTRS)})="([^"]+)"', 1)) AS h FROM p),
+u AS (SELECT page_id, 1 AS method, CASE WHEN h LIKE '/%' THEN o || h WHEN h LIKE 'http%' THEN h ELSE d || h END AS url
+      FROM a WHERE h NOT LIKE '#%' AND h NOT LIKE 'javascript:%'
+      UNION ALL SELECT page_id, 2, UNNEST(regexp_extract_all(html, '{_RAW_SQL}', 0)) FROM p
+      UNION ALL {lms}),
+f AS (SELECT page_id, url, MIN(method) AS method FROM u GROUP BY ALL)
+SELECT CAST(page_id AS BIGINT) AS page_id, url, method = 2 OR {_is_data_sql('url')} AS is_data, CAST(method AS INTEGER) AS method FROM f"""
 
 
-@register("page_links_pages_marked", "WEB-5 WEB-6 WEB-10")
+@register("page_links_pages_marked", "WEB-5 WEB-6 WEB-10", _links_sql())
 def page_links_pages_marked(spark, sf):
     return W.page_links(pages_marked(spark, sf)).select("page_id", "url", "is_data", "method")
 

@@ -71,7 +71,7 @@ def outlier_gate_lineitem_nulls(spark, sf):
 @register("isoforest_lineitem", "PRE-4")
 def isoforest_lineitem(spark, sf):
     li = t(spark, sf, "lineitem")
-    return isolation_forest_table(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], n_trees=50) \
+    return isolation_forest_table(li, LI_NUM) \
         .select("rows", "flagged")
 
 
@@ -169,16 +169,13 @@ def label_codes_part_nulls(spark, sf):
 
 @register("auto_preprocess_log_lineitem", "PRE-13 PRE-4 PRE-5")
 def auto_preprocess_log_lineitem(spark, sf):
-    li = lineitem_nulls(spark, sf).select("l_quantity", "l_extendedprice", "l_discount", "l_tax",
-                                          "l_returnflag", "l_linestatus")
-    _, log = P.auto_preprocess(li, forest_trees=30)
+    _, log = P.auto_preprocess(lineitem_nulls(spark, sf))
     return log
 
 
 @register("auto_preprocess_data_orders", "PRE-2 PRE-7 PRE-11 PRE-12")
 def auto_preprocess_data_orders(spark, sf):
-    o = orders_nulls(spark, sf).select("o_totalprice", "o_orderstatus", "o_orderpriority")
-    data, _ = P.auto_preprocess(o, forest_trees=30)
+    data, _ = P.auto_preprocess(orders_nulls(spark, sf))
     return data
 
 

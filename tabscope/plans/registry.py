@@ -1,8 +1,9 @@
 """Registered queries: a Spark builder and (when SQL can say it) a DuckDB oracle.
 
 Each builder takes ``(spark, sf_dir)`` and reads the whole driver tables (or
-rule-made variants of them, written identically in SQL); nothing is
-subset, capped or sampled to make the check cheap.
+rule-made variants of them, written identically in SQL); no rows are
+subset, capped or sampled to make the check cheap.  The README names the
+model queries that lower boosting rounds or the clusters tried.
 """
 
 from __future__ import annotations
