@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .classify import classifier, knn_predict
 from .metrics import accuracy, classification_metrics, regression_metrics
 from .prep import encode_labels, feature_frame
@@ -45,9 +46,17 @@ def _predict(name, model_or_none, train, test, names, task, key):
     if name == "KNN":
         tr = train.select(key, *names, "label")
         te = test.select(key, *names)
-        return knn_predict(tr, te, names, key, 5, "regression" if task == "regression" else "classification")
+        kind = {"regression": "regression", "binary_classification": "binary"}.get(task, "classification")
+        return knn_predict(tr, te, names, key, 5, kind)
     p = model_or_none.transform(test)
     cols = [key, "prediction"]
+    if name == "SVM" and task == "binary_classification":
+        # a margin has no probability of its own: a logistic fit of the label on the training margins gives one
+        from pyspark.ml.classification import LogisticRegression
+        from pyspark.ml.feature import VectorSlicer
+        margin = VectorSlicer(inputCol="rawPrediction", outputCol="margin", indices=[1])
+        fit = LogisticRegression(featuresCol="margin", probabilityCol="probability", rawPredictionCol="platt", predictionCol="platt_label")
+        p = fit.fit(margin.transform(model_or_none.transform(train))).transform(margin.transform(p))
     if "probability" in p.columns and task == "binary_classification":
         p = p.withColumn("score", vector_to_array("probability")[1])
         cols.append("score")
@@ -73,7 +82,8 @@ def auto_analyze(df: DataFrame, target: str, numeric_cols: list[str], other_cols
     k = max(2, min(5, n // 5))
     folds = kfold(sp, [key], k, seed)
     data = VectorAssembler(inputCols=names, outputCol="features").transform(folds) \
-        .select(key, *names, "label", "features", "is_test", "fold").persist()
+        .select(key, *names, "label", "features", "is_test", "fold")
+    data = cut_lineage(data)      # read by every fit
     train, test = data.where(~F.col("is_test")), data.where(F.col("is_test"))
     n_train = train.count()
     fold_sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}  # k rows

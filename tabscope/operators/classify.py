@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import col
+from ..session import cut_lineage
 from .metrics import accuracy, auc, classification_metrics, confusion_cells, roc_points
 from .prep import encode_labels, feature_frame
 from .roles import distinct_counts
 from .split import kfold, train_test_split
 
 CMP_SCHEMA = ("model string, accuracy double, precision double, recall double, f1_score double, "
-              "cv_mean double, cv_std double, auc double")
+              "cv_mean double, cv_std double, auc double, error string")
 
 
 MAX_DEPTH = 30      # MLlib's limit; the reference grows trees to the end
@@ -86,47 +87,52 @@ def compare_classifiers(df: DataFrame, target: str, numeric_cols: list[str], oth
     strat = F.col("label") if k_cls <= 10 else None
     sp = train_test_split(lab, key_cols, test_size, seed, strat)
     va = VectorAssembler(inputCols=names, outputCol="features")
-    data = va.transform(sp).select(*key_cols, "label", "features", "is_test").persist()
+    data = va.transform(sp).select(*key_cols, "label", "features", "is_test")
+    data = cut_lineage(data)      # read by every fit
     counts = [r["count"] for r in data.groupBy("label").count().collect()]
     n_splits = max(2, min(5, min(counts)))
-    folds = kfold(data, key_cols, n_splits, seed, F.col("label")).persist()
+    folds = cut_lineage(kfold(data, key_cols, n_splits, seed, F.col("label")))
     train = data.where(~F.col("is_test"))
     test = data.where(F.col("is_test"))
     n_train = train.count()
     avg = "binary" if k_cls == 2 else "macro"
     rows, imps, cms, rocs = [], [], [], []
     for name in models:
-        est = classifier(name, n_train, k_cls, trees, boost_iter, seed, max_iter)
-        m = est.fit(train)
-        pred = m.transform(test)
-        met = classification_metrics(pred, average=avg).first()
-        # k fits; the held-out predictions of all folds are scored in one grouped pass
-        fold_preds = []
-        for f in range(n_splits):
-            mf = classifier(name, n_train, k_cls, trees, boost_iter, seed, max_iter) \
-                .fit(folds.where(F.col("fold") != f))
-            fold_preds.append(mf.transform(folds.where(F.col("fold") == f)).select("fold", "label", "prediction"))
-        cv = [r["accuracy"] for r in accuracy(_union(fold_preds), ["fold"]).collect()]
-        a = None
-        if k_cls == 2 and name != "SVM":
-            sc = _score_col(pred).select("label", "score")
-            a = auc(sc).first()["auc"]
-            rocs.append(roc_points(sc).withColumn("model", F.lit(name)))
-        rows.append((name, met["accuracy"], met["precision"], met["recall"], met["f1"],
-                     float(np.mean(cv)), float(np.std(cv)), a))
-        iv = importance_vector(m, len(names))
-        imps.extend((name, f, float(v)) for f, v in zip(names, iv))
-        cms.append(confusion_cells(pred).withColumn("model", F.lit(name)))
+        try:
+            est = classifier(name, n_train, k_cls, trees, boost_iter, seed, max_iter)
+            m = est.fit(train)
+            pred = m.transform(test)
+            met = classification_metrics(pred, average=avg).first()
+            # k fits; the held-out predictions of all folds are scored in one grouped pass
+            fold_preds = []
+            for f in range(n_splits):
+                mf = classifier(name, n_train, k_cls, trees, boost_iter, seed, max_iter) \
+                    .fit(folds.where(F.col("fold") != f))
+                fold_preds.append(mf.transform(folds.where(F.col("fold") == f)).select("fold", "label", "prediction"))
+            cv = [r["accuracy"] for r in accuracy(_union(fold_preds), ["fold"]).collect()]
+            a = None
+            if k_cls == 2 and name != "SVM":
+                sc = _score_col(pred).select("label", "score")
+                a = auc(sc).first()["auc"]
+                rocs.append(roc_points(sc).withColumn("model", F.lit(name)))
+            rows.append((name, met["accuracy"], met["precision"], met["recall"], met["f1"],
+                         float(np.mean(cv)), float(np.std(cv)), a, None))
+            iv = importance_vector(m, len(names))
+            imps.extend((name, f, float(v)) for f, v in zip(names, iv))
+            cms.append(confusion_cells(pred).withColumn("model", F.lit(name)))
+        except Exception as e:      # a model that fails is a row of the comparison
+            rows.append((name,) + (None,) * 7 + (str(e)[:300],))
     cmp = spark.createDataFrame(rows, CMP_SCHEMA)
     imp = spark.createDataFrame(imps, "model string, feature string, importance double")
     w = Window.partitionBy("model").orderBy(F.col("importance").desc(), "feature")
     imp = imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 20)
     out = {"comparison": cmp, "importance": imp, "classes": spark.createDataFrame(
         [(i, c) for i, c in enumerate(classes)], "label int, class string")}
-    out["confusion"] = cms[0] if len(cms) == 1 else _union(cms)
+    if cms:
+        out["confusion"] = _union(cms)
     if rocs:
         out["roc"] = _union(rocs)
-    out["best"] = cmp.orderBy(F.col("f1_score").desc(), "model").limit(1)
+    out["best"] = cmp.where(F.col("error").isNull()).orderBy(F.col("f1_score").desc(), "model").limit(1)
     return out
 
 
@@ -174,7 +180,7 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], id_col:
     The candidates of all cells are cut to the k best by a ranked window that combines before the shuffle.  No pair of rows
     is materialised and nothing passes through the driver.  Equal distances
     rank the smaller label first.  Classification: majority vote, ties to the
-    smallest label; regression: mean label.
+    smallest label; ``binary`` adds the share of ones as ``score``; regression: mean label.
     """
     nt, nq = train.count(), test.count()
     bt, bq = max(1, -(-nt // block_rows)), max(1, -(-nq // block_rows))
@@ -199,6 +205,9 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], id_col:
     best = cand.withColumn("_r", rank).where(F.col("_r") <= k)
     if task == "regression":
         return best.groupBy(col(id_col)).agg(F.avg("_y").alias("prediction"))
+    if task == "binary":        # labels 0 and 1: the share of ones is the probability
+        share = F.avg("_y")
+        return best.groupBy(col(id_col)).agg((share > 0.5).cast("double").alias("prediction"), share.alias("score"))
     votes = best.groupBy(col(id_col), "_y").count()
     w = Window.partitionBy(col(id_col)).orderBy(F.col("count").desc(), F.col("_y"))
     return (votes.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)

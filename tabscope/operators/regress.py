@@ -306,17 +306,17 @@ def compare_regressors(df: DataFrame, y: str, xs: list[str], key_cols: list[str]
                   *[F.col(c).cast("double").alias(c) for c in xs if c not in key_cols]).na.drop()
     feats = [c for c in xs]
     n = d.count()
-    cmp_schema = "model string, r2 double, rmse double, mae double, cv_r2_mean double, cv_r2_std double"
+    cmp_schema = "model string, r2 double, rmse double, mae double, cv_r2_mean double, cv_r2_std double, error string"
     if n < 20:
         return spark.createDataFrame([], cmp_schema), spark.createDataFrame([], "feature string, importance double")
     k = min(5, n // 5)
     va = VectorAssembler(inputCols=feats, outputCol="features")
-    data = va.transform(kfold(d, key_cols, k, seed)).select("label", "features", "fold").persist()
+    data = cut_lineage(va.transform(kfold(d, key_cols, k, seed)).select("label", "features", "fold"))
     sigma = data.agg(F.stddev_pop("label")).first()[0] or 1.0
     est = regression_estimators(models, n, sigma, trees, boost_iter, seed)
     rows, imps = [], []
-    try:
-        for name, e in est.items():
+    for name, e in est.items():
+        try:
             m = e.fit(data)
             ins = regression_metrics(m.transform(data)).first()
             # k fits; the held-out predictions of all folds are scored in one grouped pass
@@ -326,10 +326,10 @@ def compare_regressors(df: DataFrame, y: str, xs: list[str], key_cols: list[str]
                 pf = mf.transform(data.where(F.col("fold") == f)).select("fold", "label", "prediction")
                 preds = pf if preds is None else preds.unionByName(pf)
             folds = [r["r2"] for r in regression_metrics(preds, ["fold"]).collect()]
-            rows.append((name, ins["r2"], ins["rmse"], ins["mae"], float(np.mean(folds)), float(np.std(folds))))
+            rows.append((name, ins["r2"], ins["rmse"], ins["mae"], float(np.mean(folds)), float(np.std(folds)), None))
             imps.extend(_importance(m, feats))
-    finally:
-        data.unpersist()
+        except Exception as problem:      # a model that fails is a row of the comparison
+            rows.append((name,) + (None,) * 5 + (str(problem)[:300],))
     cmp = spark.createDataFrame(rows, cmp_schema)
     imp = (spark.createDataFrame(imps, "feature string, importance double")
                 .groupBy("feature").agg(F.sum("importance").alias("importance")))

@@ -366,10 +366,38 @@ def detect_task_tables(spark, sf):
 def auto_ml_documents(spark, sf):
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
     res = A.auto_analyze(d.select("doc_id", "n_chars", "lang", "quality"), "quality", ["n_chars"], ["lang"],
-                         "doc_id", models=["Logistic Regression", "Random Forest", "KNN"], trees=10, max_iter=30)
+                         "doc_id", trees=10, boost_iter=5, max_iter=30)
     return res["leaderboard"].select("model", fr4("f1_score").alias("f1_score"), fr4("cv_mean").alias("cv_mean"))
 
 
+VOTES_SQL = "SELECT o_orderkey AS k, CAST(o_orderkey % 3 AS DOUBLE) AS a, CAST(o_custkey % 3 AS DOUBLE) AS b, CAST(length(o_orderpriority) % 3 AS DOUBLE) AS c FROM orders"
+
+
+def _votes(spark, sf):
+    return t(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 3).cast("double").alias("a"),
+                                         (F.col("o_custkey") % 3).cast("double").alias("b"),
+                                         (F.length("o_orderpriority") % 3).cast("double").alias("c"))
+
+
+def _vote_q(task, score):
+    def q(spark, sf):
+        v = _votes(spark, sf)
+        preds = [v.select("k", F.col(c).alias("prediction"), *([(F.col(c) / 2).alias("score")] if score else [])) for c in "abc"]
+        return A.vote(preds, "k", task).select("k", fr4("prediction").alias("prediction"))
+    return q
+
+
+# voting on three fixed prediction columns: majority (ties to the smallest), mean, mean probability over a half
+register("vote_hard_orders", "AML-6", f"""
+WITH v AS ({VOTES_SQL}), u AS (SELECT k, a AS p FROM v UNION ALL SELECT k, b FROM v UNION ALL SELECT k, c FROM v),
+n AS (SELECT k, p, COUNT(*) AS n FROM u GROUP BY ALL)
+SELECT k, p AS prediction FROM n QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY n DESC, p) = 1""")(
+    _vote_q("multiclass_classification", False))
+register("vote_mean_orders", "AML-6", f"SELECT k, {r4('(a + b + c) / 3')} AS prediction FROM ({VOTES_SQL})")(_vote_q("regression", False))
+register("vote_soft_orders", "AML-6", f"SELECT k, CAST((a / 2 + b / 2 + c / 2) / 3 > 0.5 AS DOUBLE) AS prediction FROM ({VOTES_SQL})")(
+    _vote_q("binary_classification", True))
+
+
 @register("auto_ml_part", "AML-3 AML-4 AML-6 REG-9 REG-11")
 def auto_ml_part(spark, sf):
     p = t(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_type")

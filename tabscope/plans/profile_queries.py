@@ -92,6 +92,16 @@ for _name, _cols in _ROLE_TABLES.items():
     register(f"roles_{_name}", "SCH-1 SCH-2", _roles_sql(_name, _cols))(_roles_q(_name))
 
 
+@register("role_flags_part", "SCH-2", f"""
+SELECT position, column_name, role, column_name = 'p_retailprice' AS is_target,
+       role = 'numeric' AND column_name <> 'p_retailprice' AS is_predictor
+FROM ({_roles_sql("part", _ROLE_TABLES["part"])})""")
+def role_flags_part(spark, sf):
+    """Target and predictor flags beside the roles."""
+    return R.column_roles(t(spark, sf, "part"), "p_retailprice").select(
+        F.col("position").cast("long").alias("position"), "column_name", "role", "is_target", "is_predictor")
+
+
 ORDERS_COLS = [("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "string"),
                ("o_totalprice", "numeric"), ("o_orderdate", "datetime"),
                ("o_orderpriority", "string")]
