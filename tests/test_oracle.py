@@ -37,6 +37,13 @@ def test_contract_keys():
     assert len(q) >= 100
 
 
+def test_other_queries_without_the_training_data_package(monkeypatch):
+    import sys
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)       # as if it were deleted
+    names = set(E.queries())
+    assert len(names) >= 120 and not any(n == "pipeline" or n.startswith("op1") for n in names)
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
