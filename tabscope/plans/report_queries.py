@@ -136,3 +136,11 @@ def findings_with_models_part(spark, sf):
     p = t(spark, sf, "part")
     _, st = ols(p, "p_retailprice", ["p_partkey", "p_size"])
     return FD.findings(p, *FD.model_findings(regression_stats=st))
+
+
+@register("findings_analyze_documents", "FND-1 FND-3")
+def findings_analyze_documents(spark, sf):
+    """The whole run on labelled documents: every section of the findings is filled."""
+    from ..operators.analyze import analyze
+    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id").select("doc_id", "n_chars", "toxic", "lang", "source", "quality")
+    return analyze(d, "quality", "doc_id", trees=10, boost_iter=5, max_k=4, restarts=1)["findings"].select("section", "metric")

@@ -233,3 +233,37 @@ def test_isolation_forest_draws_copies_one_by_one(spark):
     assert [r.iso_score for r in got if r.k == 2000] == [None]
     again = isolation_forest_flags(df.repartition(7), ["a", "b"], n_trees=50)
     assert {r.k: r.iso_score for r in again.collect()} == {r.k: r.iso_score for r in got}
+
+
+def test_analyze_fills_the_findings(spark):
+    import random
+    from tabscope.operators.analyze import analyze
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        a = rng.gauss(0, 1)
+        rows.append((i, a, a * 2 + rng.gauss(0, .1), rng.choice("xy"), rng.choice("pqr"), int(a > 0)))
+    df = spark.createDataFrame(rows, "k long, a double, b double, c string, d string, y int")
+    out = analyze(df, "y", "k", trees=3, boost_iter=2, max_k=3, restarts=1)
+    got = {(r.section, r.metric): r.value for r in out["findings"].collect()}
+    assert float(got["classification", "f1_score"]) > 0.9 and 0 < float(got["regression", "r2"]) < 1
+    assert int(got["hypothesis", "total_tests"]) > 0 and got["clustering", "best_k"] in "23" and got["data", "n_rows"] == "120"
+    assert {r.model for r in out["regressors"].collect()} == {"Linear Regression", "Random Forest", "Gradient Boosting"}
+
+
+def test_failing_model_is_a_row(spark, monkeypatch):
+    from tabscope.operators import classify, regress
+    df = spark.createDataFrame([(i, float(i % 7), float(i), "ab"[i % 2]) for i in range(40)], "k long, x double, y double, c string")
+    real = classify.classifier
+
+    class Broken:
+        def fit(self, data):
+            raise ValueError("no fit")
+    monkeypatch.setattr(classify, "classifier", lambda name, *a: Broken() if name == "Random Forest" else real(name, *a))
+    got = {r.model: r for r in classify.compare_classifiers(df, "c", ["x", "y"], [], ["k"], models=["Logistic Regression", "Random Forest"])["comparison"].collect()}
+    assert got["Random Forest"].error == "no fit" and got["Random Forest"].f1_score is None
+    assert got["Logistic Regression"].error is None and got["Logistic Regression"].accuracy is not None
+    real_r = regress.regression_estimators
+    monkeypatch.setattr(regress, "regression_estimators", lambda names, *a: {"Lasso": Broken(), **real_r(["Linear Regression"], *a)})
+    cmp, _ = regress.compare_regressors(df, "y", ["x"], ["k"], models=["Lasso", "Linear Regression"])
+    assert {r.model: r.error for r in cmp.collect()} == {"Lasso": "no fit", "Linear Regression": None}
