@@ -215,7 +215,7 @@ def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, largest: floa
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-            shard_rows: int = 8_192, degree: int = 20, beam: int = 160) -> DataFrame:
+            shard_rows: int = 4_096, degree: int = 20, beam: int = 160) -> DataFrame:
     """(query_id, rank, id, score) of the ``k`` nearest found for each row whose id is divisible by ``every``."""
     rows = written(usable(vectors, id_col, vec_col), "ann-rows")
     n, largest = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()
