@@ -36,10 +36,12 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     groups = written(near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "pipeline-groups")
     gone = groups.where(~F.col("kept")).select("doc_id").distinct()
     again = groups.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return kept
     rest = [c for c in docs.columns if c != "doc_id"]
     once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return kept.join(again, "doc_id", "left_anti").unionByName(once.select(*docs.columns))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,7 +129,8 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int
                 yield record(schema, c=part.column(0), shingles=[h[a:b].view(np.int64) for a, b in zip(at[:-1], at[1:])])
 
     texts = docs.select(F.col(id_col).cast("long").alias("c"), text_col)
-    return texts.join(ids, "c", "left_semi").mapInArrow(run, ddl)
+    # the same join at every size: a broadcast below a threshold would make the shuffle grow in a step
+    return texts.join(ids.hint("merge"), "c", "left_semi").mapInArrow(run, ddl)
 
 
 def _edits(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
