@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ensure_checkpoint_dir  # noqa: F401
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20       # of operators that hold about 60 bytes for each byte of a slice
+WIDE_SLICE = 1 << 22        # of those that hold little beside the text, and gain from more of it
 U64 = np.uint64
 # odd 64-bit multipliers of the mixing steps
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, record, shared_path, slices
+from .common import WIDE_SLICE, arrow_schema, record, shared_path, slices
 from .encode import encoder, with_end
 
 SHARD_TOKENS = 1 << 21
@@ -166,7 +166,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
             keys, held, lengths, size, shard = [], [], [], 0, shard + 1
             return row
         for batch in batches:
-            for rows, buf, off in slices(batch, text_col):
+            for rows, buf, off in slices(batch, text_col, WIDE_SLICE):
                 ids, at = with_end(*encode(buf, off), end_id)
                 keys += rows.column(rows.schema.get_field_index(id_col)).to_pylist()
                 held.append(ids)
