@@ -4,7 +4,8 @@ Two zstandard dictionaries are trained, one on pieces of well and one on pieces
 texts.  A text is cut into pieces of ``PIECE`` bytes (all of it), each compressed with either
 dictionary; with sizes g and b summed over the pieces, the measure is (b - g) / (b + g), so
 text that the good dictionary explains better is above 0.  A logistic fit on labelled rows that
-trained neither dictionary turns the measure into a probability.
+trained neither dictionary turns the measure into a probability; its rows are weighted to the class shares of
+all training labels.
 
 Fitting reads at most ``per_class`` labelled rows of each class (20,000 by default: hash order,
 one half for the dictionaries, the other for the fit) and ``pieces`` pieces a class for a dictionary
@@ -66,7 +67,7 @@ def train_dictionary(pieces: list[bytes]) -> bytes:
 
 def fit(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, pieces: int) -> tuple[list[bytes], tuple]:
     """Dictionaries [good, bad] and the logistic fit, from a bounded sample of labelled ids."""
-    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(text_col, "y", "half")
+    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(text_col, "y", "weight", "half")
     cut_ddl = "y int, piece binary"
     cut_schema = arrow_schema(cut_ddl)
 
@@ -83,18 +84,18 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, pieces:
     for label in (1, 0):
         got = of.where(F.col("y") == label).orderBy(F.xxhash64("piece"), "piece").limit(pieces).collect()
         dictionaries.append(train_dictionary([bytes(r.piece) for r in got]))
-    meas_ddl = "y int, x double"
+    meas_ddl = "y int, weight double, x double"
     meas_schema = arrow_schema(meas_ddl)
 
     def measured(batches):
         packers = compressors(dictionaries)
         for batch in batches:
             for part, buf, off in slices(batch, text_col):
-                yield record(meas_schema, y=part.column(1), x=measure(buf, off, packers))
+                yield record(meas_schema, y=part.column(1), weight=part.column(2), x=measure(buf, off, packers))
 
-    got = rows.where("half = 1").select(text_col, "y").mapInArrow(measured, meas_ddl).collect()
+    got = rows.where("half = 1").select(text_col, "y", "weight").mapInArrow(measured, meas_ddl).collect()
     got.sort()
-    return dictionaries, platt(np.array([r.x for r in got]), np.array([r.y for r in got]))
+    return dictionaries, platt(*(np.array([r[c] for r in got]) for c in ("x", "y", "weight")))
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",

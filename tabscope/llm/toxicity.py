@@ -8,8 +8,8 @@ adds ``penalty`` times the squared difference of the two linear scores, so a wei
 pushed to 0.
 
 Fitting reads at most ``per_class`` labelled rows of each class (6,000 by default, hash order; equal
-texts count once) and keeps at most ``features`` features, whatever the size of the tables;
-scoring reads every whole text.  Feature counts are summed on Spark; the driver holds the kept features and the rows' feature numbers.
+texts are one row with the weight of all) and keeps at most ``features`` features, whatever the size of the tables;
+the rows are weighted to the class shares of all training labels.  Scoring reads every whole text.  Feature counts are summed on Spark; the driver holds the kept features and the rows' feature numbers.
 
 Nulls and ties: a null text counts as empty; an empty text gets the score of a text without any kept
 feature; an id with several labels takes the largest; without labels of both classes the score is the smoothed share of
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, arrow_schema, record, row_of, slices, span_hash, words, written
-from .labelled import sigmoid, training_labels
+from .labelled import mean_one, sigmoid, training_labels
 
 STEMS = (4, 5, 6)
 # fixed values: identity terms by class; a term is swapped for the next one of its class
@@ -113,26 +113,27 @@ def _counts(rows: DataFrame, text_col: str) -> DataFrame:
             .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
 
 
-def fit_weights(rows: list[tuple[int, np.ndarray, np.ndarray | None]], n: int, penalty: float, ridge: float,
+def fit_weights(rows: list[tuple[int, np.ndarray, np.ndarray | None]], weight: np.ndarray, n: int, penalty: float, ridge: float,
                 rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic weights of (label, features, features of the twin or None); full-batch Adam, fixed start."""
-    y = np.array([r[0] for r in rows], float)
+    """Logistic weights of (label, features, features of the twin or None), each row with its own weight; full-batch Adam, fixed start."""
+    y, weight = np.array([r[0] for r in rows], float), mean_one(weight)
     at = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     col = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, int)
     # the twin's difference: +1 for features only in the text, -1 for features only in the twin
     twins = [(np.setdiff1d(r[1], r[2]), np.setdiff1d(r[2], r[1])) for r in rows if r[2] is not None]
+    d_weight = weight[[r[2] is not None for r in rows]]
     d_at = np.repeat(np.arange(len(twins)), [len(a) + len(b) for a, b in twins])
     d_col = np.concatenate([np.concatenate(t) for t in twins]).astype(int) if twins else np.zeros(0, int)
     d_sign = np.concatenate([np.concatenate([np.ones(len(a)), -np.ones(len(b))]) for a, b in twins]) if twins else np.zeros(0)
-    prior = (y.sum() + 0.5) / (len(y) + 1)
+    prior = ((weight * y).sum() + 0.5) / (len(y) + 1)
     w = np.zeros(n + 1)
     w[n] = np.log(prior / (1 - prior))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, rounds + 1):
-        g = (sigmoid(np.bincount(at, w[col], minlength=len(y)) + w[n]) - y) / max(1, len(y))
+        g = weight * (sigmoid(np.bincount(at, w[col], minlength=len(y)) + w[n]) - y) / max(1, len(y))
         grad = np.append(np.bincount(col, g[at], minlength=n) + ridge * w[:n], g.sum())
         if len(twins):
-            diff = np.bincount(d_at, w[d_col] * d_sign, minlength=len(twins))
+            diff = d_weight * np.bincount(d_at, w[d_col] * d_sign, minlength=len(twins))
             grad[:n] += 2 * penalty / len(y) * np.bincount(d_col, diff[d_at] * d_sign, minlength=n)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= 0.15 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
@@ -142,9 +143,9 @@ def fit_weights(rows: list[tuple[int, np.ndarray, np.ndarray | None]], n: int, p
 def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text", features_kept: int = 2048,
         penalty: float = 4.0, ridge: float = 2e-5, support: int = 3) -> Model:
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
-    # equal texts count once, as toxic if any of them is marked so; at most 2 x per_class rows
-    rows = rows.groupBy(text_col).agg(F.max("y").alias("y"))
-    rows = written(rows.select(F.coalesce(text_col, F.lit("")).alias(text_col), "y"), "toxicity-sample")
+    # equal texts are one row, toxic if any of them is marked so; at most 2 x per_class rows
+    rows = rows.groupBy(F.coalesce(text_col, F.lit("")).alias(text_col)).agg(F.max("y").alias("y"), F.sum("weight").alias("weight"))
+    rows = written(rows, "toxicity-sample")
     n1, n0 = (x or 0 for x in rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
     if not n1 or not n0:
         share = (n1 + 0.5) / (n1 + n0 + 1.0)
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
             .orderBy(F.desc(rate * F.log(rate / other)), "feature").limit(features_kept).select("feature").collect())
     keys = np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
     model = Model(keys, np.zeros(len(keys)), 0.0)
-    ddl = "y int, found array<int>, twin array<int>"
+    ddl = "y int, weight double, found array<int>, twin array<int>"
     schema = arrow_schema(ddl)
 
     def per_row(buf, off):
@@ -173,12 +174,12 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
                     at = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
                     for i, f in zip(named, per_row(np.frombuffer(b"".join(data), np.uint8), at)):
                         twin[i] = f
-                yield record(schema, y=part.column(1), found=per_row(buf, off), twin=twin)
+                yield record(schema, y=part.column(1), weight=part.column(2), found=per_row(buf, off), twin=twin)
 
-    got = rows.select(text_col, "y").mapInArrow(run, ddl).collect()     # feature numbers only: 2 x per_class rows at most
-    got = sorted((r.y, r.found, r.twin is None, r.twin or []) for r in got)
-    data = [(y, np.array(f, int), None if none else np.array(t, int)) for y, f, none, t in got]
-    weights, offset = fit_weights(data, len(keys), penalty, ridge)
+    got = rows.select(text_col, "y", "weight").mapInArrow(run, ddl).collect()     # feature numbers only: 2 x per_class rows at most
+    got = sorted((r.y, r.found, r.twin is None, r.twin or [], r.weight) for r in got)
+    data = [(y, np.array(f, int), None if none else np.array(t, int)) for y, f, none, t, _ in got]
+    weights, offset = fit_weights(data, np.array([r[-1] for r in got]), len(keys), penalty, ridge)
     return Model(keys, weights, offset)
 
 

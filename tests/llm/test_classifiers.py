@@ -127,3 +127,24 @@ def test_counterfactual_penalty_moves_weight_off_identity_terms(spark):
     assert result[50.0, 1] < result[0.0, 1] - 0.1 and result[50.0, 1] < 0.5
     assert result[50.0, 2] > 0.7
     assert toxicity.swapped("A Muslim woman") == "A christian man"
+
+
+def test_capped_sample_keeps_the_class_shares(spark, tables):
+    # labels that do not depend on the text: every score is near the share of ones, whatever the cap
+    docs = tables[0].select("doc_id", "text")
+    marks = docs.select("doc_id", (F.col("doc_id") % 10 != 0).cast("int").alias("quality"))
+    sample = labelled.training_labels(marks, "quality", 60).groupBy("y").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()
+    counts = {r.quality: r["count"] for r in marks.groupBy("quality").count().collect()}
+    assert {r.y: r.n for r in sample} == {0: 60, 1: 60} and all(abs(r.w - counts[r.y]) < 1e-6 for r in sample)
+    got = quality.score(docs, marks, per_class=60).agg(F.avg("score")).first()[0]
+    assert 0.8 < got < 0.97
+    # half of the 100 toxic and 5 % of the 900 other texts hold the word: 50 of 95 are toxic
+    rows, marks = [], []
+    for i in range(1000):
+        toxic = int(i % 10 == 0)
+        rows.append((i, f"text{i} part{i % 7} {'grump' if i // 10 % (2 if toxic else 20) == 0 else 'friend'}"))
+        marks.append((i, toxic))
+    docs = spark.createDataFrame([*rows, (5000, "grump")], "doc_id long, text string")
+    marks = spark.createDataFrame(marks, "doc_id long, toxic int")
+    for cap in (1000, 100):
+        assert 0.4 < toxicity.score(docs, marks, per_class=cap).where("doc_id = 5000").first().toxicity_score < 0.65, cap
