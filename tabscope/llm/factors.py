@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import M2, M3, SPACE, U64, mix64, words
-from .repeats import Task, mark, powers, row_sums, span_counts
+from .common import SPACE, words
+from .repeats import Task, mark, row_sums, span_counts, window_hashes
 
 
 def word_units(buf: np.ndarray, off: np.ndarray):
@@ -32,19 +32,11 @@ def word_units(buf: np.ndarray, off: np.ndarray):
 
 def pack_windows(length: int):
     def pack(source, a, chosen):
-        unit = source[2]
-        n = len(unit)
-        power, inverse = powers(n)
-        out = []
-        for salt in (M2, M3):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(mix64(unit ^ salt) * power[:n], out=total[1:])
-            out.append((total, mix64))
-        data = []
-        for low, high in zip(a.low[chosen].tolist(), a.high[chosen].tolist()):
-            h = [mix64((t[low + length:high + length + 1] - t[low:high + 1]) * inverse[low:high + 1]) for t, _ in out]
-            data.append(np.stack(h, axis=1).astype("<u8").tobytes())
-        return data
+        low, n = a.low[chosen], a.high[chosen] - a.low[chosen] + 1
+        last = np.cumsum(n)
+        h = window_hashes(source[2], np.repeat(low - last + n, n) + np.arange(int(n.sum())), length)
+        data = memoryview(np.stack(h, axis=1).astype("<u8").tobytes())
+        return [bytes(data[16 * (e - k):16 * e]) for e, k in zip(last.tolist(), n.tolist())]
     return pack
 
 
@@ -76,8 +68,8 @@ def _finish(buf, off, source, rows, mask):
 
 
 def remove_repeated_words(docs: DataFrame, length: int = 35, gram: int = 15, id_col: str = "doc_id", text_col: str = "text",
-                          keep: tuple[str, ...] = ()) -> DataFrame:
+                          keep: tuple[str, ...] = (), hot: int | None = None) -> DataFrame:
     """Per row: id, ``keep`` columns, n_words, n_removed, n_spans and kept words joined by one space."""
     task = Task(units=word_units, length=length, gram=gram, elsewhere=True, pack=pack_windows(length), settle=settle_windows,
                 finish=_finish, finish_ddl="n_words long, n_removed long, n_spans long, kept string")
-    return mark(docs, task, id_col, text_col, keep)
+    return mark(docs, task, id_col, text_col, keep, hot)

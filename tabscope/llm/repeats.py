@@ -8,6 +8,8 @@ at the same place, and an anchor serves a run of windows.  The units of that run
 2. ``resolve``: in a bucket, a gram that one document alone holds is done.  Where a whole context comes up again, all its windows do.
    Grams with several contexts stay open.  Both facts go back to the documents as (id, context, flag).
 3. The open contexts alone are sent once more, and ``settle`` (given by the operator) compares their windows exactly.
+   A gram with more than ``HOT`` open contexts is not settled in one group: its windows go one by one through a Spark
+   aggregate on their 128-bit hashes (copies combine before the shuffle) and a join back.
 4. Each document puts the answers on its own anchors and marks the covered units.
 
 The texts are shuffled once (steps 3 and 4 read the same exchange); nothing is broadcast or collected.  Records of one gram meet in one bucket, as
@@ -24,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, U64, arrow_schema, cover, inside_rows, leftmost_min, mix64, record, row_of, slices, written
+from .common import M1, M2, M3, U64, arrow_schema, cover, inside_rows, leftmost_min, mix64, record, row_of, slices, written
 
 COVERED, OPEN, COVERED_OPEN = 0, 1, 2
+IS_HOT = 4              # added to the flag
+HOT = 50_000            # open contexts of a gram that one group settles; about 100 MB at 31 windows each
 _INVERSE = U64(pow(int(M1), -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -42,6 +46,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def window_hashes(unit: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
+    """Two 64-bit hashes of the ``length`` units from each start."""
+    n = len(unit)
+    power, inverse = powers(n)
+    out = []
+    for salt in (M2, M3):
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix64(unit ^ salt) * power[:n], out=total[1:])
+        out.append(mix64((total[start + length] - total[start]) * inverse[start]))
+    return out
+
+
 @dataclass
 class Anchors:
     place: np.ndarray      # unit of the anchor
@@ -93,6 +109,7 @@ INDEX_DDL = "bucket int, docs binary, gram binary, context binary, doc binary"
 REPLY_DDL = "id long, reply long"
 OPEN_DDL = "bucket int, id long, key long, weight int, n int, data binary"
 MASK_DDL = "id long, key long, mask long"
+WINDOW_DDL = "h1 long, h2 long, id long, key long, j int, weight int"
 
 
 def _low_bytes(x: np.ndarray, n: int) -> bytes:
@@ -136,7 +153,7 @@ def index(docs: DataFrame, task: Task, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, INDEX_DDL)
 
 
-def _resolver(task: Task):
+def _resolver(task: Task, hot: int):
     schema = arrow_schema(REPLY_DDL)
 
     def run(table: pa.Table) -> pa.Table:
@@ -160,8 +177,9 @@ def _resolver(task: Task):
             covered = doc > doc[at_c][c]
             is_open = several & shared & ~covered
         flag = np.where(covered, np.where(is_open, COVERED_OPEN, COVERED), OPEN)
+        flag += IS_HOT * (is_open & (np.add.reduceat(is_open.astype(np.int64), at_g) > hot)[g])
         told = covered | is_open
-        return pa.table({"id": doc[told], "reply": context[told] * 4 + flag[told]}, schema=schema)
+        return pa.table({"id": doc[told], "reply": context[told] * 8 + flag[told]}, schema=schema)
 
     return run
 
@@ -182,40 +200,69 @@ def _replies(part: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(size)), size), column.flatten()
 
 
-def mark(docs: DataFrame, task: Task, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, the columns named in ``keep`` and what ``task.finish`` gives."""
+def _settle_hot(windows: DataFrame, elsewhere: bool) -> DataFrame:
+    """Masks of the windows of hot grams, as ``Task.settle`` gives them, without a group per gram."""
+    # rows with one id and equal texts send a window twice: kept once
+    windows = windows.dropDuplicates(["h1", "h2", "id", "key", "j", "weight"])
+    found = windows.groupBy("h1", "h2").agg(F.min("id").alias("low"), F.max("id").alias("top"), F.sum("weight").alias("times"))
+    found = found.where("times > 1" if elsewhere else "low < top").select("h1", "h2", "low")
+    hits = windows.join(found.hint("merge"), ["h1", "h2"])
+    return (hits if elsewhere else hits.where("id > low")).groupBy("id", "key").agg(F.expr("bit_or(shiftleft(1L, j))").alias("mask"))
+
+
+def mark(docs: DataFrame, task: Task, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
+         hot: int | None = None) -> DataFrame:
+    """Per row: id, the columns named in ``keep`` and what ``task.finish`` gives.
+
+    ``hot`` (``HOT`` by default) says from how many open contexts a gram is settled by the aggregate; results are the same.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     packed = index(base.where(F.col("id").isNotNull()).select("id", "text"), task, buckets)
-    reply = written(packed.groupBy("bucket").applyInArrow(_resolver(task), REPLY_DDL), "repeats-reply")
+    reply = written(packed.groupBy("bucket").applyInArrow(_resolver(task, HOT if hot is None else hot), REPLY_DDL), "repeats-reply")
     # asked for by the same plan twice: the exchange of the texts is made once and read again
     texts = base.repartition(parts, "id").join(reply.groupBy("id").agg(F.collect_list("reply").alias("replies")), "id", "left")
-    open_schema, mask_schema = arrow_schema(OPEN_DDL), arrow_schema(MASK_DDL)
-
-    def send(batches):
+    open_schema, mask_schema, window_schema = (arrow_schema(x) for x in (OPEN_DDL, MASK_DDL, WINDOW_DDL))
+
+    def chosen_of(part, unit, rows, row, told, want):
+        """Anchors, places of the open contexts with the flags in ``want``, their ids and weights."""
+        a = anchors(unit, rows, task.length, task.gram)
+        flag = _flags(a, row, told >> 3, told & 7, COVERED)
+        chosen = np.flatnonzero(np.isin(flag, want))
+        # the same context again in the document: sent once, with its weight
+        order = chosen[np.lexsort((a.context[chosen], a.row[chosen]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (a.row[order][1:] != a.row[order][:-1]) | (a.context[order][1:] != a.context[order][:-1])
+        first = order[new]
+        times = np.diff(np.append(np.flatnonzero(new), len(order)))
+        weight = np.minimum(2, np.where(flag[first] & 3 == COVERED_OPEN, 2, times))
+        ids = np.array(part.column(0).to_pylist(), dtype=object)[a.row[first]]
+        return a, first, ids, weight
+
+    def opened_rows(batches, want):
         for batch in batches:
             for part, buf, off in slices(batch):
                 row, told = _replies(part, "replies")
                 told = told.to_numpy(zero_copy_only=False).astype(np.int64)
-                if not (told & 3 != COVERED).any():
-                    continue
-                unit, rows, source = task.units(buf, off)
-                a = anchors(unit, rows, task.length, task.gram)
-                flag = _flags(a, row, told >> 2, told & 3, COVERED)
-                chosen = np.flatnonzero(flag != COVERED)
-                # the same context again in the document: sent once, with its weight
-                order = chosen[np.lexsort((a.context[chosen], a.row[chosen]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (a.row[order][1:] != a.row[order][:-1]) | (a.context[order][1:] != a.context[order][:-1])
-                first = order[new]
-                times = np.diff(np.append(np.flatnonzero(new), len(order)))
-                weight = np.minimum(2, np.where(flag[first] == COVERED_OPEN, 2, times))
-                ids = np.array(part.column(0).to_pylist(), dtype=object)[a.row[first]]
-                yield record(open_schema, bucket=((a.gram[first] >> U64(40)) % U64(buckets)).astype(np.int64), id=ids.tolist(),
-                             key=a.context[first], weight=weight, n=a.high[first] - a.low[first] + 1, data=task.pack(source, a, first))
+                if np.isin(told & 7, want).any():
+                    unit, rows, source = task.units(buf, off)
+                    yield (unit, source, *chosen_of(part, unit, rows, row, told, want))
+
+    def send(batches):
+        for unit, source, a, first, ids, weight in opened_rows(batches, (OPEN, COVERED_OPEN)):
+            yield record(open_schema, bucket=((a.gram[first] >> U64(40)) % U64(buckets)).astype(np.int64), id=ids.tolist(),
+                         key=a.context[first], weight=weight, n=a.high[first] - a.low[first] + 1, data=task.pack(source, a, first))
+
+    def send_hot(batches):
+        for unit, source, a, first, ids, weight in opened_rows(batches, (OPEN + IS_HOT, COVERED_OPEN + IS_HOT)):
+            n = a.high[first] - a.low[first] + 1
+            j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            h1, h2 = window_hashes(unit, np.repeat(a.low[first], n) + j, task.length)
+            yield record(window_schema, h1=h1.view(np.int64), h2=h2.view(np.int64), id=np.repeat(ids, n).tolist(),
+                         key=np.repeat(a.context[first], n), j=j, weight=np.repeat(weight, n))
 
     def settle(table: pa.Table) -> pa.Table:
         # rows with one id and equal texts send a context twice: kept once
@@ -223,9 +270,13 @@ def mark(docs: DataFrame, task: Task, id_col: str = "doc_id", text_col: str = "t
         some = mask != 0
         return pa.table({"id": ids[some], "key": key[some], "mask": mask[some]}, schema=mask_schema)
 
-    opened = texts.where(F.col("replies").isNotNull()).select("id", "text", "replies").mapInArrow(send, OPEN_DDL)
-    masks = (opened.dropDuplicates(["bucket", "id", "key"]).groupBy("bucket").applyInArrow(settle, MASK_DDL)
-             .groupBy("id").agg(F.collect_list(F.struct("key", "mask")).alias("masks")))
+    told = texts.where(F.col("replies").isNotNull()).select("id", "text", "replies")
+    masks = (told.mapInArrow(send, OPEN_DDL).dropDuplicates(["bucket", "id", "key"])
+             .groupBy("bucket").applyInArrow(settle, MASK_DDL))
+    # only if a gram is hot, so that other tables are not read once more for nothing
+    if not reply.where(F.col("reply").bitwiseAND(IS_HOT) != 0).isEmpty():
+        masks = masks.unionByName(_settle_hot(told.mapInArrow(send_hot, WINDOW_DDL), task.elsewhere))
+    masks = masks.groupBy("id").agg(F.collect_list(F.struct("key", "mask")).alias("masks"))
     kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *keep)]
     ddl = ", ".join([f"out_id {kinds[0]}", *[f"keep_{i} {k}" for i, k in enumerate(kinds[1:])], task.finish_ddl])
     out_schema = arrow_schema(ddl)
@@ -239,7 +290,7 @@ def mark(docs: DataFrame, task: Task, id_col: str = "doc_id", text_col: str = "t
                 mask = np.zeros(int(rows[-1]), bool)
                 if len(told):
                     a = anchors(unit, rows, task.length, task.gram)
-                    flag = _flags(a, row, told >> 2, told & 3, OPEN)
+                    flag = _flags(a, row, told >> 3, told & 3, OPEN)
                     hit = flag != OPEN
                     row, masks = _replies(part, "masks")
                     key, bits = (masks.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("key", "mask"))

@@ -96,9 +96,9 @@ def _finish_text(buf, off, source, rows, mask):
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 20, id_col: str = "doc_id", text_col: str = "text",
-                   keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+                   keep: tuple[str, ...] = (), as_text: bool = False, hot: int | None = None) -> DataFrame:
     """Per row: id, ``keep`` columns, n_bytes, n_removed, n_spans and the kept bytes (or whole characters, ``as_text``)."""
     task = Task(units=byte_units, length=length, gram=gram, elsewhere=False, pack=pack_bytes(length), settle=settle_bytes(length),
                 finish=_finish_text if as_text else _finish,
                 finish_ddl=f"n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
-    return mark(docs, task, id_col, text_col, keep)
+    return mark(docs, task, id_col, text_col, keep, hot)

@@ -89,3 +89,43 @@ def test_radix_groups():
             groups.setdefault(data[s:s + length].tobytes(), []).append(d)
         want = {(int(s), min(g)) for s in start if min(g := groups[data[s:s + length].tobytes()]) < max(g)}
         assert set(zip(left.tolist(), low.tolist())) == want
+
+
+def test_hot_grams_leave_the_group(spark, monkeypatch):
+    # grams with more open contexts than ``hot`` go through the aggregate: same masks, and the groups get none of their records
+    rows = fixture(6)
+    df = spark.createDataFrame(rows + [rows[0]], "doc_id long, text string")
+    want = {d: sum(m) for (d, _), m in zip(rows, brute.removed_bytes(rows))}
+    for hot in (0, 3):
+        got = {r.doc_id: r.n_removed for r in remove_repeats(df, 50, hot=hot).collect()}
+        assert got == want, hot
+    for hot in (0, 3):
+        for size, gram in ((35, 15), (8, 3)):
+            got = {r.doc_id: r.n_removed for r in remove_repeated_words(df, size, gram, hot=hot).collect()}
+            assert got == {d: sum(m) for (d, _), m in zip(rows, brute.removed_words([t for _, t in rows], size))}, (hot, size)
+
+    # a line of 35 bytes between different neighbours: one open context per document under its gram
+    line = "the same short line in every file. "
+    rng = random.Random(7)
+    own = lambda: "".join(rng.choice("abcdefghij ") for _ in range(80))
+    rows = [(i, own() + line + own()) for i in range(400)] + [(500, own() + own())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = spark.sparkContext.accumulator(0)
+    from tabscope.llm import suffixes
+    plain = suffixes.settle_bytes
+
+    def counted(length):
+        settle = plain(length)
+
+        def run(table):
+            sizes.add(table.num_rows)
+            return settle(table)
+        return run
+    monkeypatch.setattr(suffixes, "settle_bytes", counted)
+    seen = []
+    for hot in (None, 50):
+        sizes.value = 0
+        got = {r.doc_id: r.n_removed for r in remove_repeats(df, 50, hot=hot).collect()}
+        assert got == {d: sum(m) for (d, _), m in zip(rows, brute.removed_bytes(rows))}
+        seen.append(sizes.value)
+    assert seen[0] >= 400 and seen[1] < seen[0] / 3
