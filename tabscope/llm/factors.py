@@ -1,11 +1,9 @@
-"""Removal of repeated word runs by relative Lempel-Ziv parsing against indexed reference blocks.
-
-The reference is the whole table: the context of every anchor of ``repeats`` (the words of the windows it serves) is a reference
-block, indexed by the anchor's gram.  A document is parsed greedily along its anchors: while the index holds
-another start of the next block, the factor grows; a factor is a maximal run of blocks that come up elsewhere.
-Where a factor ends, whole blocks differ, but single windows may still match: there (``Task.settle``) each window of the block is compared with
-those of every block under the same gram, by 128-bit hashes.  Factors and boundary windows of at
-least ``length`` words are the duplicate spans.
+"""Removal of repeated word runs by anchor-context hashing.
+
+No Lempel-Ziv parse is made: which windows come up again is decided by ``repeats``.  The context of every anchor (the words of
+the windows it serves) is indexed by the anchor's gram, and a context that comes up elsewhere covers all its windows.
+Where a gram has different contexts, single windows may still match: ``Task.settle`` compares each window of such a context with
+those of every other under the same gram, by 128-bit hashes.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged.  A window that starts anywhere else, in the same document too, is repeated,
 and all its starts go.
