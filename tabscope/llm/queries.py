@@ -153,3 +153,71 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
     return nearest(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every=20, k=20)
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+# crc32 of ASCII text: the table of a byte's remainders, then one step a byte
+CRC_TABLE = """(SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384)
+    ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def crc32_sql(text: str, table: str) -> str:
+    return f"""xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda c, b: xor(c >> 8, {table}[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295)"""
+
+
+def _tree_sql(name: str, levels: int = 6) -> str:
+    """Tables {name}1 .. {name}{levels}: nodes (g, p, d, n) a level up; {name}s0 ..: the siblings of each node.
+
+    n counts a group's nodes; a group of one node stays as it is.  Six levels hold 16.7 million leaves a group.
+    """
+    out = []
+    for i in range(levels):
+        out.append(f"""{name}s{i} AS (SELECT g, p, d, n, n > 1 AS inner_node,
+            coalesce(string_agg(d, '') OVER (PARTITION BY g, p // 16 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+            coalesce(string_agg(d, '') OVER (PARTITION BY g, p // 16 ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM {name}{i})""")
+        out.append(f"""{name}{i + 1} AS (SELECT g, p // 16 AS p, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY p)) ELSE max(d) END AS d,
+            (n + 15) // 16 AS n FROM {name}{i} GROUP BY g, p // 16, n)""")
+    return ",\n".join(out)
+
+
+def _op13_sql(levels: int = 6) -> str:
+    def leaf(text):
+        return "sha256(" + " || ".join(f"coalesce(CAST(strlen({c}) AS VARCHAR) || ':' || {c}, '-')" for c in
+                                       ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+    steps = []
+    for tree, key, at in (("s", "g", "p"), ("t", "'x'", "gp")):
+        for i in range(levels):
+            source = f"f{len(steps)}"
+            steps.append(f"""f{len(steps) + 1} AS (SELECT f.* REPLACE (CASE WHEN inner_node THEN sha256(l || f.claim || r) ELSE f.claim END AS claim,
+                CASE WHEN inner_node THEN f.proof || l || r ELSE f.proof END AS proof)
+                FROM {source} f JOIN {tree}s{i} x ON x.g = f.{key} AND x.p = f.{at} // CAST(16 ** {i} AS BIGINT))""".replace("f.'x'", "'x'"))
+    return f"""
+WITH crc AS {CRC_TABLE},
+a AS (SELECT doc_id, coalesce('g' || source, '') AS g, {leaf("text")} AS d,
+    CASE WHEN doc_id IS NOT NULL AND {crc32_sql("CAST(doc_id AS VARCHAR)", "crc.t")} % 5 = 0
+      THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {leaf("text")} END AS claim FROM documents, crc),
+b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM a),
+s0 AS (SELECT g, p, d, n FROM b),
+{_tree_sql("s", levels)},
+t0 AS (SELECT 'x' AS g, row_number() OVER (ORDER BY g) - 1 AS p, d, count(*) OVER () AS n, g AS name FROM s{levels}),
+{_tree_sql("t", levels)},
+f0 AS (SELECT b.doc_id, b.g, b.p, b.d AS leaf, b.claim, '' AS proof, t0.d AS subroot, t0.p AS gp FROM b JOIN t0 ON t0.name = b.g),
+{", ".join(steps)}
+SELECT doc_id, leaf, subroot, root.d AS root, sha256(proof) AS proof_sha256, claim AS folded_root, claim = root.d AS verified
+FROM f{len(steps)}, t{levels} AS root
+"""
+
+
+@query("op13_merkle_manifest", _op13_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import FIELDS, fold, leaf, manifest, proof_text
+    docs = read_table(spark, sf_dir, "documents").select(*FIELDS)
+    tampered = F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) == 0)
+    copy = leaf(FIELDS, {"text": F.when(tampered, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))})
+    out = manifest(docs, claims={"copy": copy})
+    out = out.withColumn("folded_root", fold(F.col("copy"), F.col("witness")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("witness")), 256).alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
