@@ -221,3 +221,66 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.withColumn("folded_root", fold(F.col("copy"), F.col("witness")))
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("witness")), 256).alias("proof_sha256"),
                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _op12_sql() -> str:
+    def least(*ways):
+        return f"list_min(list_filter([{', '.join(ways)}], lambda x: x.c IS NOT NULL))"
+
+    def way(cost, letter, line, rest, when="true"):
+        line = "''" if line is None else f"chr(10) || {line}"
+        return (f"CASE WHEN {when} THEN {{'c': {cost} + {rest}.c, 'a': '{letter}' || {rest}.a, 'r': {line} || {rest}.r}} "
+                f"ELSE {{'c': CAST(NULL AS INTEGER), 'a': '', 'r': ''}} END")
+    stay = "fault IN (0, 3)"
+    more = "CASE WHEN fault = 3 THEN 3 ELSE 0 END"
+    g = {}
+    for q, (due, role) in {"n": ("u", "user"), "s": ("u", "user"), "u": ("a", "assistant"), "a": ("u", "user")}.items():
+        keep = {"n": ("s", "u"), "s": ("u",), "u": ("a",), "a": ("u",)}[q]
+        g[q] = least(way(4, "D", None, f"f.{q}"), way(f"3 + {more}", "R", f"'{role}:' || m.text", f"f.{due}", stay),
+                     *[way(more, "K", "m.role || ':' || m.text", f"f.{k}", f"{stay} AND left(m.role, 1) = '{k}'") for k in keep])
+
+    def struct(c, a, r):
+        return f"{{'c': {c}, 'a': '{a}', 'r': {r}}}"
+    user, both = "chr(10) || 'user:'", "chr(10) || 'user:' || chr(10) || 'assistant:'"
+    ins = {q: least(f"gn.{q}", way(3, "I", "'user:'", "gn.u"), f"{{'c': 6 + gn.a.c, 'a': 'II' || gn.a.a, 'r': {both} || gn.a.r}}") for q in ("n", "s")}
+    ins["u"] = least("gn.u", way(3, "I", "'assistant:'", "gn.a"))
+    ins["a"] = least("gn.a", way(3, "I", "'user:'", "gn.u"))
+    return f"""
+WITH RECURSIVE crc AS {CRC_TABLE},
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))", "crc.t")} % 20 AS k FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM o, range(2) copies(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)),
+e AS (SELECT *, coalesce('c' || CAST(conv_id AS VARCHAR), '') AS g, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS z,
+    md5(CAST(strlen(role) AS VARCHAR) || ':' || role || text) AS h FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, h) AS i FROM e),
+m AS (SELECT *, CASE WHEN z = '' THEN 1 WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 2
+      WHEN z NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    coalesce(lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS odd FROM p),
+f AS (SELECT g, max(i) + 1 AS i, {struct(0, "", "''")} AS n, {struct(6, "II", both)} AS s,
+      {struct(3, "I", "chr(10) || 'assistant:'")} AS u, {struct(0, "", "''")} AS a FROM m GROUP BY g
+    UNION ALL
+    SELECT g, i, {ins["n"]} AS n, {ins["s"]} AS s, {ins["u"]} AS u, {ins["a"]} AS a FROM (
+      SELECT m.g AS g, m.i AS i, {g["n"]} AS n, {g["s"]} AS s, {g["u"]} AS u, {g["a"]} AS a
+      FROM f JOIN m ON m.g = f.g AND m.i = f.i - 1) gn),
+c AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum((fault = 1)::INT) AS blank,
+    sum((fault = 2)::INT) AS duplicate, sum((fault = 3)::INT) AS truncated, sum(odd::INT) AS illegal FROM m GROUP BY g)
+SELECT x.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+    CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+    CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(f.n.c, 0) AS BIGINT) AS cost, coalesce(f.n.a, '') AS audit,
+    sha256(coalesce(substr(f.n.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('c' || CAST(conv_id AS VARCHAR), '') AS g FROM conversations) x
+LEFT JOIN c USING (g) LEFT JOIN f ON f.g = x.g AND f.i = 1
+"""
+
+
+@query("op12_conversation_repair", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged, group_key, repair, report
+    convs = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = report(repair(damaged(convs)))
+    ids = convs.select("conv_id").distinct().withColumn("_g", group_key("conv_id")).join(out, "_g", "left")
+    return ids.select("conv_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in
+                                   ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+                      F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
