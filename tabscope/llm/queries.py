@@ -284,3 +284,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("conv_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in
                                    ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
                       F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query("op11_class_lm")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classlm import class_scores
+    out = class_scores(documents(spark, sf_dir), crc_mod("doc_id", 7) != 2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
