@@ -1,38 +1,32 @@
-"""Exact order statistics that stay distributed at any scale.
-
-Two building blocks, both on a *tall* frame ``(keys..., value)``:
-
-``exact_quantiles``
-    Linear-interpolation quantiles (the pandas / DuckDB ``quantile_cont``
-    rule).  Small groups: distinct values with counts, one cumulative window
-    per group.  Large groups: ``percentile_approx`` brackets each wanted rank,
-    one counting pass proves the bracket holds the rank, and only the rows
-    inside the bracket go on to the next round.  No group is ever collected
-    whole; hot values collapse to one (value, count) row.
-
-``rank_ranges``
-    Every distinct value with its count and 0-based start rank, for ranks,
-    mid-ranks, Q-Q positions and ROC sweeps.  Large groups are cut into
-    range partitions (``repartitionByRange`` over distinct values), with a
-    small table of per-partition offsets.
+"""Exact order statistics that stay distributed at any scale, by one plan at every size.
+
+Quantiles and ranks are found in two scans.  The first builds one mergeable sketch per column or group
+(``percentile_approx``) and reads off a bracket around every wanted rank, ``MARGIN`` of the rows to either
+side.  The second counts, in one aggregate for all brackets, the rows of each stretch between brackets and
+the distinct values inside them.  Running counts over that (some ``4 * MARGIN`` of the rows at most, hot values as one
+row each) give the value at each rank.  A rank that its bracket missed shows in the counts; such brackets
+are widened and counted again.
+
+``column_quantiles`` does this for the columns of a wide table, ``exact_quantiles`` for the groups of a tall one,
+``uniform_cuts`` for ranks of a uniform hash (its brackets need no sketch).
+
+``rank_ranges`` and ``running_sums`` number all distinct values: range partitions, fixed by a
+checkpoint, and a small table of offsets per partition.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import col
 from ..session import cut_lineage
 
-# Largest number of distinct values per group sorted inside one task.
-DIRECT_LIMIT = 2_000_000
-# Grid and accuracy of the bracketing sketch: one round shrinks a group ~1000x.
-GRID = 1000
-ACCURACY = 100_000
-MAX_DEPTH = 4
+ACCURACY = 100_000          # of the sketch: its ranks are off by n / ACCURACY at most
+MARGIN = 2.0 / ACCURACY     # share of the rows by which a bracket reaches over the wanted rank
+WIDER = 64                  # factor by which a bracket that missed is widened
 
 
 def tall(df: DataFrame, cols: list[str], name: str = "variable",
@@ -49,188 +43,214 @@ def _base(data: DataFrame, keys: list[str], value: str) -> DataFrame:
                 .where(F.col("_v").isNotNull()))
 
 
-def _max_distinct(base: DataFrame, keys: list[str]) -> int:
-    """Upper bound of the distinct values per group: the largest group's row count
-    (a plain count is far cheaper than a distinct sketch and only errs towards
-    the bracketing path, which is exact too)."""
-    row = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()
-    return int(row[0] or 0)
-
-
-def _direct_select(base: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
-    d = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    return (d.join(F.broadcast(ranks), on=keys)
-             .where((F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_hi")))
-             .select(*keys, "_r", "_v"))
-
-
-def _select_ranks(base: DataFrame, ranks: DataFrame, keys: list[str],
-                  depth: int, direct_limit: int, maxd: int | None = None) -> DataFrame:
-    """Values at 0-based ranks ``ranks(keys..., _r)`` of each group."""
-    if maxd is None:
-        maxd = _max_distinct(base, keys)
-    if depth >= MAX_DEPTH or maxd <= direct_limit:
-        return _direct_select(base, ranks, keys)
-
-    grid = [j / GRID for j in range(GRID + 1)]
-    eps = 2.0 / ACCURACY
-    apx = base.groupBy(*keys).agg(F.percentile_approx("_v", grid, ACCURACY).alias("_g"),
-                                  F.count(F.lit(1)).alias("_n"))
-    f = F.col("_r") / F.greatest(F.col("_n") - 1, F.lit(1))
-    jlo = F.floor((f - eps) * GRID).cast("int")
-    jhi = F.ceil((f + eps) * GRID).cast("int")
-    br = (ranks.join(apx, on=keys)
-               .select(*keys, "_r",
-                       F.when(jlo <= 0, F.lit(float("-inf")))
-                        .otherwise(F.element_at("_g", jlo + 1)).alias("_lo"),
-                       F.when(jhi >= GRID, F.lit(float("inf")))
-                        .otherwise(F.element_at("_g", jhi + 1)).alias("_hi")))
-    br = cut_lineage(br)  # tiny; fixes the brackets for the passes below
-
-    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    cnt = (base.join(F.broadcast(br), on=keys)
-               .groupBy(*keys, "_r", "_lo", "_hi")
-               .agg(F.sum(F.when(F.col("_v") < F.col("_lo"), 1).otherwise(0)).alias("_clt"),
-                    F.sum(F.when(inside, 1).otherwise(0)).alias("_cin")))
-    ok = (F.col("_r") >= F.col("_clt")) & (F.col("_r") < F.col("_clt") + F.col("_cin"))
-    # a bracket the sketch got wrong falls back to the whole range (still exact)
-    fixed = cnt.select(*keys, "_r",
-                       F.when(ok, F.col("_lo")).otherwise(F.lit(float("-inf"))).alias("_lo"),
-                       F.when(ok, F.col("_hi")).otherwise(F.lit(float("inf"))).alias("_hi"),
-                       F.when(ok, F.col("_clt")).otherwise(F.lit(0)).alias("_clt"))
-    fixed = cut_lineage(fixed)
-    kcol = f"_k{depth}"
-    sub = (base.join(F.broadcast(fixed.select(*keys, F.col("_r").alias(kcol), "_lo", "_hi")), on=keys)
-               .where(inside).select(*keys, kcol, "_v"))
-    sub_ranks = fixed.select(*keys, F.col("_r").alias(kcol), (F.col("_r") - F.col("_clt")).alias("_r"))
-    got = _select_ranks(sub, sub_ranks, keys + [kcol], depth + 1, direct_limit)
-    return got.select(*keys, F.col(kcol).alias("_r"), "_v")
+# ---------------------------------------------------------------- brackets
+def _shares(probs: list[float], margin: float) -> list[float]:
+    """The sketch's arguments: below and above each probability, in [0, 1]."""
+    return [min(1.0, max(0.0, p + side * margin)) for p in probs for side in (-1, 1)]
+
+
+def _counted(stretches: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., _stretch, _in, _c, _mn, _mx, _lo)`` of rows ``(keys..., _stretch, _in, _v)``.
+
+    ``_stretch`` numbers the stretches between bracket ends in order of the value, ``_in`` is the value inside a bracket and
+    null between them, ``_lo`` the rank of the first row.  Only counts are shuffled.
+    """
+    c = stretches.groupBy(*keys, "_stretch", "_in").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    w = Window.partitionBy(*keys).orderBy("_stretch", "_in").rowsBetween(Window.unboundedPreceding, 0)
+    return c.withColumn("_lo", F.sum("_c").over(w) - F.col("_c"))
+
+
+def _value_at(rank: Column) -> Column:
+    """The value at a rank inside a counted row: known inside brackets and at the ends of a stretch, else null."""
+    return (F.when(F.col("_in").isNotNull(), F.col("_in")).when(rank == F.col("_lo"), F.col("_mn"))
+             .when(rank == F.col("_lo") + F.col("_c") - 1, F.col("_mx")))
+
+
+def _holds(rank: Column) -> Column:
+    return (rank >= F.col("_lo")) & (rank < F.col("_lo") + F.col("_c"))
+
+
+def _interpolate(n: int, p: float) -> tuple[int, int, float]:
+    """The two ranks and the weight of the second (linear interpolation)."""
+    h = (n - 1) * p
+    r = math.floor(h)
+    return r, min(r + 1, n - 1), h - r
+
+
+# ---------------------------------------------------------------- columns of a wide table
+def column_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], variable: str = "variable",
+                     margin: float = MARGIN) -> DataFrame:
+    """``(variable, n, name1, name2, ...)``: exact quantiles of each column that has values.
+
+    Two scans for all columns together; the brackets and the result have one row per column and probability.
+    """
+    names, wanted = list(probs), [float(p) for p in probs.values()]
+    ddl = f"`{variable}` string, n long" + "".join(f", `{p}` double" for p in names)
+    spark = df.sparkSession
+    if not cols:
+        return spark.createDataFrame([], ddl)
+    x = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    shares = _shares(wanted, margin)
+    sketch = x.agg(*[F.percentile_approx(f"_{i}", shares, ACCURACY).alias(f"g{i}") for i in range(len(cols))],
+                   *[F.count(f"_{i}").alias(f"n{i}") for i in range(len(cols))]).first()
+    found: dict[int, dict[int, float]] = {}
+    todo = {i: _ends(sketch[f"g{i}"], shares) for i in range(len(cols)) if sketch[f"n{i}"]}
+    sizes = {i: int(sketch[f"n{i}"]) for i in todo}
+    wide = margin
+    while todo:
+        for i, values in _values_at(x, todo, {i: sorted({r for p in wanted for r in _interpolate(sizes[i], p)[:2]}) for i in todo}).items():
+            found.setdefault(i, {}).update(values)
+        missed = [i for i in todo if any(v is None for v in found[i].values())]
+        wide = max(wide, MARGIN) * WIDER
+        todo = {}
+        if missed:
+            shares = _shares(wanted, wide)
+            again = x.agg(*[F.percentile_approx(f"_{i}", shares, ACCURACY).alias(f"g{i}") for i in missed]).first()
+            todo = {i: _ends(again[f"g{i}"], shares) for i in missed}
+    rows = []
+    for i, n in sizes.items():
+        out = []
+        for p in wanted:
+            a, b, t = _interpolate(n, p)
+            lo, hi = found[i][a], found[i][b]
+            out.append(lo if t == 0 else lo + t * (hi - lo))
+        rows.append((cols[i], n, *out))
+    return spark.createDataFrame(rows, ddl)
+
+
+def _ends(grid: list[float], shares: list[float]) -> list[tuple[float, float]]:
+    """Brackets (low, high) from the sketch's values; open at the ends of the column."""
+    ends = [-math.inf if s <= 0 else math.inf if s >= 1 else g for g, s in zip(grid, shares)]
+    return list(zip(ends[::2], ends[1::2]))
+
+
+def _values_at(x: DataFrame, brackets: dict[int, list], ranks: dict[int, list[int]]) -> dict[int, dict[int, float]]:
+    """The counting pass of all columns: {column: {rank: value, None where a bracket missed it}}."""
+    parts = []
+    for i, ends in brackets.items():
+        v = F.col(f"_{i}")
+        above = sum(((v >= F.lit(lo)).cast("int") for lo, _ in ends), F.lit(0))
+        past = sum(((v > F.lit(hi)).cast("int") for _, hi in ends), F.lit(0))
+        parts.append(F.struct(F.lit(i).alias("_i"), (above + past).alias("_stretch"), F.when(above > past, v).alias("_in"), v.alias("_v")))
+    rows = x.select(F.explode(F.array(*parts)).alias("r")).select("r.*").where(F.col("_v").isNotNull())
+    spark = x.sparkSession
+    want = spark.createDataFrame([(i, r) for i, rs in ranks.items() for r in rs], "_i int, _r long")
+    got = _counted(rows, ["_i"]).join(F.broadcast(want), "_i").where(_holds(F.col("_r"))).select("_i", "_r", _value_at(F.col("_r")).alias("v"))
+    out: dict[int, dict[int, float]] = {}
+    for r in got.collect():             # one row per column and rank
+        out.setdefault(r["_i"], {})[r["_r"]] = r["v"]
+    return out
+
+
+# ---------------------------------------------------------------- groups of a tall table
+def _select(base: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., _r, _v)`` for ``brackets(keys..., _los, _his, _ranks)``; ``_v`` is null where a bracket missed.
+
+    The arrays are sorted and as long as the list of wanted ranks.
+    """
+    x = base.join(brackets.select(*keys, "_los", "_his"), keys)
+    above = F.size(F.filter("_los", lambda lo: lo <= F.col("_v")))
+    past = F.size(F.filter("_his", lambda hi: hi < F.col("_v")))
+    rows = x.select(*keys, "_v", above.alias("_a"), past.alias("_p")).select(
+        *keys, "_v", (F.col("_a") + F.col("_p")).alias("_stretch"), F.when(F.col("_a") > F.col("_p"), F.col("_v")).alias("_in"))
+    want = brackets.select(*keys, F.explode(F.array_distinct("_ranks")).alias("_r"))
+    return (_counted(rows, keys).join(want, keys).where(_holds(F.col("_r")))
+            .select(*keys, "_r", _value_at(F.col("_r")).alias("_v")))
+
+
+def _all_ranks(base: DataFrame, keys: list[str], brackets, margin: float) -> DataFrame:
+    """Widen the brackets of the groups that missed a rank until none does; ``brackets(base, margin)`` makes them."""
+    got = cut_lineage(_select(base, brackets(base, margin), keys))
+    missed = got.where(F.col("_v").isNull()).select(*keys).distinct()
+    if missed.isEmpty():
+        return got
+    again = _all_ranks(base.join(missed, keys, "left_semi"), keys, brackets, max(margin, MARGIN) * WIDER)
+    return got.join(missed, keys, "left_anti").unionByName(again)
 
 
 def exact_quantiles(data: DataFrame, probs: list[float], keys: list[str],
-                    value: str = "value", direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+                    value: str = "value", margin: float = MARGIN) -> DataFrame:
     """``(keys..., p, q)``: exact quantiles with linear interpolation, nulls ignored.
 
     Groups with no value produce no row.
     """
     if not keys:  # one group: a constant key keeps every join an equi-join
         g = data.select(F.lit(0).alias("_g0"), F.col(value))
-        return exact_quantiles(g, probs, ["_g0"], value, direct_limit).drop("_g0")
+        return exact_quantiles(g, probs, ["_g0"], value, margin).drop("_g0")
     base = _base(data, keys, value)
-    stats = cut_lineage(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    maxd = int(stats.agg(F.max("_n")).first()[0] or 0)  # bounds the distinct values per group
-    if maxd <= direct_limit:
-        return _quantiles_one_window(base, probs, keys)
-    need = (stats.select(*keys, "_n",
-                         F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-                 .withColumn("_h", (F.col("_n") - 1) * F.col("p"))
-                 .withColumn("_r0", F.floor("_h").cast("long"))
-                 .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1))
-                 .withColumn("_fr", F.col("_h") - F.col("_r0")))
-    ranks = (need.select(*keys, F.col("_r0").alias("_r"))
-                 .union(need.select(*keys, F.col("_r1").alias("_r"))).distinct())
-    # one row per (group, wanted rank): freeze it so both joins below reuse one selection pass
-    vals = cut_lineage(_select_ranks(base, ranks, keys, 0, direct_limit, maxd))
-    v0 = vals.select(*keys, F.col("_r").alias("_r0"), F.col("_v").alias("_v0"))
-    v1 = vals.select(*keys, F.col("_r").alias("_r1"), F.col("_v").alias("_v1"))
-    out = need.join(v0, on=keys + ["_r0"]).join(v1, on=keys + ["_r1"])
-    q = F.col("_v0") + F.col("_fr") * (F.col("_v1") - F.col("_v0"))
-    return out.select(*keys, "p", F.when(F.col("_fr") == 0, F.col("_v0")).otherwise(q).alias("q"))
-
-
-def _quantiles_one_window(base: DataFrame, probs: list[float], keys: list[str]) -> DataFrame:
-    """Direct path when every group is small: group sizes, cumulative counts and
-    the two interpolation ranks come from one window over distinct values."""
-    d = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys)
-    wc = w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    d = (d.withColumn("_hi", F.sum("_c").over(wc)).withColumn("_n", F.sum("_c").over(w))
-          .withColumn("_lo", F.col("_hi") - F.col("_c")))
-    pr = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
-    x = d.select(*keys, "_v", "_lo", "_hi", "_n", pr)
-    h = (F.col("_n") - 1) * F.col("p")
-    r0 = F.floor(h).cast("long")
-    r1 = F.least(r0 + 1, F.col("_n") - 1)
-    x = x.select(*keys, "_v", "p", h.alias("_h"), r0.alias("_r0"), r1.alias("_r1"),
-                 ((r0 >= F.col("_lo")) & (r0 < F.col("_hi"))).alias("_at0"),
-                 ((r1 >= F.col("_lo")) & (r1 < F.col("_hi"))).alias("_at1"))
-    g = (x.where(F.col("_at0") | F.col("_at1")).groupBy(*keys, "p")
-          .agg(F.max(F.when(F.col("_at0"), F.col("_v"))).alias("_v0"),
-               F.max(F.when(F.col("_at1"), F.col("_v"))).alias("_v1"),
-               F.first("_h").alias("_h"), F.first("_r0").alias("_r0")))
-    fr = F.col("_h") - F.col("_r0")
-    return g.select(*keys, "p", F.when(fr == 0, F.col("_v0"))
-                    .otherwise(F.col("_v0") + fr * (F.col("_v1") - F.col("_v0"))).alias("q"))
-
-
-def quantile_wide(data: DataFrame, probs: dict[str, float], keys: list[str],
-                  value: str = "value") -> DataFrame:
-    """Quantiles pivoted to one column per name: ``(keys..., name1, name2, ...)``."""
-    q = exact_quantiles(data, list(probs.values()), keys, value)
-    aggs = [F.max(F.when(F.col("p") == F.lit(float(p)), F.col("q"))).alias(name)
-            for name, p in probs.items()]
-    return q.groupBy(*keys).agg(*aggs)
-
-
-def rank_ranges(data: DataFrame, keys: list[str], value: str = "value",
-                direct_limit: int = DIRECT_LIMIT) -> DataFrame:
-    """``(keys..., _v, _c, _start)``: distinct values, counts, 0-based start rank."""
-    base = _base(data, keys, value)
-    d = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    total = _max_distinct(base, keys)
-    if total <= direct_limit:
-        w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        return d.withColumn("_start", F.sum("_c").over(w) - F.col("_c"))
-    n_parts = max(2, math.ceil(total / (direct_limit / 4)))
-    d = cut_lineage(d.repartitionByRange(n_parts, *keys, "_v")
-                     .withColumn("_pid", F.spark_partition_id()))
-    off = d.groupBy("_pid", *keys).agg(F.sum("_c").alias("_s"))
-    wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = off.withColumn("_off", F.coalesce(F.sum("_s").over(wo), F.lit(0))).drop("_s")
-    w = Window.partitionBy("_pid", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return (d.withColumn("_cum", F.sum("_c").over(w))
-             .join(F.broadcast(off), on=["_pid"] + keys)
-             .select(*keys, "_v", "_c", (F.col("_off") + F.col("_cum") - F.col("_c")).alias("_start")))
-
-
-def values_at_ranks(data: DataFrame, ranks: DataFrame, keys: list[str],
-                    value: str = "value") -> DataFrame:
-    """``(keys..., _r, _v)``: the value at each 0-based rank ``ranks(keys..., _r)``.
-
-    Same distributed selection as the quantiles (no group is sorted whole in
-    one task beyond ``DIRECT_LIMIT`` distinct values).
+    probs = sorted({float(p) for p in probs})
+
+    def brackets(rows: DataFrame, margin: float) -> DataFrame:
+        shares = _shares(probs, margin)
+        g = rows.groupBy(*keys).agg(F.percentile_approx("_v", shares, ACCURACY).alias("_g"), F.count(F.lit(1)).alias("_n"))
+
+        def ends(side):
+            return F.array(*[F.lit(-math.inf) if s <= 0 else F.lit(math.inf) if s >= 1 else F.col("_g")[i].cast("double")
+                             for i, s in enumerate(shares) if i % 2 == side])
+        ranks = [r for p in probs for r in _rank_columns(p)[:2]]
+        return g.select(*keys, ends(0).alias("_los"), ends(1).alias("_his"), F.array(*ranks).alias("_ranks"))
+
+    got = _all_ranks(base, keys, brackets, margin)
+    need = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    need = need.select(*keys, F.explode(F.array(*[F.struct(F.lit(p).alias("p"), *[c.alias(a) for c, a in zip(_rank_columns(p), ("_r0", "_r1", "_t"))])
+                                                  for p in probs])).alias("s")).select(*keys, "s.*")
+    v0 = got.select(*keys, F.col("_r").alias("_r0"), F.col("_v").alias("_v0"))
+    v1 = got.select(*keys, F.col("_r").alias("_r1"), F.col("_v").alias("_v1"))
+    out = need.join(v0, keys + ["_r0"]).join(v1, keys + ["_r1"])
+    q = F.col("_v0") + F.col("_t") * (F.col("_v1") - F.col("_v0"))
+    return out.select(*keys, "p", F.when(F.col("_t") == 0, F.col("_v0")).otherwise(q).alias("q"))
+
+
+def _rank_columns(p: float) -> tuple[Column, Column, Column]:
+    """As ``_interpolate``, on the column ``_n``."""
+    h = (F.col("_n") - 1) * F.lit(p)
+    r = F.floor(h).cast("long")
+    return r, F.least(r + 1, F.col("_n") - 1), h - r
+
+
+def uniform_cuts(data: DataFrame, ranks: DataFrame, keys: list[str], value: str, span: float) -> DataFrame:
+    """``(keys..., _r, _v)``: values at 0-based ``ranks(keys..., _n, _ranks)`` of a hash uniform on [0, ``span``).
+
+    The value at rank r of n lies near r / n of the span, within a few times sqrt(n) ranks, so one counting
+    pass finds it.  ``_ranks`` is an array; nulls and ranks of n or more are left out.
     """
-    return _select_ranks(_base(data, keys, value), ranks, keys, 0, DIRECT_LIMIT)
+    base = _base(data, keys, value)
+    ranks = ranks.select(*keys, "_n", F.array_sort(F.filter("_ranks", lambda r: r < F.col("_n"))).alias("_ranks"))
+
+    def brackets(rows: DataFrame, margin: float) -> DataFrame:
+        around = margin / MARGIN * 8 / F.sqrt(F.col("_n"))      # in shares of the span: eight deviations
+        of = ranks.join(rows.select(*keys).distinct(), keys, "left_semi") if margin != MARGIN else ranks
+        return of.select(*keys, "_ranks", F.transform("_ranks", lambda r: (r / F.col("_n") - around) * span).alias("_los"),
+                         F.transform("_ranks", lambda r: (r / F.col("_n") + around) * span).alias("_his"))
+    return _all_ranks(base, keys, brackets, MARGIN)
+
+
+# ---------------------------------------------------------------- all ranks
+def _offsets(d: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Per partition ``_pid`` and group, the sums over earlier partitions (``_o...``)."""
+    off = d.groupBy("_pid", *keys).agg(*[F.sum(s).alias(f"_t{s}") for s in sums])
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return off.select("_pid", *keys, *[F.coalesce(F.sum(f"_t{s}").over(w), F.lit(0)).alias(f"_o{s}") for s in sums])
 
 
 def running_sums(data: DataFrame, keys: list[str], order: str, sums: list[str],
-                 descending: bool = False, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
+                 descending: bool = False) -> DataFrame:
     """Per distinct ``order`` value: the group totals and the running totals *before* it.
 
-    ``(keys..., order, s..., cum_s...)`` where ``cum_s`` sums the rows strictly
-    earlier in the order.  Distinct values collapse first; a group with more
-    than ``direct_limit`` of them is range-partitioned and stitched with a
-    small per-partition offset table (as ``rank_ranges``).
+    ``(keys..., order, s..., cum_s...)`` where ``cum_s`` sums the rows strictly earlier in the order.  Distinct
+    values are range-partitioned (checkpointed, so bounds are fixed under retries) and stitched by offsets.
     """
     key = F.col(order).desc() if descending else F.col(order).asc()
+    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = data.groupBy(*keys, order).agg(*[F.sum(s).alias(s) for s in sums])
-    maxd = int((d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0]) or 0)
-    if maxd <= direct_limit:
-        w = Window.partitionBy(*keys).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        return d.select(*keys, order, *sums,
-                        *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"cum_{s}") for s in sums])
-    n_parts = max(2, math.ceil(maxd / (direct_limit / 4)))
-    d = cut_lineage(d.repartitionByRange(n_parts, *[F.col(k) for k in keys], key)
-                     .withColumn("_pid", F.spark_partition_id()))
-    off = d.groupBy("_pid", *keys).agg(*[F.sum(s).alias(f"_t{s}") for s in sums])
-    wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = off.select("_pid", *keys, *[F.coalesce(F.sum(f"_t{s}").over(wo), F.lit(0)).alias(f"_o{s}")
-                                      for s in sums])
+    d = cut_lineage(d.repartitionByRange(parts, *[F.col(k) for k in keys], key).withColumn("_pid", F.spark_partition_id()))
     w = Window.partitionBy("_pid", *keys).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return (d.select("_pid", *keys, order, *sums,
-                     *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_c{s}") for s in sums])
-             .join(F.broadcast(off), ["_pid"] + keys)
-             .select(*keys, order, *sums, *[(F.col(f"_o{s}") + F.col(f"_c{s}")).alias(f"cum_{s}")
-                                            for s in sums]))
+    return (d.select("_pid", *keys, order, *sums, *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_c{s}") for s in sums])
+             .join(_offsets(d, keys, sums), ["_pid"] + keys)
+             .select(*keys, order, *sums, *[(F.col(f"_o{s}") + F.col(f"_c{s}")).alias(f"cum_{s}") for s in sums]))
+
+
+def rank_ranges(data: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """``(keys..., _v, _c, _start)``: distinct values, counts, 0-based start rank."""
+    base = _base(data, keys, value).withColumn("_c", F.lit(1).cast("long"))
+    return running_sums(base, keys, "_v", ["_c"]).withColumnRenamed("cum__c", "_start")

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import r4, top_k_per_group
+from ..functions.frames import col, r4, top_k_per_group
 from ..functions.normal import norm_ppf
-from ..functions.quantiles import quantile_wide, rank_ranges, tall
+from ..functions.quantiles import column_quantiles, rank_ranges, tall
 
 # Largest run of equal values expanded into positions inside one task.
 RANK_CHUNK = 100_000
@@ -48,16 +48,19 @@ def box_stats(df: DataFrame, cols: list[str], max_cols: int | None = None, whis:
     Whiskers are the most extreme data inside ``[q1 - 1.5 IQR, q3 + 1.5 IQR]``.
     """
     cols = cols[:max_cols]
-    t = tall(df, cols).where(F.col("value").isNotNull())
-    q = quantile_wide(t, {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["variable"])
-    iqr = F.col("q3") - F.col("q1")
-    q = q.select("*", (F.col("q1") - whis * iqr).alias("_lo"), (F.col("q3") + whis * iqr).alias("_hi"))
-    inside = (F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))
-    w = (t.join(F.broadcast(q.select("variable", "_lo", "_hi")), "variable")
-          .groupBy("variable")
-          .agg(F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
-               F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
-               F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("n_fliers")))
+    q = column_quantiles(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    boxes = q.collect()         # one row per column
+    if not boxes:
+        return q.select("variable", *[F.lit(None).cast("double").alias(c) for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")],
+                        F.lit(None).cast("long").alias("n_fliers"))
+    aggs = []
+    for i, b in enumerate(boxes):
+        v, iqr = col(b["variable"]).cast("double"), b["q3"] - b["q1"]
+        inside = (v >= F.lit(b["q1"] - whis * iqr)) & (v <= F.lit(b["q3"] + whis * iqr))
+        aggs += [F.min(F.when(inside, v)).alias(f"lo{i}"), F.max(F.when(inside, v)).alias(f"hi{i}"), F.sum((~inside).cast("long")).alias(f"out{i}")]
+    one = df.agg(*aggs).first()
+    w = df.sparkSession.createDataFrame([(b["variable"], one[f"lo{i}"], one[f"hi{i}"], one[f"out{i}"]) for i, b in enumerate(boxes)],
+                                        "variable string, whisker_lo double, whisker_hi double, n_fliers long")
     return q.join(w, "variable").select(
         "variable", r4("q1").alias("q1"), r4("median").alias("median"), r4("q3").alias("q3"),
         r4("whisker_lo").alias("whisker_lo"), r4("whisker_hi").alias("whisker_hi"), "n_fliers")

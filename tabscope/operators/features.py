@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantiles, tall
+from ..functions.quantiles import column_quantiles, tall
 from .prep import feature_frame
 from .roles import distinct_counts
 
@@ -28,12 +28,17 @@ def target_correlation(df: DataFrame, target: str, cols: list[str], top: int = 2
                                            "rank int, feature string, correlation double")
 
 
+def cut_points(df: DataFrame, cols: list[str], q: int = 10) -> dict[str, list[float]]:
+    """The distinct inner ``q``-quantiles of each column that has values."""
+    names = {f"q{j}": j / q for j in range(1, q)}
+    return {r["variable"]: sorted({r[n] for n in names}) for r in column_quantiles(df, cols, names).collect()}
+
+
 def decile_bins(df: DataFrame, cols: list[str], q: int = 10) -> DataFrame:
     """Tall ``(variable, value, bin)``: bin = number of distinct decile edges below the value."""
     t = tall(df, cols).where(F.col("value").isNotNull())
-    edges = (exact_quantiles(t, [j / q for j in range(1, q)], ["variable"])
-             .groupBy("variable").agg(F.array_sort(F.collect_set("q")).alias("_e")))  # <= q - 1 each
-    j = t.join(F.broadcast(edges), "variable")
+    edges = df.sparkSession.createDataFrame(list(cut_points(df, cols, q).items()), "variable string, _e array<double>")
+    j = t.join(F.broadcast(edges), "variable")      # one row per column
     return j.select("variable", "value",
                     F.size(F.filter("_e", lambda e: F.col("value") > e)).alias("bin"))
 
@@ -48,15 +53,11 @@ def mutual_information(df: DataFrame, target: str, cols: list[str], key: str,
     cols = [c for c in cols if c != target]
     base = df.select(key, target, *cols)
     # decile edges per feature (<= 9 each), then the bin as a column expression
-    edges = (exact_quantiles(tall(base, cols).where(F.col("value").isNotNull()),
-                             [j / 10 for j in range(1, 10)], ["variable"])
-             .groupBy("variable").agg(F.array_sort(F.collect_set("q")).alias("_e"))).collect()
-    emap = {r["variable"]: list(r["_e"]) for r in edges}
+    emap = cut_points(base, cols)
     if target_discrete:
         ycol = F.col(target).cast("string")
     else:
-        ye = sorted({r["q"] for r in exact_quantiles(base.select(F.col(target).alias("value")),
-                                                     [j / 10 for j in range(1, 10)], []).collect()})
+        ye = cut_points(base, [target]).get(target, [])
         ycol = sum((F.when(F.col(target) > F.lit(e), 1).otherwise(0) for e in ye), F.lit(0)).cast("string")
     st = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"),
                                       sum((F.when(F.col(c) > F.lit(e), 1).otherwise(0)

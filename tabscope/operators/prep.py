@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import col, quoted
-from ..functions.quantiles import quantile_wide, tall
+from ..functions.quantiles import column_quantiles, tall
 from ..session import cut_lineage
 from .profile import mode_values, numeric_columns, outlier_counts, skew_bias_corrected
 
@@ -37,7 +37,7 @@ def fill_values(df: DataFrame, num_cols: list[str], other_cols: list[str], numer
     if num_cols:
         t = tall(df, num_cols, "column_name", "value")
         mom = t.groupBy("column_name").agg(F.avg("value").alias("mean"))
-        med = quantile_wide(t, {"median": 0.5}, ["column_name"], "value")
+        med = column_quantiles(df, num_cols, {"median": 0.5}, "column_name").drop("n")
         parts.append(mom.join(med, "column_name", "full"))
     modes = mode_values(df, (num_cols if numeric_modes else []) + other_cols).select("column_name", "mode")
     if parts:
@@ -75,7 +75,7 @@ def winsorize(df: DataFrame, cols: list[str], lo: float = 0.01, hi: float = 0.99
     """Clip each column to its own ``lo`` / ``hi`` percentiles (linear)."""
     if not cols:
         return df
-    b = quantile_wide(tall(df, cols), {"lo": lo, "hi": hi}, ["variable"]).collect()
+    b = column_quantiles(df, cols, {"lo": lo, "hi": hi}).collect()
     bounds = {r["variable"]: (r["lo"], r["hi"]) for r in b}
     out = []
     for c in df.columns:
@@ -105,7 +105,7 @@ def scale(df: DataFrame, cols: list[str], method: str) -> DataFrame:
         return df
     t = tall(df, cols)
     if method == "RobustScaler":
-        s = quantile_wide(t, {"_a": 0.5, "q1": 0.25, "q3": 0.75}, ["variable"]) \
+        s = column_quantiles(df, cols, {"_a": 0.5, "q1": 0.25, "q3": 0.75}) \
             .select("variable", "_a", (F.col("q3") - F.col("q1")).alias("_b"))
     elif method == "StandardScaler":
         s = t.groupBy("variable").agg(F.avg("value").alias("_a"), F.stddev_pop("value").alias("_b"))
@@ -279,7 +279,7 @@ def feature_frame(df: DataFrame, target: str, numeric_cols: list[str], other_col
     cats = [c for c in other_cols if c != target and c not in keep]
     med = {}
     if feats:
-        q = quantile_wide(tall(df, feats), {"m": 0.5}, ["variable"]).collect()
+        q = column_quantiles(df, feats, {"m": 0.5}).collect()
         med = {r["variable"]: r["m"] for r in q}
     lv = level_lists(df, cats, max_levels)
     sel = [F.coalesce(F.col(c).cast("double"), F.lit(med.get(c)).cast("double"), F.lit(0.0)).alias(c)

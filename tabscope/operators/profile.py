@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.frames import attach_scalars, col, r4, top_k_per_group
-from ..functions.quantiles import quantile_wide, tall
+from ..functions.quantiles import column_quantiles, tall
 from .roles import NUMERIC
 
 _GROUPABLE_SKIP = (T.MapType,)
@@ -82,11 +82,9 @@ def missing_table(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- AGG-6
 def iqr_bounds(df: DataFrame, cols: list[str], min_count: int = 4) -> DataFrame:
     """``(variable, n, q1, q3, lower, upper)`` for columns with >= ``min_count`` values."""
-    t = tall(df, cols)
-    counts = t.where(F.col("value").isNotNull()).groupBy("variable").agg(F.count(F.lit(1)).alias("n"))
-    q = quantile_wide(t, {"q1": 0.25, "q3": 0.75}, ["variable"])
+    q = column_quantiles(df, cols, {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
-    return (q.join(counts, "variable").where(F.col("n") >= min_count)
+    return (q.where(F.col("n") >= min_count)
              .select("variable", "n", "q1", "q3", (F.col("q1") - 1.5 * iqr).alias("lower"),
                      (F.col("q3") + 1.5 * iqr).alias("upper")))
 
@@ -94,15 +92,20 @@ def iqr_bounds(df: DataFrame, cols: list[str], min_count: int = 4) -> DataFrame:
 def outlier_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``(column_name, outliers)``: strict IQR rule; booleans are not examined."""
     cols = numeric_columns(df, include_bool=False) if cols is None else cols
-    b = iqr_bounds(df, cols)
-    t = tall(df, cols).where(F.col("value").isNotNull())
-    out = F.when((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")), 1).otherwise(0)
-    return (t.join(F.broadcast(b.select("variable", "lower", "upper")), "variable")
-             .groupBy(F.col("variable").alias("column_name"))
-             .agg(F.sum(out).cast("long").alias("outliers")))
+    bounds = {r["variable"]: r for r in iqr_bounds(df, cols).collect()}      # one row per column
+    ddl = "column_name string, outliers bigint"
+    if not bounds:
+        return df.sparkSession.createDataFrame([], ddl)
+    v = {c: col(c).cast("double") for c in bounds}
+    one = df.agg(*[F.sum(((v[c] < F.lit(b["lower"])) | (v[c] > F.lit(b["upper"]))).cast("long")).alias(f"_o{i}")
+                   for i, (c, b) in enumerate(bounds.items())]).first()
+    return df.sparkSession.createDataFrame([(c, one[f"_o{i}"]) for i, c in enumerate(bounds)], ddl)
 
 
 # ---------------------------------------------------------------- AGG-7..10
+_DESCRIBED = ("count", "mean", "median", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis")
+
+
 def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """One row per numeric column with at least one value.
 
@@ -110,13 +113,15 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     skewness and excess kurtosis, all rounded to 4 decimals.
     """
     cols = numeric_columns(df) if cols is None else cols
-    t = tall(df, cols).where(F.col("value").isNotNull())
-    mom = t.groupBy("variable").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.skewness("value").alias("skewness"),
-        F.kurtosis("value").alias("kurtosis"))
-    q = quantile_wide(t, {"q25": 0.25, "median": 0.5, "q75": 0.75}, ["variable"])
+    q = column_quantiles(df, cols, {"q25": 0.25, "median": 0.5, "q75": 0.75}).drop("n")
+    if not cols:
+        return q.select("variable", *[F.lit(None).cast("long" if c == "count" else "double").alias(c) for c in _DESCRIBED])
+    # the moments of all columns in one pass; one row of numbers reaches the driver
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+             "skewness": F.skewness, "kurtosis": F.kurtosis}
+    one = df.agg(*[f(col(c).cast("double")).alias(f"{s}{i}") for i, c in enumerate(cols) for s, f in stats.items()]).first()
+    mom = df.sparkSession.createDataFrame([(c, *[one[f"{s}{i}"] for s in stats]) for i, c in enumerate(cols)],
+                                          "variable string, count long, mean double, std double, min double, max double, skewness double, kurtosis double")
     j = mom.join(q, "variable")
     return j.select(
         "variable", F.col("count").cast("long").alias("count"), r4("mean").alias("mean"), r4("median").alias("median"),

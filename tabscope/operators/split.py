@@ -14,10 +14,14 @@ retries, since it depends only on the row's own key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantiles, values_at_ranks
+from ..functions.frames import attach_scalars
+from ..functions.quantiles import column_quantiles, running_sums, uniform_cuts
+from ..session import cut_lineage
+
+HASH_SPAN = float(16 ** 13)     # of ``order_hash``
 
 
 def order_hash(key_cols: list[str], seed: int = 42) -> Column:
@@ -28,20 +32,18 @@ def order_hash(key_cols: list[str], seed: int = 42) -> Column:
 
 def quantile_strata(df: DataFrame, col: str, q: int = 5) -> Column:
     """``qcut(y, q, duplicates='drop')`` bin index as a Column (edges computed once)."""
-    probs = [j / q for j in range(1, q)]
-    edges = (exact_quantiles(df.select(F.col(col).alias("value")), probs, [])
-             .select("q").distinct().collect())
-    inner = sorted({r["q"] for r in edges})  # at most q - 1 values
+    names = {f"q{j}": j / q for j in range(1, q)}
+    edges = column_quantiles(df, [col], names).first()
+    inner = sorted({edges[n] for n in names}) if edges else []  # at most q - 1 values
     if not inner:
         return F.lit(0)
     return sum((F.when(F.col(col) > F.lit(e), 1).otherwise(0) for e in inner), F.lit(0))
 
 
-def _block_boundaries(counts: DataFrame, blocks: Column) -> DataFrame:
-    """``(_s, _b, _r)``: the first rank ``_r`` of block ``_b`` (``blocks`` = array of ranks)."""
-    return (counts.select("_s", "_n", F.posexplode(blocks).alias("_pos", "_r"))
-                  .select("_s", (F.col("_pos") + 1).alias("_b"), "_r")
-                  .where(F.col("_r") > 0))
+def _hashed(df: DataFrame, key_cols: list[str], seed: int, stratum: Column | None) -> DataFrame:
+    """``df`` with ``_s`` (stratum as text, never null) and ``_h`` (hash of the key)."""
+    s = F.lit("") if stratum is None else F.coalesce(F.concat(F.lit("s"), stratum.cast("string")), F.lit(""))
+    return df.withColumn("_s", s).withColumn("_h", order_hash(key_cols, seed))
 
 
 def assign_blocks(df: DataFrame, key_cols: list[str], starts: "callable", seed: int = 42,
@@ -51,47 +53,40 @@ def assign_blocks(df: DataFrame, key_cols: list[str], starts: "callable", seed:
     ``starts(n)`` maps the stratum size Column to an array Column with the
     first rank of blocks 1, 2, ...; block 0 starts at rank 0.
     """
-    s = stratum if stratum is not None else F.lit(0)
-    h = df.withColumn("_s", s.cast("string")).withColumn("_h", order_hash(key_cols, seed))
+    h = _hashed(df, key_cols, seed, stratum)
     counts = h.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
-    bounds = _block_boundaries(counts, starts(F.col("_n")))
-    vals = values_at_ranks(h.select("_s", "_h"), bounds.select("_s", "_r"), ["_s"], "_h")
-    cut = (bounds.join(vals, ["_s", "_r"]).groupBy("_s")
-                 .agg(F.collect_list("_v").alias("_cuts")))  # <= blocks per stratum
-    j = h.join(F.broadcast(cut), "_s", "left")
-    n_in = F.size(F.filter(F.coalesce(F.col("_cuts"), F.array().cast("array<double>")),
-                           lambda c: c <= F.col("_h")))
+    ranks = counts.select("_s", "_n", F.filter(starts(F.col("_n")), lambda r: r > 0).alias("_ranks"))
+    cut = uniform_cuts(h.select("_s", "_h"), ranks, ["_s"], "_h", HASH_SPAN).groupBy("_s").agg(F.collect_list("_v").alias("_cuts"))
+    j = h.join(cut, "_s", "left")   # a row per stratum with its inner block ends
+    n_in = F.size(F.filter(F.coalesce(F.col("_cuts"), F.array().cast("array<double>")), lambda c: c <= F.col("_h")))
     return j.withColumn(out, n_in.cast("int")).drop("_s", "_h", "_cuts")
 
 
-def _largest_remainder(counts: DataFrame, total_test: Column) -> DataFrame:
-    """Per stratum test size: floor of the share plus one for the largest remainders."""
-    w_all = Window.partitionBy(F.lit(1))
-    c = (counts.withColumn("_tot", F.sum("_n").over(w_all))
-               .withColumn("_q", total_test * F.col("_n") / F.col("_tot")))
-    c = c.withColumn("_f", F.floor("_q")).withColumn("_fr", F.col("_q") - F.col("_f"))
-    left = total_test - F.sum("_f").over(w_all)
-    w = Window.partitionBy(F.lit(1)).orderBy(F.col("_fr").desc(), F.col("_s"))
-    return c.withColumn("_alloc", (F.col("_f") + F.when(F.row_number().over(w) <= left, 1)
-                                   .otherwise(0)).cast("long"))
+def _test_sizes(counts: DataFrame, test_size: float) -> DataFrame:
+    """``(_s, _n, _alloc)``: ``ceil(test_size * n)`` rows shared over the strata by largest remainder.
+
+    The remainders are numbered over range partitions, so any number of strata will do; ties go to the smaller stratum.
+    """
+    c = attach_scalars(counts, counts.agg(F.sum("_n").alias("_tot")))
+    wanted = F.ceil(F.lit(test_size) * F.col("_tot"))
+    c = c.withColumn("_q", wanted * F.col("_n") / F.col("_tot")).withColumn("_f", F.floor("_q"))
+    c = c.withColumn("_o", F.struct((F.col("_f") - F.col("_q")).alias("r"), "_s")).withColumn("_one", F.lit(1).cast("long"))
+    place = running_sums(c, [], "_o", ["_one"]).select(F.col("_o._s").alias("_s"), F.col("cum__one").alias("_place"))
+    c = attach_scalars(c.join(place, "_s"), c.agg(F.sum("_f").alias("_given")))
+    return c.select("_s", "_n", (F.col("_f") + (F.col("_place") < wanted - F.col("_given")).cast("int")).cast("long").alias("_alloc"))
 
 
 def train_test_split(df: DataFrame, key_cols: list[str], test_size: float = 0.2, seed: int = 42,
                      stratify: Column | None = None) -> DataFrame:
-    """Adds ``is_test``: exactly ``ceil(test_size * n)`` rows, shared over strata
-    by largest remainder (strata tables hold at most a few dozen rows)."""
-    s = stratify if stratify is not None else F.lit(0)
-    h = df.withColumn("_s", s.cast("string")).withColumn("_h", order_hash(key_cols, seed))
+    """Adds ``is_test``: exactly ``ceil(test_size * n)`` rows, shared over strata by largest remainder."""
+    h = _hashed(df, key_cols, seed, stratify)
     counts = h.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
-    n_test = F.ceil(F.lit(test_size) * F.sum("_n").over(Window.partitionBy(F.lit(1))))
-    alloc = _largest_remainder(counts, n_test)
-    bounds = alloc.select("_s", F.col("_alloc").alias("_r")).where(F.col("_r") > 0)
-    vals = values_at_ranks(h.select("_s", "_h"), bounds, ["_s"], "_h")
-    cut = alloc.join(vals.select("_s", F.col("_v").alias("_cut")), "_s", "left").select("_s", "_cut", "_alloc")
-    j = h.join(F.broadcast(cut), "_s", "left")
-    test = F.when(F.col("_alloc") <= 0, F.lit(False)) \
-            .when(F.col("_cut").isNull(), F.lit(True)).otherwise(F.col("_h") < F.col("_cut"))
-    return j.withColumn("is_test", test).drop("_s", "_h", "_cut", "_alloc")
+    alloc = counts.withColumn("_alloc", F.ceil(F.lit(test_size) * F.col("_n"))) if stratify is None else cut_lineage(_test_sizes(counts, test_size))
+    ranks = alloc.where("_alloc > 0").select("_s", "_n", F.array(F.col("_alloc").cast("long")).alias("_ranks"))
+    cut = uniform_cuts(h.select("_s", "_h"), ranks, ["_s"], "_h", HASH_SPAN)
+    cut = alloc.join(cut.select("_s", F.col("_v").alias("_cut")), "_s", "left").select("_s", "_cut", "_alloc")
+    test = F.when(F.col("_alloc") <= 0, F.lit(False)).when(F.col("_cut").isNull(), F.lit(True)).otherwise(F.col("_h") < F.col("_cut"))
+    return h.join(cut, "_s", "left").withColumn("is_test", test).drop("_s", "_h", "_cut", "_alloc")
 
 
 def kfold_starts(k: int):

@@ -34,15 +34,47 @@ def test_exact_quantiles_match_numpy(spark):
         assert math.isclose(got, np.quantile(v, p), rel_tol=1e-12, abs_tol=1e-12)
 
 
-def test_exact_quantiles_bracket_path(spark):
-    """Force the sketch-bracketing path with a tiny direct limit; still exact."""
-    from tabscope.functions.quantiles import exact_quantiles
+@pytest.mark.parametrize("margin", [2e-5, 0.0, 0.3])
+def test_quantiles_of_any_bracket_are_exact(spark, margin):
+    """Brackets that miss their rank, overlap or hold most of the rows give the same values."""
+    from tabscope.functions.quantiles import column_quantiles, exact_quantiles
     rng = np.random.default_rng(5)
-    v = rng.normal(size=5000)
-    df = spark.createDataFrame([(float(x), "g") for x in v], "value double, k string")
-    got = {r["p"]: r["q"] for r in exact_quantiles(df, [0.1, 0.5, 0.9], ["k"], direct_limit=100).collect()}
-    for p, q in got.items():
-        assert math.isclose(q, np.quantile(v, p), rel_tol=1e-12)
+    cols = {"normal": rng.normal(size=3000), "ties": rng.integers(0, 3, 3000).astype(float), "one": np.full(3000, 7.0),
+            "hot": np.where(rng.random(3000) < .9, 1.0, rng.random(3000))}
+    rows = [tuple(float(x) for x in r) + (None,) for r in zip(*cols.values())]
+    rows += [(None, None, None, None, None)] * 10
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}.x` double" for c in [*cols, "none"]))
+    probs = {f"q{p}": p for p in (0.0, .001, .1, .11, .5, .9, 1.0)}
+    got = {r["variable"]: r for r in column_quantiles(df, df.columns, probs, margin=margin).collect()}
+    assert got.keys() == {f"{c}.x" for c in cols}
+    tall = df.selectExpr(*[f"`{c}.x` AS {c}" for c in cols]).unpivot([], list(cols), "k", "value")
+    groups = {(r["k"], r["p"]): r["q"] for r in exact_quantiles(tall, list(probs.values()), ["k"], margin=margin).collect()}
+    for c, v in cols.items():
+        assert got[f"{c}.x"]["n"] == 3000
+        for name, p in probs.items():
+            want = np.quantile(v, p)
+            assert math.isclose(got[f"{c}.x"][name], want, rel_tol=1e-12, abs_tol=1e-12), (c, p)
+            assert math.isclose(groups[c, p], want, rel_tol=1e-12, abs_tol=1e-12), (c, p)
+
+
+def test_quantiles_scan_twice(spark):
+    """Two scans whatever the number of columns, and no distinct values outside the brackets are shuffled."""
+    from tabscope.functions.quantiles import column_quantiles
+    df = spark.range(200_000).selectExpr("id * 1.0 AS a", "-id * 2.0 AS b", "id % 7 AS c")
+    q = {r["variable"]: (r["m"], r["h"]) for r in column_quantiles(df, ["a", "b", "c"], {"m": .5, "h": .99}).collect()}
+    want = {"a": (99999.5, 197999.01), "b": (-199999.0, -3999.98), "c": (3.0, 6.0)}
+    assert q.keys() == want.keys() and all(q[k] == pytest.approx(want[k], rel=1e-12) for k in q)
+
+
+def test_many_strata_share_by_largest_remainder(spark):
+    """Ten thousand strata of one to three rows, with a null stratum and tied keys; exact size and repeatable."""
+    from tabscope.operators.split import kfold, train_test_split
+    df = spark.range(20_000).selectExpr("id AS k", "CASE WHEN id < 19990 THEN id % 9973 END AS s")
+    one = train_test_split(df, ["k"], stratify=F.col("s")).where("is_test")
+    two = train_test_split(df.repartition(7), ["k"], stratify=F.col("s")).where("is_test")
+    a, b = sorted(r.k for r in one.collect()), sorted(r.k for r in two.collect())
+    assert a == b and len(a) == 4000
+    assert kfold(df, ["k"], 2, stratify=F.col("s")).where("s IS NULL").groupBy("fold").count().orderBy("fold").collect() == [(0, 5), (1, 5)]
 
 
 def test_split_sizes_and_repeatable(spark):
