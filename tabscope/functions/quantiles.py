@@ -1,10 +1,10 @@
 """Exact order statistics that stay distributed at any scale, by one plan at every size.
 
 Quantiles and ranks are found in two scans.  The first builds one mergeable sketch per column or group
-(``percentile_approx``) and reads off a bracket around every wanted rank, ``MARGIN`` of the rows to either
+(KLL) and reads off a bracket around every wanted rank, ``MARGIN`` of the rows to either
 side.  The second counts, in one aggregate for all brackets, the rows of each stretch between brackets and
-the distinct values inside them.  Running counts over that (some ``4 * MARGIN`` of the rows at most, hot values as one
-row each) give the value at each rank.  A rank that its bracket missed shows in the counts; such brackets
+the distinct values inside them.  Running counts over that (some ``2 * MARGIN`` of the rows a bracket, hot values as one
+row each; a bracket is one window partition) give the value at each rank.  A rank that its bracket missed shows in the counts; such brackets
 are widened and counted again.
 
 ``column_quantiles`` does this for the columns of a wide table, ``exact_quantiles`` for the groups of a tall one,
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .frames import col
 from ..session import cut_lineage
 
-ACCURACY = 100_000          # of the sketch: its ranks are off by n / ACCURACY at most
-MARGIN = 2.0 / ACCURACY     # share of the rows by which a bracket reaches over the wanted rank
+SKETCH = 65_535             # of the KLL sketch: its ranks are off by about 1e-4 of the rows
+MARGIN = 4e-4               # share of the rows by which a bracket reaches over the wanted rank
 WIDER = 64                  # factor by which a bracket that missed is widened
 
 
@@ -56,8 +56,11 @@ def _counted(stretches: DataFrame, keys: list[str]) -> DataFrame:
     null between them, ``_lo`` the rank of the first row.  Only counts are shuffled.
     """
     c = stretches.groupBy(*keys, "_stretch", "_in").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
-    w = Window.partitionBy(*keys).orderBy("_stretch", "_in").rowsBetween(Window.unboundedPreceding, 0)
-    return c.withColumn("_lo", F.sum("_c").over(w) - F.col("_c"))
+    w = Window.partitionBy(*keys, "_stretch").orderBy("_in").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    total = c.groupBy(*keys, "_stretch").agg(F.sum("_c").alias("_t"))
+    total = total.select(*keys, "_stretch", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    return c.withColumn("_lo", F.sum("_c").over(w) - F.col("_c")).join(total, [*keys, "_stretch"]).withColumn("_lo", F.col("_lo") + F.col("_before"))
 
 
 def _value_at(rank: Column) -> Column:
@@ -91,8 +94,7 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], va
         return spark.createDataFrame([], ddl)
     x = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
     shares = _shares(wanted, margin)
-    sketch = x.agg(*[F.percentile_approx(f"_{i}", shares, ACCURACY).alias(f"g{i}") for i in range(len(cols))],
-                   *[F.count(f"_{i}").alias(f"n{i}") for i in range(len(cols))]).first()
+    sketch = _sketched(x, range(len(cols)), shares)
     found: dict[int, dict[int, float]] = {}
     todo = {i: _ends(sketch[f"g{i}"], shares) for i in range(len(cols)) if sketch[f"n{i}"]}
     sizes = {i: int(sketch[f"n{i}"]) for i in todo}
@@ -105,7 +107,7 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], va
         todo = {}
         if missed:
             shares = _shares(wanted, wide)
-            again = x.agg(*[F.percentile_approx(f"_{i}", shares, ACCURACY).alias(f"g{i}") for i in missed]).first()
+            again = _sketched(x, missed, shares)
             todo = {i: _ends(again[f"g{i}"], shares) for i in missed}
     rows = []
     for i, n in sizes.items():
@@ -118,6 +120,16 @@ def column_quantiles(df: DataFrame, cols: list[str], probs: dict[str, float], va
     return spark.createDataFrame(rows, ddl)
 
 
+def _quantiles_of(sketch: Column, shares: list[float]) -> Column:
+    return F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(float(s)) for s in shares]))
+
+
+def _sketched(x: DataFrame, which, shares: list[float]):
+    """One row: count ``n{i}`` and the sketch's quantiles ``g{i}`` of the columns ``_{i}``."""
+    one = x.agg(*[F.kll_sketch_agg_double(f"_{i}", F.lit(SKETCH)).alias(f"k{i}") for i in which], *[F.count(f"_{i}").alias(f"n{i}") for i in which])
+    return one.select(*[F.col(f"n{i}") for i in which], *[F.when(F.col(f"n{i}") > 0, _quantiles_of(F.col(f"k{i}"), shares)).alias(f"g{i}") for i in which]).first()
+
+
 def _ends(grid: list[float], shares: list[float]) -> list[tuple[float, float]]:
     """Brackets (low, high) from the sketch's values; open at the ends of the column."""
     ends = [-math.inf if s <= 0 else math.inf if s >= 1 else g for g, s in zip(grid, shares)]
@@ -126,19 +138,21 @@ def _ends(grid: list[float], shares: list[float]) -> list[tuple[float, float]]:
 
 def _values_at(x: DataFrame, brackets: dict[int, list], ranks: dict[int, list[int]]) -> dict[int, dict[int, float]]:
     """The counting pass of all columns: {column: {rank: value, None where a bracket missed it}}."""
-    parts = []
-    for i, ends in brackets.items():
-        v = F.col(f"_{i}")
-        above = sum(((v >= F.lit(lo)).cast("int") for lo, _ in ends), F.lit(0))
-        past = sum(((v > F.lit(hi)).cast("int") for _, hi in ends), F.lit(0))
-        parts.append(F.struct(F.lit(i).alias("_i"), (above + past).alias("_stretch"), F.when(above > past, v).alias("_in"), v.alias("_v")))
-    rows = x.select(F.explode(F.array(*parts)).alias("r")).select("r.*").where(F.col("_v").isNotNull())
     spark = x.sparkSession
-    want = spark.createDataFrame([(i, r) for i, rs in ranks.items() for r in rs], "_i int, _r long")
+    m = range(max(len(ends) for ends in brackets.values()))
+    ddl = "_i string" + "".join(f", _l{j} double, _h{j} double" for j in m)
+    of = spark.createDataFrame([(f"_{i}", *[e for pair in ends for e in pair]) for i, ends in brackets.items()], ddl)   # a row a column
+    v = F.col("_v")
+    above = sum(((v >= F.col(f"_l{j}")).cast("int") for j in m), F.lit(0))
+    past = sum(((v > F.col(f"_h{j}")).cast("int") for j in m), F.lit(0))
+    rows = (x.unpivot([], [f"_{i}" for i in brackets], "_i", "_v").where(v.isNotNull()).join(F.broadcast(of), "_i")
+             .select("_i", "_v", above.alias("_a"), past.alias("_p"))
+             .select("_i", "_v", (F.col("_a") + F.col("_p")).alias("_stretch"), F.when(F.col("_a") > F.col("_p"), v).alias("_in")))
+    want = spark.createDataFrame([(f"_{i}", r) for i, rs in ranks.items() for r in rs], "_i string, _r long")
     got = _counted(rows, ["_i"]).join(F.broadcast(want), "_i").where(_holds(F.col("_r"))).select("_i", "_r", _value_at(F.col("_r")).alias("v"))
     out: dict[int, dict[int, float]] = {}
     for r in got.collect():             # one row per column and rank
-        out.setdefault(r["_i"], {})[r["_r"]] = r["v"]
+        out.setdefault(int(r["_i"][1:]), {})[r["_r"]] = r["v"]
     return out
 
 
@@ -182,7 +196,8 @@ def exact_quantiles(data: DataFrame, probs: list[float], keys: list[str],
 
     def brackets(rows: DataFrame, margin: float) -> DataFrame:
         shares = _shares(probs, margin)
-        g = rows.groupBy(*keys).agg(F.percentile_approx("_v", shares, ACCURACY).alias("_g"), F.count(F.lit(1)).alias("_n"))
+        g = rows.groupBy(*keys).agg(F.kll_sketch_agg_double("_v", F.lit(SKETCH)).alias("_k"), F.count(F.lit(1)).alias("_n"))
+        g = g.select(*keys, "_n", _quantiles_of(F.col("_k"), shares).alias("_g"))
 
         def ends(side):
             return F.array(*[F.lit(-math.inf) if s <= 0 else F.lit(math.inf) if s >= 1 else F.col("_g")[i].cast("double")

@@ -34,7 +34,7 @@ def test_exact_quantiles_match_numpy(spark):
         assert math.isclose(got, np.quantile(v, p), rel_tol=1e-12, abs_tol=1e-12)
 
 
-@pytest.mark.parametrize("margin", [2e-5, 0.0, 0.3])
+@pytest.mark.parametrize("margin", [4e-4, 0.0, 0.3])
 def test_quantiles_of_any_bracket_are_exact(spark, margin):
     """Brackets that miss their rank, overlap or hold most of the rows give the same values."""
     from tabscope.functions.quantiles import column_quantiles, exact_quantiles
