@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def quoted(name: str) -> str:
@@ -46,6 +47,27 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list,
                   .where(F.col(rank_name) <= k).drop("_salt", "_r1"))
 
 
+def value_hash(values: list) -> tuple:
+    """Two 64-bit hashes of typed values [(column, type)], together equal for equal values only (128 bits).
+
+    Numbers, dates and timestamps are hashed as they are (microseconds included), -0.0 as 0.0; nulls count
+    by their place; arrays and structs by their JSON text with full timestamps.
+    """
+    plain, nulls = [], []
+    for c, kind in values:
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            plain.append(c + F.lit(0.0).cast(kind))
+        elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+            plain.append(F.to_json(F.struct(c.alias("v")), {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
+                                                            "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}))
+        else:
+            plain.append(c)
+        nulls.append(c.isNull().cast("long"))
+    for i in range(0, len(nulls), 60):      # a bit for each null
+        plain.append(sum((F.shiftleft(b, j) for j, b in enumerate(nulls[i:i + 60])), F.lit(0).cast("long")))
+    return F.xxhash64(*plain), F.xxhash64(F.lit("second"), *plain)
+
+
 def r4(c, digits: int = 4):
     """Round half-up to ``digits`` and turn -0.0 into 0.0 (oracle convention)."""
     return F.round(c, digits) + F.lit(0.0)

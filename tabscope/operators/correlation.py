@@ -1,8 +1,8 @@
 """Correlation (COR-1, 2, 4, 5), pairwise complete.
 
 Pearson: every ``corr(a, b)`` in one aggregate (Spark's ``corr`` skips a
-row when either side is null).  Spearman: per pair, mid-ranks over the
-pair's complete rows via distinct-value rank tables, then Pearson of ranks.
+row when either side is null).  Spearman: mid-ranks of each column once, for every
+partner column that has nulls, then Pearson of ranks.
 """
 
 from __future__ import annotations
@@ -12,21 +12,27 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import r4
-from ..functions.quantiles import rank_ranges
+from ..functions.frames import col, r4
+from ..functions.quantiles import running_sums
 
 
 def _pairs(cols):
     return [(i, j) for i, j in combinations(range(len(cols)), 2)]
 
 
+def _corr(a: str, b: str):
+    """``corr`` that is null where a column is constant over the pair's rows (Spark's raises under ANSI)."""
+    c, r2 = F.covar_pop(a, b), F.regr_r2(a, b)
+    return F.when((c == 0) & (r2 == 1), F.lit(None)).otherwise(F.signum(c) * F.sqrt(r2))
+
+
 def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(var1, var2, i, j, r)`` for the full matrix, diagonal 1.0; < 2 columns → empty."""
     schema = "var1 string, var2 string, i long, j long, r double"
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    aggs = [F.corr(cols[i], cols[j]).alias(f"_c{i}_{j}") for i, j in _pairs(cols)]
+    x = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    aggs = [_corr(f"_{i}", f"_{j}").alias(f"_c{i}_{j}") for i, j in _pairs(cols)]
     # one row of p(p-1)/2 numbers: the p x p matrix is built locally from it
     one = x.agg(*aggs).first()
     rows = []
@@ -38,31 +44,35 @@ def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Spearman ρ per pair over the pair's complete rows (average ranks for ties)."""
+    """Spearman ρ per pair over the pair's complete rows (average ranks for ties).
+
+    A row becomes one row per column, never one per pair.  The ranks of a column depend on its partner only where
+    the partner has nulls; so each distinct value carries one count for the whole column and one for each column with
+    nulls (rows where that column is there), and one run over the sorted values turns all of them into
+    mid-ranks.  The ranks go back to the rows by value, and all correlations are one aggregate.
+    """
     spark = df.sparkSession
     schema = "var1 string, var2 string, i long, j long, r double"
     if len(cols) < 2:
         return spark.createDataFrame([], schema)
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    pairs = _pairs(cols)
-    stack = F.explode(F.array(*[
-        F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"),
-                 F.col(cols[i]).alias("x"), F.col(cols[j]).alias("y")) for i, j in pairs]))
-    pt = (x.select(stack.alias("s")).select("s.*")
-           .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
-    mid = (F.col("_start") + (F.col("_c") + 1) / 2.0)
-    rx = rank_ranges(pt, ["i", "j"], "x").select("i", "j", F.col("_v").alias("x"), mid.alias("rx"))
-    ry = rank_ranges(pt, ["i", "j"], "y").select("i", "j", F.col("_v").alias("y"), mid.alias("ry"))
-    r = (pt.join(rx, ["i", "j", "x"]).join(ry, ["i", "j", "y"])
-           .groupBy("i", "j").agg(F.corr("rx", "ry").alias("r")))
-    names = spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "k long, name string")
-    upper = (r.join(F.broadcast(names.withColumnRenamed("k", "i").withColumnRenamed("name", "var1")), "i")
-              .join(F.broadcast(names.withColumnRenamed("k", "j").withColumnRenamed("name", "var2")), "j"))
-    lower = upper.select(F.col("var2").alias("var1"), F.col("var1").alias("var2"),
-                         F.col("j").alias("i"), F.col("i").alias("j"), "r")
-    diag = names.select(F.col("name").alias("var1"), F.col("name").alias("var2"),
-                        F.col("k").alias("i"), F.col("k").alias("j"), F.lit(1.0).alias("r"))
-    return upper.select("var1", "var2", "i", "j", "r").unionByName(lower).unionByName(diag)
+    p = range(len(cols))
+    x = df.select(*[col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    full = x.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"_{i}").alias(f"n{i}") for i in p]).first()
+    with_nulls = [i for i in p if full[f"n{i}"] < full["n"]]
+    slot = {i: with_nulls.index(i) + 1 if i in with_nulls else 0 for i in p}       # 0: every row of the column
+    flags = ["_f0", *[f"_f{slot[i]}" for i in with_nulls]]
+    rows = x.withColumn("_id", F.monotonically_increasing_id()).withColumn("_f0", F.lit(1).cast("long"))
+    rows = rows.withColumns({f"_f{slot[i]}": F.col(f"_{i}").isNotNull().cast("long") for i in with_nulls})
+    t = rows.unpivot(["_id", *flags], [f"_{i}" for i in p], "_c", "_v").where(F.col("_v").isNotNull())
+    ranks = running_sums(t, ["_c"], "_v", flags)
+    ranks = ranks.select("_c", "_v", *[(F.col(f"cum_{f}") + (F.col(f) + 1) / 2).alias(f"r{f}") for f in flags])
+    back = t.select("_id", "_c", "_v").join(ranks, ["_c", "_v"])
+    used = sorted({(i, slot[j]) for i in p for j in p if i != j})
+    wide = back.groupBy("_id").agg(*[F.max(F.when(F.col("_c") == f"_{i}", F.col(f"r_f{k}"))).alias(f"r{i}_{k}") for i, k in used])
+    one = wide.agg(*[_corr(f"r{i}_{slot[j]}", f"r{j}_{slot[i]}").alias(f"_c{i}_{j}")
+                     for i, j in _pairs([None] * len(cols))]).first()
+    out = [(a, b, i, j, 1.0 if i == j else one[f"_c{min(i, j)}_{max(i, j)}"]) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return spark.createDataFrame(out, schema)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:
@@ -103,7 +113,6 @@ def kendall_tau_b(df: DataFrame, x: str, y: str) -> DataFrame:
     no pair of rows is ever formed.  Work is O(n log D).
     """
     from ..functions.frames import dense_codes
-    from ..functions.quantiles import running_sums
     d = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop()
     codes = dense_codes(d.select("y"), "y")
     n_codes = codes.count()

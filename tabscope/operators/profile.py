@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import attach_scalars, col, r4, top_k_per_group
+from ..functions.frames import attach_scalars, col, r4, top_k_per_group, value_hash
 from ..functions.quantiles import column_quantiles, tall
 from .roles import NUMERIC
 
@@ -32,16 +32,14 @@ def profile_summary(df: DataFrame) -> DataFrame:
     """One row: ``n_rows, n_cols, total_missing, duplicate_rows``.
 
     Duplicates are rows beyond the first of each identical group, nulls equal
-    to each other.  Rows are grouped by a 128-bit hash of all columns, so a row
-    is shuffled as 16 bytes however wide it is.
+    to each other.  Rows are grouped by a 128-bit hash of their typed values, so a row
+    is shuffled as 16 bytes however wide it is and counted map-side.
     """
     cols = [f.name for f in df.schema.fields if not isinstance(f.dataType, _GROUPABLE_SKIP)]
     miss = sum((col(c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
     basic = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(miss).alias("total_missing"))
-    # a JSON text names its fields and leaves out nulls, so equal rows and only they have equal texts
-    floats = (T.FloatType, T.DoubleType)
-    row = F.to_json(F.struct(*[(col(c) + F.lit(0.0) if isinstance(df.schema[c].dataType, floats) else col(c)).alias(c) for c in cols]))
-    dups = (df.select(F.md5(row).alias("_h")).groupBy(F.unhex("_h")).agg(F.count(F.lit(1)).alias("_c"))
+    one, two = value_hash([(col(c), df.schema[c].dataType) for c in cols])
+    dups = (df.select(one.alias("_a"), two.alias("_b")).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_c"))
               .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicate_rows")))
     out = attach_scalars(basic, dups)
     return out.select(F.col("n_rows").cast("long").alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_cols"),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import attach_scalars, col
+from ..functions.frames import attach_scalars, col, value_hash
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType, T.BooleanType)
@@ -37,13 +37,14 @@ def base_role(dt: T.DataType) -> str:
 
 
 def distinct_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``(column_name, n_distinct)`` without nulls, exact, one shuffle."""
+    """``(column_name, n_distinct)`` without nulls; values are shuffled as 128-bit hashes, once per map task."""
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, n_distinct bigint")
-    t = (df.select(*[col(c).cast("string").alias(c) for c in cols])
-           .unpivot([], [col(c) for c in cols], "column_name", "value").where(F.col("value").isNotNull()))
-    return (t.groupBy("column_name", "value").count()
-             .groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct")))
+    def hashed(c):
+        one, two = value_hash([(col(c), df.schema[c].dataType)])
+        return F.when(col(c).isNotNull(), F.struct(one.alias("a"), two.alias("b"))).alias(c)
+    t = df.select(*[hashed(c) for c in cols]).unpivot([], [col(c) for c in cols], "column_name", "value").where(F.col("value").isNotNull())
+    return t.distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
 def infer_roles(df: DataFrame) -> DataFrame:

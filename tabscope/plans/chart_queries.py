@@ -137,7 +137,7 @@ def pearson_lineitem(spark, sf):
     return m.select("var1", "var2", "i", "j", fr4("r").alias("r"))
 
 
-SP_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+SP_COLS = LI_NUM
 
 
 def _spearman_sql(src, cols):

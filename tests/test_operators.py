@@ -299,3 +299,38 @@ def test_failing_model_is_a_row(spark, monkeypatch):
     monkeypatch.setattr(regress, "regression_estimators", lambda names, *a: {"Lasso": Broken(), **real_r(["Linear Regression"], *a)})
     cmp, _ = regress.compare_regressors(df, "y", ["x"], ["k"], models=["Lasso", "Linear Regression"])
     assert {r.model: r.error for r in cmp.collect()} == {"Lasso": "no fit", "Linear Regression": None}
+
+
+def test_duplicates_and_distinct_by_typed_values(spark):
+    """Microseconds, signed zeros, places of nulls, dotted names and nested nulls tell rows apart."""
+    import datetime as dt
+    from tabscope.operators.profile import profile_summary
+    from tabscope.operators.roles import distinct_counts
+    a, b = dt.datetime(2020, 1, 1, 0, 0, 0, 1), dt.datetime(2020, 1, 1, 0, 0, 0, 2)
+    rows = [(a, 0.0, "x", None, [1, None]), (b, 0.0, "x", None, [1, None]), (a, -0.0, "x", None, [1, None]),
+            (a, 0.0, None, "x", [1, None]), (a, 0.0, "x", None, [None, 1]), (None, None, None, None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "t timestamp, `v.x` double, s string, u string, l array<int>")
+    assert profile_summary(df).first()["duplicate_rows"] == 2          # the signed zero and the null row
+    got = {r["column_name"]: r["n_distinct"] for r in distinct_counts(df, df.columns).collect()}
+    assert got == {"t": 2, "v.x": 1, "s": 1, "u": 1, "l": 2}
+
+
+def test_spearman_pairwise_complete(spark):
+    """Ties, nulls in several columns and a constant one, against ranks of each pair's complete rows."""
+    import pandas as pd
+    from tabscope.operators.correlation import spearman_matrix
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"a": rng.integers(0, 9, 400).astype(float), "b.c": rng.normal(size=400), "d": rng.integers(0, 3, 400).astype(float),
+                        "e": rng.normal(size=400), "k": np.ones(400)})
+    pdf.loc[rng.random(400) < .3, "b.c"] = np.nan
+    pdf.loc[rng.random(400) < .2, "d"] = np.nan
+    rows = [tuple(None if x != x else float(x) for x in r) for r in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in pdf.columns))
+    for r in spearman_matrix(df, list(pdf.columns)).collect():
+        if r.i == r.j:
+            assert r.r == 1.0
+        elif "k" in (r.var1, r.var2):
+            assert r.r is None or r.r != r.r
+        else:
+            pair = pdf[[r.var1, r.var2]].dropna().rank()
+            assert math.isclose(r.r, np.corrcoef(pair.iloc[:, 0], pair.iloc[:, 1])[0, 1], rel_tol=1e-9, abs_tol=1e-12)
