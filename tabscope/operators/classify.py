@@ -169,40 +169,134 @@ def nearest_labels(x: np.ndarray, y: np.ndarray, q: np.ndarray, k: int) -> tuple
     return tuple(np.concatenate(z) for z in zip(*out))
 
 
-def knn_predict(train: DataFrame, test: DataFrame, features: list[str], id_col: str, k: int = 5,
-                task: str = "classification", label: str = "label",
-                block_rows: int = 8_192) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean): ``(id, prediction)`` per test row.
+PIVOTS = 1024       # most balls that the train rows are cut into
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of the rows to the pivots."""
+    return np.sqrt(np.maximum(((x[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0.0))
+
+
+def _strips(x: np.ndarray, pivots: np.ndarray):
+    """(first row, distances to the pivots) of strips of rows."""
+    step = max(1, QUERY_CELLS // max(1, pivots.size))
+    for i in range(0, len(x), step):
+        yield i, _to_pivots(x[i:i + step], pivots)
+
+
+class _Balls:
+    """Train rows by nearest pivot: pivots, radius and size of each ball; test rows by theirs."""
 
-    Train and test are cut into hash blocks of about ``block_rows`` rows (by the row id, so a task that
-    runs again gets the same rows); every (train block, test block) cell is one ``cogroup`` task, which
-    compares in strips of ``QUERY_CELLS`` entries and keeps the k best per test row.
-    The candidates of all cells are cut to the k best by a ranked window that combines before the shuffle.  No pair of rows
-    is materialised and nothing passes through the driver.  Equal distances
-    rank the smaller label first.  Classification: majority vote, ties to the
-    smallest label; ``binary`` adds the share of ones as ``score``; regression: mean label.
+    def __init__(self, train: DataFrame, test: DataFrame, names: list[str], pivots: int):
+        self.names = names
+        n = train.count()
+        hashed = train.select(*names).distinct().orderBy(F.xxhash64(*names), *names).limit(max(1, min(pivots, n // 64)))
+        self.pivots = np.array([tuple(r) for r in hashed.collect()], float).reshape(-1, len(names))     # PIVOTS rows at most
+        self.train, self.test = cut_lineage(self._dealt(train)), cut_lineage(self._dealt(test))
+        k = len(self.pivots)
+        self.radius, self.size = np.zeros(k), np.zeros(k, int)
+        for r in self.train.groupBy("_ball").agg(F.max("_from").alias("r"), F.count(F.lit(1)).alias("n")).collect():
+            self.radius[r["_ball"]], self.size[r["_ball"]] = r["r"], r["n"]
+
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        names, pivots = self.names, self.pivots
+
+        def deal(frames):
+            for pdf in frames:
+                x = pdf[names].to_numpy(dtype=float)
+                ball, far = np.zeros(len(x), np.int32), np.zeros(len(x))
+                for i, d in _strips(x, pivots):
+                    ball[i:i + len(d)], far[i:i + len(d)] = d.argmin(axis=1), d.min(axis=1)
+                yield pdf.assign(_ball=ball, _from=far)
+        return df.mapInPandas(deal, df.select("*").schema.add("_ball", "integer").add("_from", "double"))
+
+    def visits(self, bounded: DataFrame) -> DataFrame:
+        """Test rows with ``_bound`` (distance of the k-th neighbour so far), once for each further ball that may hold a nearer
+        row: its pivot is not farther than the bound and its radius together (triangle inequality)."""
+        names, pivots, radius, size = self.names, self.pivots, self.radius, self.size
+
+        def visit(frames):
+            for pdf in frames:
+                home, bound = pdf["_ball"].to_numpy(), pdf["_bound"].to_numpy()
+                for i, d in _strips(pdf[names].to_numpy(dtype=float), pivots):
+                    reach = radius + bound[i:i + len(d), None]
+                    go = (d - reach <= 1e-9 * (d + np.where(np.isfinite(reach), reach, 0.0))) & (size > 0)
+                    go[np.arange(len(d)), home[i:i + len(d)]] = False
+                    row, ball = np.nonzero(go)
+                    yield pdf.iloc[row + i].assign(_ball=ball.astype(np.int32))
+        return bounded.mapInPandas(visit, bounded.schema)
+
+
+def _compared(balls: _Balls, asked: DataFrame, id_col: str, k: int, block_rows: int) -> DataFrame:
+    """``(id, _d, _y)``: the k nearest train rows of the ball that each row of ``asked`` names.
+
+    A ball's train rows and the rows that ask for it are both cut by hash into parts of about ``block_rows``; every pair of
+    parts is one ``cogroup`` task, so neither a large ball nor one asked for by many rows meets in one task.
     """
-    nt, nq = train.count(), test.count()
-    bt, bq = max(1, -(-nt // block_rows)), max(1, -(-nq // block_rows))
-    names = [f"_f{i}" for i in range(len(features))]
-    of = [col(c).cast("double").alias(n) for c, n in zip(features, names)]
-    row = [col(id_col)] if id_col in train.columns else [col(c) for c in [*features, label]]
-    tr = (train.select(*of, col(label).cast("double").alias("_y"), F.pmod(F.xxhash64(*row), F.lit(bt)).alias("_bt"))
-               .select("*", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("_bq")))
-    te = (test.select(col(id_col), *of, F.pmod(F.xxhash64(col(id_col)), F.lit(bq)).alias("_bq"))
-              .select("*", F.explode(F.sequence(F.lit(0), F.lit(bt - 1))).alias("_bt")))
-    schema = test.select(col(id_col)).schema.add("_d", "double").add("_y", "double")
+    names = balls.names
+    asks = np.zeros(len(balls.size), int)
+    for r in asked.groupBy("_ball").count().collect():      # a row a ball
+        asks[r["_ball"]] = r["count"]
+
+    def parts(n):
+        return F.array(*[F.lit(int(max(1, -(-v // block_rows)))) for v in n])[F.col("_ball")]
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    wanted = F.array(*[F.lit(bool(v)) for v in asks])[F.col("_ball")]
+    tr = (balls.train.where(wanted).select(*names, "_y", "_ball", F.pmod(F.xxhash64("_row"), parts(balls.size)).cast("int").alias("_bt"))
+               .select("*", every(asks).alias("_bq")))
+    te = (asked.select(col(id_col), *names, "_ball", F.pmod(F.xxhash64(col(id_col)), parts(asks)).cast("int").alias("_bq"))
+               .select("*", every(balls.size).alias("_bt")))
+    schema = asked.select(col(id_col)).schema.add("_d", "double").add("_y", "double")
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:  # a block with no partner rows
+        if len(left) == 0 or len(right) == 0:  # a part with no partner rows
             return pd.DataFrame({id_col: right[id_col].iloc[:0], "_d": np.zeros(0), "_y": np.zeros(0)})
         at, d, y = nearest_labels(left[names].to_numpy(dtype=float), left["_y"].to_numpy(dtype=float),
                                   right[names].to_numpy(dtype=float), k)
         return pd.DataFrame({id_col: right[id_col].to_numpy()[at], "_d": d, "_y": y})
 
-    cand = tr.groupBy("_bt", "_bq").cogroup(te.groupBy("_bt", "_bq")).applyInPandas(cell, schema)
+    key = ["_ball", "_bt", "_bq"]
+    return tr.groupBy(*key).cogroup(te.groupBy(*key)).applyInPandas(cell, schema)
+
+
+def _best(found: DataFrame, id_col: str, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(col(id_col)).orderBy("_d", "_y"))
-    best = cand.withColumn("_r", rank).where(F.col("_r") <= k)
+    return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
+
+
+def nearest_train(train: DataFrame, test: DataFrame, features: list[str], id_col: str, k: int, label: str,
+                  block_rows: int = 8_192, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """``(id, _d, _y)`` of the exact k nearest train rows, and the further visits ``(id, _ball)`` that were needed."""
+    names = [f"_f{i}" for i in range(len(features))]
+    of = [col(c).cast("double").alias(n) for c, n in zip(features, names)]
+    row = [col(id_col)] if id_col in train.columns else [col(c) for c in [*features, label]]
+    balls = _Balls(train.select(*of, col(label).cast("double").alias("_y"), F.xxhash64(*row).alias("_row")),
+                   test.select(col(id_col), *of), names, pivots)
+    if len(balls.pivots) == 0:      # no train rows
+        none = test.select(col(id_col), F.lit(0.0).alias("_d"), F.lit(0.0).alias("_y")).limit(0)
+        return none, none.select(col(id_col), F.lit(0).alias("_ball"))
+    home = cut_lineage(_best(_compared(balls, balls.test, id_col, k, block_rows), id_col, k))
+    full = home.groupBy(col(id_col)).agg(F.max("_d").alias("_bound"), F.count(F.lit(1)).alias("_n"))
+    full = full.select(col(id_col), F.when(F.col("_n") < k, float("inf")).otherwise(F.col("_bound")).alias("_bound"))
+    bounded = balls.test.join(full, id_col, "left").na.fill(float("inf"), ["_bound"])
+    more = cut_lineage(balls.visits(bounded))
+    return _best(home.unionByName(_compared(balls, more, id_col, k, block_rows)), id_col, k), more.select(col(id_col), "_ball")
+
+
+def knn_predict(train: DataFrame, test: DataFrame, features: list[str], id_col: str, k: int = 5,
+                task: str = "classification", label: str = "label",
+                block_rows: int = 8_192, pivots: int = PIVOTS) -> DataFrame:
+    """Exact k nearest neighbours (Euclidean): ``(id, prediction)`` per test row.
+
+    Train rows are dealt into balls around pivots (distinct points, the smallest by hash).  A test row is compared with
+    the ball of its nearest pivot; the distance of its k-th neighbour there then rules out every ball that
+    lies farther off, and only the others are compared too.  Equal distances rank the smaller label first.
+    Classification: majority vote, ties to the smallest label; ``binary`` adds the share of ones as ``score``;
+    regression: mean label.
+    """
+    best, _ = nearest_train(train, test, features, id_col, k, label, block_rows, pivots)
     if task == "regression":
         return best.groupBy(col(id_col)).agg(F.avg("_y").alias("prediction"))
     if task == "binary":        # labels 0 and 1: the share of ones is the probability

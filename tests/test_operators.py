@@ -334,3 +334,28 @@ def test_spearman_pairwise_complete(spark):
         else:
             pair = pdf[[r.var1, r.var2]].dropna().rank()
             assert math.isclose(r.r, np.corrcoef(pair.iloc[:, 0], pair.iloc[:, 1])[0, 1], rel_tol=1e-9, abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("pivots,block_rows", [(1024, 8192), (12, 50), (1, 64)])
+def test_knn_visits_few_balls_and_stays_exact(spark, pivots, block_rows):
+    """Clusters, a third of all train rows equal, tied distances; the neighbours are those of a full comparison."""
+    from tabscope.operators.classify import nearest_train
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(8, 3)) * 40
+    x = np.concatenate([centre[rng.integers(0, 8, 1000)] + rng.normal(size=(1000, 3)), np.tile(centre[0], (500, 1))])
+    y = rng.integers(0, 4, len(x)).astype(float)
+    q = np.concatenate([centre[rng.integers(0, 8, 120)] + rng.normal(size=(120, 3)), rng.normal(size=(5, 3)) * 200])
+    train = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, `b.c` double, d double, label double")
+    test = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(q)], "id long, a double, `b.c` double, d double")
+    best, more = nearest_train(train, test, ["a", "b.c", "d"], "id", 7, "label", block_rows, pivots)
+    got = {}
+    for r in best.collect():
+        got.setdefault(r["id"], []).append((r["_d"], r["_y"]))
+    for i, v in enumerate(q):
+        d = np.sqrt(((x - v) ** 2).sum(axis=1))
+        want = sorted(zip(d, y))[:7]
+        assert [b for _, b in sorted(got[i])] == [b for _, b in want]
+        assert np.allclose([a for a, _ in sorted(got[i])], [a for a, _ in want], rtol=1e-12, atol=1e-12)
+    if pivots > 1:      # eight far clusters: most of the other balls are ruled out
+        balls = min(pivots, 1500 // 64)
+        assert more.count() < 0.4 * len(q) * (balls - 1)
