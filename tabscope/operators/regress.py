@@ -225,14 +225,27 @@ def significant_predictors(coefs: DataFrame, alpha: float = 0.05) -> DataFrame:
 # ---------------------------------------------------------------- CV-4 (closed form, one predictor)
 def kfold_simple_ols(df: DataFrame, x: str, y: str, key_cols: list[str], k: int = 5,
                      seed: int = 42) -> DataFrame:
-    """Per-fold hold-out r2 of ``y ~ x``: each row feeds the k-1 training sets it
-    belongs to (a k-way fan-out inside one aggregate), coefficients join back."""
+    """Per-fold hold-out r2 of ``y ~ x``.
+
+    One pass gives each fold's moments; the line of a fold's training rows follows from the other
+    folds' moments together, so no row is copied.
+    """
     f = kfold(df.select(*key_cols, F.col(x).cast("double").alias("_x"),
                         F.col(y).cast("double").alias("_y")), key_cols, k, seed)
-    folds = F.array(*[F.lit(i) for i in range(k)])
-    train = f.select("_x", "_y", F.explode(F.filter(folds, lambda z: z != F.col("fold"))).alias("fold"))
-    coef = train.groupBy("fold").agg(F.regr_slope("_y", "_x").alias("_b"),
-                                     F.regr_intercept("_y", "_x").alias("_a"))
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    parts = f.where(both).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("x"), F.avg("_y").alias("y"),
+                                              F.var_pop("_x").alias("xx"), F.covar_pop("_x", "_y").alias("xy")).collect()  # k rows
+    lines = []
+    for held in range(k):
+        rest = [p for p in parts if p["fold"] != held]
+        n = sum(p["n"] for p in rest)
+        if n:
+            mx, my = (sum(p["n"] * p[c] for p in rest) / n for c in ("x", "y"))
+            xx = sum(p["n"] * (p["xx"] + (p["x"] - mx) ** 2) for p in rest)
+            xy = sum(p["n"] * (p["xy"] + (p["x"] - mx) * (p["y"] - my)) for p in rest)
+            slope = xy / xx if xx > 0 else None
+            lines.append((held, slope, None if slope is None else my - slope * mx))
+    coef = df.sparkSession.createDataFrame(lines, "fold int, _b double, _a double")
     from .metrics import regression_metrics
     pred = f.join(F.broadcast(coef), "fold").select(
         "fold", F.col("_y").alias("label"), (F.col("_a") + F.col("_b") * F.col("_x")).alias("prediction"))

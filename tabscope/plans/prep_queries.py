@@ -298,6 +298,56 @@ def cv_ols_part(spark, sf):
                                          F.col("n_splits").cast("long").alias("n_splits"))
 
 
+# ---------------------------------------------------------------- CV-4: any estimator, any score
+def _fold_sql(rows, key, cols):
+    return f"""d AS ({rows}), r AS (SELECT d.*, ROW_NUMBER() OVER (ORDER BY {_h([key])}) - 1 AS i, COUNT(*) OVER () AS n FROM d),
+g AS (SELECT {cols}, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
+      ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM r)"""
+
+
+def _score_rows(names):
+    return "\nUNION ALL\n".join(f"SELECT '{n}' AS scorer, {r4(f'AVG({c})')} AS mean, {r4(f'STDDEV_POP({c})')} AS std, "
+                                 f"CAST(COUNT(*) AS BIGINT) AS n_splits FROM s" for n, c in names.items())
+
+
+@register("cv_scores_linear_part", "CV-4 REG-10", f"""
+WITH {_fold_sql("SELECT p_partkey, p_partkey AS x, p_retailprice AS y FROM part", "p_partkey", "x, y")},
+m AS (SELECT k.fold, REGR_SLOPE(g.y, g.x) AS b, REGR_INTERCEPT(g.y, g.x) AS a
+      FROM (SELECT DISTINCT fold FROM g) k JOIN g ON g.fold <> k.fold GROUP BY k.fold),
+s AS (SELECT g.fold, 1 - SUM(POWER(y - (a + b * x), 2)) / (VAR_POP(y) * COUNT(*)) AS r2,
+      -AVG(ABS(y - (a + b * x))) AS mae, -SQRT(AVG(POWER(y - (a + b * x), 2))) AS rmse FROM g JOIN m USING (fold) GROUP BY g.fold)
+{_score_rows({"r2": "r2", "neg_mean_absolute_error": "mae", "neg_root_mean_squared_error": "rmse"})}""")
+def cv_scores_linear_part(spark, sf):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from ..operators.crossval import cross_validate, score_summary
+    part = t(spark, sf, "part").select("p_partkey", F.col("p_partkey").cast("double").alias("x"), F.col("p_retailprice").alias("label"))
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression(solver="normal")])
+    got = score_summary(cross_validate(part, model, ["r2", "neg_mean_absolute_error", "neg_root_mean_squared_error"], ["p_partkey"]))
+    return got.select("scorer", fr4("mean").alias("mean"), fr4("std").alias("std"), F.col("n_splits").cast("long").alias("n_splits"))
+
+
+@register("cv_scores_rule_documents", "CV-4 EVL-1 EVL-2 EVL-5", f"""
+WITH {_fold_sql("SELECT d.doc_id, l.quality AS y, d.n_chars AS z FROM documents d JOIN labels l USING (doc_id)", "doc_id", "doc_id, y, z")},
+c AS (SELECT k.fold, AVG(g.z) AS cut FROM (SELECT DISTINCT fold FROM g) k JOIN g ON g.fold <> k.fold GROUP BY k.fold),
+p AS (SELECT g.*, CASE WHEN z > cut THEN 1 ELSE 0 END AS p,
+      RANK() OVER (PARTITION BY fold ORDER BY z) + (COUNT(*) OVER (PARTITION BY fold, z) - 1) / 2.0 AS rk FROM g JOIN c USING (fold)),
+s AS (SELECT fold, AVG((y = p)::INT) AS acc, 2.0 * SUM((y = 1 AND p = 1)::INT) / (SUM(p) + SUM(y)) AS f1,
+      (SUM(CASE WHEN y = 1 THEN rk END) - SUM(y) * (SUM(y) + 1) / 2.0) / (SUM(y) * (COUNT(*) - SUM(y))) AS roc FROM p GROUP BY fold)
+{_score_rows({"accuracy": "acc", "f1": "f1", "roc_auc": "roc"})}""")
+def cv_scores_rule_documents(spark, sf):
+    """A rule that learns the mean length of its training rows: longer texts are called good."""
+    from ..operators.crossval import Fitted, cross_validate, score_summary
+
+    def learn(train):
+        cut = train.agg(F.avg("n_chars")).first()[0]
+        return lambda rows: rows.withColumn("prediction", (F.col("n_chars") > cut).cast("int")).withColumn("score", F.col("n_chars"))
+    rows = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id").select("doc_id", "n_chars", F.col("quality").alias("label"))
+    got = score_summary(cross_validate(rows, Fitted(learn), ["accuracy", "f1", "roc_auc"], ["doc_id"]))
+    return got.select("scorer", fr4("mean").alias("mean"), fr4("std").alias("std"), F.col("n_splits").cast("long").alias("n_splits"))
+
+
 # ---------------------------------------------------------------- EVL-1..6 on fixed predictions
 DOC_PRED_SQL = """(SELECT d.doc_id, l.quality AS label, l.toxic, d.n_chars AS score,
   CASE WHEN d.n_chars > 2000 THEN 1 ELSE 0 END AS prediction FROM documents d JOIN labels l USING (doc_id))"""
