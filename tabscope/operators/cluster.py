@@ -1,13 +1,14 @@
 """Clustering with k selection and PCA (CLU-1..8).
 
-Complete cases are standardised with the population std, MLlib k-means is
-fitted for each k (best of ``restarts`` seeds by training cost), and each k
-is scored by MLlib's silhouette (squared Euclidean, linear in n).  Profiles
-are plain grouped aggregates on the unscaled values.
+Complete cases are standardised with the population std, k-means runs for every k and restart
+together (one scan an iteration for all of them), and all k are scored by the silhouette of squared Euclidean
+distances, linear in n.  Profiles are plain grouped aggregates on the unscaled values.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,28 +41,124 @@ def prepare(df: DataFrame, cols: list[str], key_cols: list[str] | None = None) -
     return va.transform(z), n
 
 
-def fit_kmeans(data: DataFrame, k: int, restarts: int = 10, seed: int = 42, max_iter: int = 300):
-    """Lowest training cost over ``restarts`` seeded k-means|| runs."""
-    from pyspark.ml.clustering import KMeans
-    best = None
-    for r in range(restarts):
-        m = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=1e-6).fit(data)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best
+START_ROWS = 2_048      # sample (by hash) from which starting centres are drawn
 
 
-def k_scores(data: DataFrame, ks: list[int], restarts: int = 10, seed: int = 42) -> tuple[DataFrame, dict]:
-    """CLU-2: ``(k, inertia, silhouette)`` per k, and the fitted models."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
-    rows, models = [], {}
+def starting_centres(points: DataFrame, ks: list[int], restarts: int, seed: int) -> dict[tuple[int, int], np.ndarray]:
+    """k-means++ centres for each (k, restart), drawn from the ``START_ROWS`` distinct points with the smallest hashes."""
+    rows = points.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(START_ROWS).collect()
+    x = np.array([r["x"] for r in rows], float)
+    out = {}
     for k in ks:
-        m = fit_kmeans(data, k, restarts, seed)
-        sil = ev.evaluate(m.transform(data))
-        rows.append((k, float(m.summary.trainingCost), float(sil)))
-        models[k] = m
-    return data.sparkSession.createDataFrame(rows, SCORE_SCHEMA), models
+        for r in range(restarts):
+            rng = np.random.default_rng((seed, k, r))
+            chosen = [int(rng.integers(len(x)))]
+            far = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+            while len(chosen) < min(k, len(x)):
+                share = far / far.sum() if far.sum() > 0 else np.full(len(x), 1 / len(x))
+                chosen.append(int(rng.choice(len(x), p=share)))
+                far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+            out[k, r] = x[chosen]
+    return out
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0.0)
+
+
+def _moments(points: DataFrame, runs: dict) -> dict:
+    """One scan for all runs: {run: (rows, sums, sums of squared norms, inertia) of its clusters}, arrays by cluster."""
+    names, d = list(runs), len(next(iter(runs.values()))[0])
+    edges = np.cumsum([0] + [len(runs[n]) for n in names])
+    together = np.concatenate([runs[n] for n in names])
+    cells = int(edges[-1])
+
+    def gather(frames):
+        total = np.zeros((cells, d + 3))
+        for pdf in frames:
+            for i in range(0, len(pdf), STRIP):
+                x = np.stack(pdf["x"].to_numpy()[i:i + STRIP]).astype(float)
+                dist = _distances(x, together)
+                extra = np.column_stack([np.ones(len(x)), x, (x * x).sum(axis=1)])
+                for a, b in zip(edges[:-1], edges[1:]):
+                    at = dist[:, a:b].argmin(axis=1)
+                    mine = (at[:, None] == np.arange(b - a)).astype(float)
+                    total[a:b, :-1] += mine.T @ extra
+                    total[a:b, -1] += mine.T @ dist[np.arange(len(x)), a + at]
+        yield pd.DataFrame({"cell": np.arange(cells, dtype=np.int32), **{f"s{j}": total[:, j] for j in range(d + 3)}})
+
+    ddl = "cell int, " + ", ".join(f"s{j} double" for j in range(d + 3))
+    got = np.zeros((cells, d + 3))
+    for r in points.select("x").mapInPandas(gather, ddl).groupBy("cell").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(d + 3)]).collect():
+        got[r["cell"]] = r[1:]          # a row per centre
+    return {n: (got[a:b, 0], got[a:b, 1:-2], got[a:b, -2], got[a:b, -1]) for n, a, b in zip(names, edges[:-1], edges[1:])}
+
+
+STRIP = 4_096       # rows compared with all centres at a time
+
+
+def fit_many(points: DataFrame, ks: list[int], restarts: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> dict[int, np.ndarray]:
+    """The centres of the best restart (least inertia) for each k.
+
+    Lloyd's iterations of all (k, restart) runs go together: one scan of ``points`` (a column ``x``, array of double)
+    moves the centres of every run that still moves; a run stops when its centres move by ``tol`` of the mean
+    variance or less.  A centre without rows stays where it is.  Only the centres are on the driver.
+    """
+    runs = starting_centres(points, ks, restarts, seed)
+    active, spread = set(runs), None
+    for _ in range(max_iter):
+        if not active:
+            break
+        for run, (n, sums, norms, _) in _moments(points, {r: runs[r] for r in sorted(active)}).items():
+            if spread is None:      # mean variance of the columns
+                spread = (norms.sum() / n.sum() - ((sums.sum(axis=0) / n.sum()) ** 2).sum()) / sums.shape[1]
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], runs[run])
+            if ((new - runs[run]) ** 2).sum() <= tol * spread:
+                active.discard(run)
+            runs[run] = new
+    last = _moments(points, runs)
+    best = {k: min((r for r in runs if r[0] == k), key=lambda r: (last[r][3].sum(), r)) for k in ks}
+    return {k: runs[r] for k, r in best.items()}
+
+
+def centre_scores(points: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """CLU-2, CLU-4: ``(k, inertia, silhouette)`` of given centres, for all k in two scans.
+
+    The silhouette is that of squared Euclidean distances: a row's mean distance to a cluster follows from the cluster's row
+    count, sum and squared norms.  A row alone in its cluster counts 0.
+    """
+    stats = _moments(points, centres)
+
+    def gather(frames):
+        total = {k: 0.0 for k in centres}
+        for pdf in frames:
+            for i in range(0, len(pdf), STRIP):
+                x = np.stack(pdf["x"].to_numpy()[i:i + STRIP]).astype(float)
+                norm, row = (x * x).sum(axis=1), np.arange(len(x))
+                for k, c in centres.items():
+                    n, sums, norms, _ = stats[k]
+                    at = _distances(x, c).argmin(axis=1)
+                    full = np.maximum(n * norm[:, None] + norms - 2 * x @ sums.T, 0.0)      # sums of distances
+                    mine = full[row, at] / np.maximum(n[at] - 1, 1)
+                    mean = np.where(n > 0, full / np.maximum(n, 1), np.inf)
+                    mean[row, at] = np.inf
+                    other = mean.min(axis=1)
+                    good = (n[at] > 1) & np.isfinite(other) & (np.maximum(mine, other) > 0)
+                    total[k] += ((other - mine)[good] / np.maximum(mine, other)[good]).sum()
+        yield pd.DataFrame({"k": list(total), "s": list(total.values())})
+
+    sil = {r["k"]: r["s"] for r in points.select("x").mapInPandas(gather, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+    rows = [(k, float(stats[k][3].sum()), float(sil[k] / stats[k][0].sum())) for k in centres]
+    return points.sparkSession.createDataFrame(rows, SCORE_SCHEMA)
+
+
+def nearest_centre(centres: np.ndarray):
+    """Column function: the index of the centre nearest to an array column."""
+    @F.pandas_udf("int")
+    def at(x: pd.Series) -> pd.Series:
+        return pd.Series(_distances(np.stack(x.to_numpy()).astype(float), centres).argmin(axis=1).astype(np.int32)) if len(x) else pd.Series([], dtype="int32")
+    return at
 
 
 def pca(data: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
@@ -70,7 +167,6 @@ def pca(data: DataFrame, k: int = 2) -> tuple[DataFrame, list[float]]:
     Input is standardised, so centring is not an issue; each component's sign
     is fixed so that its largest-magnitude loading is positive.
     """
-    import numpy as np
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
     m = PCA(k=k, inputCol="features", outputCol="_pc").fit(data)
@@ -87,21 +183,23 @@ def cluster_analysis(df: DataFrame, cols: list[str], max_k: int = 10, restarts:
     """The whole analysis: scores per k, best k (max silhouette, ties to smaller k),
     labels, sizes, unscaled profiles, Davies–Bouldin and PCA.  ``None`` when fewer
     than 5 complete rows or 2 columns."""
+    from pyspark.ml.functions import vector_to_array
     if len(cols) < 2:
         return None
     data, n = prepare(df, cols)
     if n < 5:
         return None
-    data = cut_lineage(data)  # read by every k-means fit
+    data = cut_lineage(data)  # read by every iteration
     hi = min(max_k, max(2, n // 10))
-    scores, models = k_scores(data, list(range(2, hi + 1)), restarts, seed)
+    points = data.select(vector_to_array("features").alias("x"))
+    centres = fit_many(points, list(range(2, hi + 1)), restarts, seed)
+    scores = centre_scores(points, centres)
     best_k = scores.orderBy(F.col("silhouette").desc(), "k").first()["k"]
     if method == "kmeans":
-        model = models[best_k]
+        lab = data.withColumn("cluster", nearest_centre(centres[best_k])(vector_to_array("features")))
     else:  # CLU-8: divisive hierarchical stand-in
         from pyspark.ml.clustering import BisectingKMeans
-        model = BisectingKMeans(k=best_k, seed=seed).fit(data)
-    lab = model.transform(data).withColumnRenamed("prediction", "cluster")
+        lab = BisectingKMeans(k=best_k, seed=seed).fit(data).transform(data).withColumnRenamed("prediction", "cluster")
     zcols = [f"_z_{c}" for c in cols]
     db = davies_bouldin(lab, zcols, "cluster")
     sizes = lab.groupBy("cluster").agg(F.count(F.lit(1)).cast("long").alias("size"))

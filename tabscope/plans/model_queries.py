@@ -284,15 +284,46 @@ register("knn_classifier_part", "KNN-1 CLS-7", _knn_sql("classification"))(_knn_
 # ---------------------------------------------------------------- CLU
 @register("cluster_scores_lineitem", "CLU-1 CLU-2 CLU-3 CLU-4 CHT-7")
 def cluster_scores_lineitem(spark, sf):
-    res = K.cluster_analysis(t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
-                             max_k=4, restarts=1)
-    return res["scores"].select("k", fr4("silhouette").alias("silhouette"))
+    """Default sizes: k 2 to 10, ten restarts each."""
+    res = K.cluster_analysis(t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return res["scores"].select("k", F.round("inertia", 2).alias("inertia"), fr4("silhouette").alias("silhouette"))
+
+
+_CENTRES = {2: [[-1.0, 0.5], [1.0, -0.5]], 3: [[-1.0, -1.0], [0.0, 1.0], [1.2, 0.1]], 4: [[-1.0, -1.0], [-1.0, 1.0], [1.0, -1.0], [1.0, 1.0]]}
+
+
+def _centre_sql():
+    cs = ", ".join(f"({k}, {j}, {a}, {b})" for k, c in _CENTRES.items() for j, (a, b) in enumerate(c))
+    return f"""
+WITH z AS (SELECT s_suppkey AS id, (s_nationkey - AVG(s_nationkey) OVER ()) / STDDEV_POP(s_nationkey) OVER () AS x,
+             (s_acctbal - AVG(s_acctbal) OVER ()) / STDDEV_POP(s_acctbal) OVER () AS y FROM supplier),
+c AS (SELECT * FROM (VALUES {cs}) v(k, j, a, b)),
+a AS (SELECT k, id, x, y, j, POWER(x - a, 2) + POWER(y - b, 2) AS d,
+        ROW_NUMBER() OVER (PARTITION BY k, id ORDER BY POWER(x - a, 2) + POWER(y - b, 2), j) AS r FROM z, c),
+m AS (SELECT k, id, x, y, j, d FROM a WHERE r = 1),
+p AS (SELECT m.k, m.id, m.j AS own, o.j AS other, SUM(POWER(m.x - o.x, 2) + POWER(m.y - o.y, 2)) AS s, COUNT(*) AS n
+      FROM m JOIN m o USING (k) GROUP BY ALL),
+s AS (SELECT k, id, MAX(CASE WHEN own = other THEN s / GREATEST(n - 1, 1) END) AS ina, MAX(CASE WHEN own = other THEN n END) AS size,
+        MIN(CASE WHEN own <> other THEN s / n END) AS out FROM p GROUP BY k, id)
+SELECT CAST(s.k AS INTEGER) AS k, {r4('MAX(i.inertia)')} AS inertia,
+  {r4('AVG(CASE WHEN size > 1 THEN (out - ina) / GREATEST(out, ina) ELSE 0 END)')} AS silhouette
+FROM s JOIN (SELECT k, SUM(d) AS inertia FROM m GROUP BY k) i USING (k) GROUP BY s.k"""
+
+
+@register("centre_scores_supplier", "CLU-1 CLU-2 CLU-4", _centre_sql())
+def centre_scores_supplier(spark, sf):
+    """Inertia and silhouette of given centres, against all pairs of rows."""
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    data, _ = K.prepare(t(spark, sf, "supplier"), ["s_nationkey", "s_acctbal"])
+    got = K.centre_scores(data.select(vector_to_array("features").alias("x")), {k: np.array(c) for k, c in _CENTRES.items()})
+    return got.select("k", fr4("inertia").alias("inertia"), fr4("silhouette").alias("silhouette"))
 
 
 @register("cluster_summary_embeddings", "CLU-5 CLU-6 CLU-7 CLU-8")
 def cluster_summary_embeddings(spark, sf):
-    e = t(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(6)])
-    res = K.cluster_analysis(e, [f"e{i}" for i in range(6)], max_k=4, restarts=1, method="bisecting")
+    e = t(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    res = K.cluster_analysis(e, [f"e{i}" for i in range(64)], method="bisecting")
     return res["summary"].select("best_k", "method")
 
 

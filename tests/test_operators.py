@@ -359,3 +359,42 @@ def test_knn_visits_few_balls_and_stays_exact(spark, pivots, block_rows):
     if pivots > 1:      # eight far clusters: most of the other balls are ruled out
         balls = min(pivots, 1500 // 64)
         assert more.count() < 0.4 * len(q) * (balls - 1)
+
+
+def test_cross_validation_of_any_estimator(spark):
+    """MLlib's classifier and a function estimator; named scores, an own score, strata, rows without a label."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from tabscope.operators.crossval import SCORERS, Fitted, cross_validate, score_summary
+    rng = np.random.default_rng(2)
+    rows = [(i, float(rng.normal() + 2 * (i % 3 == 0)), None if i == 7 else int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, x double, label int")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LogisticRegression()])
+    scores = cross_validate(df, model, ["accuracy", "f1_macro", "roc_auc"], ["k"], k=4, stratified=True)
+    got = {r["scorer"]: r for r in score_summary(scores).collect()}
+    assert all(len(r["scores"]) == 4 == r["n_splits"] for r in got.values()) and got["roc_auc"]["mean"] > .8
+    assert math.isclose(got["accuracy"]["std"], np.std(got["accuracy"]["scores"]), abs_tol=1e-12)
+    rule = Fitted(lambda train: lambda test: test.withColumn("prediction", (F.col("x") > 1).cast("double")))
+    every = cross_validate(df, rule, {"rows": lambda p, keys: p.groupBy(*keys).agg(F.count(F.lit(1)).alias("score")), "accuracy": SCORERS["accuracy"]}, ["k"])
+    by = {}
+    for r in every.collect():
+        by.setdefault(r["scorer"], {})[r["fold"]] = r["score"]
+    assert sum(by["rows"].values()) == 299
+    right = sum((x > 1) == (y == 1) for _, x, y in rows if y is not None)
+    assert math.isclose(sum(by["accuracy"][f] * by["rows"][f] for f in by["rows"]), right, abs_tol=1e-9)
+
+
+def test_kmeans_of_all_k_together(spark):
+    """Three far groups: k = 3 wins, its centres are the groups' means, and no restart has less inertia."""
+    from tabscope.operators.cluster import centre_scores, fit_many
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(60, 2)) + c for c in ((0, 0), (20, 0), (0, 20))])
+    points = spark.createDataFrame([([float(a), float(b)],) for a, b in x], "x array<double>").repartition(5)
+    centres = fit_many(points, [2, 3, 5], restarts=4)
+    got = {r["k"]: r for r in centre_scores(points, centres).collect()}
+    assert max(got, key=lambda k: got[k]["silhouette"]) == 3
+    means = sorted(x[i * 60:(i + 1) * 60].mean(axis=0).tolist() for i in range(3))
+    assert np.allclose(sorted(centres[3].tolist()), means)
+    assert math.isclose(got[3]["inertia"], sum(((x[i * 60:(i + 1) * 60] - x[i * 60:(i + 1) * 60].mean(axis=0)) ** 2).sum() for i in range(3)), rel_tol=1e-9)
+    assert got[2]["inertia"] > got[3]["inertia"] > got[5]["inertia"]
