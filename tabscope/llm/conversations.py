@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import pyarrow as pa
@@ -144,6 +145,11 @@ def crossings(steps: list[Step], start: int, end: int) -> list[int]:
     return states
 
 
+@lru_cache(maxsize=1 << 14)
+def _short(kinds: tuple, last: bool, start: int, end: int) -> list[int]:
+    return crossings([ROWS[k][0] for k in kinds] + [END[0]] * last, start, end)
+
+
 def _faults(rows: list[dict], seen: set) -> list[str]:
     """First fault of each row; ``seen`` holds the role-and-text hashes of earlier blocks and is added to."""
     out = []
@@ -154,12 +160,10 @@ def _faults(rows: list[dict], seen: set) -> list[str]:
     return out
 
 
-def _row_steps(rows: list[dict], faults: list[str], last: bool) -> list[tuple[Step, dict]]:
-    steps = []
-    for r, fault in zip(rows, faults):
-        initial = r["role"][:1]
-        steps.append(ROWS[initial if initial in ("s", "u", "a") else "", fault in ("blank", "duplicate"), fault == "truncated"])
-    return steps + [END] if last else steps
+def _row_kinds(rows: list[dict], faults: list[str]) -> tuple:
+    """Key of each row's table: initial, whether it must go, whether it is cut."""
+    return tuple((r["role"][:1] if r["role"][:1] in ("s", "u", "a") else "", fault in ("blank", "duplicate"), fault == "truncated")
+                 for r, fault in zip(rows, faults))
 
 
 def _parts(table: pa.Table) -> tuple[list[dict], dict | None, set]:
@@ -180,8 +184,10 @@ PIECE = ("_g string, _block long, _blocks long, blank long, duplicate long, trun
 def _piece(rows: list[dict], before: dict | None, seen: set, start: int, end: int) -> dict:
     faults = _faults(rows, seen)
     blocks = rows[0]["_blocks"]
-    steps = _row_steps(rows, faults, rows[0]["_block"] == blocks - 1)
-    states = crossings([s for s, _ in steps], start, end)
+    kinds, last = _row_kinds(rows, faults), rows[0]["_block"] == blocks - 1
+    steps = [ROWS[k] for k in kinds] + [END] * last
+    # short conversations repeat the same kinds of rows, so their crossings are remembered
+    states = _short(kinds, last, start, end) if len(kinds) <= 32 else crossings([s for s, _ in steps], start, end)
     audit, repaired, cost = [], [], 0
     for i, (_, letters) in enumerate(steps):
         c, a = letters[states[i], states[i + 1]]
@@ -234,8 +240,8 @@ def _block_table(table: pa.Table) -> pa.Table:
     if not rows:
         return TABLE_ARROW.empty_table()
     r = rows[0]
-    steps = _row_steps(rows, _faults(rows, seen), r["_block"] == r["_blocks"] - 1)
-    return _packed(r["_g"], r["_block"], r["_blocks"], compose([s for s, _ in steps]))
+    steps = [ROWS[k][0] for k in _row_kinds(rows, _faults(rows, seen))] + [END[0]] * (r["_block"] == r["_blocks"] - 1)
+    return _packed(r["_g"], r["_block"], r["_blocks"], compose(steps))
 
 
 def _block_ends(rows: DataFrame, most: int, fan: int) -> DataFrame:
