@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, arrow_schema, record, slices, words, written
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_WORDS = 1 << 19          # words of all chunks that meet in one bucket
 CLASSES, SEEDS, ROUNDS = 64, 126, 6
 OTHER, EDGE, SIDE = SEEDS, SEEDS + 1, 128       # neighbour codes; right neighbours count from SIDE
