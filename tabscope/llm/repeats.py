@@ -216,6 +216,8 @@ def mark(docs: DataFrame, task: Task, id_col: str = "doc_id", text_col: str = "t
 
     ``hot`` (``HOT`` by default) says from how many open contexts a gram is settled by the aggregate; results are the same.
     """
+    if not 0 < task.gram <= task.length <= task.gram + 62:
+        raise ValueError(f"length {task.length} asks for a gram of {max(1, task.length - 62)} to {task.length}, as an anchor's windows are bits of one number")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts

@@ -108,3 +108,16 @@ def test_null_ids(spark, corpus):
     docs = spark.createDataFrame([(None, "x y z"), (None, "x y z"), (1, None)], "doc_id long, text string")
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert sorted(map(tuple, stage(spark, docs, path).collect()), key=str) == [(1, None), (None, "x y z"), (None, "x y z")], name
+
+
+def test_columns_of_any_name(spark, corpus):
+    """Given columns with the names of the operators' own, with dots or of type map come through every stage as they were."""
+    path, _, _ = corpus
+    names = ["kept", "n_removed", "n_hit", "items", "toxicity_score", "n_bytes", "id", "a.b", "component_id", "n_words"]
+    ddl = "doc_id long, text string, " + ", ".join(f"`{n}` double" for n in names) + ", m map<string,int>"
+    rows = [(i, f"plain words number {i} about nothing at all", *[77.0 + i] * len(names), {"k": i}) for i in range(6)]
+    docs = spark.createDataFrame(rows, ddl)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns, name
+        assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == rows, name

@@ -129,3 +129,12 @@ def test_hot_grams_leave_the_group(spark, monkeypatch):
         assert got == {d: sum(m) for (d, _), m in zip(rows, brute.removed_bytes(rows))}
         seen.append(sizes.value)
     assert seen[0] >= 400 and seen[1] < seen[0] / 3
+
+
+def test_windows_beyond_the_mask_are_refused(spark):
+    from tabscope.llm.factors import remove_repeated_words
+    from tabscope.llm.suffixes import remove_repeats
+    docs = spark.createDataFrame([(1, "a" * 300)], "doc_id long, text string")
+    for call in (lambda: remove_repeats(docs, length=200, gram=20), lambda: remove_repeated_words(docs, length=90, gram=15)):
+        with pytest.raises(ValueError):
+            call()
