@@ -398,3 +398,25 @@ def test_kmeans_of_all_k_together(spark):
     assert np.allclose(sorted(centres[3].tolist()), means)
     assert math.isclose(got[3]["inertia"], sum(((x[i * 60:(i + 1) * 60] - x[i * 60:(i + 1) * 60].mean(axis=0)) ** 2).sum() for i in range(3)), rel_tol=1e-9)
     assert got[2]["inertia"] > got[3]["inertia"] > got[5]["inertia"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', '<a "x" ', "</a ", "<!x", "<script>", "<div>", "<b></i>", "http://", "<a<", "<div></p>"])
+def test_hostile_pages_take_linear_time(piece):
+    """Tags that never end, unclosed elements and end tags of no element: twice the page, about twice the time."""
+    import time
+    from tabscope.operators.pages import found_links, parse_page
+
+    def seconds(n):
+        source, start = piece * (n // len(piece)), time.process_time()
+        found_links(parse_page(source), "http://x/", source)
+        return time.process_time() - start
+    seconds(10_000)
+    small = min(seconds(100_000) for _ in range(3))
+    assert seconds(800_000) < 24 * max(small, 0.01)
+
+
+def test_tags_end_outside_quotes():
+    from tabscope.operators.pages import parse_page
+    page = parse_page("""a<b title="x>y" href='no'>c</b><a href="u>v" data-file=w>d</A>< e <!-- <p> --> f<!doctype x>g<a 'h""")
+    assert page.text == "a\nc\nd\n< e\nf\ng<a 'h" and page.hrefs == ["u>v", "w"]
+    assert parse_page("<script>1<2</script>x<code>y<p>z</code>w<a href=q").text == "x\nw\n<a href=q"
