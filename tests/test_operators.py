@@ -419,4 +419,4 @@ def test_tags_end_outside_quotes():
     from tabscope.operators.pages import parse_page
     page = parse_page("""a<b title="x>y" href='no'>c</b><a href="u>v" data-file=w>d</A>< e <!-- <p> --> f<!doctype x>g<a 'h""")
     assert page.text == "a\nc\nd\n< e\nf\ng<a 'h" and page.hrefs == ["u>v", "w"]
-    assert parse_page("<script>1<2</script>x<code>y<p>z</code>w<a href=q").text == "x\nw\n<a href=q"
+    assert parse_page("<script>1<2</script>x<code>y<p>z</code>w<a href=q").text == "x\nw<a href=q"
