@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import top_k_per_group
 from .common import arrow_schema, written
 
+PAIRS = 1 << 15         # pairs whose vectors are gathered at a time
 EDGES = "shard int, u long, v long, s float, new boolean"
 
 
@@ -63,6 +64,14 @@ def _best(u: np.ndarray, v: np.ndarray, s: np.ndarray, new: np.ndarray, degree:
     return u[top], v[top], s[top], new[top]
 
 
+def _inner(x: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of pairs of rows."""
+    out = np.empty(len(u), x.dtype)
+    for i in range(0, len(u), PAIRS):
+        np.einsum("ij,ij->i", x[u[i:i + PAIRS]], x[v[i:i + PAIRS]], out=out[i:i + PAIRS])
+    return out
+
+
 def build_graph(nodes: DataFrame, largest: float, degree: int = 20, reverse: int = 12, settle: float = 0.002, rounds: int = 12) -> DataFrame:
     """Edges (shard, u, v, s, new) of the neighbour graph of ``nodes`` (shard, node, vec)."""
     schema = arrow_schema(EDGES)
@@ -75,7 +84,7 @@ def build_graph(nodes: DataFrame, largest: float, degree: int = 20, reverse: int
         k = min(degree, n - 1)
         u = np.repeat(np.arange(n), k)
         v = (u + (rng.integers(1, n, len(u)) if n > 1 else 0)) % max(1, n)
-        u, v, s, new = _best(u, v, np.einsum("ij,ij->i", x[u], x[v]), np.ones(len(u), bool), degree)
+        u, v, s, new = _best(u, v, _inner(x, u, v), np.ones(len(u), bool), degree)
         return pa.table([np.full(len(u), table.column("shard")[0].as_py(), np.int32), node[u], node[v], s, new], schema=schema)
 
     def improve(found: pa.Table, table: pa.Table) -> pa.Table:
@@ -94,9 +103,9 @@ def build_graph(nodes: DataFrame, largest: float, degree: int = 20, reverse: int
         np.minimum.at(low, u, s)
         worst[full] = low[full]
         us, vs, ss = [u], [v], [s]
-        for i in range(0, len(a), 1 << 18):
-            p, q = a[i:i + (1 << 18)], b[i:i + (1 << 18)]
-            t = np.einsum("ij,ij->i", x[p], x[q])
+        for i in range(0, len(a), PAIRS):
+            p, q = a[i:i + PAIRS], b[i:i + PAIRS]
+            t = _inner(x, p, q)
             for e, f in ((p, q), (q, p)):
                 ok = t > worst[e]
                 us.append(e[ok])
@@ -192,7 +201,7 @@ def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, largest: floa
         uu, vv = np.concatenate([u, v]), np.concatenate([v, u])
         pair = np.unique(uu * len(node) + vv)
         uu, vv = pair // len(node), pair % len(node)
-        s = np.einsum("ij,ij->i", x[uu], x[vv])
+        s = _inner(x, uu, vv)
         o = np.lexsort((-s, uu))
         uu, vv = uu[o], vv[o]
         col = np.arange(len(uu)) - np.searchsorted(uu, uu)
