@@ -38,21 +38,27 @@ def build(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     out = [struct.pack(HEAD, b"WVM1", len(ids), len(lengths), planes, BLOCK), lengths.astype("<u4").tobytes()]
     pack = zstandard.ZstdCompressor(level=1)
-    cur = ids
+    cur = ids.astype(_narrow(planes))
     for level in range(planes - 1, -1, -1):
-        bit = (cur >> np.uint32(level) & np.uint32(1)).astype(bool)
+        bit = (cur & cur.dtype.type(1 << level)) != 0
         packed = np.packbits(bit, bitorder="little")
         blocks = [pack.compress(packed[i:i + BLOCK // 8].tobytes()) for i in range(0, len(packed), BLOCK // 8)]
-        before = np.concatenate([[0], np.cumsum(np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.uint64))]) \
+        ones = np.bitwise_count(packed)
+        before = np.concatenate([[0], np.cumsum(np.add.reduceat(ones, np.arange(0, len(ones), BLOCK // 8), dtype=np.uint64))]) \
             if len(bit) else np.zeros(1)
-        out.append(struct.pack("<Q", len(bit) - int(bit.sum())))
+        out.append(struct.pack("<Q", len(bit) - int(before[-1])))
         out.append(before[:-1].astype("<u8").tobytes() if len(blocks) else b"")
         out.append(np.cumsum([len(b) for b in blocks]).astype("<u8").tobytes() if blocks else b"")
         out += blocks
-        cur = np.concatenate([cur[~bit], cur[bit]])
+        cur = np.concatenate([cur.take(np.flatnonzero(~bit)), cur.take(np.flatnonzero(bit))])
     return b"".join(out)
 
 
+def _narrow(planes: int):
+    """The least type that holds ids of so many bits."""
+    return np.uint16 if planes <= 16 else np.uint32
+
+
 class WaveletMatrix:
     """Reads one shard; blocks are decompressed as they are asked for."""
 
@@ -128,17 +134,17 @@ class WaveletMatrix:
     def decode(self) -> np.ndarray:
         """All ids in order: planes undone from the lowest."""
         blocks = range(-(-self.n // self.block))
-        cur = np.zeros(self.n, np.uint32)
+        cur = np.zeros(self.n, _narrow(len(self.planes)))
         for p in range(len(self.planes) - 1, -1, -1):
             level, zeros, *_rest = self.planes[p]
             bit = np.concatenate([self.bits(p, b) for b in blocks]) if self.n else np.zeros(0, bool)
-            out = np.empty(self.n, np.uint32)
-            out[~bit] = cur[:zeros]
-            out[bit] = cur[zeros:] | np.uint32(1 << level)
+            out = np.empty_like(cur)
+            out[np.flatnonzero(~bit)] = cur[:zeros]
+            out[np.flatnonzero(bit)] = cur[zeros:] | cur.dtype.type(1 << level)
             cur = out
             for b in blocks:
                 self._cache.pop((p, b), None)
-        return cur
+        return cur.astype(np.uint32)
 
 
 def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
