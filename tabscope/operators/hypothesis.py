@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_pvalue, f_pvalue, t_pvalue
+from ..functions.frames import col
+from ..functions.quantiles import running_sums
 from .roles import distinct_counts
 
 MIN_GROUP = 3
@@ -154,6 +156,21 @@ def crosstab(df: DataFrame, x: str, y: str) -> DataFrame:
               .groupBy(F.col(x).cast("string").alias(x)).pivot(y).count().na.fill(0))
 
 
+def crosstab_cells(df: DataFrame, x: str, y: str) -> DataFrame:
+    """HYP-6 for any number of levels: ``(row, col, row_code, col_code, count)`` of the cells that are not empty.
+
+    Codes are the levels' places in sorted order, numbered over range partitions; neither the
+    levels nor the table's width reach the driver or the plan.
+    """
+    cells = (df.select(col(x).cast("string").alias("row"), col(y).cast("string").alias("col")).na.drop()
+               .groupBy("row", "col").agg(F.count(F.lit(1)).alias("count")))
+    for name in ("row", "col"):
+        levels = cells.select(name).distinct().withColumn("_one", F.lit(1).cast("long"))
+        codes = running_sums(levels, [], name, ["_one"]).select(name, F.col("cum__one").alias(f"{name}_code"))
+        cells = cells.join(codes, name)
+    return cells.select("row", "col", "row_code", "col_code", "count")
+
+
 def chi_square_from_counts(cells: DataFrame) -> DataFrame:
     """Chi-square of independence per pair, Yates-corrected when df = 1.
 

@@ -80,19 +80,48 @@ def _grower(features: list[str], seed: int, max_depth: int):
     return grow
 
 
+def draws(copies: DataFrame, features: list[str], n: int, n_trees: int, psi: int, seed: int) -> DataFrame:
+    """``(features..., _tree, _u, _rid)``: draws of the rows' copies below the bound, for every tree.
+
+    ``copies`` has each distinct row once with its count ``_n`` (``n`` in all).  Each copy of a row has a uniform draw per
+    tree; only draws below ``4 psi / n`` can be among the tree's ``psi`` smallest.  The smallest of a row's draws
+    follows from one hash by the law of the least of ``_n`` uniforms; rows whose least draw is above the bound are done, and
+    the others' next draws follow one by one until they pass it.  So a row costs the same whatever its count.
+    """
+    bound = min(1.0, 4 * psi / max(n, 1))       # of 4 psi draws expected below it, fewer than psi never come (12 deviations)
+    pairs = (copies.select(*features, "_n", F.xxhash64(*features).alias("_row"))
+                   .select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_tree")))
+    pairs = pairs.withColumn("_rid", F.xxhash64(F.lit(seed), "_tree", "_row"))
+    share = (F.col("_rid").cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
+    least = -F.expm1(F.log1p(-F.least(share, F.lit(1 - 2.0 ** -53))) / F.col("_n"))
+    near = pairs.withColumn("_u", least).where(F.col("_u") <= bound)
+
+    def rest(frames):
+        for pdf in frames:
+            at, values = [], []
+            for i, (u, n_row, rid) in enumerate(zip(pdf["_u"], pdf["_n"], pdf["_rid"])):
+                rng = np.random.default_rng([seed, int(rid) & (1 << 64) - 1])
+                left = int(n_row)
+                while u <= bound:
+                    at.append(i)
+                    values.append(u)
+                    left -= 1
+                    if left == 0:
+                        break
+                    u = u - (1 - u) * np.expm1(np.log1p(-rng.random()) / left)
+            yield pdf.iloc[at].assign(_u=values)
+    near = near.select(*features, "_tree", "_n", "_rid", "_u")
+    return near.mapInPandas(rest, near.select("*").schema).drop("_n")
+
+
 def fit_forest(x: DataFrame, features: list[str], n_trees: int = 100, psi: int = 256,
                seed: int = 42) -> tuple[list[dict], int]:
     """Grow the forest; returns per-tree node arrays (driver-side, bounded) and psi."""
     n = x.count()
     psi = min(psi, n)
     copies = x.groupBy(*features).agg(F.count(F.lit(1)).alias("_n"))
-    base = copies.select(*features, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"))
-    base = base.select(*features, F.xxhash64(*features, "_copy").alias("_rid"))
-    pairs = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_tree"))
-    pairs = pairs.withColumn("_u", F.xxhash64(F.lit(seed), "_tree", "_rid"))
-    if n > 4 * psi:     # of 4 psi rows expected below the bound, fewer than psi never come (12 deviations)
-        pairs = pairs.where(F.col("_u") < F.lit(int(-(1 << 63) + (1 << 64) * (4 * psi / n))))
-    chosen = top_k_per_group(pairs, ["_tree"], [F.col("_u")], psi, salt_col="_rid", rank_name="_k")
+    chosen = top_k_per_group(draws(copies, features, n, n_trees, psi, seed), ["_tree"], [F.col("_u"), F.col("_rid")], psi,
+                             salt_col="_u", rank_name="_k")
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     nodes = (chosen.select("_tree", *features)
                    .groupBy("_tree").applyInPandas(_grower(features, seed, max_depth), NODE_SCHEMA)

@@ -217,3 +217,11 @@ def hypothesis_summary_orders(spark, sf):
     b = H.battery_tests(orders_nulls(spark, sf), ["o_totalprice", "o_custkey"],
                         ["o_orderstatus", "o_orderpriority"], p_values=True)
     return H.battery_summary(b)
+
+
+@register("crosstab_cells_orders", "HYP-6", """
+WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS "row", o_orderpriority AS col, COUNT(*) AS count FROM orders GROUP BY ALL)
+SELECT "row", col, DENSE_RANK() OVER (ORDER BY "row") - 1 AS row_code, DENSE_RANK() OVER (ORDER BY col) - 1 AS col_code, count FROM c""")
+def crosstab_cells_orders(spark, sf):
+    """A table with a row for each customer."""
+    return H.crosstab_cells(t(spark, sf, "orders"), "o_custkey", "o_orderpriority")

@@ -420,3 +420,28 @@ def test_tags_end_outside_quotes():
     page = parse_page("""a<b title="x>y" href='no'>c</b><a href="u>v" data-file=w>d</A>< e <!-- <p> --> f<!doctype x>g<a 'h""")
     assert page.text == "a\nc\nd\n< e\nf\ng<a 'h" and page.hrefs == ["u>v", "w"]
     assert parse_page("<script>1<2</script>x<code>y<p>z</code>w<a href=q").text == "x\nw<a href=q"
+
+
+def test_forest_draws_of_a_row_with_a_billion_copies(spark):
+    """Copies are drawn by order statistics: as many draws below the bound as expected, in a second and without a row per copy."""
+    from tabscope.operators.isoforest import draws
+    copies = spark.createDataFrame([(0.0, 1_000_000_000)] + [(float(i), 1) for i in range(1, 1001)], "a double, _n long")
+    got = draws(copies, ["a"], 1_000_001_000, 50, 256, 42).groupBy("_tree").agg(F.count(F.lit(1)).alias("n"), F.max("_u").alias("most")).collect()
+    assert len(got) == 50 and all(850 < r["n"] < 1200 and r["most"] <= 1024 / 1_000_001_000 for r in got)
+    # equal chances: of 300 copies beside 100 rows, three in four draws are copies
+    few = spark.createDataFrame([(0.0, 300)] + [(float(i), 1) for i in range(1, 101)], "a double, _n long")
+    low = draws(few, ["a"], 400, 400, 8, 1)
+    share = low.agg(F.avg((F.col("a") == 0).cast("double"))).first()[0]
+    assert abs(share - .75) < .02
+    one = low.where("a = 0").groupBy("_tree").count().agg(F.avg("count")).first()[0]
+    assert abs(one - 300 * 32 / 400) < 1.5
+
+
+def test_crosstab_of_many_levels(spark):
+    from tabscope.operators.hypothesis import crosstab_cells
+    df = spark.range(60_000).selectExpr("id % 20000 AS x", "CASE WHEN id % 7 > 0 THEN id % 15000 END AS `y.z`")
+    cells = crosstab_cells(df, "x", "y.z")
+    got = cells.agg(F.max("row_code"), F.max("col_code"), F.sum("count")).first()
+    assert tuple(got) == (19999, 14999, 60_000 - len(range(0, 60_000, 7)))
+    names = sorted({str(i % 20000) for i in range(60_000) if i % 7})
+    assert cells.where("row = '19'").first()["row_code"] == names.index("19")
