@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .ordered import numbered
 
-BLOCK_ROWS, FAN = 1024, 64
+BLOCK_ROWS, FAN, TASK_ROWS = 1024, 64, 8192
 NONE, SYSTEM, USER, ASSISTANT = range(4)
 DUE = (USER, USER, ASSISTANT, USER)             # state after the role that is due in a state
 ROLE = {USER: "user", ASSISTANT: "assistant"}
@@ -166,9 +166,8 @@ def _row_kinds(rows: list[dict], faults: list[str]) -> tuple:
                  for r, fault in zip(rows, faults))
 
 
-def _parts(table: pa.Table) -> tuple[list[dict], dict | None, set]:
+def _parts(got: list[dict]) -> tuple[list[dict], dict | None, set]:
     """Rows of a block in order, the row before it, hashes seen in earlier blocks."""
-    got = table.to_pylist()
     rows = sorted((r for r in got if r["_kind"] == 0), key=lambda r: r["_pos"])
     before = next((r for r in got if r["_kind"] == 1), None)
     return rows, before, {r["_h"] for r in got if r["_kind"] == 2}
@@ -212,11 +211,12 @@ def _piece(rows: list[dict], before: dict | None, seen: set, start: int, end: in
 
 
 def _solve(table: pa.Table, ends: pa.Table) -> pa.Table:
-    rows, before, seen = _parts(table)
-    if not rows:
-        return PIECE_ARROW.empty_table()
-    start, end = (ends["_s"][0].as_py(), ends["_e"][0].as_py()) if ends.num_rows else (NONE, 0)
-    return pa.Table.from_pylist([_piece(rows, before, seen, start, end)], PIECE_ARROW)
+    blocks: dict[tuple, list[dict]] = {}
+    for r in table.to_pylist():
+        blocks.setdefault((r["_g"], r["_block"]), []).append(r)
+    known = {(r["_g"], r["_block"]): (r["_s"], r["_e"]) for r in ends.to_pylist()}
+    parts = [(_parts(got), known.get(key, (NONE, 0))) for key, got in blocks.items()]
+    return pa.Table.from_pylist([_piece(*part, *states) for part, states in parts if part[0]], PIECE_ARROW)
 
 
 TABLE = "_g string, _block long, _blocks long, _cost array<long>, _rank array<int>"
@@ -236,7 +236,7 @@ def _unpacked(table: pa.Table) -> list[Step]:
 
 
 def _block_table(table: pa.Table) -> pa.Table:
-    rows, _, seen = _parts(table)
+    rows, _, seen = _parts(table.to_pylist())
     if not rows:
         return TABLE_ARROW.empty_table()
     r = rows[0]
@@ -279,7 +279,7 @@ def repair(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role:
     placed = numbered(placed, "_g", [F.col("turn").asc_nulls_first(), F.col("role"), F.col("_h")], "conversation-rows")
     placed = (placed.withColumn("_block", F.floor(F.col("_pos") / block_rows)).withColumn("_kind", F.lit(0))
                     .withColumn("_blocks", F.floor((F.col("_n") + block_rows - 1) / block_rows)))
-    most = placed.agg(F.max("_blocks")).first()[0] or 0
+    most, total = (x or 0 for x in placed.agg(F.max("_blocks"), F.count(F.lit(1))).first())
     ends = rows.sparkSession.createDataFrame([], ENDS)
     if most > 1:
         many = placed.where("_blocks > 1")
@@ -290,7 +290,9 @@ def repair(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role:
         again = again.drop("_first").withColumn("_kind", F.lit(2))
         placed = placed.unionByName(before).unionByName(again, allowMissingColumns=True)
         ends = _block_ends(placed.where("_blocks > 1"), most, fan)
-    return placed.groupBy("_g", "_block").cogroup(ends.groupBy("_g", "_block")).applyInArrow(_solve, PIECE)
+    # blocks are solved some TASK_ROWS rows at a time, as most conversations are short
+    deal = F.pmod(F.xxhash64("_g", "_block"), F.lit(max(1, -(-total // TASK_ROWS)))).alias("_deal")
+    return placed.groupBy(deal).cogroup(ends.groupBy(deal)).applyInArrow(_solve, PIECE)
 
 
 def group_key(conv: str):
