@@ -170,23 +170,26 @@ def residual_diagnostics(df: DataFrame, y: str, xs: list[str], order: str | None
 def durbin_watson(df: DataFrame, order: str, resid: str = "residual", rows_per_part: int = 1_000_000) -> DataFrame:
     """``sum((e_t - e_{t-1})^2) / sum(e_t^2)`` in ``order`` without a one-task sort.
 
-    Rows are range-partitioned on the order key (checkpointed, so the bounds
+    Rows of equal order keys stand by residual, so the order is total and the result
+    repeatable.  Rows are range-partitioned on both (checkpointed, so the bounds
     are fixed under retries); differences inside a partition come from a
     partition-local ``lag``, and the pair across each partition boundary from
     a table of first / last residuals (one row per partition).
     """
     from pyspark.sql import Window
+    from ..functions.frames import quoted
     from ..session import cut_lineage
     n = df.count()
     parts = max(1, -(-n // rows_per_part))
-    d = cut_lineage(df.select(order, resid).repartitionByRange(parts, order)
-                      .withColumn("_pid", F.spark_partition_id()))
-    w = Window.partitionBy("_pid").orderBy(order)
-    inner = (d.withColumn("_prev", F.lag(resid).over(w))
-              .groupBy("_pid").agg(F.sum((F.col(resid) - F.col("_prev")) ** 2).alias("_in"),
-                                   F.sum(F.col(resid) ** 2).alias("_ss"),
-                                   F.min_by(resid, order).alias("_first"),
-                                   F.max_by(resid, order).alias("_last")))
+    d = df.select(F.col(quoted(order)).alias("_at"), F.col(quoted(resid)).alias("_e"))
+    d = cut_lineage(d.repartitionByRange(parts, "_at", "_e").withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_pid").orderBy("_at", "_e")
+    place = F.struct("_at", "_e")
+    inner = (d.withColumn("_prev", F.lag("_e").over(w))
+              .groupBy("_pid").agg(F.sum((F.col("_e") - F.col("_prev")) ** 2).alias("_in"),
+                                   F.sum(F.col("_e") ** 2).alias("_ss"),
+                                   F.min_by("_e", place).alias("_first"),
+                                   F.max_by("_e", place).alias("_last")))
     wp = Window.partitionBy(F.lit(1)).orderBy("_pid")  # one row per partition
     edge = inner.withColumn("_edge", (F.col("_first") - F.lag("_last").over(wp)) ** 2)
     return edge.agg(((F.sum("_in") + F.coalesce(F.sum("_edge"), F.lit(0.0))) / F.sum("_ss"))

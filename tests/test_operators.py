@@ -445,3 +445,16 @@ def test_crosstab_of_many_levels(spark):
     assert tuple(got) == (19999, 14999, 60_000 - len(range(0, 60_000, 7)))
     names = sorted({str(i % 20000) for i in range(60_000) if i % 7})
     assert cells.where("row = '19'").first()["row_code"] == names.index("19")
+
+
+def test_durbin_watson_of_tied_keys(spark):
+    """Rows of equal order keys stand by residual: the same value from any layout and any number of partitions."""
+    from tabscope.operators.regress import durbin_watson
+    rng = np.random.default_rng(9)
+    rows = sorted((int(k), float(e)) for k, e in zip(rng.integers(0, 12, 400), rng.normal(size=400)))
+    e = np.array([r[1] for r in rows])
+    want = (np.diff(e) ** 2).sum() / (e ** 2).sum()
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(400)], "`k.t` int, residual double")
+    for parts, per in ((1, 1000), (6, 1000), (5, 37)):
+        got = durbin_watson(df.repartition(parts), "k.t", rows_per_part=per).first()["durbin_watson"]
+        assert math.isclose(got, want, rel_tol=1e-12)
