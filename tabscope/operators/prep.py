@@ -178,7 +178,11 @@ def label_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     from ..functions.frames import dense_codes
     out = out or col
     codes = dense_codes(df.select(F.col(col).cast("string").alias("_v")), "_v")
-    j = df.withColumn("_v", F.col(col).cast("string")).join(codes, "_v", "left")
+    # rows without a value match no code; they are spread over the tasks of the join
+    value = F.col(col).cast("string")
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string")
+    rows = df.withColumns({"_v": F.coalesce(value, spread), "_null": value.isNull()})
+    j = rows.join(codes.withColumn("_null", F.lit(False)), ["_v", "_null"], "left")
     cols = [F.coalesce(F.col("_code"), F.lit(-1)).cast("long").alias(out) if c == col else F.col(c)
             for c in df.columns]
     if out != col:
@@ -221,6 +225,7 @@ def auto_preprocess(df: DataFrame, contamination: float = 0.05, forest_trees: in
     """
     spark = df.sparkSession
     num, other = split_kinds(df)
+    # The reference's names of phases, actions and choices in the log
     log = []
     n_rows = df.count()
     miss = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(c) for c in df.columns]).first()
