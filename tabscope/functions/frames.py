@@ -47,6 +47,28 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list,
                   .where(F.col(rank_name) <= k).drop("_salt", "_r1"))
 
 
+def first_by_hash(df: DataFrame, cols: list[str], k: int) -> DataFrame:
+    """The ``k`` distinct rows of ``cols`` with the smallest hashes, in that order.
+
+    Only 8-byte hashes are shuffled and ranked over the whole table; the rows follow from the ``k``-th smallest one, so
+    wide rows neither cross the shuffle nor meet on the driver by the partition.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def plain(c):      # -0.0 as 0.0, as a grouping has it
+        if isinstance(kinds[c], (T.FloatType, T.DoubleType)):
+            return (col(c) + F.lit(0.0).cast(kinds[c])).alias(c)
+        if isinstance(kinds[c], T.ArrayType) and isinstance(kinds[c].elementType, (T.FloatType, T.DoubleType)):
+            return F.transform(col(c), lambda v: v + F.lit(0.0).cast(kinds[c].elementType)).alias(c)
+        return col(c)
+    rows = df.select(*[plain(c) for c in cols])
+    h = F.xxhash64(*[col(c) for c in cols])
+    low = rows.select(h.alias("_h")).distinct().orderBy("_h").limit(k).agg(F.max("_h")).first()[0]
+    if low is None:
+        return rows.limit(0)
+    return rows.where(h <= F.lit(low)).distinct().orderBy(h, *[col(c) for c in cols]).limit(k)
+
+
 def value_hash(values: list) -> tuple:
     """Two 64-bit hashes of typed values [(column, type)], together equal for equal values only (128 bits).
 

@@ -458,3 +458,89 @@ def test_durbin_watson_of_tied_keys(spark):
     for parts, per in ((1, 1000), (6, 1000), (5, 37)):
         got = durbin_watson(df.repartition(parts), "k.t", rows_per_part=per).first()["durbin_watson"]
         assert math.isclose(got, want, rel_tol=1e-12)
+
+
+def test_knn_compares_each_point_once(spark):
+    """Crowds at few points: at most k train rows of a point and one row of each test point are compared."""
+    from tabscope.operators import classify as C
+    train = spark.range(9000).select("id", (F.col("id") % 3 * 10.0).alias("a"), (F.col("id") * 7 % 9000).cast("double").alias("label"))
+    test = spark.range(20000, 26000).select("id", (F.col("id") % 2 * 10.0 + F.lit(1.0)).alias("a"))
+    few = C._few_labels(train.select("a", F.col("label").alias("_y"), F.xxhash64("id").alias("_row")), ["a"], 4)
+    assert few.count() == 12
+    best, more = C.nearest_train(train, test, ["a"], "id", 4, "label")
+    assert more.select("id").distinct().count() <= 2
+    got = {}
+    for r in best.collect():
+        got.setdefault(r["id"], []).append((r["_d"], r["_y"]))
+    rows = train.collect()
+    want = {e: sorted((abs(r["a"] - (e * 10 + 1)), r["label"]) for r in rows)[:4] for e in (0, 1)}
+    assert len(got) == 6000 and all(sorted(v) == want[i % 2] for i, v in got.items())
+
+
+def test_first_by_hash_is_the_order_of_distinct_rows(spark):
+    from tabscope.functions.frames import first_by_hash
+    df = spark.range(500).select((F.col("id") % 40 - F.lit(20.0)).alias("a"), F.array(F.col("id") % 3 * F.lit(-0.0), F.lit(1.0)).alias("x"))
+    for cols in (["a"], ["x"], ["a", "x"]):
+        want = df.select(*cols).distinct().orderBy(F.xxhash64(*cols), *cols).limit(7).collect()
+        assert first_by_hash(df, cols, 7).collect() == want
+    assert first_by_hash(df.limit(0), ["a"], 7).count() == 0
+
+
+def test_filled_up_trees_give_the_path_lengths():
+    """Leaves at any depth, infinite values among them, against a walk node by node."""
+    from tabscope.operators.isoforest import _full_tree, _grow, _path_lengths, c_factor
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 3)), np.zeros((40, 3)), [[np.inf, -np.inf, 0.0], [-np.inf, np.inf, np.inf]]])
+    for depth, rows in ((8, 256), (3, 20), (0, 5), (8, 1)):
+        nodes = np.asarray(_grow(x[:rows], rng, depth), float)
+        tree = {k: nodes[:, i] if k == "threshold" else nodes[:, i].astype(int) for i, k in enumerate(("feature", "threshold", "left", "right", "size", "depth"))}
+        want = []
+        for v in x:
+            p = 0
+            while tree["feature"][p] >= 0:
+                p = tree["left" if v[tree["feature"][p]] < tree["threshold"][p] else "right"][p]
+            want.append(tree["depth"][p] + c_factor([tree["size"][p]])[0])
+        assert _path_lengths(np.ascontiguousarray(x.T), _full_tree(tree)).tolist() == want
+
+
+def test_kmeans_row_between_centres_counts_once(spark):
+    """A row as near to two centres goes to the first one only; blocks hold every row."""
+    from tabscope.operators.cluster import _blocks, _moments
+    points = spark.createDataFrame([([0.0, 0.0],), ([-2.0, 0.0],), ([2.0, 0.0],)] * 50, "x array<double>").repartition(3)
+    blocks = _blocks(points)
+    assert blocks.agg(F.sum("n")).first()[0] == 150
+    n, sums, norms, inertia = _moments(blocks, {"r": np.array([[-1.0, 0.0], [1.0, 0.0]])})["r"]
+    assert n.tolist() == [100, 50] and sums.tolist() == [[-100, 0], [100, 0]]
+    assert norms.tolist() == [200, 200] and inertia.tolist() == [100, 50]
+
+
+def test_spearman_sends_ranks_as_they_are(spark, monkeypatch):
+    """The ranks meet by row in one exchange of (row, column, ranks); no partial aggregate, wide in all columns, goes before it."""
+    from tabscope.operators import correlation as K
+    seen = []
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *a, f=type(spark.range(1)).repartition: seen.append(self.columns) or f(self, *a))
+    df = spark.range(200).select(F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+                                 F.when(F.col("id") % 3 > 0, -F.col("id")).cast("double").alias("c"))
+    monkeypatch.setattr(K, "FEW", 20)       # b by broadcast, a and c by a shuffle
+    got = {(r.var1, r.var2): r.r for r in K.spearman_matrix(df, ["a", "b", "c"]).collect()}
+    assert math.isclose(got["a", "c"], -1.0)
+    assert seen == [["_id", "_c", "r_f0", "r_f1"]]
+
+
+def test_pages_are_parsed_in_slices():
+    import pyarrow as pa
+    from tabscope.operators.pages import page_slices
+    batch = pa.RecordBatch.from_pydict({"i": list(range(7)), "s": ["x" * n if n is not None else None for n in (5, 3, None, 30, 1, 9, 2)]})
+    got = [p.column("i").to_pylist() for p in page_slices(batch, "s", 10)]
+    assert got == [[0, 1, 2], [3], [4, 5], [6]]
+    assert [p.num_rows for p in page_slices(batch.slice(0, 0), "s")] == []
+
+
+def test_quantile_of_many_rows_cuts_at_one_sketch(spark):
+    """More rows than a sketch holds: its random brackets are the same in all branches of the plan."""
+    from tabscope.functions.quantiles import exact_quantiles
+    df = spark.range(0, 1_500_000, numPartitions=8).select((F.xxhash64("id") % 1_000_000_007).cast("double").alias("value"))
+    want = np.quantile(df.toPandas()["value"].to_numpy(), [.05, .5])
+    for _ in range(2):
+        got = {r["p"]: r["q"] for r in exact_quantiles(df, [.05, .5], []).collect()}
+        assert np.allclose([got[.05], got[.5]], want, rtol=1e-12)
