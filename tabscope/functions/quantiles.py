@@ -203,7 +203,8 @@ def exact_quantiles(data: DataFrame, probs: list[float], keys: list[str],
             return F.array(*[F.lit(-math.inf) if s <= 0 else F.lit(math.inf) if s >= 1 else F.col("_g")[i].cast("double")
                              for i, s in enumerate(shares) if i % 2 == side])
         ranks = [r for p in probs for r in _rank_columns(p)[:2]]
-        return g.select(*keys, ends(0).alias("_los"), ends(1).alias("_his"), F.array(*ranks).alias("_ranks"))
+        # a sketch draws at random: kept, so that every branch of the plan cuts at the same brackets
+        return cut_lineage(g.select(*keys, ends(0).alias("_los"), ends(1).alias("_his"), F.array(*ranks).alias("_ranks")))
 
     got = _all_ranks(base, keys, brackets, margin)
     need = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -94,7 +94,9 @@ def draws(copies: DataFrame, features: list[str], n: int, n_trees: int, psi: int
     pairs = pairs.withColumn("_rid", F.xxhash64(F.lit(seed), "_tree", "_row"))
     share = (F.col("_rid").cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
     least = -F.expm1(F.log1p(-F.least(share, F.lit(1 - 2.0 ** -53))) / F.col("_n"))
-    near = pairs.withColumn("_u", least).where(F.col("_u") <= bound)
+    # the same bound on the hash itself, with room for rounding: all but some 4 psi pairs of a tree end at one comparison
+    loose = -F.expm1(F.col("_n") * F.lit(math.log1p(-min(bound, 1 - 2.0 ** -53)))) * (1 + 1e-9) + 2.0 ** -52
+    near = pairs.where((share <= loose) | F.lit(bound >= 1.0)).withColumn("_u", least).where(F.col("_u") <= bound)
 
     def rest(frames):
         for pdf in frames:
@@ -132,31 +134,53 @@ def fit_forest(x: DataFrame, features: list[str], n_trees: int = 100, psi: int =
     return trees, psi
 
 
-def _path_lengths(x: np.ndarray, tree: dict) -> np.ndarray:
-    node = np.zeros(x.shape[0], dtype=int)
-    feat, thr, left, right = tree["feature"], tree["threshold"], tree["left"], tree["right"]
-    while True:
-        f = feat[node]
-        inner = f >= 0
-        if not inner.any():
-            break
-        idx = np.flatnonzero(inner)
-        go_left = x[idx, f[idx]] < thr[node[idx]]
-        node[idx] = np.where(go_left, left[node[idx]], right[node[idx]])
-    return tree["depth"][node] + c_factor(tree["size"][node])
+SCORED = 4_096      # rows that walk the trees at a time
+
+
+def _full_tree(tree: dict) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(levels, feature, threshold, path length at the last level) of the tree filled up to equal depth: the children
+    of place p are 2p + 1 and 2p + 2, and all places below a leaf have its path length."""
+    levels = int(tree["depth"].max())
+    at = np.zeros(1, int)       # the node at each place of a level, a leaf for all places below it
+    feature, threshold = [], []
+    for _ in range(levels):
+        f = tree["feature"][at]
+        feature.append(np.maximum(f, 0))
+        threshold.append(tree["threshold"][at])
+        at = np.column_stack([np.where(f < 0, at, tree["left"][at]), np.where(f < 0, at, tree["right"][at])]).ravel()
+    empty = np.zeros(0)
+    return (levels, np.concatenate([empty, *feature]).astype(np.intp), np.concatenate([empty, *threshold]),
+            tree["depth"][at] + c_factor(tree["size"][at]))
+
+
+def _path_lengths(columns: np.ndarray, full: tuple) -> np.ndarray:
+    """Path length of each row in a filled-up tree; ``columns`` is (features, rows)."""
+    levels, feature, threshold, length = full
+    n = columns.shape[1]
+    flat, row = columns.ravel(), np.arange(n)
+    place = np.zeros(n, np.intp)
+    for _ in range(levels):
+        right = flat.take(feature.take(place) * n + row) >= threshold.take(place)
+        place += place
+        place += 1
+        place += right
+    return length.take(place - len(feature))
 
 
 def score(x: DataFrame, features: list[str], trees: list[dict], psi: int,
           out: str = "iso_score") -> DataFrame:
     """``score_samples`` convention: ``-2^(-E[h(x)] / c(psi))`` (lower = more anomalous)."""
     norm = float(c_factor([psi])[0]) or 1.0
+    full = [_full_tree(tr) for tr in trees]
 
     def run(batches):
         for pdf in batches:
             a = pdf[features].to_numpy(dtype=float)
             h = np.zeros(a.shape[0])
-            for tr in trees:
-                h += _path_lengths(a, tr)
+            for i in range(0, len(h), SCORED):
+                part = np.ascontiguousarray(a[i:i + SCORED].T)
+                for tr in full:
+                    h[i:i + SCORED] += _path_lengths(part, tr)
             pdf[out] = -np.power(2.0, -(h / len(trees)) / norm)
             yield pdf
 
@@ -171,7 +195,7 @@ def isolation_forest_outliers(df: DataFrame, features: list[str], contamination:
     if not features:
         return 0
     trees, psi = fit_forest(x, features, n_trees, seed=seed)
-    s = cut_lineage(score(x, features, trees, psi))
+    s = cut_lineage(score(x, features, trees, psi).select("iso_score"))
     thr = exact_quantiles(s.select(F.col("iso_score").alias("value")), [contamination], []).first()
     if thr is None:
         return 0
@@ -196,7 +220,7 @@ def isolation_forest_table(df: DataFrame, features: list[str], contamination: fl
     """One row: ``(rows, flagged, threshold)`` for reporting."""
     x = df.select(*[F.col(c).cast("double").alias(c) for c in features]).na.drop()
     trees, psi = fit_forest(x, features, n_trees, seed=seed)
-    s = cut_lineage(score(x, features, trees, psi))
+    s = cut_lineage(score(x, features, trees, psi).select("iso_score"))
     thr = exact_quantiles(s.select(F.col("iso_score").alias("value")), [contamination], [])
     return (attach_scalars(s, thr.select(F.col("q").alias("_t")))
              .agg(F.count(F.lit(1)).alias("rows"),
