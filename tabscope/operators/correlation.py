@@ -16,6 +16,9 @@ from ..functions.frames import col, r4
 from ..functions.quantiles import running_sums
 
 
+FEW = 10_000        # most distinct values of a column whose ranks are broadcast
+
+
 def _pairs(cols):
     return [(i, j) for i, j in combinations(range(len(cols)), 2)]
 
@@ -63,12 +66,21 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     flags = ["_f0", *[f"_f{slot[i]}" for i in with_nulls]]
     rows = x.withColumn("_id", F.monotonically_increasing_id()).withColumn("_f0", F.lit(1).cast("long"))
     rows = rows.withColumns({f"_f{slot[i]}": F.col(f"_{i}").isNotNull().cast("long") for i in with_nulls})
-    t = rows.unpivot(["_id", *flags], [f"_{i}" for i in p], "_c", "_v").where(F.col("_v").isNotNull())
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("_c"), F.col(f"_{i}").alias("_v")) for i in p]))
+    t = rows.select("_id", *flags, each.alias("_s")).select("_id", *flags, "_s._c", "_s._v").where(F.col("_v").isNotNull())
     ranks = running_sums(t, ["_c"], "_v", flags)
     ranks = ranks.select("_c", "_v", *[(F.col(f"cum_{f}") + (F.col(f) + 1) / 2).alias(f"r{f}") for f in flags])
-    back = t.select("_id", "_c", "_v").join(ranks, ["_c", "_v"])
+    # columns with few values get their ranks where their rows are
+    few = [r["_c"] for r in ranks.groupBy("_c").count().collect() if r["count"] <= FEW]       # a row a column
+    is_few = F.col("_c").isin(few) if few else F.lit(False)
+    tall = t.select("_id", "_c", "_v")
+    back = tall.where(~is_few).join(ranks.where(~is_few), ["_c", "_v"])
+    if few:
+        back = back.unionByName(tall.where(is_few).join(F.broadcast(ranks.where(is_few)), ["_c", "_v"]))
     used = sorted({(i, slot[j]) for i in p for j in p if i != j})
-    wide = back.groupBy("_id").agg(*[F.max(F.when(F.col("_c") == f"_{i}", F.col(f"r_f{k}"))).alias(f"r{i}_{k}") for i, k in used])
+    # sent as they are: a partial sum of one value would send a column for each of the others too
+    meet = back.select("_id", "_c", *[f"r{f}" for f in flags]).repartition("_id")
+    wide = meet.groupBy("_id").agg(*[F.max(F.when(F.col("_c") == i, F.col(f"r_f{k}"))).alias(f"r{i}_{k}") for i, k in used])
     one = wide.agg(*[_corr(f"r{i}_{slot[j]}", f"r{j}_{slot[i]}").alias(f"_c{i}_{j}")
                      for i, j in _pairs([None] * len(cols))]).first()
     out = [(a, b, i, j, 1.0 if i == j else one[f"_c{min(i, j)}_{max(i, j)}"]) for i, a in enumerate(cols) for j, b in enumerate(cols)]
