@@ -47,6 +47,17 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list,
                   .where(F.col(rank_name) <= k).drop("_salt", "_r1"))
 
 
+def complete(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows with a value (no null, no NaN) in each of the double ``cols``.
+
+    A condition per column: ``na.drop`` makes one condition of all of them, and where columns get new names the optimiser
+    keeps it under every mix of old and new names, 2 to the number of columns, on the driver.
+    """
+    for c in cols:
+        df = df.where(col(c).isNotNull() & ~F.isnan(col(c)))
+    return df
+
+
 def first_by_hash(df: DataFrame, cols: list[str], k: int) -> DataFrame:
     """The ``k`` distinct rows of ``cols`` with the smallest hashes, in that order.
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import complete, first_by_hash
 from ..session import cut_lineage
 
 from .metrics import davies_bouldin
@@ -33,7 +35,7 @@ def prepare(df: DataFrame, cols: list[str], key_cols: list[str] | None = None) -
     """CLU-1: complete cases of ``cols``, standardised, assembled as ``features``."""
     from pyspark.ml.feature import VectorAssembler
     key_cols = key_cols or []
-    d = df.select(*key_cols, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop(subset=cols)
+    d = complete(df.select(*key_cols, *[F.col(c).cast("double").alias(c) for c in cols]), cols)
     n = d.count()
     z = standardize_pop(d.select(*key_cols, *[F.col(c).alias(f"_z_{c}") for c in cols], *cols),
                         [f"_z_{c}" for c in cols])
@@ -46,7 +48,7 @@ START_ROWS = 2_048      # sample (by hash) from which starting centres are drawn
 
 def starting_centres(points: DataFrame, ks: list[int], restarts: int, seed: int) -> dict[tuple[int, int], np.ndarray]:
     """k-means++ centres for each (k, restart), drawn from the ``START_ROWS`` distinct points with the smallest hashes."""
-    rows = points.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(START_ROWS).collect()
+    rows = first_by_hash(points, ["x"], START_ROWS).collect()
     x = np.array([r["x"] for r in rows], float)
     out = {}
     for k in ks:
@@ -67,35 +69,68 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0.0)
 
 
-def _moments(points: DataFrame, runs: dict) -> dict:
+STRIP = 4_096       # most points in a block
+ENTRIES = 1 << 18   # entries of the largest matrix of distances inside a task (2 MB)
+
+
+def _blocks(points: DataFrame) -> DataFrame:
+    """``(b, n)``: the points in blocks, the doubles of ``n`` points one after the other as one binary value, dealt evenly over the cores."""
+    def pack(batches):
+        for batch in batches:
+            c = batch.column(0)
+            for i in range(0, len(c), STRIP):
+                part = c.slice(i, STRIP)
+                x = part.flatten().to_numpy(zero_copy_only=False).astype(float)
+                yield pa.RecordBatch.from_pydict({"b": pa.array([x.tobytes()], pa.binary()), "n": pa.array([len(part)], pa.int32())})
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    return points.select("x").mapInArrow(pack, "b binary, n int").repartition(2 * cores)
+
+
+def _points(batches):
+    """The points of each block as a matrix."""
+    for batch in batches:
+        for b, n in zip(batch.column(0), batch.column(1).to_pylist()):
+            yield np.frombuffer(b.as_buffer(), float).reshape(n, -1)
+
+
+def _moments(blocks: DataFrame, runs: dict) -> dict:
     """One scan for all runs: {run: (rows, sums, sums of squared norms, inertia) of its clusters}, arrays by cluster."""
     names, d = list(runs), len(next(iter(runs.values()))[0])
     edges = np.cumsum([0] + [len(runs[n]) for n in names])
     together = np.concatenate([runs[n] for n in names])
     cells = int(edges[-1])
-
-    def gather(frames):
-        total = np.zeros((cells, d + 3))
-        for pdf in frames:
-            for i in range(0, len(pdf), STRIP):
-                x = np.stack(pdf["x"].to_numpy()[i:i + STRIP]).astype(float)
-                dist = _distances(x, together)
-                extra = np.column_stack([np.ones(len(x)), x, (x * x).sum(axis=1)])
+    sc = blocks.sparkSession.sparkContext
+    shared = sc.broadcast(together)     # not in every task's closure, and gone after the scan
+
+    def gather(batches):
+        centres, total = shared.value, np.zeros((cells, d + 2))
+        # a row's squared distances to all centres less its own norm: one product
+        weights = np.column_stack([(centres * centres).sum(axis=1), -2 * centres])
+        step = max(64, ENTRIES // cells)
+        for x in _points(batches):
+            for i in range(0, len(x), step):
+                part = x[i:i + step]
+                extra = np.column_stack([np.ones(len(part)), part, (part * part).sum(axis=1)])
+                far = weights @ extra[:, :-1].T
+                mine = np.empty_like(far)
                 for a, b in zip(edges[:-1], edges[1:]):
-                    at = dist[:, a:b].argmin(axis=1)
-                    mine = (at[:, None] == np.arange(b - a)).astype(float)
-                    total[a:b, :-1] += mine.T @ extra
-                    total[a:b, -1] += mine.T @ dist[np.arange(len(x)), a + at]
-        yield pd.DataFrame({"cell": np.arange(cells, dtype=np.int32), **{f"s{j}": total[:, j] for j in range(d + 3)}})
-
-    ddl = "cell int, " + ", ".join(f"s{j} double" for j in range(d + 3))
-    got = np.zeros((cells, d + 3))
-    for r in points.select("x").mapInPandas(gather, ddl).groupBy("cell").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(d + 3)]).collect():
+                    np.equal(far[a:b], far[a:b].min(axis=0), out=mine[a:b])
+                got = mine @ extra
+                for run in np.flatnonzero(np.add.reduceat(got[:, 0], edges[:-1]) != len(part)):     # a row between centres goes to the first
+                    a, b = edges[run], edges[run + 1]
+                    got[a:b] = (far[a:b].argmin(axis=0) == np.arange(b - a)[:, None]).astype(float) @ extra
+                total += got
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(cells, dtype=np.int32)),
+                                          **{f"s{j}": pa.array(np.ascontiguousarray(total[:, j])) for j in range(d + 2)}})
+
+    ddl = "cell int, " + ", ".join(f"s{j} double" for j in range(d + 2))
+    got = np.zeros((cells, d + 2))
+    for r in blocks.mapInArrow(gather, ddl).groupBy("cell").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(d + 2)]).collect():
         got[r["cell"]] = r[1:]          # a row per centre
-    return {n: (got[a:b, 0], got[a:b, 1:-2], got[a:b, -2], got[a:b, -1]) for n, a, b in zip(names, edges[:-1], edges[1:])}
-
-
-STRIP = 4_096       # rows compared with all centres at a time
+    shared.destroy()
+    n, sums, norms = got[:, 0], got[:, 1:-1], got[:, -1]
+    inertia = np.maximum(norms - 2 * (sums * together).sum(axis=1) + n * (together * together).sum(axis=1), 0.0)
+    return {r: (n[a:b], sums[a:b], norms[a:b], inertia[a:b]) for r, a, b in zip(names, edges[:-1], edges[1:])}
 
 
 def fit_many(points: DataFrame, ks: list[int], restarts: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> dict[int, np.ndarray]:
@@ -106,18 +141,19 @@ def fit_many(points: DataFrame, ks: list[int], restarts: int = 10, seed: int = 4
     variance or less.  A centre without rows stays where it is.  Only the centres are on the driver.
     """
     runs = starting_centres(points, ks, restarts, seed)
+    blocks = cut_lineage(_blocks(points))       # read by every iteration
     active, spread = set(runs), None
     for _ in range(max_iter):
         if not active:
             break
-        for run, (n, sums, norms, _) in _moments(points, {r: runs[r] for r in sorted(active)}).items():
+        for run, (n, sums, norms, _) in _moments(blocks, {r: runs[r] for r in sorted(active)}).items():
             if spread is None:      # mean variance of the columns
                 spread = (norms.sum() / n.sum() - ((sums.sum(axis=0) / n.sum()) ** 2).sum()) / sums.shape[1]
             new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], runs[run])
             if ((new - runs[run]) ** 2).sum() <= tol * spread:
                 active.discard(run)
             runs[run] = new
-    last = _moments(points, runs)
+    last = _moments(blocks, runs)
     best = {k: min((r for r in runs if r[0] == k), key=lambda r: (last[r][3].sum(), r)) for k in ks}
     return {k: runs[r] for k, r in best.items()}
 
@@ -128,27 +164,26 @@ def centre_scores(points: DataFrame, centres: dict[int, np.ndarray]) -> DataFram
     The silhouette is that of squared Euclidean distances: a row's mean distance to a cluster follows from the cluster's row
     count, sum and squared norms.  A row alone in its cluster counts 0.
     """
-    stats = _moments(points, centres)
+    blocks = _blocks(points)
+    stats = _moments(blocks, centres)
 
-    def gather(frames):
+    def gather(batches):
         total = {k: 0.0 for k in centres}
-        for pdf in frames:
-            for i in range(0, len(pdf), STRIP):
-                x = np.stack(pdf["x"].to_numpy()[i:i + STRIP]).astype(float)
-                norm, row = (x * x).sum(axis=1), np.arange(len(x))
-                for k, c in centres.items():
-                    n, sums, norms, _ = stats[k]
-                    at = _distances(x, c).argmin(axis=1)
-                    full = np.maximum(n * norm[:, None] + norms - 2 * x @ sums.T, 0.0)      # sums of distances
-                    mine = full[row, at] / np.maximum(n[at] - 1, 1)
-                    mean = np.where(n > 0, full / np.maximum(n, 1), np.inf)
-                    mean[row, at] = np.inf
-                    other = mean.min(axis=1)
-                    good = (n[at] > 1) & np.isfinite(other) & (np.maximum(mine, other) > 0)
-                    total[k] += ((other - mine)[good] / np.maximum(mine, other)[good]).sum()
-        yield pd.DataFrame({"k": list(total), "s": list(total.values())})
-
-    sil = {r["k"]: r["s"] for r in points.select("x").mapInPandas(gather, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+        for x in _points(batches):
+            norm, row = (x * x).sum(axis=1), np.arange(len(x))
+            for k, c in centres.items():
+                n, sums, norms, _ = stats[k]
+                at = _distances(x, c).argmin(axis=1)
+                full = np.maximum(n * norm[:, None] + norms - 2 * x @ sums.T, 0.0)      # sums of distances
+                mine = full[row, at] / np.maximum(n[at] - 1, 1)
+                mean = np.where(n > 0, full / np.maximum(n, 1), np.inf)
+                mean[row, at] = np.inf
+                other = mean.min(axis=1)
+                good = (n[at] > 1) & np.isfinite(other) & (np.maximum(mine, other) > 0)
+                total[k] += ((other - mine)[good] / np.maximum(mine, other)[good]).sum()
+        yield pa.RecordBatch.from_pydict({"k": pa.array(list(total), pa.int32()), "s": pa.array(list(total.values()), pa.float64())})
+
+    sil = {r["k"]: r["s"] for r in blocks.mapInArrow(gather, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
     rows = [(k, float(stats[k][3].sum()), float(sil[k] / stats[k][0].sum())) for k in centres]
     return points.sparkSession.createDataFrame(rows, SCORE_SCHEMA)
 

@@ -544,3 +544,14 @@ def test_quantile_of_many_rows_cuts_at_one_sketch(spark):
     for _ in range(2):
         got = {r["p"]: r["q"] for r in exact_quantiles(df, [.05, .5], []).collect()}
         assert np.allclose([got[.05], got[.5]], want, rtol=1e-12)
+
+
+def test_forty_columns_are_prepared_for_clusters(spark):
+    """Null and NaN rows go; the plan of many renamed columns stays small."""
+    from tabscope.operators.cluster import prepare
+    from tabscope.session import cut_lineage
+    names = [f"c{i}" for i in range(40)]
+    df = spark.range(30).select(*[F.when((F.col("id") == i) & F.lit(i < 10), F.lit(None)).when((F.col("id") == 20) & F.lit(i == 39), F.lit(float("nan")))
+                                  .otherwise(F.col("id") * (i + 1)).cast("double").alias(c) for i, c in enumerate(names)])
+    data, n = prepare(df, names)
+    assert n == cut_lineage(data).count() == 19
