@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from .common import LETTER, LOWER, SPACE, runs
 
-PIECE_LIMIT = 1_000_000     # remembered pieces of a worker; beyond it the memory starts anew
+PIECE_LIMIT = 250_000       # remembered pieces of a worker (about 200 bytes each); beyond it the memory starts anew
 _ENCODERS: dict[str, "Encoder"] = {}
 
 

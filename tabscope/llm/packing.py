@@ -20,7 +20,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import WIDE_SLICE, arrow_schema, record, slices
+from .common import SLICE_BYTES, arrow_schema, record, slices
 from .encode import encoder, with_end
 
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -51,7 +51,7 @@ class Packer:
             self._emit([(key, s, ids[s:s + w], total)])
         rest = total - full
         if rest:
-            self._place((key, full, ids[full:], total), rest)
+            self._place((key, full, ids[full:].copy(), total), rest)    # a view would keep the ids of its whole slice
 
     def _place(self, piece: tuple, size: int) -> None:
         n, w = self.count, self.window
@@ -118,7 +118,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                                      "ids": [x.tobytes() for x in cols[3]], "doc_tokens": list(cols[4]),
                                      "sequence_id": list(cols[5]), "offset": list(cols[6])})
         for batch in batches:
-            for part, buf, off in slices(batch, text_col, WIDE_SLICE):
+            for part, buf, off in slices(batch, text_col, SLICE_BYTES):
                 ids, at = with_end(*encode(buf, off), end_id)
                 keys = part.column(part.schema.get_field_index(id_col)).to_pylist()
                 for k, a, b in zip(keys, at[:-1], at[1:]):

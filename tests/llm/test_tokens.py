@@ -111,3 +111,13 @@ def test_packer_keeps_few_open_windows():
     check_pieces([dict(zip(names, (*p[:3], p[3].tobytes(), *p[4:]))) for p in packer.out], ref, 64)
     uncut = sum(1 for p in packer.out if p[2] == p[4])
     assert uncut > 900
+
+
+def test_packer_holds_no_slices():
+    """An open piece owns its ids: a view would keep the ids of its whole slice in memory."""
+    packer = Packer(64)
+    ids = np.arange(100_000, dtype="<u4")
+    packer.add(1, ids[:70])
+    packer.add(2, ids[70:100])
+    held = [p[2] for fill in packer.open for pieces in fill for p in pieces]
+    assert held and not any(np.shares_memory(x, ids) for x in held)
