@@ -27,6 +27,7 @@ from ..functions.frames import top_k_per_group
 from .common import arrow_schema, written
 
 PAIRS = 1 << 15         # pairs whose vectors are gathered at a time
+TASK_PAIRS = 1 << 19    # pairs of a shard that meet in one task (about)
 EDGES = "shard int, u long, v long, s float, new boolean"
 
 
@@ -88,6 +89,7 @@ def build_graph(nodes: DataFrame, largest: float, degree: int = 20, reverse: int
         return pa.table([np.full(len(u), table.column("shard")[0].as_py(), np.int32), node[u], node[v], s, new], schema=schema)
 
     def improve(found: pa.Table, table: pa.Table) -> pa.Table:
+        """The best edges of the old ones and this part's pairs."""
         node = np.sort(table.column("node").to_numpy())
         x = _augmented(_matrix(table)[np.argsort(table.column("node").to_numpy())], largest)
         u, v = (np.searchsorted(node, found.column(c).to_numpy()) for c in ("u", "v"))
@@ -117,6 +119,17 @@ def build_graph(nodes: DataFrame, largest: float, degree: int = 20, reverse: int
         shard = table.column("shard")[0].as_py()
         return pa.table([np.full(len(u), shard, np.int32), node[u], node[v], s, new], schema=schema)
 
+    def merge(table: pa.Table) -> pa.Table:
+        node, at = np.unique(np.concatenate([table.column("u").to_numpy(), table.column("v").to_numpy()]), return_inverse=True)
+        u, v, s, new = _best(at[:table.num_rows], at[table.num_rows:], table.column("s").to_numpy(),
+                             table.column("new").to_numpy(zero_copy_only=False), degree)
+        return pa.table([np.full(len(u), table.column("shard")[0].as_py(), np.int32), node[u], node[v], s, new], schema=schema)
+
+    # a shard's pairs are dealt over parts, each of which sees the shard's vectors and old edges; a merge follows
+    largest_shard = nodes.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    parts = max(1, -(-largest_shard * (degree + reverse) * (degree + reverse - 1) // 2 // TASK_PAIRS))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    dealt = nodes.withColumn("part", every)
     edges = written(nodes.groupBy("shard").applyInArrow(start, EDGES), "ann-edges")
     for _ in range(rounds):
         place = F.row_number().over(Window.partitionBy("shard", "u").orderBy(F.desc("new"), F.xxhash64("u", "v"), "v"))
@@ -126,9 +139,11 @@ def build_graph(nodes: DataFrame, largest: float, degree: int = 20, reverse: int
         a, b = ring.alias("a"), ring.alias("b")
         far = (a.join(b, (F.col("a.shard") == F.col("b.shard")) & (F.col("a.u") == F.col("b.u")) & (F.col("a.v") < F.col("b.v"))
                       & (F.col("a.new") | F.col("b.new")))
-               .select("a.shard", F.col("a.v").alias("u"), F.col("b.v").alias("v"), F.lit(float("nan")).cast("float").alias("s")))
-        found = far.union(edges.select("shard", "u", "v", "s"))
-        edges = written(found.groupBy("shard").cogroup(nodes.groupBy("shard")).applyInArrow(improve, EDGES), "ann-edges")
+               .select("a.shard", F.col("a.v").alias("u"), F.col("b.v").alias("v"), F.lit(float("nan")).cast("float").alias("s"),
+                       F.pmod(F.xxhash64("a.v", "b.v"), F.lit(parts)).cast("int").alias("part")))
+        found = far.union(edges.select("shard", "u", "v", "s", every.alias("part")))
+        better = found.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInArrow(improve, EDGES)
+        edges = written(better.groupBy("shard").applyInArrow(merge, EDGES) if parts > 1 else better, "ann-edges")
         total, changed = edges.agg(F.count("*"), F.coalesce(F.sum(F.col("new").cast("long")), F.lit(0))).first()
         if changed <= settle * total:
             break

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tabscope.llm import ann
 from tabscope.llm.ann import nearest
 
 SCHEMA = "vec_id long, embedding array<double>, score string, node int"
@@ -62,3 +63,13 @@ def test_few_rows_and_empty(spark):
     assert nearest(frame(spark, [(20, [1.0, 0.0])])).count() == 0
     got = nearest(frame(spark, [(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])])).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(20, 1, 1, 0.5), (20, 2, 2, -1.0)]
+
+
+def test_graph_is_the_same_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    nodes = spark.createDataFrame([(i % 2, i, [float(c) for c in rng.normal(size=6)]) for i in range(160)], "shard int, node long, vec array<double>")
+    graphs = []
+    for task_pairs in (1 << 30, 1 << 10):      # one part, and several
+        monkeypatch.setattr(ann, "TASK_PAIRS", task_pairs)
+        graphs.append(sorted(map(tuple, ann.build_graph(nodes, 6.0, degree=8, reverse=4, rounds=2).collect())))
+    assert graphs[0] == graphs[1] and len(graphs[0]) == 160 * 8
