@@ -555,3 +555,21 @@ def test_forty_columns_are_prepared_for_clusters(spark):
                                   .otherwise(F.col("id") * (i + 1)).cast("double").alias(c) for i, c in enumerate(names)])
     data, n = prepare(df, names)
     assert n == cut_lineage(data).count() == 19
+
+
+def test_fits_read_rows_in_parts(spark, monkeypatch):
+    """A table in one part is dealt over several before the fits; a small one stays as it is."""
+    from pyspark.sql import functions as F
+    from tabscope.functions.frames import spread
+    from tabscope.operators import regress
+    df = spark.range(0, 60_000, 1, 1).select(F.col("id").alias("k"), (F.col("id") % 97).alias("x"), (F.col("id") % 97 * 2.0).alias("y"))
+    assert spread(df, 60_000).rdd.getNumPartitions() == 3 and spread(df, 20_000).rdd.getNumPartitions() == 1
+    assert spread(df, 60_000).exceptAll(df).isEmpty()
+    parts, cut = [], regress.cut_lineage
+
+    def counted(rows):
+        parts.append(rows.rdd.getNumPartitions())
+        return cut(rows)
+    monkeypatch.setattr(regress, "cut_lineage", counted)
+    cmp, _ = regress.compare_regressors(df, "y", ["x"], ["k"], models=["Linear Regression"])
+    assert parts == [3] and cmp.first()["r2"] > 0.999
