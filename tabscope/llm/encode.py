@@ -13,15 +13,16 @@ import pyarrow as pa
 
 from .common import LETTER, LOWER, SPACE, runs
 
-PIECE_LIMIT = 250_000       # remembered pieces of a worker (about 200 bytes each); beyond it the memory starts anew
+PIECE_LIMIT = 1_000_000     # remembered pieces of a worker; beyond it the memory starts anew
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
     """Ids of the rows of a byte buffer, with the pieces already encoded kept."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = PIECE_LIMIT):
         from tokenizers import Tokenizer
+        self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
         pre = str(self.tokenizer.pre_tokenizer)
         self.style = "word" if self.tokenizer.normalizer and "Lowercase" in str(self.tokenizer.normalizer) \
@@ -109,7 +110,7 @@ class Encoder:
         column = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))])
         column = column.dictionary_encode()
         distinct = column.dictionary.to_pylist()
-        if len(self.place) + len(distinct) > PIECE_LIMIT:
+        if len(self.place) + len(distinct) > self.limit:
             self.forget()
         place = self.place
         new = [w for w in distinct if w not in place]
@@ -131,10 +132,10 @@ class Encoder:
         return ids, np.concatenate([[0], stop])[rows]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = PIECE_LIMIT) -> Encoder:
     """The worker's encoder for a vocabulary file (kept between tasks)."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, limit)
     return _ENCODERS[path]
 
 

@@ -20,9 +20,10 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import SLICE_BYTES, arrow_schema, record, slices
+from .common import WIDE_SLICE, arrow_schema, record, slices
 from .encode import encoder, with_end
 
+PACKED_PIECES = 500_000     # remembered pieces of a packing worker; the last stage of a pipeline has little memory left
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -108,7 +109,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     schema = arrow_schema(ddl)
 
     def run(batches):
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, PACKED_PIECES)
         packer = Packer(window, TaskContext.get().partitionId() << 33, open_limit)
 
         def flush():
@@ -118,7 +119,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                                      "ids": [x.tobytes() for x in cols[3]], "doc_tokens": list(cols[4]),
                                      "sequence_id": list(cols[5]), "offset": list(cols[6])})
         for batch in batches:
-            for part, buf, off in slices(batch, text_col, SLICE_BYTES):
+            for part, buf, off in slices(batch, text_col, WIDE_SLICE):
                 ids, at = with_end(*encode(buf, off), end_id)
                 keys = part.column(part.schema.get_field_index(id_col)).to_pylist()
                 for k, a, b in zip(keys, at[:-1], at[1:]):
