@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,24 +85,19 @@ def rf_importance(df: DataFrame, target: str, numeric_cols: list[str], other_col
                   trees: int = 100, top: int = 20, seed: int = 42,
                   max_depth: int = 30) -> DataFrame:
     """FEA-1: random-forest importance (classifier when the target has <= 20 values)."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
+    from .forest import forest_importance
     spark = df.sparkSession
     x, names = feature_frame(df, target, numeric_cols, other_cols)
     if not names:
         return spark.createDataFrame([], "rank int, feature string, importance double")
     nd = distinct_counts(df, [target]).first()
     is_cls = nd is not None and nd["n_distinct"] <= 20
+    classes, take, label = 0, None, target
     if is_cls:
         from .prep import encode_labels
-        x, _ = encode_labels(x, target)
-        est = RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", seed=seed, maxDepth=max_depth)
-    else:
-        x = x.withColumn("label", F.col(target).cast("double"))
-        est = RandomForestRegressor(numTrees=trees, featureSubsetStrategy="all", seed=seed, maxDepth=max_depth)
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(x).select("label", "features")
-    imp = est.fit(data).featureImportances.toArray()
+        x, levels = encode_labels(x, target)
+        classes, take, label = len(levels), math.ceil(math.sqrt(len(names))), "label"
+    imp = forest_importance(x, label, names, classes, trees, take, max_depth, seed)
     rows = sorted(zip(names, [float(v) for v in imp]), key=lambda r: (-r[1], r[0]))[:top]
     return spark.createDataFrame([(i + 1, f, v) for i, (f, v) in enumerate(rows)],
                                  "rank int, feature string, importance double")

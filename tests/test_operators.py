@@ -573,3 +573,38 @@ def test_fits_read_rows_in_parts(spark, monkeypatch):
     monkeypatch.setattr(regress, "cut_lineage", counted)
     cmp, _ = regress.compare_regressors(df, "y", ["x"], ["k"], models=["Linear Regression"])
     assert parts == [3] and cmp.first()["r2"] > 0.999
+
+
+@pytest.mark.parametrize("classes", [0, 4])
+def test_forest_importance_equals_mllib(spark, classes):
+    """One tree over every row, grown in one group and in many, against MLlib's (rf_importance fits this forest)."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+    from tabscope.operators.forest import forest_importance
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.integers(0, k, 1500) for k in (20, 7, 2, 31)], axis=1).astype(float)
+    y = np.sin(x[:, 0]) * 3 + x[:, 1] * x[:, 2] + rng.normal(size=1500)
+    y = np.digitize(y, [-1.0, 1.0, 4.0]).astype(float) if classes else y
+    names = ["a", "b b", "c.c", "d"]
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], ["f0", "f1", "f2", "f3", "y"])
+    kind = RandomForestClassifier if classes else RandomForestRegressor
+    est = kind(numTrees=1, featureSubsetStrategy="all", maxDepth=30, bootstrap=False)
+    want = est.fit(VectorAssembler(inputCols=df.columns[:4], outputCol="features").transform(df.withColumnRenamed("y", "label"))).featureImportances
+    for subtree in (1 << 15, 200):
+        got = forest_importance(df.toDF(*names, "y"), "y", names, classes, trees=1, bootstrap=False, subtree=subtree)
+        # of features that part two rows equally well, rounding picks one: class counts are exact, label sums are not
+        assert np.allclose(got, want.toArray(), atol=1e-9 if classes else 2e-3)
+
+
+def test_forest_draws_and_groups(spark):
+    """Draws have mean 1 and differ by tree; a forest in small groups equals one in whole trees."""
+    from tabscope.operators.forest import forest_importance, weights
+    rid = np.arange(50_000)
+    w = np.stack([weights(rid, t, 42) for t in range(3)]).astype(float)
+    assert np.allclose(w.mean(axis=1), 1, atol=0.02) and np.allclose(w.var(axis=1), 1, atol=0.03)
+    assert np.abs(np.corrcoef(w) - np.eye(3)).max() < 0.02
+    df = spark.range(0, 2000, 1, 2).selectExpr("cast(pmod(xxhash64(id), 50) as double) a", "cast(pmod(xxhash64(id, 1), 9) as double) b",
+                                               "pmod(xxhash64(id, 2), 100) / 7.0 + pmod(xxhash64(id), 50) y")
+    whole, parts = (forest_importance(df, "y", ["a", "b"], trees=5, subtree=s) for s in (1 << 15, 150))
+    assert np.allclose(whole, parts, atol=1e-9) and whole[0] > whole[1] > 0
