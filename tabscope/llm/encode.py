@@ -8,12 +8,19 @@ file without a rule is encoded text by text.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 
-from .common import LETTER, LOWER, SPACE, runs
+from .common import LETTER, LOWER, SPACE
 
 PIECE_LIMIT = 1_000_000     # remembered pieces of a worker; beyond it the memory starts anew
+# ASCII marks that no special token holds
+MARK = np.zeros(256, bool)
+MARK[np.frombuffer(b".,!?%$&*;:()", np.uint8)] = True
+LETTER_LOW = np.zeros(256, bool)
+LETTER_LOW[97:123] = True
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -43,19 +50,16 @@ class Encoder:
         if self.style == "text" or len(buf) == 0:
             return buf, off, np.arange(len(off))
         if self.style == "word":
-            # white space is dropped; a '.' or ',' after an ASCII letter starts a new pre-token
+            # white space is dropped; a mark after an ASCII letter starts a new pre-token
             if b"<|" not in buf.tobytes():
                 buf = LOWER[buf]
-            start, end = runs(~SPACE[buf], off)
-            letter = (buf >= 97) & (buf <= 122)
-            cut = np.flatnonzero(((buf[1:] == 46) | (buf[1:] == 44)) & letter[:-1]) + 1
-            row_start = np.zeros(len(buf) + 1, bool)
-            row_start[off] = True
-            cut = cut[~row_start[cut]]
-            start = np.sort(np.concatenate([start, cut]))
             keep = ~SPACE[buf]
-            gone = np.concatenate([[0], np.cumsum(~keep)])
-            return buf[keep], np.append(start - gone[start], int(keep.sum())), np.searchsorted(start, off)
+            first = keep.copy()
+            first[1:] &= ~keep[:-1]
+            row = off[off < len(buf)]
+            first[row] = keep[row]
+            first[1:] |= MARK[buf[1:]] & LETTER_LOW[buf[:-1]]
+            return buf[keep], np.append(np.flatnonzero(first[keep]), int(keep.sum())), np.searchsorted(np.flatnonzero(first), off)
         # a single blank between two characters that are surely not white space starts a pre-token,
         # and so does a '.' or ',' after an ASCII letter
         new = np.zeros(len(buf) + 1, bool)
@@ -109,13 +113,14 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         column = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf))])
         column = column.dictionary_encode()
-        distinct = column.dictionary.to_pylist()
+        distinct = column.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.place) + len(distinct) > self.limit:
             self.forget()
         place = self.place
-        new = [w for w in distinct if w not in place]
-        if new:
-            new, length, got = self._encode_new(new)
+        at = np.fromiter(map(place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            new, length, got = self._encode_new([distinct[i] for i in unknown])
             base, used = len(place), int(self.first[len(place)])
             ends = used + np.cumsum(length)
             if ends[-1] > len(self.ids):
@@ -125,7 +130,8 @@ class Encoder:
             self.ids[used:ends[-1]] = got
             self.first[base + 1:base + 1 + len(new)] = ends
             place.update(zip(new, range(base, base + len(new))))
-        which = np.fromiter((place[w] for w in distinct), np.int64, len(distinct))[column.indices.to_numpy()]
+            at[unknown] = [place[distinct[i]] for i in unknown]
+        which = at[column.indices.to_numpy()]
         length = self.first[which + 1] - self.first[which]
         stop = np.cumsum(length)
         ids = self.ids[np.arange(int(stop[-1])) + np.repeat(self.first[which] - (stop - length), length)]

@@ -121,3 +121,23 @@ def test_packer_holds_no_slices():
     packer.add(2, ids[70:100])
     held = [p[2] for fill in packer.open for pieces in fill for p in pieces]
     assert held and not any(np.shares_memory(x, ids) for x in held)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_marks_after_letters(name):
+    """Every ASCII mark after, before and between letters, with accents on either side; known and new pieces in one call."""
+    marks = [chr(i) for i in range(33, 127) if not chr(i).isalnum()]
+    texts = [f"ab{m}cd{m}{m} é{m}x e\u0301{m} {m}a{m}\u0338b A{m}B 1{m}2 <|endoftext|>a{m}" for m in marks] + ["".join(marks), "a".join(marks)]
+    e = Encoder(vocabulary(name))
+    for rows in (texts[:5], texts, texts[::-1], [t.replace("<|", "") for t in texts]):
+        buf = [t.encode() for t in rows]
+        ids, at = e(np.frombuffer(b"".join(buf), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in buf])]))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in rows]
+
+
+def test_words_with_marks_share_pieces():
+    """A word is one piece whatever mark follows it, so each is encoded once."""
+    e = Encoder(vocabulary("word_bpe_49k.json"))
+    text = b"word! word% word$$ word; word"
+    e(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert sorted(e.place) == ["!", "$$", "%", ";", "word"]
