@@ -34,6 +34,7 @@ from .components import components
 ELEMENTS, CHUNKS = 48, 9
 DISTANCE = 2 * CHUNKS - 1
 CELL = 2048
+STRIP = 128         # rows of a cell that are compared at a time
 _RNG = np.random.default_rng(20_240_601)
 _XOR = _RNG.integers(0, 1 << 63, ELEMENTS, dtype=np.uint64)
 _MUL = _RNG.integers(0, 1 << 63, ELEMENTS, dtype=np.uint64) * U64(2) + U64(1)
@@ -161,14 +162,19 @@ def _edits(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "c").join(a, "u").select("u", "c", "su", "sc").mapInArrow(run, ddl)
 
 
+def strips(n: int) -> list[slice]:
+    """``n`` rows of a cell, a few at a time: only the counts and the links of a cell are held for all its pairs."""
+    return [slice(i, i + STRIP) for i in range(0, n, STRIP)]
+
+
 def common(n_leader: int, missing: tuple[list, list], added: tuple[list, list]) -> np.ndarray:
     """Sizes of the intersections of the rows' sets with the columns' sets, from their edits to one leader."""
     width = -(-n_leader // 64) * 8
     rows, cols = (np.frombuffer(b"".join(m.ljust(width, b"\0") for m in side), np.uint64).reshape(len(side), width // 8) for side in missing)
-    either = np.zeros((len(rows), len(cols)), np.int32)
-    for w in range(rows.shape[1]):
-        either += np.bitwise_count(rows[:, w, None] | cols[None, :, w])
-    out = n_leader - either
+    out = np.full((len(rows), len(cols)), n_leader, np.int32)
+    for part in strips(len(rows)):
+        for w in range(rows.shape[1]):
+            out[part] -= np.bitwise_count(rows[part, w, None] | cols[None, :, w])
     where = []
     for side in added:
         size = [len(x) // 8 for x in side]
@@ -183,6 +189,20 @@ def common(n_leader: int, missing: tuple[list, list], added: tuple[list, list])
     return out
 
 
+def joined(c: np.ndarray, rows: np.ndarray, cols: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The smallest class each one is joined to within the cell, by links (rows, columns)."""
+    low, far = c.copy(), np.iinfo(np.int64).max
+    while linked.any():
+        before = low.copy()
+        for p in strips(len(rows)):
+            r, link = rows[p], linked[p]
+            low[r] = np.minimum(low[r], np.where(link, low[None, cols], far).min(axis=1))
+            low[cols] = np.minimum(low[cols], np.where(link, low[r, None], far).min(axis=0))
+        if (low == before).all():
+            break
+    return low
+
+
 def _cell(percent: int):
     ddl = "u long, v long"
     schema = arrow_schema(ddl)
@@ -194,16 +214,11 @@ def _cell(percent: int):
         pick = lambda k, at: [t[k][i] for i in at]
         n, comp, c = (np.array(t[k], np.int64) for k in ("n_c", "comp", "c"))
         inter = common(t["n_u"][0], (pick("missing", rows), pick("missing", cols)), (pick("added", rows), pick("added", cols)))
-        linked = (100 * inter >= percent * (n[rows, None] + n[None, cols] - inter)) & (comp[rows, None] != comp[None, cols])
-        i, j = np.nonzero(linked)
-        # the smallest class each one is joined to within the cell
-        low, a, b = c.copy(), rows[i], cols[j]
-        while len(a):
-            before = low.copy()
-            np.minimum.at(low, a, before[b])
-            np.minimum.at(low, b, before[a])
-            if (low == before).all():
-                break
+        linked = np.empty(inter.shape, bool)
+        for p in strips(len(rows)):
+            r = rows[p]
+            linked[p] = (100 * inter[p] >= percent * (n[r, None] + n[None, cols] - inter[p])) & (comp[r, None] != comp[None, cols])
+        low = joined(c, rows, cols, linked)
         some = low != c
         return pa.table([c[some], low[some]], schema=schema)
 

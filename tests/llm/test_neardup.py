@@ -92,3 +92,28 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for x in parent}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_cells_hold_few_pairs(spark):
+    """A cell of members that are all linked: components as by steps over all pairs, in much less memory than a list of its pairs."""
+    import tracemalloc
+    import pyarrow as pa
+    from tabscope.llm.neardup import _cell, joined
+    rng = np.random.default_rng(3)
+    for rows, cols in ((np.arange(150), np.arange(150)), (np.arange(140), np.arange(140, 300))):
+        c, linked = rng.permutation(300), rng.random((len(rows), len(cols))) < 0.008
+        want = c.copy()
+        for _ in range(300):
+            for i, j in zip(*np.nonzero(linked)):
+                want[[rows[i], cols[j]]] = min(want[rows[i]], want[cols[j]])
+        assert (joined(c, rows, cols, linked) == want).all()
+    n = 1500
+    run, _ = _cell(80)
+    table = pa.table({"u": [0] * n, "own": [0] * n, "x": [0] * n, "y": [0] * n, "c": list(range(1, n + 1)), "comp": list(range(1, n + 1)),
+                      "n_u": [64] * n, "n_c": [64] * n, "missing": [b"\0" * 8] * n, "added": [b""] * n})
+    tracemalloc.start()
+    got = run(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == n - 1 and set(got.column("v").to_pylist()) == {1}
+    assert peak < 20 * n * n, peak
