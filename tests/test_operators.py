@@ -301,6 +301,47 @@ def test_failing_model_is_a_row(spark, monkeypatch):
     assert {r.model: r.error for r in cmp.collect()} == {"Lasso": "no fit", "Linear Regression": None}
 
 
+class _Unfit:
+    def __init__(self, problem):
+        self.problem = problem
+
+    def fit(self, data):
+        raise self.problem
+
+
+def _part_rows(spark, folder):
+    """A small table ``part`` of our own rows."""
+    spark.range(60).select(F.col("id").alias("p_partkey"), F.concat(F.lit("T"), F.col("id") % 3).alias("p_type"), (F.col("id") % 7).cast("int").alias("p_size"),
+                           (F.col("id") * 3.0 + F.col("id") % 5).alias("p_retailprice")).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_failure_of_spark_is_no_model_row(spark, monkeypatch):
+    """Only a model that cannot be fitted is a row of the comparison; a lost task or a full heap is raised."""
+    from tabscope.operators import regress
+    df = spark.createDataFrame([(i, float(i % 7), float(i)) for i in range(40)], "k long, x double, y double")
+    real = regress.regression_estimators
+    monkeypatch.setattr(regress, "regression_estimators", lambda names, *a: {"Lasso": _Unfit(RuntimeError("lost executor")), **real(["Linear Regression"], *a)})
+    with pytest.raises(RuntimeError, match="lost executor"):
+        regress.compare_regressors(df, "y", ["x"], ["k"], models=["Lasso", "Linear Regression"])
+
+
+@pytest.mark.parametrize("query", ["compare_regressors_part"])
+def test_query_of_regressors_shows_a_failing_model(spark, monkeypatch, tmp_path, query):
+    """The query has no column for the error, so a model without a result is no row and no missing share."""
+    import __spark_entry__ as E
+    from tabscope.operators import regress
+    real, asked = regress.regression_estimators, []
+
+    def some(names, n, sigma, trees, boost_iter, *a):
+        asked.append((sorted(names), trees, boost_iter))
+        return {**real(["Linear Regression"], n, sigma, trees, boost_iter, *a), "Random Forest": _Unfit(ValueError("no fit"))}
+    monkeypatch.setattr(regress, "regression_estimators", some)
+    with pytest.raises(RuntimeError, match="Random Forest failed: no fit"):
+        E.queries()[query](spark, _part_rows(spark, tmp_path)).collect()
+    assert set(map(str, asked)) == {str((["Gradient Boosting", "Linear Regression", "Random Forest"], 100, 100))}
+
+
 def test_duplicates_and_distinct_by_typed_values(spark):
     """Microseconds, signed zeros, places of nulls, dotted names and nested nulls tell rows apart."""
     import datetime as dt
