@@ -326,7 +326,7 @@ def test_failure_of_spark_is_no_model_row(spark, monkeypatch):
         regress.compare_regressors(df, "y", ["x"], ["k"], models=["Lasso", "Linear Regression"])
 
 
-@pytest.mark.parametrize("query", ["compare_regressors_part"])
+@pytest.mark.parametrize("query", ["compare_regressors_part", "regression_importance_part"])
 def test_query_of_regressors_shows_a_failing_model(spark, monkeypatch, tmp_path, query):
     """The query has no column for the error, so a model without a result is no row and no missing share."""
     import __spark_entry__ as E
