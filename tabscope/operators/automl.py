@@ -11,17 +11,18 @@ row key.
 
 from __future__ import annotations
 
-import numpy as np
+from functools import partial, reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.frames import spread
-from ..session import cut_lineage
+from ..session import cut_lineage, together
 from .classify import classifier, knn_predict
 from .metrics import accuracy, classification_metrics, regression_metrics
 from .prep import encode_labels, feature_frame
-from .regress import regression_estimators
+from .regress import attempt, mean_std, regression_estimators
 from .roles import distinct_counts
 from .split import kfold, train_test_split
 
@@ -103,42 +104,47 @@ def auto_analyze(df: DataFrame, target: str, numeric_cols: list[str], other_cols
             return classifier(name, nt, len(classes), trees, boost_iter, seed, max_iter)
         return regression_estimators([name], nt, sigma, trees, boost_iter, seed)[name]
 
+    def predicted(name, nt, fit_rows, rest):
+        est = make(name, nt)
+        return _predict(name, est.fit(fit_rows) if est is not None else None, fit_rows, rest, names, task, key)
+
     def score(pred, truth):
         j = pred.join(truth.select(key, "label"), key)
         if is_cls:
             return classification_metrics(j, average=avg).first()
         return regression_metrics(j).first()
 
-    rows, preds = [], {}
+    def scored(p, fold_preds):
+        s = score(p, test)
+        # all held-out folds are scored together in one grouped pass
+        allp = reduce(DataFrame.unionByName, [fp.select(key, "prediction").withColumn("fold", F.lit(f)) for f, fp in enumerate(fold_preds)])
+        allp = allp.join(data.select(key, "label"), key)
+        cvm = accuracy(allp, ["fold"]) if is_cls else regression_metrics(allp, ["fold"])
+        return s, mean_std([r["accuracy" if is_cls else "r2"] for r in cvm.collect()])
+
+    # the fits of all models, on the train rows and on each fold's, run side by side
+    calls = [attempt(partial(predicted, name, n_train, train, test)) for name in models]
+    calls += [attempt(partial(predicted, name, n - fold_sizes[f], data.where(F.col("fold") != f), data.where(F.col("fold") == f)))
+              for name in models for f in range(k)]
+    done = together(spark, calls)
+    held = {name: [done[i], *done[len(models) + i * k:len(models) + (i + 1) * k]] for i, name in enumerate(models)}
+    unfit = {name: next((problem for _, problem in got if problem), None) for name, got in held.items()}
+    fitted = [name for name in models if unfit[name] is None]
+    preds = {name: held[name][0][0] for name in fitted}
+    scores = dict(zip(fitted, together(spark, [attempt(partial(scored, preds[name], [p for p, _ in held[name][1:]])) for name in fitted])))
+    rows = []
     for name in models:
-        try:
-            est = make(name, n_train)
-            m = est.fit(train) if est is not None else None
-            p = _predict(name, m, train, test, names, task, key)
-            s = score(p, test)
-            # k fits; all held-out folds are scored together in one grouped pass
-            fold_preds = []
-            for f in range(k):
-                tr_f, te_f = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-                ef = make(name, n - fold_sizes[f])
-                mf = ef.fit(tr_f) if ef is not None else None
-                fold_preds.append(_predict(name, mf, tr_f, te_f, names, task, key)
-                                  .select(key, "prediction").withColumn("fold", F.lit(f)))
-            allp = fold_preds[0]
-            for fp in fold_preds[1:]:
-                allp = allp.unionByName(fp)
-            allp = allp.join(data.select(key, "label"), key)
-            cvm = accuracy(allp, ["fold"]) if is_cls else regression_metrics(allp, ["fold"])
-            cv = [r["accuracy" if is_cls else "r2"] for r in cvm.collect()]
-            if is_cls:
-                rows.append((name, s["accuracy"], s["precision"], s["recall"], s["f1"], None, None, None,
-                             float(np.mean(cv)), float(np.std(cv)), None))
-            else:
-                rows.append((name, None, None, None, None, s["r2"], s["rmse"], s["mae"],
-                             float(np.mean(cv)), float(np.std(cv)), None))
-            preds[name] = p
-        except Exception as e:  # a failing model is a leaderboard row, as in the reference
-            rows.append((name,) + (None,) * 9 + (str(e)[:500],))
+        found, problem = scores.get(name, (None, unfit[name]))
+        if problem:     # a failing model is a leaderboard row, as in the reference
+            rows.append((name,) + (None,) * 9 + (str(problem)[:500],))
+            continue
+        s, cv = found
+        if is_cls:
+            rows.append((name, s["accuracy"], s["precision"], s["recall"], s["f1"], None, None, None,
+                         *cv, None))
+        else:
+            rows.append((name, None, None, None, None, s["r2"], s["rmse"], s["mae"],
+                         *cv, None))
     board = spark.createDataFrame(rows, BOARD_SCHEMA)
     metric = "f1_score" if is_cls else "r2"
     ranked = board.where(F.col("cv_mean").isNotNull()).orderBy(F.col(metric).desc(), "model").collect()

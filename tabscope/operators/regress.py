@@ -324,6 +324,13 @@ def attempt(call):
     return run
 
 
+def mean_std(scores: list) -> tuple[float, float]:
+    """Mean and population std of the folds' scores."""
+    if any(v is None for v in scores):
+        raise ValueError("a fold has no score: its labels do not vary")
+    return float(np.mean(scores)), float(np.std(scores))
+
+
 def all_fitted(comparison: DataFrame) -> DataFrame:
     """The comparison as it is; an error if a model failed, for readers that do not see the column ``error``."""
     failed = [(r["model"], r["error"]) for r in comparison.where(F.col("error").isNotNull()).collect()]     # a row a model
@@ -371,15 +378,17 @@ def compare_regressors(df: DataFrame, y: str, xs: list[str], key_cols: list[str]
     done = together(spark, calls)
     rows, imps = [], []
     for i, name in enumerate(whole):
-        (fit, problem), folds = done[i], done[len(whole) + i * k:len(whole) + (i + 1) * k]
-        problem = problem or next((p for _, p in folds if p), None)
+        fit, *folds = [done[i], *done[len(whole) + i * k:len(whole) + (i + 1) * k]]
+        problem = next((p for _, p in (fit, *folds) if p), None)
+        if not problem:
+            # the held-out predictions of all folds are scored in one grouped pass
+            r2 = regression_metrics(reduce(DataFrame.unionByName, [p for p, _ in folds]), ["fold"]).collect()
+            cv, problem = attempt(partial(mean_std, [r["r2"] for r in r2]))()
         if problem:      # a model that fails is a row of the comparison
             rows.append((name,) + (None,) * 5 + (str(problem)[:300],))
             continue
-        ins, importance = fit
-        # the held-out predictions of all folds are scored in one grouped pass
-        r2 = [r["r2"] for r in regression_metrics(reduce(DataFrame.unionByName, [p for p, _ in folds]), ["fold"]).collect()]
-        rows.append((name, ins["r2"], ins["rmse"], ins["mae"], float(np.mean(r2)), float(np.std(r2)), None))
+        ins, importance = fit[0]
+        rows.append((name, ins["r2"], ins["rmse"], ins["mae"], *cv, None))
         imps.extend(importance)
     cmp = spark.createDataFrame(rows, cmp_schema)
     imp = (spark.createDataFrame(imps, "feature string, importance double")

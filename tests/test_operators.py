@@ -342,6 +342,35 @@ def test_query_of_regressors_shows_a_failing_model(spark, monkeypatch, tmp_path,
     assert set(map(str, asked)) == {str((["Gradient Boosting", "Linear Regression", "Random Forest"], 100, 100))}
 
 
+def test_query_of_auto_ml_fits_default_sizes(spark, monkeypatch, tmp_path):
+    """Sizes of the reference; a failure of Spark is raised, a model that cannot be fitted fails the query, which has no column for it."""
+    import __spark_entry__ as E
+    from tabscope.operators import automl
+    d = spark.range(80).select(F.col("id").alias("doc_id"), (F.col("id") * 7 % 50).alias("n_chars"), F.concat(F.lit("l"), F.col("id") % 3).alias("lang"))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    d.select("doc_id", (F.col("n_chars") > 25).cast("int").alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    real, sizes, problem = automl.classifier, set(), [ValueError("no fit")]
+
+    def some(name, n, classes, trees, boost_iter, seed, max_iter):
+        sizes.add((trees, boost_iter, max_iter))
+        return _Unfit(problem[0]) if name == "SVM" else real("Logistic Regression", n, classes)
+    monkeypatch.setattr(automl, "classifier", some)
+    with pytest.raises(RuntimeError, match="SVM failed: no fit"):
+        E.queries()["auto_ml_documents"](spark, str(tmp_path))
+    assert sizes == {(150, 100, 300)}
+    problem[0] = RuntimeError("lost executor")
+    with pytest.raises(RuntimeError, match="^lost executor"):
+        E.queries()["auto_ml_documents"](spark, str(tmp_path))
+
+
+def test_regressor_without_a_score_is_a_row(spark):
+    """A label that does not vary has no r2."""
+    from tabscope.operators import regress
+    df = spark.createDataFrame([(i, float(i % 7), 2.0) for i in range(40)], "k long, x double, y double")
+    got = regress.compare_regressors(df, "y", ["x"], ["k"], models=["Linear Regression"])[0].collect()
+    assert len(got) == 1 and got[0].error and got[0].cv_r2_mean is None
+
+
 def test_duplicates_and_distinct_by_typed_values(spark):
     """Microseconds, signed zeros, places of nulls, dotted names and nested nulls tell rows apart."""
     import datetime as dt
