@@ -61,7 +61,7 @@ def complete(df: DataFrame, cols: list[str]) -> DataFrame:
 def first_by_hash(df: DataFrame, cols: list[str], k: int) -> DataFrame:
     """The ``k`` distinct rows of ``cols`` with the smallest hashes, in that order.
 
-    Only 8-byte hashes are shuffled and ranked over the whole table; the rows follow from the ``k``-th smallest one, so
+    Only 8-byte hashes are shuffled and ranked, those of a 64th of the table if it is large; the rows follow from the ``k``-th smallest one, so
     wide rows neither cross the shuffle nor meet on the driver by the partition.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -74,7 +74,13 @@ def first_by_hash(df: DataFrame, cols: list[str], k: int) -> DataFrame:
         return col(c)
     rows = df.select(*[plain(c) for c in cols])
     h = F.xxhash64(*[col(c) for c in cols])
-    low = rows.select(h.alias("_h")).distinct().orderBy("_h").limit(k).agg(F.max("_h")).first()[0]
+
+    def kth(hashes):
+        return hashes.distinct().orderBy("_h").limit(k).agg(F.max("_h"), F.count(F.lit(1))).first()
+    hashes = rows.select(h.alias("_h"))
+    low, n = kth(hashes.where(F.col("_h") < F.lit(-(1 << 63) + (1 << 58))))     # the lowest 64th of all hashes holds them in a large table
+    if n < k:
+        low, n = kth(hashes)
     if low is None:
         return rows.limit(0)
     return rows.where(h <= F.lit(low)).distinct().orderBy(h, *[col(c) for c in cols]).limit(k)

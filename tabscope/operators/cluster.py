@@ -69,23 +69,160 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0.0)
 
 
-STRIP = 4_096       # most points in a block
+STRIP = 4_096       # most points of a block of more than FLAT columns, and rows of a matrix of points by centres
 ENTRIES = 1 << 18   # entries of the largest matrix of distances inside a task (2 MB)
+FLAT = 8            # most columns of points that are kept near each other
+BOX, BOXES = 64, 32         # points of a small box, small boxes of a large one
+TREE = BOX << 12            # most points of a block that is cut into boxes
+PART = 1 << 20              # points (about) of a part of such blocks
 
 
 def _blocks(points: DataFrame) -> DataFrame:
-    """``(b, n)``: the points in blocks, the doubles of ``n`` points one after the other as one binary value, dealt evenly over the cores."""
+    """``(b, n)``: the points in blocks, the doubles of ``n`` points one after the other as one binary value, dealt evenly over the cores.
+
+    Points of up to ``FLAT`` columns are dealt by place: a block holds neighbours, in runs of ``BOX`` that lie close together, so
+    that most runs lie nearer to one centre as a whole.
+    """
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    one = points.select(F.size("x").alias("d")).first()
+    if one and 0 < one["d"] <= FLAT:
+        return _by_place(points, one["d"], 2 * cores)
+
     def pack(batches):
         for batch in batches:
             c = batch.column(0)
             for i in range(0, len(c), STRIP):
                 part = c.slice(i, STRIP)
-                x = part.flatten().to_numpy(zero_copy_only=False).astype(float)
-                yield pa.RecordBatch.from_pydict({"b": pa.array([x.tobytes()], pa.binary()), "n": pa.array([len(part)], pa.int32())})
-    cores = points.sparkSession.sparkContext.defaultParallelism
+                yield _packed([_doubles(part)])
     return points.select("x").mapInArrow(pack, "b binary, n int").repartition(2 * cores)
 
 
+def _doubles(arrays: pa.Array) -> np.ndarray:
+    return arrays.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(arrays), -1)
+
+
+def _packed(xs: list[np.ndarray], **more) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({**more, "b": pa.array([x.tobytes() for x in xs], pa.binary()), "n": pa.array([len(x) for x in xs], pa.int32())})
+
+
+def _by_place(points: DataFrame, d: int, least: int) -> DataFrame:
+    """``_blocks`` by place: points are packed by cell of a grid of quantiles, cells that lie together go to one part, and there the points are put in boxes."""
+    bits = 12 // d
+    shares = F.array(*[F.lit(i / 2 ** bits) for i in range(1, 2 ** bits)])
+    # the cuts only say which points are packed together: those of a 64th of the values do
+    some = F.pmod(F.xxhash64("x"), F.lit(64)) == 0
+    got = points.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.when(some, F.col("x")[i]), shares, 1_000).alias(f"q{i}") for i in range(d)]).first()
+    edges = [np.array(got[f"q{i}"] or [], float) for i in range(d)]       # up to 2 ** bits - 1 cuts a column
+
+    def cells(batches):
+        def packed(xs):
+            x, cell = np.concatenate(xs), 0
+            codes = [np.searchsorted(e, x[:, i], side="right") for i, e in enumerate(edges)]
+            for bit in range(bits):
+                for i, c in enumerate(codes):
+                    cell = cell + ((c >> bit & 1) << (bit * d + i))
+            order = np.argsort(cell, kind="stable")
+            names, first = np.unique(cell[order], return_index=True)
+            return _packed(np.split(x[order], first[1:]), cell=pa.array(names, pa.int32()))
+        kept, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                kept.append(_doubles(batch.column(0)))
+                n += batch.num_rows
+            if n >= PART // 2:
+                yield packed(kept)
+                kept, n = [], 0
+        if kept:
+            yield packed(kept)
+
+    def boxes(batches):
+        def blocks(kept):
+            x, i = np.concatenate([x for _, x in sorted(kept, key=lambda v: v[0])]), 0
+            while i < len(x):
+                size = min(TREE, BOX << int(np.log2((len(x) - i) // BOX))) if len(x) - i >= BOX else len(x) - i
+                yield _packed([in_boxes(x[i:i + size])])
+                i += size
+        kept, n = [], 0
+        for batch in batches:
+            for cell, b, rows in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                kept.append((cell, np.frombuffer(b, float).reshape(rows, d)))
+                n += rows
+                if n >= PART:
+                    yield from blocks(kept)
+                    kept, n = [], 0
+        if kept:
+            yield from blocks(kept)
+
+    dealt = points.select("x").mapInArrow(cells, "cell int, b binary, n int") \
+        .repartitionByRange(max(least, -(-got["n"] // PART)), "cell", F.xxhash64("b"))      # a crowded cell goes to several parts
+    return dealt.mapInArrow(boxes, "b binary, n int")
+
+
+def in_boxes(x: np.ndarray) -> np.ndarray:
+    """The points so that every ``BOX`` in a row lie close together, and so do every two, four, ... of these runs: halves by the
+    widest column, again and again.  Needs ``BOX`` times a power of two points; others stay as they are."""
+    if len(x) % BOX or (len(x) // BOX) & (len(x) // BOX - 1):
+        return x
+    size = len(x)
+    while size > BOX:
+        x = x.reshape(-1, size, x.shape[-1])
+        widest = np.ptp(x, axis=1).argmax(axis=1)
+        by = np.take_along_axis(x, widest[:, None, None], axis=2)[:, :, 0]
+        x = np.take_along_axis(x, np.argpartition(by, size // 2, axis=1)[:, :, None], axis=1)
+        size //= 2
+    return x.reshape(-1, x.shape[-1])
+
+
+def _whole(centres: np.ndarray, mid: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The centre nearest to the middle of each box, and whether it is nearer than all others to every point of the box."""
+    size = (centres * centres).sum(axis=1)
+    far = size[:, None] - 2 * centres @ mid
+    near = far.argmin(axis=0)
+    here = np.arange(len(near))
+    gap = far - far[near, here]
+    # the corner that lies farthest towards another centre
+    reach = 2 * np.einsum("kbd,db->kb", np.abs(centres[:, None] - centres)[:, near], half)
+    clear = gap > reach + 1e-9 * (size.max() + (mid * mid).sum(axis=0) + (half * half).sum(axis=0))
+    clear[near, here] = True
+    return near, clear.all(axis=0)
+
+
+def _box_sums(x: np.ndarray, runs: list[np.ndarray]) -> np.ndarray:
+    """(rows, sums, sums of squared norms) of the clusters of all runs, over a block in boxes.
+
+    A box that lies nearer to one centre as a whole goes there by its sums; only the points of the others are compared.
+    """
+    d = x.shape[1]
+    cols = np.ascontiguousarray(x.T)
+    stat = np.vstack([np.ones(len(x)), cols, (cols * cols).sum(axis=0)])
+    levels, low, high, sums = [], cols, cols, stat
+    for size in (BOX, BOXES):
+        low, high, sums = (v.reshape(len(v), -1, size) for v in (low, high, sums))
+        low, high, sums = low.min(axis=2), high.max(axis=2), sums.sum(axis=2)
+        levels.append(((low + high) / 2, (high - low) / 2, sums, size))
+    out = []
+    for centres in runs:
+        k, total = len(centres), np.zeros((len(centres), d + 2))
+        at = np.arange(levels[-1][0].shape[1])
+        for mid, half, sums, size in reversed(levels):
+            near, whole = _whole(centres, mid[:, at], half[:, at])
+            total += ((near == np.arange(k)[:, None]) & whole).astype(float) @ sums[:, at].T
+            at = (at[~whole][:, None] * size + np.arange(size)).ravel()
+            if not len(at):
+                break
+        weights = np.column_stack([(centres * centres).sum(axis=1), -2 * centres])
+        for i in range(0, len(at), STRIP):
+            part = stat[:, at[i:i + STRIP]]
+            far = weights @ part[:-1]
+            mine = (far == far.min(axis=0)).astype(float)
+            got = mine @ part.T
+            if got[:, 0].sum() != part.shape[1]:        # a row between centres goes to the first
+                got = (far.argmin(axis=0) == np.arange(k)[:, None]).astype(float) @ part.T
+            total += got
+        out.append(total)
+    return np.concatenate(out)
+
+
 def _points(batches):
     """The points of each block as a matrix."""
     for batch in batches:
@@ -108,6 +245,9 @@ def _moments(blocks: DataFrame, runs: dict) -> dict:
         weights = np.column_stack([(centres * centres).sum(axis=1), -2 * centres])
         step = max(64, ENTRIES // cells)
         for x in _points(batches):
+            if x.shape[1] <= FLAT and len(x) % (BOX * BOXES) == 0:
+                total += _box_sums(x, [centres[a:b] for a, b in zip(edges[:-1], edges[1:])])
+                continue
             for i in range(0, len(x), step):
                 part = x[i:i + step]
                 extra = np.column_stack([np.ones(len(part)), part, (part * part).sum(axis=1)])
@@ -133,15 +273,17 @@ def _moments(blocks: DataFrame, runs: dict) -> dict:
     return {r: (n[a:b], sums[a:b], norms[a:b], inertia[a:b]) for r, a, b in zip(names, edges[:-1], edges[1:])}
 
 
-def fit_many(points: DataFrame, ks: list[int], restarts: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> dict[int, np.ndarray]:
+def fit_many(points: DataFrame, ks: list[int], restarts: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4,
+             blocks: DataFrame | None = None) -> dict[int, np.ndarray]:
     """The centres of the best restart (least inertia) for each k.
 
     Lloyd's iterations of all (k, restart) runs go together: one scan of ``points`` (a column ``x``, array of double)
     moves the centres of every run that still moves; a run stops when its centres move by ``tol`` of the mean
-    variance or less.  A centre without rows stays where it is.  Only the centres are on the driver.
+    variance or less.  A centre without rows stays where it is.  Only the centres are on the driver.  ``blocks``: the points
+    packed, if the caller has them.
     """
     runs = starting_centres(points, ks, restarts, seed)
-    blocks = cut_lineage(_blocks(points))       # read by every iteration
+    blocks = blocks or cut_lineage(_blocks(points))       # read by every iteration
     active, spread = set(runs), None
     for _ in range(max_iter):
         if not active:
@@ -158,27 +300,28 @@ def fit_many(points: DataFrame, ks: list[int], restarts: int = 10, seed: int = 4
     return {k: runs[r] for k, r in best.items()}
 
 
-def centre_scores(points: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+def centre_scores(points: DataFrame, centres: dict[int, np.ndarray], blocks: DataFrame | None = None) -> DataFrame:
     """CLU-2, CLU-4: ``(k, inertia, silhouette)`` of given centres, for all k in two scans.
 
     The silhouette is that of squared Euclidean distances: a row's mean distance to a cluster follows from the cluster's row
     count, sum and squared norms.  A row alone in its cluster counts 0.
     """
-    blocks = _blocks(points)
+    blocks = blocks or _blocks(points)
     stats = _moments(blocks, centres)
 
     def gather(batches):
         total = {k: 0.0 for k in centres}
-        for x in _points(batches):
+        for x in (x[i:i + STRIP] for x in _points(batches) for i in range(0, len(x), STRIP)):
             norm, row = (x * x).sum(axis=1), np.arange(len(x))
             for k, c in centres.items():
                 n, sums, norms, _ = stats[k]
-                at = _distances(x, c).argmin(axis=1)
-                full = np.maximum(n * norm[:, None] + norms - 2 * x @ sums.T, 0.0)      # sums of distances
-                mine = full[row, at] / np.maximum(n[at] - 1, 1)
-                mean = np.where(n > 0, full / np.maximum(n, 1), np.inf)
-                mean[row, at] = np.inf
-                other = mean.min(axis=1)
+                at = np.maximum((c * c).sum(axis=1)[:, None] - 2 * c @ x.T + norm, 0.0).argmin(axis=0)
+                full = np.maximum(n[:, None] * norm + norms[:, None] - 2 * sums @ x.T, 0.0)      # sums of distances
+                mine = full[at, row] / np.maximum(n[at] - 1, 1)
+                mean = full / np.maximum(n, 1)[:, None]
+                mean[n == 0] = np.inf
+                mean[at, row] = np.inf
+                other = mean.min(axis=0)
                 good = (n[at] > 1) & np.isfinite(other) & (np.maximum(mine, other) > 0)
                 total[k] += ((other - mine)[good] / np.maximum(mine, other)[good]).sum()
         yield pa.RecordBatch.from_pydict({"k": pa.array(list(total), pa.int32()), "s": pa.array(list(total.values()), pa.float64())})
@@ -227,8 +370,9 @@ def cluster_analysis(df: DataFrame, cols: list[str], max_k: int = 10, restarts:
     data = cut_lineage(data)  # read by every iteration
     hi = min(max_k, max(2, n // 10))
     points = data.select(vector_to_array("features").alias("x"))
-    centres = fit_many(points, list(range(2, hi + 1)), restarts, seed)
-    scores = centre_scores(points, centres)
+    blocks = cut_lineage(_blocks(points))   # read by every iteration and by the scores
+    centres = fit_many(points, list(range(2, hi + 1)), restarts, seed, blocks=blocks)
+    scores = centre_scores(points, centres, blocks)
     best_k = scores.orderBy(F.col("silhouette").desc(), "k").first()["k"]
     if method == "kmeans":
         lab = data.withColumn("cluster", nearest_centre(centres[best_k])(vector_to_array("features")))

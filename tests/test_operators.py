@@ -584,6 +584,58 @@ def test_kmeans_row_between_centres_counts_once(spark):
     assert norms.tolist() == [200, 200] and inertia.tolist() == [100, 50]
 
 
+@pytest.mark.parametrize("d", [1, 3, 8])
+def test_kmeans_boxes_equal_all_distances(spark, d):
+    """Boxes that go to one centre as a whole give the sums of all distances; few of their points are compared."""
+    from tabscope.operators import cluster as K
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(16_384, d))
+    y = K.in_boxes(x)
+    assert sorted(map(tuple, x)) == sorted(map(tuple, y))
+    if d < 8:       # neighbours: the boxes are small
+        assert np.ptp(y.reshape(-1, K.BOX, d), axis=1).mean() < 0.5 * np.ptp(x.reshape(-1, K.BOX, d), axis=1).mean()
+    runs = [rng.normal(size=(k, d)) for k in (2, 5, 10)] + [np.zeros((3, d)), x[:4]]
+    want = []
+    for c in runs:
+        at = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+        want += [np.bincount(at, w, len(c)) for w in (np.ones(len(x)), *x.T, (x * x).sum(axis=1))]
+    got = np.split(K._box_sums(y, runs), np.cumsum([len(c) for c in runs])[:-1])
+    assert all(np.allclose(a, b) for a, b in zip([col for g in got for col in g.T], want))
+
+
+def test_kmeans_blocks_hold_neighbours(spark, monkeypatch):
+    """Every point is in one block, also of a crowded cell, and a large part is cut; most boxes are settled without their points."""
+    from tabscope.operators import cluster as K
+    monkeypatch.setattr(K, "PART", 8_192)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.uniform(size=(40_000, 2)), np.full((9_000, 2), 0.25)]).round(6)
+    rng.shuffle(x)
+    points = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(3)
+    blocks = K._blocks(points)
+    got = np.concatenate([np.frombuffer(r["b"], float).reshape(r["n"], 2) for r in blocks.collect()])
+    assert np.array_equal(got[np.lexsort(got.T)], x[np.lexsort(x.T)])
+    assert blocks.rdd.getNumPartitions() > 1
+    large = [np.frombuffer(r["b"], float).reshape(r["n"], 2) for r in blocks.collect() if r["n"] >= 2_048]
+    c = np.array([[0.2, 0.2], [0.7, 0.8], [0.9, 0.1]])
+    box = np.concatenate(large).T.reshape(2, -1, K.BOX)
+    low, high = box.min(axis=2), box.max(axis=2)
+    assert K._whole(c, (low + high) / 2, (high - low) / 2)[1].mean() > 0.7
+    n, sums, norms, inertia = K._moments(blocks, {"r": c})["r"]
+    at = ((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+    assert n.tolist() == np.bincount(at).tolist() and np.allclose(sums[:, 0], np.bincount(at, x[:, 0]))
+    assert math.isclose(inertia.sum(), ((x - c[at]) ** 2).sum(), rel_tol=1e-9)
+
+
+def test_first_by_hash_of_many_and_few(spark):
+    """The lowest 64th of the hashes is enough, or not: the same rows as over all hashes."""
+    from tabscope.functions.frames import first_by_hash
+    df = spark.range(5_000).select((F.col("id") % 4_000).alias("v"))
+    order = [r["v"] for r in df.distinct().orderBy(F.xxhash64("v")).collect()]
+    for k in (3, 20, 2_000, 9_000):
+        assert [r["v"] for r in first_by_hash(df, ["v"], k).collect()] == order[:k]
+    assert first_by_hash(df.where("v < 0"), ["v"], 3).count() == 0
+
+
 def test_spearman_sends_ranks_as_they_are(spark, monkeypatch):
     """The ranks meet by row in one exchange of (row, column, ranks); no partial aggregate, wide in all columns, goes before it."""
     from tabscope.operators import correlation as K
